@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from . import media, sharding
-from .base import table
+from . import encoding, media, packing, sharding, vector_file
+from .base import table, tokenizer_file
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op2_vector_file(spark, sf_dir):
+    return vector_file.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+def op4_best_two_fit(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), capacity=1024, end_id=2)
 
 
 def op5_matroska(spark, sf_dir):
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark, sf_dir):
+    return encoding.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern())
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
 QUERIES = {
+    "op2_vector_file": op2_vector_file,
+    "op4_best_two_fit": op4_best_two_fit,
     "op5_matroska": op5_matroska,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_vector_file": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.vector, c.vector), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
