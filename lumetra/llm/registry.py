@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, media, packing, sharding, vector_file
+from . import encoding, media, packing, sharding, toxicity, vector_file
 from .base import table, tokenizer_file
 
 
@@ -24,6 +24,10 @@ def op5_matroska(spark, sf_dir):
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op8_noisy_or(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return encoding.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern())
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_vector_file": op2_vector_file,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_matroska": op5_matroska,
+    "op8_noisy_or": op8_noisy_or,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
@@ -43,11 +48,11 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_vector_file": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.vector, c.vector), p -> p[1] * p[2])) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id
             WHERE q.vec_id % 20 = 0
         ), ranked AS (
