@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, media, packing, sharding, toxicity, vector_file
+from . import encoding, media, packing, sharding, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -16,6 +16,10 @@ def op2_vector_file(spark, sf_dir):
     return vector_file.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
 
+def op3_rabin_karp(spark, sf_dir):
+    return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), width=50)
+
+
 def op4_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), capacity=1024, end_id=2)
 
@@ -38,6 +42,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op2_vector_file": op2_vector_file,
+    "op3_rabin_karp": op3_rabin_karp,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_matroska": op5_matroska,
     "op8_noisy_or": op8_noisy_or,
@@ -60,4 +65,25 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op3_rabin_karp": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS words FROM documents
+        ), p AS (
+            SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w
+        ), k AS (
+            SELECT doc_id, pos, words[pos] AS word, CASE WHEN pos + 49 <= len(words) THEN sha256(array_to_string(words[pos : pos + 49], ' ')) END AS win FROM p
+        ), f AS (
+            SELECT win, min(doc_id) AS least FROM k WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)
+        ), c AS (
+            SELECT doc_id, pos, word,
+                   max(CASE WHEN f.least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM k LEFT JOIN f USING (win)
+        ), r AS (
+            SELECT doc_id, pos, word, gone, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS edge FROM c
+        )
+        SELECT w.doc_id, CAST(count(r.pos) AS BIGINT) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256,
+               CAST(coalesce(sum(edge), 0) AS INTEGER) AS n_intervals
+        FROM w LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+    """,
 }
