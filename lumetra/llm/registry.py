@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, media, packing, sharding, toxicity, vector_file, window_dedup
+from . import encoding, media, packing, sharding, suffix_dedup, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -28,6 +28,10 @@ def op5_matroska(spark, sf_dir):
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op7_difference_cover(spark, sf_dir):
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), width=50)
+
+
 def op8_noisy_or(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_rabin_karp": op3_rabin_karp,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_matroska": op5_matroska,
+    "op7_difference_cover": op7_difference_cover,
     "op8_noisy_or": op8_noisy_or,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
