@@ -154,15 +154,17 @@ def answered(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(g, pa.int32()), pa.array(b, pa.int32()), pa.array(data, pa.binary())], ["g", "b", "data"])
 
 
-def repeated(packed: DataFrame, signals: Callable[[Group], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
+def repeated(packed: DataFrame, signals: Callable[..., tuple[np.ndarray, np.ndarray]], n_buckets: int, side: DataFrame | None = None) -> DataFrame:
     """Pass 1: for each group and bucket, the repeated fingerprints and how often each occurs (capped at a group's 255).
 
-    ``signals`` gives hashes and the doc_id that holds each.
+    ``signals`` gives hashes and the doc_id that holds each, of a group and,
+    where there is one, its rows of ``side`` (g, b, data).
     """
 
-    def emit(table: pa.Table) -> pa.Table:
-        group = Group(table)
-        hashes, owner = signals(group)
+    def emit(table: pa.Table, *more: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return sent([])
+        hashes, owner = signals(Group(table), *more)
         keys, owners, _, times = distinct_owners(bucket_key(hashes, n_buckets), owner)
         times = np.minimum(np.maximum(times, 1), 255).astype(np.uint8)
         times[owners < 2] = 1  # in one document only: counts once
@@ -190,7 +192,11 @@ def repeated(packed: DataFrame, signals: Callable[[Group], tuple[np.ndarray, np.
                 rows.append((g, bucket, compressed(own[hit], np.minimum(total[place[hit]], 2**32 - 1).astype("<u4"))))
         return answered(rows)
 
-    return packed.groupBy("g").applyInArrow(emit, SENT).groupBy("b").applyInArrow(reduce, ANSWER)
+    if side is None:
+        evidence = packed.groupBy("g").applyInArrow(lambda table: emit(table), SENT)
+    else:
+        evidence = packed.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(lambda table, more: emit(table, more), SENT)
+    return evidence.groupBy("b").applyInArrow(reduce, ANSWER)
 
 
 def found_keys(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, media, packing, sharding, suffix_dedup, toxicity, vector_file, window_dedup
+from . import encoding, jaccard_join, media, packing, sharding, suffix_dedup, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -28,6 +28,10 @@ def op5_matroska(spark, sf_dir):
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
+def op6_parity_sketch(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_difference_cover(spark, sf_dir):
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), width=50)
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_rabin_karp": op3_rabin_karp,
     "op4_best_two_fit": op4_best_two_fit,
     "op5_matroska": op5_matroska,
+    "op6_parity_sketch": op6_parity_sketch,
     "op7_difference_cover": op7_difference_cover,
     "op8_noisy_or": op8_noisy_or,
     "op9_byte_bpe": op9_byte_bpe,
