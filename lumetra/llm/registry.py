@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, jaccard_join, media, packing, sharding, suffix_dedup, toxicity, vector_file, window_dedup
+from . import encoding, jaccard_join, media, packing, sharding, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -12,6 +12,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_tool_calls(spark, sf_dir):
+    return tool_calls.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_vector_file(spark, sf_dir):
     return vector_file.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
 
@@ -49,6 +53,7 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_vector_file": op2_vector_file,
     "op3_rabin_karp": op3_rabin_karp,
     "op4_best_two_fit": op4_best_two_fit,
@@ -61,6 +66,26 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_tool_calls": """
+        WITH calls AS (
+            SELECT conv_id, turn, CAST(turn AS VARCHAR) AS call_id, text,
+                   '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' AS arguments
+            FROM conversations WHERE role = 'user'
+        ), results AS (
+            SELECT conv_id, turn AS result_turn, CAST(turn - 1 AS VARCHAR) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+        ), linked AS (
+            SELECT conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.result_turn) AS turn,
+                   CASE WHEN c.turn IS NOT NULL THEN 'respond' END AS name, c.arguments AS arguments, c.turn IS NOT NULL AS valid,
+                   CASE WHEN c.turn IS NULL THEN '$: no call' ELSE '' END AS errors,
+                   CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+                   r.result_turn AS result_turn, r.content AS content
+            FROM calls c FULL JOIN results r USING (conv_id, call_id)
+        )
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, status, call_id) - 1 AS position, call_id, turn, name, arguments, valid, errors, status, result_turn,
+               '{"arguments":' || coalesce(arguments, 'null') || ',"conversation":' || conv_id || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
+               || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS message
+        FROM linked
+    """,
     "op2_vector_file": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
