@@ -32,7 +32,7 @@ from .base import column, shuffle_partitions
 from .vectext import BYTE_BASE, Texts, prefix_sums, span_hashes
 
 GROUP_BYTES = 8 << 20
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: Least id: stands for null inside a group, and is never the owner of anything.
 NO_ID = -(2**63)
 
@@ -103,7 +103,7 @@ class Group:
         none = np.zeros(0, np.int64)
         ids, sizes = np.concatenate([*ids, none]), np.concatenate([*sizes, none])
         texts = Texts(np.concatenate([*data, np.zeros(0, np.uint8)]), np.append(0, np.cumsum(sizes)))
-        content = np.concatenate([span_hashes(prefix_sums(t.data, BYTE_BASE), t.bounds[:-1], t.bounds[1:], BYTE_BASE) for _, t in texts.slices(2 << 20)] or [np.zeros(0, np.uint64)])
+        content = np.concatenate([span_hashes(prefix_sums(t.data, BYTE_BASE), t.bounds[:-1], t.bounds[1:], BYTE_BASE) for _, t in texts.slices(1 << 20)] or [np.zeros(0, np.uint64)])
         order = np.lexsort((content, sizes, ids))
         bounds = np.append(0, np.cumsum(sizes[order]))
         data = np.empty(len(texts.data), np.uint8)

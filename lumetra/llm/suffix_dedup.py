@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from .base import sha256_hex, text_rows
 from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucket, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, sent, together
 from .suffix_array import window_classes
-from .vectext import BYTE_BASE, SECOND_BASE, merge_spans, owner, prefix_sums, rolling, span_hashes
+from .vectext import BYTE_BASE, SECOND_BASE, long_span_hashes, merge_spans, owner, prefix_sums, rolling, span_hashes
 
 WIDTH = 50
 GRAM = 24
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Occurrences over the corpus from which an anchor's contexts are cut into single strings.
 FREQUENT = 2000
 
@@ -152,7 +152,7 @@ def least_owner_of_strings(table: pa.Table, width: int) -> pa.Table:
     size = count + width - 1
     begin = np.cumsum(size) - size
     # equal contexts of several groups stand in the block once
-    one, two = (span_hashes(prefix_sums(data, base), begin, begin + size, base) for base in (BYTE_BASE, SECOND_BASE))
+    one, two = (long_span_hashes(data, begin, begin + size, base) for base in (BYTE_BASE, SECOND_BASE))
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -247,8 +247,9 @@ def owner_of_shifted(at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: its bytes, how many go in how many spans, and a digest (``with_text``: also the bytes) of what stays."""
     rows = text_rows(docs, id_col, text_col)
-    n = plan_groups(rows)
-    packed = pack(rows, n)
+    n_groups = plan_groups(rows)
+    n = 2 * n_groups  # buckets: what a group repeats may come to more bytes, in contexts, than the group has
+    packed = pack(rows, n_groups)
     hits = repeated(packed, lambda group: anchors(group, width, gram), n)
     evidence = together(packed, hits, lambda group, answers, g: send_contexts(group, answers, g, width, gram, n, frequent), SENT)
     settled = evidence.groupBy("b").applyInArrow(lambda table: least_owner_of_strings(table, width), ANSWER)

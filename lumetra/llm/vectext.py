@@ -150,6 +150,18 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: in
     return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+def long_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, most: int = 1 << 20) -> np.ndarray:
+    """``span_hashes`` of spans in order of their start, some at a time: the tables stay small however long the data."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + most)))
+        low, high = int(start[at]), int(end[at:to].max())
+        out[at:to] = span_hashes(prefix_sums(data[low:high], base), start[at:to] - low, end[at:to] - low, base)
+        at = to
+    return out
+
+
 def word_hashes(texts: Texts, found: Words, base: int = BYTE_BASE) -> np.ndarray:
     return span_hashes(prefix_sums(texts.data, base), found.start, found.end, base)
 
