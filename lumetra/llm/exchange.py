@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import column, shuffle_partitions
-from .vectext import BYTE_BASE, Texts, prefix_sums, span_hashes
+from .vectext import Texts
 
 GROUP_BYTES = 8 << 20
 PACK_BYTES = 8 << 20
@@ -59,6 +59,10 @@ def restored(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def row_key(doc_id, text):
+    return F.xxhash64(doc_id, text)
+
+
 def plan_groups(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
     """Number of groups for the text there is, at least the session's shuffle partitions."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -66,25 +70,29 @@ def plan_groups(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
 
 
 def pack(rows: DataFrame, n_groups: int) -> DataFrame:
-    """Rows (doc_id, text) as compressed blocks by group, hash-partitioned by ``g``; null texts are empty."""
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("g"), "doc_id", "text")
+    """Rows (doc_id, text) as compressed blocks by group, hash-partitioned by ``g``; null texts are empty.
+
+    Each row carries ``row_key``, which is the same for rows equal in both columns alone.
+    """
+    keyed = rows.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
+    dealt = keyed.select(F.pmod("key", F.lit(n_groups)).cast("int").alias("g"), "key", "doc_id", "text")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = Texts.of_arrow(column(batch, "text"))
-            groups = column(batch, "g").to_numpy()
+            groups, row_keys = column(batch, "g").to_numpy(), column(batch, "key").to_numpy()
             ids = column(batch, "doc_id").fill_null(NO_ID).to_numpy()
             for at, part in texts.slices(PACK_BYTES):
-                g, own = groups[at : at + len(part)], ids[at : at + len(part)]
+                g, own, named = (x[at : at + len(part)] for x in (groups, ids, row_keys))
                 order = np.argsort(g, kind="stable")
                 cuts = np.flatnonzero(np.diff(g[order])) + 1
                 keys, blobs = [], []
                 for some in np.split(order, cuts):
                     keys.append(int(g[some[0]]))
                     text = np.frombuffer(b"".join([part.text(i) for i in some]), np.uint8)
-                    blobs.append(compressed(own[some], part.sizes()[some], text))
+                    blobs.append(compressed(own[some], named[some], part.sizes()[some], text))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["g", "blob"])
 
     return dealt.mapInArrow(run, PACKED).repartition(n_groups, "g")
@@ -94,22 +102,22 @@ class Group:
     """Documents of a group in an order that does not depend on how they arrived."""
 
     def __init__(self, packed: pa.Table):
-        ids, sizes, data = [], [], []
+        ids, keys, sizes, data = [], [], [], []
         for blob in packed["blob"].to_pylist():
-            i, s, d = restored(blob, "<i8", "<i8", "u1")
+            i, k, s, d = restored(blob, "<i8", "<i8", "<i8", "u1")
             ids.append(i)
+            keys.append(k)
             sizes.append(s)
             data.append(d)
         none = np.zeros(0, np.int64)
-        ids, sizes = np.concatenate([*ids, none]), np.concatenate([*sizes, none])
+        ids, keys, sizes = (np.concatenate([*x, none]) for x in (ids, keys, sizes))
         texts = Texts(np.concatenate([*data, np.zeros(0, np.uint8)]), np.append(0, np.cumsum(sizes)))
-        content = np.concatenate([span_hashes(prefix_sums(t.data, BYTE_BASE), t.bounds[:-1], t.bounds[1:], BYTE_BASE) for _, t in texts.slices(1 << 20)] or [np.zeros(0, np.uint64)])
-        order = np.lexsort((content, sizes, ids))
+        order = np.lexsort((keys, sizes, ids))
         bounds = np.append(0, np.cumsum(sizes[order]))
         data = np.empty(len(texts.data), np.uint8)
         for to, i in enumerate(order.tolist()):
             data[bounds[to] : bounds[to + 1]] = texts.data[texts.bounds[i] : texts.bounds[i + 1]]
-        self.ids = ids[order]
+        self.ids, self.keys = ids[order], keys[order]
         self.texts = Texts(data, bounds)
 
     def id_column(self) -> pa.Array:

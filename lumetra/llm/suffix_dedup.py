@@ -21,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .base import sha256_hex, text_rows
-from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucket, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, sent, together
+from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together
 from .suffix_array import window_classes
 from .vectext import BYTE_BASE, SECOND_BASE, long_span_hashes, merge_spans, owner, prefix_sums, rolling, span_hashes
 
@@ -234,8 +235,8 @@ def outcomes(group: Group, begin: np.ndarray, width: int, with_text: bool = Fals
     arrays = [group.id_column(), pa.array(sizes), pa.array(lost), pa.array(spans.astype(np.int64)), pa.array(digests, pa.string())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if with_text:
-        arrays.append(pa.array(kept, pa.binary()))
-        names.append("kept")
+        arrays += [pa.array(kept, pa.binary()), pa.array(group.keys)]
+        names += ["kept", "row_key"]
     return pa.Table.from_arrays(arrays, names)
 
 
@@ -263,4 +264,25 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
         begin = removed_strings(group, first, answers.filter(pa.array(b >= 0)), width, gram, n, frequent)
         return outcomes(group, begin, width, with_text)
 
-    return together(packed, both, finish, DIGESTS + (", kept binary" if with_text else ""))
+    return together(packed, both, finish, DIGESTS + (", kept binary, row_key long" if with_text else ""))
+
+
+def cleaned_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of ``text`` and ``n_chars`` (where there is one) counted anew.
+
+    Removal cuts bytes; what is left of a character cut in two goes with it.
+    All rows and columns stay, a text that was repeated as a whole becomes empty.
+    """
+
+    def decode(batches):
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_kept"])
+
+    found = remove_repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select("row_key", "kept")
+    # rows equal in doc_id and text lose the same bytes
+    kept = found.mapInArrow(decode, "_row long, _kept string").groupBy("_row").agg(F.first("_kept").alias("_kept"))
+    keyed = docs.withColumn("_row", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    text = F.coalesce("_kept", "text")
+    fields = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.char_length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(kept, "_row", "left").select(fields)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, column, map_texts, text_rows
+from .base import SLICE_BYTES, checkpointed, column, map_texts, text_rows
 from .vectext import LOWER, Texts, owner, prefix_sums, span_hashes
 
 WORD_HASH = 0xD1B54A32D192ED03 | 1
@@ -254,14 +254,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: in
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose own text scores below ``threshold``."""
     model = train(docs, labels, folds, sample_rows)
-    names = docs.columns
-    clean = "_clean" if "_clean" not in names else "_clean_" + "_".join(names)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def is_clean(text):
-        import pandas as pd
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts = Texts.of_arrow(batch.column(at).cast(pa.large_string()))
+                clean = np.concatenate([scored(model, part)[0] < threshold for _, part in texts.slices(SLICE_BYTES)])
+                yield batch.filter(pa.array(clean))
 
-        texts = Texts.of_arrow(pa.array(text, pa.large_string(), from_pandas=True))
-        return pd.Series(np.concatenate([scored(model, part)[0] < threshold for _, part in texts.slices(4 << 20)]) if len(texts) else np.zeros(0, bool))
-
-    return docs.withColumn(clean, is_clean(F.col("text").cast("string"))).filter(F.col(clean)).drop(clean)
+    return docs.mapInArrow(run, docs.schema)
