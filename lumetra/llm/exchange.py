@@ -141,7 +141,7 @@ def by_bucket(keys: np.ndarray):
 
 def distinct_owners(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys with how many owners each has at least (2 if more), its least owner, and its occurrences."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, o = keys[order], owner[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -185,7 +185,7 @@ def repeated(packed: DataFrame, signals: Callable[..., tuple[np.ndarray, np.ndar
         lows = [np.frombuffer(d, "<u4", len(d) // 5) for d in blobs]
         times = [np.frombuffer(d, "u1", len(d) // 5, len(d) // 5 * 4) for d in blobs]
         everything = np.concatenate(lows)
-        order = np.argsort(everything, kind="stable")
+        order = np.argsort(everything)
         values = everything[order]
         at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), at)
