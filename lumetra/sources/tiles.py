@@ -109,6 +109,7 @@ class TiffHeaders(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both sources known to a session."""
+    """Make both sources known to a session, and let filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TiffTiles)
     spark.dataSource.register(TiffHeaders)
