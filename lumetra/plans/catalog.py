@@ -170,9 +170,9 @@ def otsu_three_classes(spark, d):
     return images.otsu(images.histogram(table(spark, d, "lineitem"), "l_quantity"), 3)
 
 
-@query(f"WITH {IMAGE_CTE} SELECT a.y, a.x, a.v FROM px a WHERE a.y < 100 AND NOT EXISTS (SELECT 1 FROM px b WHERE b.y < 100 AND b.y BETWEEN a.y - 3 AND a.y + 3 AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.v > a.v)")
+@query(f"WITH {IMAGE_CTE}, d AS (SELECT unnest(range(-3, 4)) AS d), top AS (SELECT px.y + a.d AS y, px.x + b.d AS x, max(v) AS t FROM px, d a, d b GROUP BY 1, 2) SELECT px.y, px.x, px.v FROM px JOIN top USING (y, x) WHERE v = t")
 def local_maxima(spark, d):
-    return images.local_maxima(_image(spark, d).filter("y < 100"), 3)  # a crop of the image: rows 0 to 99
+    return images.local_maxima(_image(spark, d), 3)
 
 
 # --- metadata ---------------------------------------------------------------------------------
