@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .vectext import Texts
 
 #: Bytes of text that a vectorised pass takes at once; memory of a task follows it, not the partition.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (1 << 20) - 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .base import column, shuffle_partitions
 from .vectext import Texts
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 PACK_BYTES = 8 << 20
 #: Least id: stands for null inside a group, and is never the owner of anything.
 NO_ID = -(2**63)

@@ -30,7 +30,7 @@ from .vectext import BYTE_BASE, SECOND_BASE, long_span_hashes, merge_spans, owne
 
 WIDTH = 50
 GRAM = 24
-SLICE = 1 << 20
+SLICE = (1 << 20) - 64
 #: Occurrences over the corpus from which an anchor's contexts are cut into single strings.
 FREQUENT = 2000
 

@@ -28,15 +28,20 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Powers that a worker keeps; longer tables, for longer texts, are made anew.
+KEPT_POWERS = 1 << 20
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table grows by doubling and is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; the table grows by doubling and is kept while it is small."""
     have = _powers.get(base)
     if have is None:
         have = np.ones(1, np.uint64)
     while len(have) < n:
         step = np.uint64(pow(base, len(have), 1 << 64))
         have = np.concatenate([have, have * step])
-    _powers[base] = have
+    if len(have) <= KEPT_POWERS:
+        _powers[base] = have
     return have[:n]
 
 
@@ -150,7 +155,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: in
     return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-def long_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, most: int = 1 << 20) -> np.ndarray:
+def long_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, most: int = 1 << 19) -> np.ndarray:
     """``span_hashes`` of spans in order of their start, some at a time: the tables stay small however long the data."""
     out = np.empty(len(start), np.uint64)
     at = 0

@@ -23,7 +23,7 @@ from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucke
 from .vectext import BYTE_BASE, SECOND_BASE, WORD_BASE, Texts, merge_spans, owner, rolling, window_starts, word_hashes, words
 
 WIDTH = 50
-SLICE = 2 << 20
+SLICE = (1 << 20) - 64
 
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals int"
 
