@@ -435,8 +435,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one document stands for all with its set: the least, found by partial aggregation
     classes = sizes.filter("doc_id is not null and n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "g")).alias("first"))
     classes = stored(classes.select("k1", "k2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.g").alias("g")))
-    # sets of fewer than four have no other set within the threshold
-    chosen = classes.filter("n_shingles >= 4").groupBy("g").agg(F.collect_list("rep").alias("reps")).mapInArrow(chosen_rows, ANSWER)
+    # sets of one or two have no other set within the threshold; one of three has those of four that hold it
+    chosen = classes.filter("n_shingles >= 3").groupBy("g").agg(F.collect_list("rep").alias("reps")).mapInArrow(chosen_rows, ANSWER)
     hits = repeated(packed, lambda group, side: signals_of(group, chosen_ids(side)), n, chosen)
     both = hits.unionByName(chosen)
 

@@ -147,6 +147,21 @@ def test_components_equal_brute_force(spark, small, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(docs)
 
 
+def test_three_shingles_in_four(spark):
+    """Seven and eight words that differ by one at either end share three of four shingles."""
+    docs = []
+    for i in range(12):
+        words = [f"w{i}x{j}" for j in range(9)]
+        docs += [(10 * i + 5, " ".join(words[1:8])), (10 * i + 2, " ".join(words[:8])), (10 * i + 7, " ".join(words[1:9]))][: 2 + i % 2]
+        docs += [(10 * i + 1, " ".join(words[:7])), (10 * i + 9, " ".join(words[2:8])), (10 * i + 8, " ".join(words[:6]))][: i % 4]
+    got = jaccard_join.near_duplicates(frame(spark, docs))
+    want = brute_components(docs)
+    assert sum(n == 3 and c != i for i, n, c in want) >= 6
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    left = jaccard_join.first_of_each(frame(spark, docs))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, _, c in want if i == c)
+
+
 def test_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other words stand in here now"), (3, "other words stand in here now"), (4, None), (5, ""), (None, "a b c d e f")]
     left = jaccard_join.first_of_each(frame(spark, docs)).collect()
