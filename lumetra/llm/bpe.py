@@ -3,12 +3,17 @@
 A block of texts is pre-tokenised, equal pieces are encoded once by the BPE
 library, and identifiers are laid out again by array gathers. The cache of
 pieces lives as long as the Python worker and is bounded.
+
+A ``.json`` vocabulary names added tokens; as in the tokenizers library, a text
+is split where one of them stands, it has its own identifier, and the parts
+between are encoded as texts of their own.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 
 import numpy as np
 import tiktoken
@@ -37,14 +42,26 @@ def ranks_of_json(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): rank for token, rank in held["model"]["vocab"].items() if token not in special}
 
 
+def added_of_json(path: str) -> dict[bytes, int]:
+    """Added tokens and their identifiers; those that take in spaces or heed words beside them are refused."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    if any(t.get(option) for t in held["added_tokens"] for option in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens with lstrip, rstrip or single_word")
+    return {t["content"].encode("utf-8"): t["id"] for t in held["added_tokens"]}
+
+
 class Encoder:
     """Texts to identifiers and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[bytes, int] | None = None):
+        self.added = added or {}
+        # the longest of those that begin in one place
+        self.added_at = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        size = max(ranks.values()) + 1
+        size = max([*ranks.values(), *self.added.values()]) + 1
         tokens: list[bytes] = [b""] * size
-        for token, rank in ranks.items():
+        for token, rank in [*ranks.items(), *self.added.items()]:
             tokens[rank] = token
         self.token_at = np.zeros(size + 1, np.int64)
         np.cumsum([len(t) for t in tokens], out=self.token_at[1:])
@@ -98,10 +115,33 @@ class Encoder:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts end to end, and where each text's begin (one entry more)."""
+        raw = texts.data.tobytes() if self.added_at else b""
+        if self.added_at and self.added_at.search(raw):
+            edges = texts.bounds.tolist()
+            spans = [m.span() for a, z in zip(edges, edges[1:], strict=False) for m in self.added_at.finditer(raw, a, z)]
+            if spans:
+                return self._encode_around(texts, np.array(spans, np.int64), np.array([self.added[raw[a:z]] for a, z in spans], np.uint32))
         start, end, first = pieces(texts)
         ids, upto = self.encode_spans(texts, start, end)
         return ids, upto[first]
 
+    def _encode_around(self, texts: Texts, spans: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the added tokens that lie at ``spans``."""
+        marks = np.sort(np.concatenate([texts.bounds, spans.ravel()]))
+        # of parts that begin in one place, all but the last are empty
+        part = np.searchsorted(marks, spans[:, 0], side="right") - 1
+        start, end, first = pieces(Texts(texts.data, marks))
+        ids, upto = self.encode_spans(texts, start, end)
+        at = upto[first]
+        ids[at[part]] = tokens
+        # each of these parts keeps its first identifier alone
+        step = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(step, at[part] + 1, 1)
+        np.add.at(step, at[part + 1], -1)
+        sizes = np.diff(at)
+        sizes[part] = 1
+        return ids[np.cumsum(step[:-1]) == 0], np.append(0, np.cumsum(sizes))[np.searchsorted(marks, texts.bounds)]
+
     def encode_spans(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of given pieces end to end, and where each piece's begin (one entry more)."""
         if not len(start):
@@ -130,5 +170,5 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder for a vocabulary file, made once."""
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(ranks_of_json(path) if path.endswith(".json") else ranks_of_lines(path), pattern)
+        _encoders[path, pattern] = Encoder(ranks_of_json(path), pattern, added_of_json(path)) if path.endswith(".json") else Encoder(ranks_of_lines(path), pattern)
     return _encoders[path, pattern]

@@ -124,7 +124,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
         # the pieces, some at a time, each run of them cut at stitched boundaries
         cuts = [0, *(int(starts[np.searchsorted(starts, p)]) for p in range(SLICE_BYTES, len(text) - SLICE_BYTES // 2, SLICE_BYTES) if np.searchsorted(starts, p) < len(starts)), len(text)]
         enc = encoder(vocabulary, pattern)
-        ids = np.concatenate([encode_pieces(enc, text, starts, a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
+        if enc.added_at and enc.added_at.search(text):
+            ids = enc.encode(Texts.of_bytes([text]))[0]
+        else:
+            ids = np.concatenate([encode_pieces(enc, text, starts, a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
         bounds = np.array([0, len(ids)])
         back = enc.decode(ids, bounds)
         doc = pa.array(group["doc_id"].to_pylist()[:1], pa.int64())

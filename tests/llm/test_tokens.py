@@ -45,6 +45,39 @@ def test_both_vocabulary_files_agree_and_match_tokenizers():
     assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+END = "<|endoftext|>"
+
+
+def test_added_tokens_equal_tokenizers():
+    rng = random.Random(6)
+    parts = [*ALPHABET, "word", "  ", "'ll", "<|endof", "text|>", "<|", END, END, END]
+    texts = ["", END, END * 2, f"a{END}b", f"a  {END}  b\n", f"it'{END}s", END[:6], END[6:], ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    other = Tokenizer.from_file(JSON)
+    enc = encoder(JSON, PATTERN)
+    ids, bounds = enc.encode(Texts.of_bytes([t.encode() for t in texts]))
+    assert ids[bounds[3] : bounds[4]].tolist() == [64, 50256, 65]
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+    back = enc.decode(ids, bounds)
+    assert [back.text(i) for i in range(len(texts))] == [t.encode() for t in texts]
+    # lines of ranks name no added tokens
+    plain = encoder(LINES, PATTERN)
+    assert plain.encode(Texts.of_bytes([texts[3].encode()]))[0].tolist() == plain.library.encode_ordinary(texts[3])
+
+
+def test_added_tokens_in_documents(spark):
+    other = Tokenizer.from_file(JSON)
+    texts = [f"a{END}b", "plain", f"it's {END}{END} so " * 60, f" x{END}" + "word " * 900 + END]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: other.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    packed: dict = {}
+    for r in sorted(packing.pack_documents(df, JSON, PATTERN, capacity=64, end_id=2, with_ids=True).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        packed.setdefault(r["doc_id"], []).extend(np.frombuffer(bytes(r["ids"]), "<u4").tolist())
+    assert packed == {i: [*ids, 2] for i, ids in want.items()}
+    rows = encoding.encode_documents(df, JSON, PATTERN, chunk_bytes=512, overlap_bytes=64, with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == want and all(bytes(r["decoded"]).decode() == texts[r["doc_id"]] for r in rows)
+
+
 @pytest.mark.parametrize("size,overlap", [(40, 16), (64, 32), (200, 13)])
 def test_stitching(size, overlap):
     rng = random.Random(size)
