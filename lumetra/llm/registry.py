@@ -13,7 +13,7 @@ def split_pattern() -> str:
 
 
 def op1_tool_calls(spark, sf_dir):
-    return tool_calls.format_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.format_conversations(table(spark, sf_dir, "conversations"), every_result=True)
 
 
 def op2_vector_file(spark, sf_dir):

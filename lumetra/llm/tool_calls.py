@@ -16,7 +16,8 @@ Defined cases: rows with a null conv_id, turn or role, or with another role,
 are neither calls nor results; a null text is a null argument, which fails
 validation where a string is asked for; of several calls with one identifier
 the earliest is the call, the others are ``duplicate``; of several results
-the earliest is linked; results without a call are ``orphan``; dependencies
+the earliest is linked, or with ``every_result`` (as the query has it) each
+is, a row each by result_turn; results without a call are ``orphan``; dependencies
 on identifiers that do not exist are dropped; an empty table gives no rows.
 """
 
@@ -141,15 +142,16 @@ def levels(calls: DataFrame) -> DataFrame:
     return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, and per result without one, in the order ``position`` of their conversation."""
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_result: bool = False) -> DataFrame:
+    """One row per call (or per result of it, with ``every_result``), and per result without one, in the order ``position`` of their conversation."""
     calls = checkpointed(calls.withColumn("uid", F.monotonically_increasing_id()))
     place = F.struct("turn", "idx", "uid")
     firsts = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(place).alias("_p")).select(F.col("_p.uid").alias("uid"))
     chosen = checkpointed(calls.join(firsts, "uid", "left_semi"))
     others = calls.join(firsts, "uid", "left_anti")
     level = levels(chosen)
-    answers = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "content")).alias("_r")).select("conv_id", "call_id", F.col("_r.result_turn").alias("result_turn"), F.col("_r.content").alias("content"), F.lit(True).alias("_hit"))
+    answers = results if every_result else results.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "content")).alias("_r")).select("conv_id", "call_id", "_r.*")
+    answers = answers.select("conv_id", "call_id", "result_turn", "content", F.lit(True).alias("_hit"))
     ranked = chosen.join(level.withColumn("_unruly", F.lit(True)), "uid", "left")
     cyclic = F.coalesce("_unruly", F.lit(False)) & F.col("level").isNull()
     linked = ranked.join(answers, ["conv_id", "call_id"], "left").select(
@@ -165,7 +167,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
     names = linked.columns
     everything = linked.unionByName(extra.select(names)).unionByName(orphans)
-    placed = byte_positions(everything.withColumn("one", F.lit(1)), ["conv_id", "level", "turn", "idx", "status", "call_id"], "one").drop("bytes_before", "bytes_total", "one")
+    # contents only break ties, by their hash: range bounds hold sort keys
+    keyed = everything.withColumn("one", F.lit(1)).withColumn("_hash", F.xxhash64("content"))
+    placed = byte_positions(keyed, ["conv_id", "level", "turn", "idx", "status", "call_id", "result_turn", "_hash"], "one").drop("bytes_before", "bytes_total", "one", "_hash")
     first = placed.groupBy("conv_id").agg(F.min("row_no").alias("_first"))
     placed = placed.join(first, "conv_id").withColumn("position", F.col("row_no") - F.col("_first"))
 
@@ -196,9 +200,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 LINKED = "conv_id long, position long, call_id string, turn long, name string, arguments string, valid boolean, errors string, status string, result_turn long, message string"
 
 
-def format_conversations(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+def format_conversations(messages: DataFrame, schemas: dict[str, dict] | None = None, every_result: bool = False) -> DataFrame:
     """Calls of both kinds out of (conv_id, turn, role, text), linked."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     told, answered = protocol_calls(rows)
     plain, replies = turn_calls(rows)
-    return link(told.unionByName(plain), answered.unionByName(replies), {**RESPOND, **(schemas or {})})
+    return link(told.unionByName(plain), answered.unionByName(replies), {**RESPOND, **(schemas or {})}, every_result)

@@ -78,6 +78,26 @@ def test_links_order_and_validation(spark):
     assert {r["conv_id"] for r in rows} == {1, 2, 3}
 
 
+def test_every_result_has_a_row(spark, tmp_path):
+    """The query on repeated results, against its SQL for plain turns."""
+    import duckdb
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 1, "assistant", "two"), (1, 1, "assistant", "two"), (1, 2, "user", "r"), (1, 3, "assistant", "x"), (2, 5, "assistant", "lost"), (2, 5, "assistant", "again")]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = registry.QUERIES["op1_tool_calls"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(registry.ORACLES["op1_tool_calls"])
+    names = [d[0] for d in want.description]
+    key = lambda r: tuple(str(r[c]) for c in names if c != "position")
+    assert sorted(map(key, got.collect())) == sorted(key(dict(zip(names, r, strict=True))) for r in want.fetchall())
+    one = sorted((r["position"], r["call_id"], r["content"]) for r in got.selectExpr("*", "get_json_object(message, '$.result') as content").filter("conv_id = 1").collect())
+    assert [r[0] for r in one] == [0, 1, 2, 3] and sorted(r[1:] for r in one) == [("0", "one"), ("0", "two"), ("0", "two"), ("2", "x")]
+    told = tool_calls.format_conversations(messages(spark), ADD, every_result=True).filter("conv_id = 1 and call_id = 'a'")
+    assert sorted((r["status"], r["result_turn"], json.loads(r["message"])["result"]) for r in told.collect()) == [("linked", 3, "3"), ("linked", 4, "again")]
+
+
 def test_no_messages(spark):
     assert tool_calls.format_conversations(messages(spark).filter("false")).count() == 0
 
