@@ -9,8 +9,8 @@ too: a block of queries meets every block of vectors once, on an equality of
 block numbers, and only k rows a query leave each meeting.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
-or are of another length than most, take no part; ties go to the smaller
-vec_id; fewer candidates than k give all of them; an empty table gives no rows.
+or are of another length than most, take no part; a finite component whose
+floor(scale * x) does not fit a long is an error; ties go to the smaller vec_id; fewer candidates than k give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,7 +67,8 @@ def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.nda
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Integer inner products; Python integers where 64 bits might not hold them."""
-    if float(np.abs(query).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * len(query) >= 2.0**62:
+    # as floats, for the least long has no absolute value
+    if np.abs(query.astype(np.float64)).max(initial=0) * np.abs(vectors.astype(np.float64)).max(initial=0) * len(query) >= 2.0**62:
         big = [sum(int(a) * int(b) for a, b in zip(query, v, strict=True)) for v in vectors]
         if any(not -(2**63) <= s < 2**63 for s in big):
             raise OverflowError("a score does not fit a long")
@@ -110,10 +111,16 @@ def search_block(query_ids, queries, ids, cells, low, high, exact, k: int) -> li
 def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and floor(scale * component) of every vector that takes part."""
     vector = F.col(f"`{vector_col}`")
-    fit = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float(2**62) / scale)))
+    fit = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+
+    def whole(c):
+        scaled = c.cast("double") * F.lit(scale)
+        fits = (scaled >= F.lit(-(2.0**63))) & (scaled < F.lit(2.0**63))
+        return F.when(fits, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")).cast("long"))
+
     return embeddings.filter(F.coalesce(fit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"),
-        F.transform(vector, lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("long")).alias("vector"),
+        F.transform(vector, whole).alias("vector"),
     )
 
 

@@ -35,6 +35,17 @@ def test_top_k_with_little_or_nothing(spark):
     assert vector_file.top_k(few.filter("vec_id = 1")).count() == 0
 
 
+def test_large_components_take_part_or_are_refused(spark):
+    rows = [(i, [(i % 3) / 64, 1.0 * i]) for i in range(2, 40)] + [(0, [2.0**56, 0.0]), (1, [-(2.0**57), 0.0])]
+    rows = [(i, [min(v[0], 1 / 64) if i > 1 else v[0], v[1]]) for i, v in rows]
+    df = spark.createDataFrame([r for r in rows if r[0] != 1], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vector_file.top_k(df, k=50, every=20).collect()) == brute_top([r for r in rows if r[0] != 1], 50, 20)
+    df = spark.createDataFrame([r for r in rows if r[0]], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vector_file.top_k(df, k=50, every=20).collect()) == brute_top([r for r in rows if r[0]], 50, 20)
+    with pytest.raises(Exception, match="does not fit a long"):
+        vector_file.top_k(spark.createDataFrame([(0, [2.0**57, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")).collect()
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-40, 40, (2000, 16)), rng.integers(-40, 40, (5, 16))
