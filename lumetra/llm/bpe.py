@@ -2,7 +2,9 @@
 
 A block of texts is pre-tokenised, equal pieces are encoded once by the BPE
 library, and identifiers are laid out again by array gathers. The cache of
-pieces lives as long as the Python worker and is bounded.
+pieces lives as long as the Python worker and is bounded (about 20 MB). A piece
+of up to 7 bytes is its own key; a longer one is found by a hash and counts as
+the piece that is kept only if all its bytes agree.
 
 A ``.json`` vocabulary names added tokens; as in the tokenizers library, a text
 is split where one of them stands, it has its own identifier, and the parts
@@ -19,11 +21,16 @@ import numpy as np
 import tiktoken
 
 from .pretoken import pieces
-from .vectext import BYTE_BASE, Texts, prefix_sums, span_hashes
+from .vectext import FIRST_BYTES, SEED, Texts, eights, mix, same_spans, span_hashes
 
-#: Distinct pieces that a worker keeps before it starts again, and the bits of the table that finds most of them.
-CACHE_PIECES = 1_500_000
-TABLE_BITS = 21
+#: Distinct pieces, and their identifiers and bytes, that a worker keeps before it starts again.
+CACHE_PIECES = 150_000
+CACHE_IDS = 1_000_000
+CACHE_BYTES = 4_000_000
+#: Pieces of more bytes are encoded wherever they occur.
+CACHED_BYTES = 64
+#: Bits of the table that finds most pieces.
+TABLE_BITS = 18
 
 
 def ranks_of_lines(path: str) -> dict[bytes, int]:
@@ -51,6 +58,26 @@ def added_of_json(path: str) -> dict[bytes, int]:
     return {t["content"].encode("utf-8"): t["id"] for t in held["added_tokens"]}
 
 
+class Growing:
+    """An array that is appended to, in a buffer that doubles."""
+
+    def __init__(self, kind, first=()):
+        self.buffer, self.size = np.zeros(1 << 10, kind), 0
+        self.extend(np.array(first, kind))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def view(self) -> np.ndarray:
+        return self.buffer[: self.size]
+
+    def extend(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self.buffer):
+            self.buffer = np.concatenate([self.buffer, np.zeros_like(self.buffer)])
+        self.buffer[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class Encoder:
     """Texts to identifiers and back."""
 
@@ -70,47 +97,70 @@ class Encoder:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ids = Growing(np.uint32)  # of all slots, end to end
+        self.ids_at = Growing(np.int64, [0])
+        self.bytes = Growing(np.uint8)
+        self.bytes_at = Growing(np.int64, [0])
         self.table_key = np.zeros(1 << TABLE_BITS, np.uint64)
         self.table_slot = np.full(1 << TABLE_BITS, -1, np.int32)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        encode = self.library.encode_ordinary
-        found = [encode(t) for t in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        begin, end = int(self.at[-1]), int(self.at[-1] + sizes.sum())
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[begin:end] = np.fromiter((i for ids in found for i in ids), np.uint32, end - begin)
-        base = len(self.at) - 1
-        self.at = np.concatenate([self.at, begin + np.cumsum(sizes)])
-        self.slot.update(zip(keys, range(base, base + len(keys)), strict=True))
-
-    def _slots(self, texts: Texts, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Cache slot of every piece: from the direct table, else the dictionary, else the library."""
-        place = (keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> int:
+        """Encode pieces and give them slots in a row; the first slot."""
+        first, encode = len(self.ids_at) - 1, self.library.encode_ordinary
+        spans = list(zip(start.tolist(), end.tolist(), strict=True))
+        found = [encode(raw[a:z].decode("utf-8")) for a, z in spans]
+        self.ids_at.extend(self.ids_at.view()[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+        self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32))
+        # bytes are compared for cached pieces alone
+        kept = [raw[a:z] if z - a <= CACHED_BYTES else b"" for a, z in spans]
+        self.bytes_at.extend(self.bytes_at.view()[-1] + np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept))))
+        self.bytes.extend(np.frombuffer(b"".join(kept), np.uint8))
+        return first
+
+    def _agree(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Whether pieces have the bytes of their slots; those of up to 7 bytes do by their keys."""
+        same = np.ones(len(start), bool)
+        long = np.flatnonzero((size > 7) & (slots >= 0))
+        held = self.bytes_at.view()
+        begin = held[slots[long]]
+        same[long] = held[slots[long] + 1] - begin == size[long]
+        some = long[same[long]]
+        same[some] = same_spans(at, start[some], eights(self.bytes.view(), laid_out=False), held[slots[some]], size[some])
+        return same
+
+    def _slots(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Slot of every piece: from the direct table, else the dictionary, else the library."""
+        at, size = eights(texts.data), end - start
+        keys = at[start] & FIRST_BYTES[np.minimum(size, 7)] | size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > 7)
+        if len(long):
+            keys[long] = span_hashes(texts.data, start[long], end[long], SEED, at) | np.uint64(0xFF << 56)
+        place = (mix(keys) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         slots = np.where(self.table_key[place] == keys, self.table_slot[place], -1).astype(np.int64)
-        rest = np.flatnonzero(slots < 0)
-        if not len(rest):
-            return slots
-        distinct, where, back = np.unique(keys[rest], return_index=True, return_inverse=True)
-        listed, where = distinct.tolist(), rest[where]
-        get = self.slot.get
-        found = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
-        fresh = np.flatnonzero(found < 0)
-        if len(fresh):
-            raw = texts.data.tobytes()
-            spans = zip(start[where[fresh]].tolist(), end[where[fresh]].tolist(), strict=True)
-            found[fresh] = np.arange(len(self.slot), len(self.slot) + len(fresh))
-            self._learn([listed[i] for i in fresh.tolist()], [raw[a:b].decode("utf-8") for a, b in spans])
-        slots[rest] = found[back]
-        place = place[where]
-        free = self.table_slot[place] < 0
-        self.table_key[place[free]] = distinct[free]
-        # of several new keys in one place the last written holds both columns
-        held = self.table_key[place[free]] == distinct[free]
-        self.table_slot[place[free][held]] = found[free][held]
+        rest = np.flatnonzero((slots < 0) & (size <= CACHED_BYTES))
+        raw = b""
+        if len(rest):
+            distinct, where, back = np.unique(keys[rest], return_index=True, return_inverse=True)
+            listed, where = distinct.tolist(), rest[where]
+            get = self.slot.get
+            found = np.fromiter((get(k, -1) for k in listed), np.int64, len(listed))
+            fresh = np.flatnonzero(found < 0)
+            if len(fresh):
+                raw = texts.data.tobytes()
+                first = self._learn(raw, start[where[fresh]], end[where[fresh]])
+                found[fresh] = np.arange(first, first + len(fresh))
+                self.slot.update(zip(distinct[fresh].tolist(), found[fresh].tolist(), strict=True))
+            slots[rest] = found[back]
+            # of several new keys in one place the last written holds both columns
+            spot = place[where]
+            self.table_key[spot] = distinct
+            held = self.table_key[spot] == distinct
+            self.table_slot[spot[held]] = found[held]
+        # pieces that are not the ones kept under their key, and those too long to keep
+        alone = np.flatnonzero((slots < 0) | ~self._agree(at, start, size, slots))
+        if len(alone):
+            first = self._learn(raw or texts.data.tobytes(), start[alone], end[alone])
+            slots[alone] = np.arange(first, first + len(alone))
         return slots
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +196,14 @@ class Encoder:
         """Identifiers of given pieces end to end, and where each piece's begin (one entry more)."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.slot) > CACHE_PIECES:
+        if len(self.ids_at) > CACHE_PIECES or len(self.ids) > CACHE_IDS or len(self.bytes) > CACHE_BYTES:
             self.clear()
-        keys = span_hashes(prefix_sums(texts.data, BYTE_BASE), start, end, BYTE_BASE)
-        slots = self._slots(texts, keys, start, end)
-        sizes = self.at[slots + 1] - self.at[slots]
+        slots = self._slots(texts, start, end)
+        ids_at = self.ids_at.view()
+        begin, sizes = ids_at[slots], ids_at[slots + 1] - ids_at[slots]
         upto = np.zeros(len(slots) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
-        return self.flat[np.arange(upto[-1]) + np.repeat(self.at[slots] - upto[:-1], sizes)], upto
+        return self.ids.view()[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)], upto
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> Texts:
         """Raw bytes of the tokens, end to end."""

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .base import checkpointed, stored, text_rows
 from .components import components
 from .exchange import ANSWER, Group, bucket_key, found_keys, lookup, pack, plan_groups, repeated, together
-from .vectext import WORD_BASE, Texts, lowered, mix, owner, rolling, window_starts, word_hashes, words
+from .vectext import Texts, chained, lowered, mix, owner, window_starts, word_hashes, words
 
 SHINGLE = 5
 #: Threshold as a fraction: three quarters.
@@ -66,7 +66,7 @@ def shingle_sets(texts: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     found = words(low)
     hashes = word_hashes(low, found)
     counts = found.counts()
-    full = rolling(hashes, width, WORD_BASE)
+    full = chained(hashes, width)
     start = np.flatnonzero(window_starts(found.first, width, len(found)))
     doc = owner(found.first, start)
     few = np.flatnonzero((counts > 0) & (counts < width))
@@ -87,7 +87,7 @@ def shingle_sets(texts: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 def _short(hashes: np.ndarray, width: int) -> np.uint64:
     """A sequence of fewer words than a shingle, told apart by its length."""
     padded = np.append(hashes, np.full(width - len(hashes), len(hashes), np.uint64))
-    return mix(rolling(padded, width, WORD_BASE))[0]
+    return mix(chained(padded, width))[0]
 
 
 def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,14 +7,17 @@ time, by their first v bytes and, where those tie, by the sample ranks at the
 common shift. Ties need v bytes of comparison and one look-up however long
 they are, so memory is bounded by the block and one bucket.
 
-Ranks compare ``2 * v`` bytes from the sample on: suffixes whose order is not
-settled within that stay tied, in order of position.
+Sample ranks come from the leading v bytes and are doubled (a sample and the
+one as far on as is settled) until all differ, or to a stated depth, within
+which suffixes are then ordered; ties beyond it stay in order of position.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .vectext import eights
+
 #: Modulus and a perfect difference set for it (fixed values: every residue is a difference of two of them).
 MODULUS = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -43,13 +46,7 @@ SHIFT = shifts()
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on, as one big-endian number; zeros follow the end."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(n, np.uint64)
-    for j in range(8):
-        out <<= np.uint64(8)
-        out |= padded[j : j + n]
-    return out
+    return eights(data)[: len(data)].byteswap()
 
 
 def leading_keys(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -75,8 +72,8 @@ def dense_ranks(keys: list[np.ndarray]) -> np.ndarray:
     return ranks
 
 
-def sample_ranks(words: np.ndarray) -> np.ndarray:
-    """For every position, the rank of its first 2 * MODULUS bytes among the samples (0 where it is no sample, or past the end)."""
+def sample_ranks(words: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """For every position, the rank among the samples (0 where it is no sample, or past the end) of its first ``depth`` bytes or more, by default of its suffix."""
     n = len(words)
     residue = np.zeros(MODULUS, bool)
     residue[list(COVER)] = True
@@ -84,7 +81,10 @@ def sample_ranks(words: np.ndarray) -> np.ndarray:
     ranks = np.zeros(n + 2 * MODULUS, np.int32)
     if len(at):
         ranks[at] = dense_ranks(leading_keys(words, at))
-        ranks[at] = dense_ranks([ranks[at], ranks[at + MODULUS]])
+        settled = MODULUS
+        while settled < (n if depth is None else depth) and int(ranks[at].max()) < len(at):
+            ranks[at] = dense_ranks([ranks[at], ranks[np.minimum(at + settled, n)]])
+            settled *= 2
     return ranks
 
 
@@ -134,14 +134,17 @@ def sort_bucket(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndar
     return at
 
 
-def sorted_suffixes(data: np.ndarray, at: np.ndarray | None = None, most: int = BUCKET_SUFFIXES):
-    """Arrays of positions, bucket after bucket, in the order of the suffixes of ``data`` that begin there."""
+def sorted_suffixes(data: np.ndarray, at: np.ndarray | None = None, most: int = BUCKET_SUFFIXES, depth: int | None = None):
+    """Arrays of positions, bucket after bucket, in the order of the suffixes of ``data`` that begin there.
+
+    Suffixes compare as if zeros followed their end, which those that end in zeros share.
+    """
     if at is None:
         at = np.arange(len(data))
     if not len(at):
         return
     words = words_at(data)
-    ranks = sample_ranks(words)
+    ranks = sample_ranks(words, depth)
     for bucket in buckets(words, at, most):
         yield sort_bucket(words, ranks, bucket)
 
@@ -161,14 +164,13 @@ def equal_to_previous(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarr
 def window_classes(data: np.ndarray, at: np.ndarray, width: int, most: int = BUCKET_SUFFIXES) -> np.ndarray:
     """Class of the ``width`` bytes from each given position on (they must lie inside); equal strings share a class.
 
-    Equal strings are neighbours in the suffix order as long as ``width`` is
-    at most the depth of the comparison.
+    Equal strings are neighbours in the suffix order to a depth of ``width``.
     """
-    if not 8 <= width <= 2 * MODULUS:
-        raise ValueError("width must lie between 8 and the depth of comparison")
+    if width < 8:
+        raise ValueError("strings of fewer than 8 bytes")
     classes = np.zeros(len(data), np.int64)
     words, last = words_at(data), 0
-    ranks = sample_ranks(words)
+    ranks = sample_ranks(words, width)
     for bucket in buckets(words, at, most):
         order = sort_bucket(words, ranks, bucket)
         classes[order] = last + np.cumsum(~equal_to_previous(words, order, width))

@@ -6,7 +6,8 @@ with one such anchor travels as a single context. Pass 1 of ``exchange``
 counts anchors, so only contexts whose anchor two documents have are sent. A
 bucket lays its distinct contexts end to end and sorts the strings' suffixes
 blockwise (``suffix_array``); strings equal over their width are neighbours,
-which gives each its smallest doc_id. Contexts of very frequent anchors are
+which gives each its smallest doc_id. Hashes only bring equal contexts
+together; they count as one when their bytes agree. Contexts of very frequent anchors are
 cut into single strings and dealt by the string's own hash, so a passage that
 everyone has spreads over all buckets, once a group.
 
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from .base import sha256_hex, text_rows
 from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together
 from .suffix_array import window_classes
-from .vectext import BYTE_BASE, SECOND_BASE, long_span_hashes, merge_spans, owner, prefix_sums, rolling, span_hashes
+from .vectext import SEED, eights, merge_spans, mix, owner, same_spans, span_hashes
 
 WIDTH = 50
 GRAM = 24
 SLICE = (1 << 20) - 64
 #: Occurrences over the corpus from which an anchor's contexts are cut into single strings.
 FREQUENT = 2000
+#: Odd factors of the eight-byte parts of a gram.
+GRAM_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -47,13 +50,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of every ``gram`` (8 at least) consecutive bytes; those that agree by chance only share a bucket."""
+    n, at = len(data) - gram + 1, eights(data)
+    state = np.zeros(n, np.uint64)
+    for nth, off in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        state += at[off : off + n] * np.uint64(GRAM_FACTORS[nth % len(GRAM_FACTORS)] + 2 * (nth // len(GRAM_FACTORS)))
+    return mix(state)
+
+
 def anchored_runs(data: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive strings of one text with one anchor: first string, number of strings, anchor's hash, text."""
     none = np.zeros(0, np.int64)
     n = len(data) - width + 1
     if n <= 0:
         return none, none, np.zeros(0, np.uint64), none
-    hashes = rolling(data, gram, BYTE_BASE)
+    hashes = gram_hashes(data, gram)
     # the hash's high bits, then the position: the leftmost least gram
     bits = max(1, int(len(hashes)).bit_length())
     low = np.uint64((1 << bits) - 1)
@@ -92,7 +104,7 @@ def contexts(group: Group, answers: pa.Table, width: int, gram: int, n_buckets:
     contexts: bucket, number of strings, least doc_id, and an occurrence.
     """
     known, times = found_keys(answers)
-    starts, counts, ids, keys, h1, h2 = [], [], [], [], [], []
+    starts, counts, ids, keys, names = [], [], [], [], []
     for begin, part, (first, count, anchor), doc in slices_with_runs(group, width, gram):
         key = bucket_key(anchor, n_buckets)
         place = lookup(known, key)
@@ -100,7 +112,6 @@ def contexts(group: Group, answers: pa.Table, width: int, gram: int, n_buckets:
         first, count, key, doc, often = first[hit], count[hit], key[hit], doc[hit], times[place[hit]] >= frequent
         if not len(first):
             continue
-        one, two = prefix_sums(part.data, BYTE_BASE), prefix_sums(part.data, SECOND_BASE)
         # strings of frequent anchors stand alone, in a bucket of their own hash
         alone = np.flatnonzero(often)
         each = count[alone]
@@ -108,28 +119,35 @@ def contexts(group: Group, answers: pa.Table, width: int, gram: int, n_buckets:
         first = np.concatenate([first[~often], np.repeat(first[alone], each) + nth])
         doc = np.concatenate([doc[~often], np.repeat(doc[alone], each)])
         count = np.concatenate([count[~often], np.ones(len(nth), np.int64)])
-        end = first + count + width - 1
-        a, b = span_hashes(one, first, end, BYTE_BASE), span_hashes(two, first, end, SECOND_BASE)
-        key = np.concatenate([key[~often], bucket_key(b[len(b) - len(nth) :], n_buckets)]) >> np.uint64(32)
+        name = span_hashes(part.data, first, first + count + width - 1, SEED)
+        key = np.concatenate([key[~often], bucket_key(name[len(name) - len(nth) :], n_buckets)]) >> np.uint64(32)
         starts.append(first + begin)
         counts.append(count)
         ids.append(doc)
         keys.append(key)
-        h1.append(a)
-        h2.append(b)
+        names.append(name)
     cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
     starts, counts, ids = cat(starts, np.int64), cat(counts, np.int64), cat(ids, np.int64)
-    keys, h1, h2 = cat(keys, np.uint64), cat(h1, np.uint64), cat(h2, np.uint64)
-    order = np.lexsort((starts, h2, h1, keys))
-    k, a, b = keys[order], h1[order], h2[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    keys, names = cat(keys, np.uint64), cat(names, np.uint64)
+    order = np.lexsort((starts, counts, names, keys))
+    k = keys[order]
+    new = ~equal_to_previous(group.texts.data, starts[order], counts[order] + width - 1, names[order])
+    new[1:] |= k[1:] != k[:-1]
     at = np.flatnonzero(new)
     least = np.minimum.reduceat(ids[order], at) if len(at) else np.zeros(0, np.int64)
     nth = np.cumsum(new) - 1
     return (nth, starts[order], counts[order], ids[order]), (k[at].astype(np.int64), counts[order][at], least, starts[order][at])
 
 
+def equal_to_previous(data: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span before it, which is only looked at where the names agree."""
+    same = np.zeros(len(start), bool)
+    near = 1 + np.flatnonzero((name[1:] == name[:-1]) & (size[1:] == size[:-1]))
+    at = eights(data, laid_out=False)
+    same[near] = same_spans(at, start[near], at, start[near - 1], size[near])
+    return same
+
+
 def send_contexts(group: Group, answers: pa.Table, g: int, width: int, gram: int, n_buckets: int, frequent: int) -> pa.Table:
     """Contexts by bucket, and for the last pass the answers of the first (bucket -1 keeps them in the group)."""
     _, (bucket, count, least, start) = contexts(group, answers, width, gram, n_buckets, frequent)
@@ -153,10 +171,9 @@ def least_owner_of_strings(table: pa.Table, width: int) -> pa.Table:
     size = count + width - 1
     begin = np.cumsum(size) - size
     # equal contexts of several groups stand in the block once
-    one, two = (long_span_hashes(data, begin, begin + size, base) for base in (BYTE_BASE, SECOND_BASE))
-    order = np.lexsort((two, one))
-    new = np.ones(len(order), bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    name = span_hashes(data, begin, begin + size, SEED, eights(data, laid_out=False))
+    order = np.lexsort((size, name))
+    new = ~equal_to_previous(data, begin[order], size[order], name[order])
     head = order[new]
     distinct = np.empty(len(order), np.int64)
     distinct[order] = np.cumsum(new) - 1

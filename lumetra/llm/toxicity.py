@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import SLICE_BYTES, checkpointed, column, map_texts, text_rows
-from .vectext import LOWER, Texts, owner, prefix_sums, span_hashes
+from .vectext import LOWER, Texts, eights, owner, span_hashes
 
-WORD_HASH = 0xD1B54A32D192ED03 | 1
+#: Seed of the hashes that name features.
+FEATURE_SEED = 0xD1B54A32D192ED03
 #: Labelled rows that the model is fitted on, and features it may hold: both bound the driver's memory.
 SAMPLE_ROWS = 8_000
 FEATURES = 20_000
@@ -81,11 +82,11 @@ def bags(texts: Texts) -> Bags:
     begin = np.flatnonzero(fresh)
     last = np.append(begin[1:], len(start)) - 1
     first = np.searchsorted(doc[begin], np.arange(len(texts) + 1))
-    sums = prefix_sums(data, WORD_HASH)
-    hashes, of = [span_hashes(sums, start, end, WORD_HASH)], [sentence]
+    at = eights(data)
+    hashes, of = [span_hashes(data, start, end, FEATURE_SEED, at)], [sentence]
     for size in BEGINNINGS:
         longer = np.flatnonzero(end - start > size)
-        hashes.append(span_hashes(sums, start[longer], start[longer] + size, WORD_HASH))
+        hashes.append(span_hashes(data, start[longer], start[longer] + size, FEATURE_SEED, at))
         of.append(sentence[longer])
     return Bags(np.concatenate(hashes), np.concatenate(of), first, start[begin], end[last] if len(last) else last)
 

@@ -2,20 +2,28 @@
 
 Everything here is plain numpy over a ``Texts`` block, so a batch of documents
 costs a fixed number of array passes and no Python work per word or per byte.
-Hashes are Rabin-Karp polynomials modulo 2**64 (unsigned wrap-around) with an
-odd base, whose powers therefore have inverses; each is passed through a
-64-bit finaliser before use because low bits of the raw polynomial are weak.
+
+Spans of bytes are named by a seeded hash that takes eight bytes a round, each
+through a 64-bit finaliser, so no structure of the text cancels. Windows of
+values are named by Rabin-Karp polynomials modulo the prime 2**61 - 1: modulo a
+power of two such polynomials are equal on long Thue-Morse words whatever the
+base, modulo a prime two windows agree for few bases.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
-WORD_BASE = 0xD6E8FEB86659FD93 | 1
-MASK = (1 << 64) - 1
+#: Seeds of hashes that only preselect or that are compared by bytes afterwards.
+SEED = 0x9E3779B97F4A7C15
+WORD_SEED = 0xD6E8FEB86659FD93
+#: Modulus of window polynomials.
+PRIME = (1 << 61) - 1
+#: Bytes of a span that are hashed by array rounds; what is longer is hashed by itself.
+ROUND_BYTES = 128
 
 # Separators of words: 0x20 and 0x09 to 0x0D, the fixed class of the contracts.
 IS_SPACE = np.zeros(256, bool)
@@ -25,30 +33,6 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-#: Powers that a worker keeps; longer tables, for longer texts, are made anew.
-KEPT_POWERS = 1 << 20
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table grows by doubling and is kept while it is small."""
-    have = _powers.get(base)
-    if have is None:
-        have = np.ones(1, np.uint64)
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    if len(have) <= KEPT_POWERS:
-        _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift, multiply, shift)."""
     h = h ^ (h >> np.uint64(32))
@@ -142,43 +126,117 @@ def words(texts: Texts) -> Words:
     return Words(start, end, np.searchsorted(start, texts.bounds))
 
 
-def prefix_sums(data: np.ndarray, base: int) -> np.ndarray:
-    """P with P[i] = sum of (data[j] + 1) * base**j over j < i."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
-    return out
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray, laid_out: bool = True) -> np.ndarray:
+    """The eight bytes from every position on (and from the end) as a little-endian number; zeros follow the end.
+
+    ``laid_out`` takes eight times the memory of the data, and is faster to index where most of it is read.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    return view.copy() if laid_out else view
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of the bytes of each span [start, end); ``at`` may give ``eights(data)``."""
+    at = eights(data) if at is None else at
+    size = end - start
+    state = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ np.uint64(seed))
+    state = mix(state ^ (at[start] & FIRST_BYTES[np.minimum(size, 8)]))
+    live, off = np.flatnonzero(size > 8), 8
+    while len(live) and off < ROUND_BYTES:
+        taken = at[start[live] + off] & FIRST_BYTES[np.minimum(size[live] - off, 8)]
+        state[live] = mix(state[live] * np.uint64(0x9FB21C651E98DF25) ^ taken)
+        off += 8
+        live = live[size[live] > off]
+    if len(live):
+        view, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        spans = zip(start[live].tolist(), end[live].tolist(), strict=True)
+        state[live] = np.array([int.from_bytes(hashlib.blake2b(view[a:z], digest_size=8, key=key).digest(), "little") for a, z in spans], np.uint64)
+    return state
+
+
+def same_spans(at: np.ndarray, start: np.ndarray, other_at: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``start`` and from ``other`` on are equal; ``at`` and ``other_at`` are ``eights`` of the data."""
+    same = np.ones(len(start), bool)
+    live, off = np.flatnonzero(size > 0), 0
+    while len(live):
+        mask = FIRST_BYTES[np.minimum(size[live] - off, 8)]
+        equal = ((at[start[live] + off] ^ other_at[other[live] + off]) & mask) == 0
+        same[live[~equal]] = False
+        off += 8
+        live = live[equal & (size[live] > off)]
+    return same
+
+
+def word_hashes(texts: Texts, found: Words, seed: int = WORD_SEED) -> np.ndarray:
+    return span_hashes(texts.data, found.start, found.end, seed)
+
+
+def chained(values: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of every ``width`` consecutive values, one finaliser a value; for short windows."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    state = mix(values[:n] + np.uint64(width))
+    for i in range(1, width):
+        state = mix(state * np.uint64(0x9FB21C651E98DF25) ^ values[i : i + n])
+    return state
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Position-free hash of each span [start, end)."""
-    back = powers(inverse(base), len(prefix))
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 32 bits."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    ends = a0 * b0
+    # 2**64 is 8, and 2**32 * 2**29 is 1
+    total = ((a1 * b1) << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << half)
+    return folded(total + (ends & np.uint64(PRIME)) + (ends >> np.uint64(61)))
 
 
-def long_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, most: int = 1 << 19) -> np.ndarray:
-    """``span_hashes`` of spans in order of their start, some at a time: the tables stay small however long the data."""
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(start, start[at] + most)))
-        low, high = int(start[at]), int(end[at:to].max())
-        out[at:to] = span_hashes(prefix_sums(data[low:high], base), start[at:to] - low, end[at:to] - low, base)
-        at = to
-    return out
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps of a base; longer tables, for longer texts, are made anew.
+KEPT_POWERS = 1 << 18
 
 
-def word_hashes(texts: Texts, found: Words, base: int = BYTE_BASE) -> np.ndarray:
-    return span_hashes(prefix_sums(texts.data, base), found.start, found.end, base)
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime; the table grows by doubling and is kept while it is small."""
+    have = _powers.get(base)
+    if have is None:
+        have = np.ones(1, np.uint64)
+    while len(have) < n:
+        have = np.concatenate([have, times(have, np.full(len(have), pow(base, len(have), PRIME), np.uint64))])
+    if len(have) <= KEPT_POWERS:
+        _powers[base] = have
+        while len(_powers) > 4:
+            del _powers[next(iter(_powers))]
+    return have[:n]
 
 
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Rabin-Karp hash of every ``width`` consecutive values; len(values) - width + 1 of them."""
+    """Rabin-Karp hash, modulo the prime, of every ``width`` consecutive values; len(values) - width + 1 of them."""
     n = len(values)
     if n < width:
         return np.zeros(0, np.uint64)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64, copy=False) * powers(base, n), out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * powers(inverse(base), n - width + 1))
+    terms = times(folded(values), powers(base, n))
+    # prefix sums of halves, so that they need no reduction
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    lows, highs = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(terms & low, out=lows[1:])
+    np.cumsum(terms >> half, out=highs[1:])
+    high = highs[width:] - highs[:-width]
+    total = (lows[width:] - lows[:-width]) + ((high & np.uint64((1 << 30) - 1)) << half) + (high >> np.uint64(30))
+    return times(folded(total), powers(pow(base, -1, PRIME), n - width + 1))
 
 
 def window_starts(first: np.ndarray, width: int, total: int) -> np.ndarray:

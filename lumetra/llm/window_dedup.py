@@ -1,10 +1,14 @@
 """Substring removal by Rabin-Karp hashes of every window of consecutive words.
 
 Every window's hash is counted over the corpus (pass 1 of ``exchange``). The
-windows that occur in two documents or more are compared by a further 64-bit
-hash of another base beside the first, which gives each its smallest doc_id;
-a document then loses the words covered by windows that start in a document
-with a smaller doc_id. Covered words merge into maximal removal intervals.
+windows that occur in two documents or more are compared by a second hash
+beside the first, which gives each its smallest doc_id; a document then loses
+the words covered by windows that start in a document with a smaller doc_id.
+Covered words merge into maximal removal intervals.
+
+Both are polynomials modulo 2**61 - 1 over hashed words, with bases and seeds
+drawn anew for each call, so windows are one only if some 90 bits agree that
+no text can be made to match.
 
 Defined cases: a null text has no words; a text shorter than a window loses
 nothing; rows of one doc_id never take from each other; a null doc_id takes
@@ -14,13 +18,16 @@ table gives no rows. Memory follows a group (some megabytes) or the longest text
 
 from __future__ import annotations
 
+import secrets
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import sha256_hex, text_rows
 from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucket, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, sent, together
-from .vectext import BYTE_BASE, SECOND_BASE, WORD_BASE, Texts, merge_spans, owner, rolling, window_starts, word_hashes, words
+from .vectext import PRIME, Texts, merge_spans, mix, owner, rolling, window_starts, word_hashes, words
 
 WIDTH = 50
 SLICE = (1 << 20) - 64
@@ -28,37 +35,54 @@ SLICE = (1 << 20) - 64
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals int"
 
 
-def windows(texts: Texts, width: int, word_base: int, base: int, found=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Naming:
+    """Seed of the hash of a word and base of the polynomial over a window."""
+
+    seed: int
+    base: int
+
+
+def drawn() -> Naming:
+    return Naming(secrets.randbits(64), 2 + secrets.randbelow(PRIME - 3))
+
+
+def windows(texts: Texts, width: int, naming: Naming, found=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every window, the word where it starts and the text that holds it."""
     found = found or words(texts)
-    hashes = rolling(word_hashes(texts, found, word_base), width, base)
+    hashes = rolling(word_hashes(texts, found, naming.seed), width, naming.base)
     start = np.flatnonzero(window_starts(found.first, width, len(found)))
-    return hashes[start], start, owner(found.first, start)
+    return mix(hashes[start]), start, owner(found.first, start)
+
+
+def second_hashes(texts: Texts, found, start: np.ndarray, width: int, naming: Naming) -> np.ndarray:
+    """The other hash of the windows that start at the given words."""
+    return rolling(word_hashes(texts, found, naming.seed), width, naming.base)[start] if len(start) else np.zeros(0, np.uint64)
 
 
-def group_windows(group: Group, width: int, word_base: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def group_windows(group: Group, width: int, naming: Naming) -> tuple[np.ndarray, np.ndarray]:
     """Hash and doc_id of every window of documents that have an identifier."""
     hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, part in group.texts.slices(SLICE):
-        h, _, doc = windows(part, width, word_base, base)
+        h, _, doc = windows(part, width, naming)
         ids = group.ids[at + doc]
         hashes.append(h[ids != NO_ID])
         owners.append(ids[ids != NO_ID])
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def candidates(group: Group, width: int, answers: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(group: Group, width: int, answers: tuple[np.ndarray, np.ndarray], n_buckets: int, naming: tuple[Naming, Naming]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket key, second hash, doc_id) of the windows whose fingerprint is repeated, in the order of their words."""
     keys, seconds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     known, _ = answers
     for at, part in group.texts.slices(SLICE):
         found = words(part)
-        h, start, doc = windows(part, width, BYTE_BASE, WORD_BASE, found)
+        h, start, doc = windows(part, width, naming[0], found)
         key = bucket_key(h, n_buckets)
         ids = group.ids[at + doc]
         hit = np.flatnonzero((lookup(known, key) >= 0) & (ids != NO_ID))
         keys.append(key[hit])
-        seconds.append(rolling(word_hashes(part, found, SECOND_BASE), width, SECOND_BASE)[start[hit]] if len(hit) else np.zeros(0, np.uint64))
+        seconds.append(second_hashes(part, found, start[hit], width, naming[1]))
         owners.append(ids[hit])
     return np.concatenate(keys), np.concatenate(seconds), np.concatenate(owners)
 
@@ -71,8 +95,8 @@ def distinct_pairs(keys: np.ndarray, seconds: np.ndarray, owners: np.ndarray) ->
     return k[at], s[at], np.minimum.reduceat(o, at) if len(at) else o
 
 
-def send_evidence(group: Group, answers: pa.Table, g: int, width: int, n_buckets: int) -> pa.Table:
-    key, second, least = distinct_pairs(*candidates(group, width, found_keys(answers), n_buckets))
+def send_evidence(group: Group, answers: pa.Table, g: int, width: int, n_buckets: int, naming: tuple[Naming, Naming]) -> pa.Table:
+    key, second, least = distinct_pairs(*candidates(group, width, found_keys(answers), n_buckets, naming))
     return sent([(b, g, compressed((key[run] & np.uint64(0xFFFFFFFF)).astype("<u4"), second[run], least[run])) for b, run in by_bucket(key)])
 
 
@@ -95,7 +119,7 @@ def least_owners(table: pa.Table) -> pa.Table:
     return answered(rows)
 
 
-def removal_mask(group: Group, answers: pa.Table, width: int, n_buckets: int):
+def removal_mask(group: Group, answers: pa.Table, width: int, n_buckets: int, naming: tuple[Naming, Naming]):
     """For each slice of the group: its texts, words, and which words go.
 
     Only windows are looked up that another document of the group or an answer holds.
@@ -109,11 +133,10 @@ def removal_mask(group: Group, answers: pa.Table, width: int, n_buckets: int):
     slices, own_keys, own_seconds, own_ids = [], [], [], []
     for at, part in group.texts.slices(SLICE):
         found = words(part)
-        h, start, doc = windows(part, width, BYTE_BASE, WORD_BASE, found)
-        second = rolling(word_hashes(part, found, SECOND_BASE), width, SECOND_BASE)[start] if len(start) else np.zeros(0, np.uint64)
+        h, start, doc = windows(part, width, naming[0], found)
         slices.append((at, part, found, start))
         own_keys.append(bucket_key(h, n_buckets))
-        own_seconds.append(second)
+        own_seconds.append(second_hashes(part, found, start, width, naming[1]))
         own_ids.append(group.ids[at + doc])
     # the least owner of each window, among the group's own documents and the answers
     every_key = np.concatenate([*keys, *own_keys])
@@ -151,9 +174,9 @@ def kept_bytes(part: Texts, found, gone: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, upto[np.searchsorted(keep, found.first)]
 
 
-def outcomes(group: Group, answers: pa.Table, g: int, width: int, n_buckets: int, with_text: bool = False) -> pa.Table:
+def outcomes(group: Group, answers: pa.Table, width: int, n_buckets: int, naming: tuple[Naming, Naming], with_text: bool = False) -> pa.Table:
     columns: list[list] = [[], [], [], [], []]
-    for _, part, found, gone in removal_mask(group, answers, width, n_buckets):
+    for _, part, found, gone in removal_mask(group, answers, width, n_buckets, naming):
         data, bounds = kept_bytes(part, found, gone)
         view = memoryview(data)
         edge = np.ones(len(gone), bool)
@@ -179,9 +202,9 @@ def outcomes(group: Group, answers: pa.Table, g: int, width: int, n_buckets: int
 def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: its words, how many go, and a digest (``with_text``: also the text) of what stays."""
     rows = text_rows(docs, id_col, text_col)
-    n = plan_groups(rows)
+    n, naming = plan_groups(rows), (drawn(), drawn())
     packed = pack(rows, n)
-    hits = repeated(packed, lambda group: group_windows(group, width, BYTE_BASE, WORD_BASE), n)
-    evidence = together(packed, hits, lambda group, answers, g: send_evidence(group, answers, g, width, n), SENT)
+    hits = repeated(packed, lambda group: group_windows(group, width, naming[0]), n)
+    evidence = together(packed, hits, lambda group, answers, g: send_evidence(group, answers, g, width, n, naming), SENT)
     settled = evidence.groupBy("b").applyInArrow(least_owners, ANSWER)
-    return together(packed, settled, lambda group, answers, g: outcomes(group, answers, g, width, n, with_text), DIGESTS + (", kept_text string" if with_text else ""))
+    return together(packed, settled, lambda group, answers, g: outcomes(group, answers, width, n, naming, with_text), DIGESTS + (", kept_text string" if with_text else ""))
