@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +17,8 @@ from .vectext import Texts
 
 #: Bytes of text that a vectorised pass takes at once; memory of a task follows it, not the partition.
 SLICE_BYTES = (1 << 20) - 64
+#: Spark's bound on the bytes of an Arrow batch, and what it is set to where the session has left it as it was.
+BATCH_BYTES, DEFAULT_BATCH_BYTES, BOUNDED_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the identifier (long) and the text (string, null kept): other columns cannot clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have texts reach Python by bytes a batch and not by rows alone, so that long ones do not pile up."""
+    if spark.conf.get(BATCH_BYTES, DEFAULT_BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, BOUNDED_BATCH)
+
+
+def release() -> None:
+    """Give back what a long-lived Python worker has freed; idle workers otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def map_texts(rows: DataFrame, work: Callable[[pa.RecordBatch, Texts], pa.RecordBatch], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Run ``work`` over slices of the rows of about ``slice_bytes`` of text; a narrow, stateless map."""
 
@@ -35,6 +56,7 @@ def map_texts(rows: DataFrame, work: Callable[[pa.RecordBatch, Texts], pa.Record
             texts = Texts.of_arrow(batch.column(batch.schema.get_field_index("text")))
             for at, part in texts.slices(slice_bytes):
                 yield work(batch.slice(at, len(part)), part)
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -43,26 +65,31 @@ def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; a temporary one where none is set and all runs on one machine, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    The folder is ``spark.checkpoint.dir``, which all executors must share.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the checkpoint folder and read again."""
-    import uuid
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """``df`` written as Parquet below the checkpoint folder, with which it is cleared away, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -13,25 +13,29 @@ shuffled once; that exchange is read again by each pass:
 3. *Outcome.* The group applies the answers to its own documents.
 
 Groups aggregate before they send, so however often something occurs a bucket
-receives it once a group: no key, however hot, gathers in one task. Buckets and
-groups grow with the input (``plan_groups``), so tasks keep their size.
+receives it once a group: no key, however hot, gathers in one task. Groups and
+buckets grow in number with the input, and in size with its square root once
+messages would get short (``plan_groups``): there is at most one message, a row
+for a (group, bucket), for every ``MESSAGE_BYTES`` of text.
 
 Documents without an identifier neither remove nor lose anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, shuffle_partitions
+from .base import column, release, shuffle_partitions
 from .vectext import Texts
 
 GROUP_BYTES = 4 << 20
+MESSAGE_BYTES = 2 << 10
 PACK_BYTES = 8 << 20
 #: Least id: stands for null inside a group, and is never the owner of anything.
 NO_ID = -(2**63)
@@ -64,9 +68,26 @@ def row_key(doc_id, text):
 
 
 def plan_groups(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    """Number of groups for the text there is, at least the session's shuffle partitions."""
+    """Number of groups for the text there is, at least the session's shuffle partitions.
+
+    With n groups and as many buckets there are up to n * n messages; groups of
+    sqrt(total * MESSAGE_BYTES) keep them at total / MESSAGE_BYTES.
+    """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(shuffle_partitions(rows.sparkSession), -(-total // group_bytes))
+    return max(shuffle_partitions(rows.sparkSession), -(-total // max(group_bytes, isqrt(total * MESSAGE_BYTES))))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pack(rows: DataFrame, n_groups: int) -> DataFrame:
@@ -78,22 +99,18 @@ def pack(rows: DataFrame, n_groups: int) -> DataFrame:
     dealt = keyed.select(F.pmod("key", F.lit(n_groups)).cast("int").alias("g"), "key", "doc_id", "text")
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = Texts.of_arrow(column(batch, "text"))
-            groups, row_keys = column(batch, "g").to_numpy(), column(batch, "key").to_numpy()
-            ids = column(batch, "doc_id").fill_null(NO_ID).to_numpy()
-            for at, part in texts.slices(PACK_BYTES):
-                g, own, named = (x[at : at + len(part)] for x in (groups, ids, row_keys))
-                order = np.argsort(g, kind="stable")
-                cuts = np.flatnonzero(np.diff(g[order])) + 1
-                keys, blobs = [], []
-                for some in np.split(order, cuts):
-                    keys.append(int(g[some[0]]))
-                    text = np.frombuffer(b"".join([part.text(i) for i in some]), np.uint8)
-                    blobs.append(compressed(own[some], named[some], part.sizes()[some], text))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["g", "blob"])
+        for table in gathered(batches, PACK_BYTES):
+            texts = Texts.of_arrow(table["text"])
+            g, row_keys = table["g"].to_numpy(), table["key"].to_numpy()
+            ids, sizes = table["doc_id"].fill_null(NO_ID).to_numpy(), texts.sizes()
+            order = np.argsort(g, kind="stable")
+            keys, blobs = [], []
+            for some in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+                keys.append(int(g[some[0]]))
+                text = np.frombuffer(b"".join([texts.text(i) for i in some]), np.uint8)
+                blobs.append(compressed(ids[some], row_keys[some], sizes[some], text))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["g", "blob"])
+        release()
 
     return dealt.mapInArrow(run, PACKED).repartition(n_groups, "g")
 
@@ -162,6 +179,25 @@ def answered(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(g, pa.int32()), pa.array(b, pa.int32()), pa.array(data, pa.binary())], ["g", "b", "data"])
 
 
+def trimmed(work: Callable) -> Callable:
+    """``work`` on a group, after which the worker gives back what it has freed; Spark looks at the number of arguments."""
+    if work.__code__.co_argcount == 1:
+
+        def one(table):
+            out = work(table)
+            release()
+            return out
+
+        return one
+
+    def two(left, right):
+        out = work(left, right)
+        release()
+        return out
+
+    return two
+
+
 def repeated(packed: DataFrame, signals: Callable[..., tuple[np.ndarray, np.ndarray]], n_buckets: int, side: DataFrame | None = None) -> DataFrame:
     """Pass 1: for each group and bucket, the repeated fingerprints and how often each occurs (capped at a group's 255).
 
@@ -201,10 +237,10 @@ def repeated(packed: DataFrame, signals: Callable[..., tuple[np.ndarray, np.ndar
         return answered(rows)
 
     if side is None:
-        evidence = packed.groupBy("g").applyInArrow(lambda table: emit(table), SENT)
+        evidence = packed.groupBy("g").applyInArrow(trimmed(lambda table: emit(table)), SENT)
     else:
-        evidence = packed.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(lambda table, more: emit(table, more), SENT)
-    return evidence.groupBy("b").applyInArrow(reduce, ANSWER)
+        evidence = packed.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(trimmed(lambda table, more: emit(table, more)), SENT)
+    return evidence.groupBy("b").applyInArrow(trimmed(reduce), ANSWER)
 
 
 def found_keys(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +269,7 @@ def together(packed: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Ta
             return pa.Table.from_batches([], _arrow(schema))
         return work(Group(left), right, left["g"][0].as_py())
 
-    return packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
+    return packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(trimmed(run), schema)
 
 
 def _arrow(schema: str) -> pa.Schema:

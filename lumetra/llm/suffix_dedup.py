@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import sha256_hex, text_rows
-from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together
+from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together, trimmed
 from .suffix_array import window_classes
 from .vectext import SEED, eights, merge_spans, mix, owner, same_spans, span_hashes
 
@@ -270,7 +270,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     packed = pack(rows, n_groups)
     hits = repeated(packed, lambda group: anchors(group, width, gram), n)
     evidence = together(packed, hits, lambda group, answers, g: send_contexts(group, answers, g, width, gram, n, frequent), SENT)
-    settled = evidence.groupBy("b").applyInArrow(lambda table: least_owner_of_strings(table, width), ANSWER)
+    settled = evidence.groupBy("b").applyInArrow(trimmed(lambda table: least_owner_of_strings(table, width)), ANSWER)
     # the last pass needs both kinds of answers: those of pass 1 are told by a negative bucket
     both = settled.unionByName(hits.selectExpr("g", "-1 - b as b", "data"))
 

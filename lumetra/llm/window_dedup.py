@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import sha256_hex, text_rows
-from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucket, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, sent, together
+from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, by_bucket, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, sent, together, trimmed
 from .vectext import PRIME, Texts, merge_spans, mix, owner, rolling, window_starts, word_hashes, words
 
 WIDTH = 50
@@ -206,5 +206,5 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "
     packed = pack(rows, n)
     hits = repeated(packed, lambda group: group_windows(group, width, naming[0]), n)
     evidence = together(packed, hits, lambda group, answers, g: send_evidence(group, answers, g, width, n, naming), SENT)
-    settled = evidence.groupBy("b").applyInArrow(least_owners, ANSWER)
+    settled = evidence.groupBy("b").applyInArrow(trimmed(least_owners), ANSWER)
     return together(packed, settled, lambda group, answers, g: outcomes(group, answers, width, n, naming, with_text), DIGESTS + (", kept_text string" if with_text else ""))
