@@ -14,21 +14,21 @@ ordered by how often they occur in the corpus; each document keeps its d + 1
 rarest, and two documents that agree in c blocks still share one of these.
 Common blocks (empty ones, passages everyone has) are what falls away.
 
-Blocks that hold the same documents become one row with a multiplicity.
 Candidates are then settled in steps, none of which writes all pairs of a
-group. First each document is compared with the centre that shares most of its
-blocks, and components are formed, with other centres in a second round. Then,
-for blocks whose documents are still in different components, sets are
-compared across components: large blocks in tiles of bounded size, by the
-Hamming distance of dense parity sketches and then exactly; blocks of up to
-``SMALL`` documents by their sketches, and the pairs that these let through
-exactly. What is not compared is already connected.
+group. In each of a few rounds every block that holds documents of different
+components has a centre, each document is compared with the centre that shares
+most of its blocks, and components are formed anew. Then, for blocks whose
+documents are still in different components, sets are compared across
+components: blocks of up to ``SMALL`` documents by the Hamming distance of
+their dense parity sketches, and the pairs that these let through exactly;
+larger blocks in tiles of bounded size, where documents outside the block's
+largest component meet all others. What is not compared is already connected.
 
 Defined cases: a null or blank text has no shingle and is linked with nothing;
 fewer words than five give one shingle; documents with equal sets are one
-class; rows of one doc_id are documents of their own that share its name in
-the graph; a null doc_id takes
-part in nothing and has no component; an empty table gives no rows.
+class; rows of one doc_id are one node of the graph, with the links of each of
+its texts; a null doc_id takes part in nothing and has no component; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,21 +43,21 @@ from pyspark.sql import functions as F
 
 from .base import checkpointed, stored, text_rows
 from .components import components
-from .exchange import ANSWER, Group, bucket_key, found_keys, lookup, pack, plan_groups, repeated, together
+from .exchange import ANSWER, Group, bucket_key, found_keys, lookup, pack, plan_groups, repeated, together, trimmed
 from .vectext import Texts, chained, lowered, mix, owner, window_starts, word_hashes, words
 
 SHINGLE = 5
 #: Threshold as a fraction: three quarters.
 NUMERATOR, DENOMINATOR = 3, 4
 SLICE = (1 << 20) - 64
-#: Occurrences up to which all documents of a block are held in one row; larger blocks are tiled.
+#: Documents of a block that are held in one row; larger blocks are tiled.
 SMALL = 128
 TILE = 2048
 #: Rounds of stars, each with other centres, before components are compared in full.
 TURNS = 3
 
 SIZES = "g int, doc_id long, n_shingles long, k1 long, k2 long"
-OFFERS = "doc_id long, n_shingles long, key long, dropped int, spare int, large boolean, hashes binary, sketch binary"
+OFFERS = "doc_id long, n_shingles long, key long, hashes binary, sketch binary"
 
 
 def shingle_sets(texts: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +197,9 @@ def signals_of(group: Group, chosen: set[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def offers_of(group: Group, chosen: set[int], answers: pa.Table, n_buckets: int) -> pa.Table:
-    """The d + 1 rarest of the repeated blocks of each document and slot (a row each), and the sets of documents that have one.
-
-    ``dropped`` counts the repeated blocks that are not offered, so two linked
-    documents share ``spare`` offers less what both dropped, and one at least.
-    """
+    """The d + 1 rarest of the repeated blocks of each document and slot (a row each), and the sets of documents that have one."""
     known, times = found_keys(answers)
-    out: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
+    doc, key_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     with_set: list[list] = [[], [], [], []]
     for ids, values, bounds in chosen_sets(group, chosen):
         key, of, slot = block_keys(values, bounds)
@@ -219,29 +215,24 @@ def offers_of(group: Group, chosen: set[int], answers: pa.Table, n_buckets: int)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, np.int64)
         nth = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
         kept = (count > 1) & (nth <= slot >> 1)
-        dropped = np.bincount(part[(count > 1) & ~kept], minlength=2 * len(ids))
-        sizes = np.diff(bounds)
-        for column, value in zip(out, (ids[of[kept]], sizes[of[kept]], key[kept].view(np.int64), dropped[part[kept]], spare(slot[kept] >> 1), (count[kept] > SMALL).astype(np.int64)), strict=True):
-            column.append(value)
+        doc.append(ids[of[kept]])
+        key_of.append(key[kept].view(np.int64))
         for i in np.unique(of[kept]).tolist():
+            own = values[bounds[i] : bounds[i + 1]]
             with_set[0].append(int(ids[i]))
-            with_set[1].append(int(sizes[i]))
-            with_set[2].append(values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes())
-            with_set[3].append(dense_sketch(values[bounds[i] : bounds[i + 1]]).tobytes())
-    doc, size, key, dropped, most, large = (np.concatenate(c) for c in out)
-    n, m = len(doc), len(with_set[0])
+            with_set[1].append(len(own))
+            with_set[2].append(own.astype("<u8").tobytes())
+            with_set[3].append(dense_sketch(own).tobytes())
+    n, m = sum(map(len, doc)), len(with_set[0])
     return pa.Table.from_arrays(
         [
-            pa.array(np.concatenate([doc, np.array(with_set[0], np.int64)])),
-            pa.array(np.concatenate([size, np.array(with_set[1], np.int64)])),
-            pa.concat_arrays([pa.array(key), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.array(dropped.astype(np.int32)), pa.nulls(m, pa.int32())]),
-            pa.concat_arrays([pa.array(most.astype(np.int32)), pa.nulls(m, pa.int32())]),
-            pa.concat_arrays([pa.array(large > 0), pa.nulls(m, pa.bool_())]),
+            pa.array(np.concatenate([*doc, np.array(with_set[0], np.int64)])),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(with_set[1], pa.int64())]),
+            pa.concat_arrays([pa.array(np.concatenate(key_of)), pa.nulls(m, pa.int64())]),
             pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(with_set[2], pa.binary())]),
             pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(with_set[3], pa.binary())]),
         ],
-        ["doc_id", "n_shingles", "key", "dropped", "spare", "large", "hashes", "sketch"],
+        ["doc_id", "n_shingles", "key", "hashes", "sketch"],
     )
 
 
@@ -345,59 +336,34 @@ def verified(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataF
     return close.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
-def small_blocks(offers: DataFrame) -> DataFrame:
-    """Blocks of at most ``SMALL`` occurrences: members, and how many blocks of a slot hold just these."""
-    member = F.struct("doc_id", "n_shingles", "dropped")
-    blocks = offers.filter("key is not null and not large").groupBy("key", "spare").agg(F.array_sort(F.collect_list(member)).alias("members")).filter(F.size("members") > 1)
-    return blocks.groupBy("spare", "members").agg(F.count(F.lit(1)).alias("times"))
-
-
-def enough(shared, spare_blocks, dropped):
-    """Whether two documents agree in blocks enough to be linked, for all that they dropped."""
-    return shared >= F.greatest(F.lit(1), spare_blocks - dropped)
-
-
-def labelled(postings: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFrame:
-    """Large blocks' documents with the component each is in so far, of blocks that hold more than one.
+def opened(offers: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFrame:
+    """Blocks' documents with the component each is in so far, of blocks that hold more than one.
 
     The centre of a block is of its least label, which is the largest family's as
     a rule, so that only the others ask: the least doc_id, in later turns the least hash.
     """
     if roots is None:
-        named = postings.withColumn("label", F.col("doc_id"))
+        named = offers.withColumn("label", F.col("doc_id"))
     else:
-        named = postings.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+        named = offers.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
     first = F.min(F.struct("label", (F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), "doc_id")).alias("_first")
-    opened = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first, F.count(F.lit(1)).alias("members")).filter("_low < _high")
-    return named.join(opened.select("key", "members", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first, F.count(F.lit(1)).alias("members")).filter("_low < _high")
+    return named.join(open_keys.select("key", "members", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
 
 
-def best_links(offered: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each document with the centre that shares most blocks with it (doc_id, centre, shared)."""
-    best = offered.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("centre")).alias("centre"))).alias("best"))
+def star_links(offers: DataFrame, sets: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Links of each document with the centre of another component that shares most blocks with it."""
+    asked = opened(offers, roots, turn).filter("label <> centre_label").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    best = asked.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("centre")).alias("centre"))).alias("best"))
     return verified(best.select(F.col("doc_id").alias("a"), (-F.col("best.centre")).alias("b")), sets)
 
 
-def far_offers(postings: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Centres of large blocks, offered to the documents of other components."""
-    return labelled(postings, roots, turn).filter("label <> centre_label").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def star_links(blocks: DataFrame, postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links with the centres (least doc_id) of small and large blocks."""
-    first = F.col("members")[0]
-    spread = blocks.select("spare", "times", first["doc_id"].alias("centre"), first["dropped"].alias("_d"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
-    near = spread.groupBy("spare", "centre", F.col("m.doc_id").alias("doc_id")).agg(F.sum("times").alias("shared"), F.max(F.col("m.dropped") + F.col("_d")).alias("_d")).filter(enough(F.col("shared"), F.col("spare"), F.col("_d")))
-    return best_links(near.select("doc_id", "centre", "shared").unionByName(far_offers(postings, None, 0)), sets)
-
-
-def small_links(blocks: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def small_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components in small blocks: by the sketches of a block's documents, then exactly."""
-    numbered = blocks.withColumn("block", F.monotonically_increasing_id())
-    spread = numbered.select("block", F.explode("members.doc_id").alias("doc_id"))
-    named = spread.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("block", "doc_id", F.coalesce("root", "doc_id").alias("label"))
-    opened = named.groupBy("block").agg(F.collect_list(F.struct("doc_id", "label")).alias("members"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high")
-    met = opened.select("block", F.explode("members").alias("m")).select("block", "m.*").join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    # blocks of the same documents count once
+    blocks = left.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "label"))).alias("docs")).select("docs").distinct()
+    numbered = blocks.select(F.xxhash64("docs").alias("block"), F.explode("docs").alias("m")).select("block", "m.*")
+    met = numbered.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
     held = met.groupBy("block").agg(*[F.collect_list(F.col(c)).alias(c) for c in ("doc_id", "label", "n_shingles", "sketch")])
 
     def near(batches):
@@ -411,19 +377,32 @@ def small_links(blocks: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFra
     return verified(pairs, sets, sketched=True)
 
 
-def tile_links(postings: DataFrame, sets: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links across components in large blocks, in tiles of about ``tile`` documents squared."""
-    opened = labelled(postings, roots).select("key", "doc_id", "label", F.ceil(F.col("members") / tile).cast("int").alias("cuts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
-    tiled = opened.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiled = tiled.select("key", F.least("part", "other").alias("t1"), F.greatest("part", "other").alias("t2"), "doc_id", "label")
+def tile_links(left: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links across components in large blocks, in tiles of about ``tile`` documents squared.
+
+    Documents of a block's largest component lie in one row of tiles each;
+    those outside it meet every such tile, and each other in tiles of theirs.
+    """
+    large = left.filter(F.col("members") > SMALL).select("key", "doc_id", "label", "members")
+    most = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
+    over = lambda n: F.ceil(n / tile).cast("int")
+    named = large.join(most, "key").withColumns({"inside": F.col("label") == F.col("most.label"), "rows": over(F.col("most.n")), "cuts": over(F.col("members") - F.col("most.n"))})
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = named.filter("not inside").withColumn("part", own("cuts"))
+    # tiles of both kinds (row, part), and tiles of two parts
+    inner = named.filter("inside").select("key", F.lit(True).alias("mixed"), own("rows").alias("t1"), each("cuts").alias("t2"), "doc_id", "label")
+    against = outer.select("key", F.lit(True).alias("mixed"), each("rows").alias("t1"), F.col("part").alias("t2"), "doc_id", "label")
+    among = outer.select("key", "part", each("cuts").alias("other"), "doc_id", "label")
+    among = among.select("key", F.lit(False).alias("mixed"), F.least("part", "other").alias("t1"), F.greatest("part", "other").alias("t2"), "doc_id", "label")
 
     def cross(group: pa.Table) -> pa.Table:
         ids, labels = group["doc_id"].to_numpy(), group["label"].to_numpy()
         links = links_across(labels, [np.frombuffer(h, "<u8") for h in group["hashes"].to_pylist()])
         return pa.Table.from_arrays([pa.array([int(ids[i]) for i, _ in links], pa.int64()), pa.array([int(ids[j]) for _, j in links], pa.int64())], ["a", "b"])
 
-    return tiled.join(sets.select("doc_id", "hashes"), "doc_id").groupBy("key", "t1", "t2").applyInArrow(cross, "a long, b long")
+    tiled = inner.unionByName(against).unionByName(among)
+    return tiled.join(sets.select("doc_id", "hashes"), "doc_id").groupBy("key", "mixed", "t1", "t2").applyInArrow(trimmed(cross), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,7 +410,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = text_rows(docs, id_col, text_col)
     n = plan_groups(rows)
     packed = pack(rows, n)
-    sizes = stored(packed.groupBy("g").applyInArrow(sizes_of, SIZES))
+    sizes = stored(packed.groupBy("g").applyInArrow(trimmed(sizes_of), SIZES))
     # one document stands for all with its set: the least, found by partial aggregation
     classes = sizes.filter("doc_id is not null and n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "g")).alias("first"))
     classes = stored(classes.select("k1", "k2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.g").alias("g")))
@@ -444,26 +423,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = pa.array(answers["b"].to_numpy() >= 0)
         return offers_of(group, chosen_ids(answers.filter(pc.invert(own))), answers.filter(own), n)
 
-    offers = stored(together(packed, both, offer, OFFERS))
-    blocks = stored(small_blocks(offers))
-    postings = offers.filter("large").select("key", "doc_id")
-    sets = offers.filter("key is null").select("doc_id", "n_shingles", "hashes", "sketch")
-    links = checkpointed(star_links(blocks, postings, sets))
-    roots = components(links)
-    for turn in range(1, TURNS):
-        links = checkpointed(links.unionByName(best_links(far_offers(postings, roots, turn), sets)))
+    table = stored(together(packed, both, offer, OFFERS))
+    offers = table.filter("key is not null").select("doc_id", "key")
+    sets = table.filter("key is null").select("doc_id", "n_shingles", "hashes", "sketch")
+    filled = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    links, roots = checkpointed(one_node(sizes.filter(filled), classes)), None
+    for turn in range(TURNS):
+        links = checkpointed(links.unionByName(star_links(offers, sets, roots, turn)))
         roots = components(links)
-    links = checkpointed(links.unionByName(tile_links(postings, sets, roots)))
-    roots = components(links)
-    roots = components(links.unionByName(small_links(blocks, sets, roots)))
+    left = checkpointed(opened(offers, roots, TURNS).select("key", "doc_id", "label", "members"))
+    roots = components(links.unionByName(tile_links(left, sets)).unionByName(small_links(left, sets)))
     # classes with their component, and every document with its class
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-    filled = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     members = sizes.filter(filled).join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = sizes.filter(~filled).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return members.unionByName(alone)
 
 
+def one_node(sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of doc_ids that have several texts with the documents that stand for these."""
+    mark = F.struct("k1", "k2", "n_shingles")
+    several = sizes.groupBy("doc_id").agg(F.min(mark).alias("_a"), F.max(mark).alias("_b")).filter("_a <> _b").select("doc_id")
+    texts = sizes.select("doc_id", "k1", "k2", "n_shingles").join(several, "doc_id", "left_semi").distinct()
+    return texts.join(classes, ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def chosen_rows(batches):
     """Identifiers of a group's chosen documents as one row of side information (bucket -1)."""
     for batch in batches:
