@@ -1,16 +1,24 @@
 """Exact top-k by a vector-approximation file.
 
-Vectors are laid in blocks that hold, for each vector, the quantised cell of
-every component and, apart from these, the exact components. A search scans
-the cells of a block for an upper and a lower bound of each score, drops what
-cannot reach the k-th lower bound, and reads exact vectors in the order of
-their upper bounds until the k-th exact score is certain. Queries are blocked
-too: a block of queries meets every block of vectors once, on an equality of
-block numbers, and only k rows a query leave each meeting.
+The file holds, in blocks, the quantised cell of every component of every
+vector and nothing else; exact vectors stay in a table by row. A search has
+three steps:
+
+1. *Scan.* Blocks of queries meet blocks of cells once, on an equality of block
+   numbers. Cells give a lower and an upper bound of each score; from each
+   meeting come the vectors that the block's own k-th lower bound leaves.
+2. *Shared bound.* The k-th greatest lower bound over all blocks drops what
+   cannot reach a query's k best any more.
+3. *Exact vectors.* They are fetched by row in the order of their bounds: the
+   first ``2 * k`` a query, whose k-th score then says which of the rest could
+   still be better; only these are fetched as well.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
-or are of another length than most, take no part; a finite component whose
-floor(scale * x) does not fit a long is an error; ties go to the smaller vec_id; fewer candidates than k give all of them; an empty table gives no rows.
+or are of another length than most, take no part; empty vectors score 0; a
+finite component whose floor(scale * x) does not fit a long is an error, as is
+a score that does not; ties go to the smaller vec_id; rows of one vec_id are
+queries and candidates of their own but not of each other; fewer candidates
+than k give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELL_BITS = 4
+from .base import checkpointed, release, stored
+
+CELL_BITS = 6
 BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+QUERY_ROWS = 1024
 
-BLOCKS = "n int, dim int, ids binary, cells binary, low binary, high binary, exact binary"
-HITS = "query_id long, vec_id long, score long"
+CELLS = "rows binary, ids binary, cells binary, low binary, high binary"
+QUERIES = "qb int, query_rows binary, query_ids binary, queries binary"
+SEEN = "query_row long, row long, vec_id long, least double, most double"
+OUT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(vectors: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,61 +63,44 @@ def quantised(vectors: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, n
     return cells, low, high
 
 
-def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of every (query, vector) inner product, from the cells alone.
+def cell_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bound of every (query, vector) inner product from the ends of the vectors' cells, as floats.
 
     q * x lies within |q| * half a cell of q * the cell's middle; everything is
     doubled to stay whole, and widened by what floating addition can lose.
     """
-    at = np.arange(cells.shape[1])
-    lo, hi = low[at, cells].astype(np.float64), high[at, cells].astype(np.float64)
     q = queries.astype(np.float64)
-    middle, half = q @ (lo + hi).T, np.abs(q) @ (hi - lo).T
-    slack = (np.abs(q) @ (np.abs(lo) + np.abs(hi)).T) * (cells.shape[1] * 2.0**-50)
+    size = np.abs(q)
+    middle, half = q @ (low + high).T, size @ (high - low).T
+    most = max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))
+    slack = (size.sum(axis=1) * most * 2 * (low.shape[1] + 1) * 2.0**-50)[:, None]
     return (middle - half - slack) / 2, (middle + half + slack) / 2
 
 
-def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Integer inner products; Python integers where 64 bits might not hold them."""
+def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Integer inner products row by row; Python integers where 64 bits might not hold them."""
     # as floats, for the least long has no absolute value
-    if np.abs(query.astype(np.float64)).max(initial=0) * np.abs(vectors.astype(np.float64)).max(initial=0) * len(query) >= 2.0**62:
-        big = [sum(int(a) * int(b) for a, b in zip(query, v, strict=True)) for v in vectors]
-        if any(not -(2**63) <= s < 2**63 for s in big):
+    size = np.abs(queries.astype(np.float64)).max(axis=1, initial=0) * np.abs(vectors.astype(np.float64)).max(axis=1, initial=0) * queries.shape[1]
+    score = np.einsum("ij,ij->i", queries, vectors)
+    for i in np.flatnonzero(size >= 2.0**62).tolist():
+        big = sum(int(a) * int(b) for a, b in zip(queries[i], vectors[i], strict=True))
+        if not -(2**63) <= big < 2**63:
             raise OverflowError("a score does not fit a long")
-        return np.array(big, np.int64)
-    return vectors @ query
-
-
-def search_block(query_ids, queries, ids, cells, low, high, exact, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, vec_id, score) of each query's k best of one block, its own row left out."""
-    out = []
-    for begin in range(0, len(queries), 256):
-        q = queries[begin : begin + 256]
-        lower, upper = bounds(q, cells, low, high)
-        own = query_ids[begin : begin + 256, None] == ids[None, :]
-        lower[own] = upper[own] = -np.inf
-        for i in range(len(q)):
-            certain = lower[i]
-            if len(certain) > k:
-                floor = np.partition(certain, len(certain) - k)[len(certain) - k]
-                alive = np.flatnonzero(upper[i] >= floor)
-            else:
-                alive = np.arange(len(certain))
-            alive = alive[~own[i, alive]]
-            alive = alive[np.lexsort((ids[alive], -upper[i, alive]))]
-            # exact vectors, in the order of their bounds, some at a time
-            best_score, best_id, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-            while read < len(alive):
-                if len(best_score) == k and upper[i, alive[read]] < best_score[-1]:
-                    break
-                some = alive[read : read + max(2 * k, 32)]
-                read += len(some)
-                score = np.concatenate([best_score, exact_scores(q[i], exact[some])])
-                ident = np.concatenate([best_id, ids[some]])
-                order = np.lexsort((ident, -score))[:k]
-                best_score, best_id = score[order], ident[order]
-            out.append((np.full(len(best_id), query_ids[begin + i]), best_id, best_score))
-    return out
+        score[i] = big
+    return score
+
+
+def scan_block(query_ids, queries, ids, cells, low, high, k: int):
+    """(query, vector, lower, upper) of what a block leaves to each query, its own id left out."""
+    at = np.arange(cells.shape[1])
+    lo, hi = low[at, cells].astype(np.float64), high[at, cells].astype(np.float64)
+    for begin in range(0, len(queries), 128):
+        least, most = cell_bounds(queries[begin : begin + 128], lo, hi)
+        own = query_ids[begin : begin + 128, None] == ids[None, :]
+        least[own] = most[own] = -np.inf
+        floor = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(least), -np.inf)
+        query, vector = np.nonzero((most >= floor[:, None]) & ~own)
+        yield query + begin, vector, least[query, vector], most[query, vector]
 
 
 def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -124,52 +119,83 @@ def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "v
     )
 
 
-def packed(rows: pa.Table | pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows.column("vec_id").to_numpy()
-    flat = rows.column("vector")
+def packed(rows: pa.Table | pa.RecordBatch, dim: int, vector: str = "vector") -> np.ndarray:
+    flat = rows.column(vector)
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
-    return ids, flat.flatten().to_numpy().reshape(len(ids), dim)
+    return flat.flatten().to_numpy().reshape(rows.num_rows, dim)
 
 
-def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Each query's k nearest by inner product: query_id, rank, vec_id, score. Queries: ids divisible by ``every``."""
-    vectors = integer_vectors(embeddings, scale, id_col, vector_col)
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
-    sizes = vectors.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    spark = embeddings.sparkSession
-    out = "query_id long, rank int, vec_id long, score long"
-    if not sizes or not sizes[0]["q"]:
-        return spark.createDataFrame([], out)
-    dim, n, q = (int(sizes[0][c]) for c in ("dim", "n", "q"))
-    vectors = vectors.filter(F.size("vector") == dim)
-    n_blocks, n_queries = -(-n // block_rows), -(-q // query_rows)
+def raw(values: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(values).tobytes()], pa.binary())
+
 
-    def to_block(group: pa.Table) -> pa.Table:
-        ids, exact = packed(group, dim)
-        cells, low, high = quantised(exact, bits)
-        parts = [ids.astype("<i8"), cells, low.astype("<i8"), high.astype("<i8"), exact.astype("<i8")]
-        return pa.Table.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], ["n", "dim", "ids", "cells", "low", "high", "exact"])
+def scanned(vectors: DataFrame, is_query, dim: int, n_blocks: int, n_queries: int, k: int, bits: int) -> DataFrame:
+    """Step 1: bounds of what every block of cells leaves to each query."""
+
+    def to_cells(group: pa.Table) -> pa.Table:
+        cells, low, high = quantised(packed(group, dim), bits)
+        parts = [group["row"].to_numpy(), group["vec_id"].to_numpy(), cells, low, high]
+        return pa.Table.from_arrays([raw(p) for p in parts], [c.split()[0] for c in CELLS.split(", ")])
 
     def to_queries(group: pa.Table) -> pa.Table:
-        ids, exact = packed(group, dim)
-        return pa.Table.from_arrays([pa.array([group["qb"][0].as_py()], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([exact.astype("<i8").tobytes()], pa.binary())], ["qb", "query_ids", "queries"])
+        arrays = [pa.array(group["qb"].to_pylist()[:1], pa.int32()), raw(group["row"].to_numpy()), raw(group["vec_id"].to_numpy()), raw(packed(group, dim))]
+        return pa.Table.from_arrays(arrays, [c.split()[0] for c in QUERIES.split(", ")])
 
-    hashed = F.xxhash64("vec_id")
-    blocks = vectors.withColumn("b", F.pmod(hashed, F.lit(n_blocks)).cast("int")).groupBy("b").applyInArrow(to_block, BLOCKS)
-    # every block of vectors is sent to each block of queries: the stated query set against all rows, in blocks
-    sent = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = vectors.filter(is_query).withColumn("qb", F.pmod(hashed, F.lit(n_queries)).cast("int")).groupBy("qb").applyInArrow(to_queries, "qb int, query_ids binary, queries binary")
+    hashed = F.xxhash64("row")
+    cells = vectors.withColumn("b", F.pmod(hashed, F.lit(n_blocks)).cast("int")).groupBy("b").applyInArrow(to_cells, CELLS)
+    # every block of cells is sent to each block of queries: the stated query set against all rows, in blocks
+    sent = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    asked = vectors.filter(is_query).withColumn("qb", F.pmod(hashed, F.lit(n_queries)).cast("int")).groupBy("qb").applyInArrow(to_queries, QUERIES)
 
-    def search(batches):
+    def scan(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c, kind=np.dtype("<i8"): np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
-                ids = get("ids")
+            for i in range(batch.num_rows):
+                get = lambda c, kind="<i8": np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                rows, ids, query_rows = get("rows"), get("ids"), get("query_rows")
                 low, high = get("low").reshape(dim, -1), get("high").reshape(dim, -1)
-                hits = search_block(get("query_ids"), get("queries").reshape(-1, dim), ids, get("cells", np.uint8).reshape(-1, dim), low, high, get("exact").reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*hits, strict=True)], ["query_id", "vec_id", "score"])
+                for query, vector, least, most in scan_block(get("query_ids"), get("queries").reshape(-1, dim), ids, get("cells", "u1").reshape(-1, dim), low, high, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(query_rows[query]), pa.array(rows[vector]), pa.array(ids[vector]), pa.array(least), pa.array(most)], [c.split()[0] for c in SEEN.split(", ")])
+        release()
+
+    met = sent.join(asked, "qb").select("rows", "ids", "cells", "low", "high", "query_rows", "query_ids", "queries")
+    return met.repartition(max(1, n_blocks * n_queries)).mapInArrow(scan, SEEN)
+
+
+def scored(pairs: DataFrame, vectors: DataFrame, is_query, dim: int) -> DataFrame:
+    """(query_row, query_id, vec_id, score) of pairs (query_row, row), their exact vectors fetched by row."""
+
+    def score(batches):
+        for batch in batches:
+            found = exact_scores(packed(batch, dim, "query"), packed(batch, dim))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("query_row", "query_id", "vec_id")], pa.array(found)], ["query_row", "query_id", "vec_id", "score"])
+
+    queries = vectors.filter(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    met = pairs.select("query_row", "row").join(vectors, "row").join(queries, "query_row")
+    return met.select("query_row", "query_id", "vec_id", "query", "vector").mapInArrow(score, "query_row long, query_id long, vec_id long, score long")
+
 
-    hits = sent.join(asked, "qb").select("ids", "cells", "low", "high", "exact", "query_ids", "queries").repartition(max(1, n_blocks * n_queries)).mapInArrow(search, HITS)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Each query's k nearest by inner product: query_id, rank, vec_id, score. Queries: ids divisible by ``every``."""
+    # the exact vectors by row: written once, so that a row keeps its number
+    vectors = stored(integer_vectors(embeddings, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = vectors.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    if not sizes or not sizes[0]["q"]:
+        return embeddings.sparkSession.createDataFrame([], OUT)
+    dim, n, q = (int(sizes[0][c]) for c in ("dim", "n", "q"))
+    vectors = vectors.filter(F.size("vector") == dim)
+    if not dim:
+        dim, vectors = 1, vectors.withColumn("vector", F.array(F.lit(0).cast("long")))
+    seen = checkpointed(scanned(vectors, is_query, dim, -(-n // block_rows), -(-q // query_rows), k, bits))
+    by_least = W.partitionBy("query_row").orderBy(F.desc("least"), "row")
+    floors = seen.withColumn("_nth", F.row_number().over(by_least)).filter(F.col("_nth") == k).select("query_row", F.col("least").alias("_floor"))
+    alive = seen.join(floors, "query_row", "left").filter("_floor is null or most >= _floor")
+    by_most = W.partitionBy("query_row").orderBy(F.desc("most"), "vec_id", "row")
+    alive = checkpointed(alive.withColumn("_nth", F.row_number().over(by_most)).select("query_row", "row", "most", "_nth"))
+    first = checkpointed(scored(alive.filter(F.col("_nth") <= 2 * k), vectors, is_query, dim))
+    best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    certain = first.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k).select("query_row", F.col("score").alias("_kth"))
+    rest = alive.filter(F.col("_nth") > 2 * k).join(certain, "query_row", "left").filter("_kth is null or most >= _kth")
+    everything = first.unionByName(scored(rest, vectors, is_query, dim))
+    return everything.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
