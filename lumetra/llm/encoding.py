@@ -1,11 +1,14 @@
 """Byte-level BPE columns with overlapping chunks for long texts.
 
-Texts of up to ``chunk_bytes`` are encoded where they lie. A longer text is cut
-into overlapping chunks that are dealt out and pre-tokenised in parallel; the
-boundaries of neighbouring chunks are then stitched at the first position in
-their overlap where both have one (from a common boundary on, the scan of the
-split pattern is the same), and the pieces are encoded. Where an overlap has
-no such position, the two chunks are scanned again as one.
+A text is cut into overlapping chunks that are dealt out and pre-tokenised in
+parallel; the boundaries of neighbouring chunks are stitched at the first
+position in their overlap where both have one (from a common boundary on, the
+scan of the split pattern is the same), and each chunk's pieces from one such
+position to the next are encoded where the chunk lies. A text's identifiers and
+raw bytes are then taken up chunk after chunk. A text of up to ``chunk_bytes``
+is one chunk, which needs no shuffle. A text in which some overlap has no
+common boundary (a run of one kind of characters longer than the overlap) is
+stitched in one task, where its chunks are scanned again as one.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are all
 kept; a null doc_id stays null; an empty table gives no rows.
@@ -13,24 +16,27 @@ kept; a null doc_id stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, column, map_texts, sha256_hex, text_rows
+from .base import SLICE_BYTES, checkpointed, column, map_texts, sha256_hex, stored, text_rows
 from .bpe import encoder
 from .pretoken import code_points, piece_starts
 from .vectext import Texts
 
-CHUNK_BYTES = 64 << 10
+CHUNK_BYTES = 16 << 10
 OVERLAP_BYTES = 1 << 10
 #: Bytes before a chunk's end in which a boundary could still move: the pattern looks at most two characters ahead.
 UNSURE_BYTES = 12
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CHUNKS = "row long, doc_id long, at long, text binary"
-SCANNED = "row long, doc_id long, at long, text binary, starts binary"
+CHUNKS = "row long, n int, doc_id long, at long, text binary"
+SCANNED = CHUNKS + ", starts binary"
+ENCODED = "row long, n int, doc_id long, ids binary"
 
 
 def boundaries(text: bytes) -> np.ndarray:
@@ -52,16 +58,21 @@ def chunk_spans(text: bytes, size: int, overlap: int) -> list[tuple[int, int]]:
         at = cut(at + size)
 
 
+def meeting(starts: np.ndarray, end: int, own: np.ndarray, at: int) -> int:
+    """First position where a chunk that ends at ``end`` and the next one, from ``at`` on, both have a boundary (-1: none)."""
+    common = np.intersect1d(starts[(starts > at) & (starts <= end - UNSURE_BYTES)], own[own > at])
+    return int(common[0]) if len(common) else -1
+
+
 def stitched(chunks: list[tuple[int, bytes, np.ndarray]]) -> tuple[bytes, np.ndarray]:
     """The whole text and its boundaries from (offset, bytes, own boundaries) of overlapping chunks in order."""
     text, starts = bytearray(chunks[0][1]), chunks[0][2]
     for at, part, own in chunks[1:]:
         end = len(text)
         own = own + at
-        common = np.intersect1d(starts[starts <= end - UNSURE_BYTES], own[own > at])
+        meet = meeting(starts, end, own, at)
         text += part[end - at :]
-        if len(common):
-            meet = common[0]
+        if meet >= 0:
             starts = np.concatenate([starts[starts < meet], own[own >= meet]])
         else:
             sure = starts[starts <= end - UNSURE_BYTES]
@@ -110,39 +121,103 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
                 spans = chunk_spans(data, chunk_bytes, overlap_bytes)
                 for i in range(0, len(spans), 64):
                     some = spans[i : i + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array([a for a, _ in some], pa.int64()), pa.array([data[a:b] for a, b in some], pa.binary())], ["row", "doc_id", "at", "text"])
+                    arrays = [pa.array([row] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32()), pa.array([doc] * len(some), pa.int64()), pa.array([a for a, _ in some], pa.int64()), pa.array([data[a:b] for a, b in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names_of(CHUNKS))
 
     def scan(batches):
         for batch in batches:
-            found = [boundaries(t).astype("<i8").tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["row", "doc_id", "at", "text", "starts"])
+            found = [(boundaries(t) + at).astype("<i8").tobytes() for t, at in zip(column(batch, "text").to_pylist(), column(batch, "at").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names_of(SCANNED))
 
-    def stitch(group: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
-        chunks = [(at, text, np.frombuffer(starts, "<i8")) for at, text, starts in zip(*(group[c].to_pylist() for c in ("at", "text", "starts")), strict=True)]
-        text, starts = stitched(chunks)
-        # the pieces, some at a time, each run of them cut at stitched boundaries
-        cuts = [0, *(int(starts[np.searchsorted(starts, p)]) for p in range(SLICE_BYTES, len(text) - SLICE_BYTES // 2, SLICE_BYTES) if np.searchsorted(starts, p) < len(starts)), len(text)]
+    def seams(batches):
+        for batch in batches:
+            pairs = zip(*(column(batch, c).to_pylist() for c in ("tail", "end", "head", "at")), strict=True)
+            meets = [meeting(np.frombuffer(tail, "<i8"), end, np.frombuffer(head, "<i8"), at) for tail, end, head, at in pairs]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n"), pa.array(meets, pa.int64())], ["row", "n", "meet"])
+
+    def encode(batches):
         enc = encoder(vocabulary, pattern)
-        if enc.added_at and enc.added_at.search(text):
-            ids = enc.encode(Texts.of_bytes([text]))[0]
+        for batch in batches:
+            out = []
+            for at, text, starts, begin, end in zip(*(column(batch, c).to_pylist() for c in ("at", "text", "starts", "begin", "end")), strict=True):
+                a, b = at if begin is None else begin, at + len(text) if end is None else end
+                out.append(encode_pieces(enc, text[a - at : b - at], np.frombuffer(starts, "<i8"), a, b).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n"), column(batch, "doc_id"), pa.array(out, pa.binary())], names_of(ENCODED))
+
+    def taken_up(batches):
+        """Chunks in order to rows of documents; a text's last chunk gives its row."""
+        enc, held = encoder(vocabulary, pattern), None
+        for batch in batches:
+            done = []
+            for row, doc, ids in zip(*(column(batch, c).to_pylist() for c in ("row", "doc_id", "ids")), strict=True):
+                if held is None or held.row != row:
+                    done += [held] if held else []
+                    held = Running(row, doc, with_ids)
+                held.add(np.frombuffer(ids, "<u4"), enc)
+            if done:
+                yield running_batch(done, with_ids)
+        if held:
+            yield running_batch([held], with_ids)
+
+    def stitch(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        text, starts = stitched([(at, text, np.frombuffer(starts, "<i8") - at) for at, text, starts in zip(*(group[c].to_pylist() for c in ("at", "text", "starts")), strict=True)])
+        enc, held = encoder(vocabulary, pattern), Running(0, group["doc_id"][0].as_py(), with_ids)
+        # some pieces at a time
+        cuts = sorted({0, len(text), *(int(starts[np.searchsorted(starts, p)]) for p in range(SLICE_BYTES, int(starts[-1]), SLICE_BYTES))})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.add(encode_pieces(enc, text[a:b], starts, a, b), enc)
+        return pa.Table.from_batches([running_batch([held], with_ids)])
+
+    # a vocabulary with added tokens splits texts at these first, so its texts stay whole
+    apart = F.lit(False) if vocabulary.endswith(".json") else F.coalesce(long, F.lit(False))
+    short_rows = map_texts(rows.filter(~apart), whole, schema)
+    if vocabulary.endswith(".json"):
+        return short_rows
+    numbered = rows.filter(apart).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scanned = stored(numbered.mapInArrow(cut, CHUNKS).repartition("row", "n").mapInArrow(scan, SCANNED))
+    after = scanned.select("row", (F.col("n") - 1).alias("n"), "at", F.col("starts").alias("head"))
+    ends = scanned.select("row", "n", F.col("starts").alias("tail"), (F.col("at") + F.octet_length("text")).alias("end"))
+    meets = checkpointed(ends.join(after, ["row", "n"]).select("row", "n", "tail", "end", "head", "at").mapInArrow(seams, "row long, n int, meet long"))
+    broken = meets.filter("meet < 0").select("row").distinct()
+    spans = scanned.join(meets.withColumnRenamed("meet", "end"), ["row", "n"], "left").join(meets.select("row", (F.col("n") + 1).alias("n"), F.col("meet").alias("begin")), ["row", "n"], "left").join(broken, "row", "left_anti")
+    encoded = spans.select("row", "n", "doc_id", "at", "text", "starts", "begin", "end").mapInArrow(encode, ENCODED)
+    long_rows = encoded.repartition("row").sortWithinPartitions("row", "n").mapInArrow(taken_up, schema)
+    broken_rows = scanned.join(broken, "row", "left_semi").groupBy("row").applyInArrow(stitch, schema)
+    return short_rows.unionByName(long_rows).unionByName(broken_rows)
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+class Running:
+    """Identifiers of one text, taken up a run at a time: digests, or with ``with_ids`` the values."""
+
+    def __init__(self, row: int, doc_id: int | None, with_ids: bool):
+        self.row, self.doc_id, self.count, self.kept = row, doc_id, 0, [] if with_ids else None
+        self.ids_hash, self.bytes_hash = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: np.ndarray, enc) -> None:
+        back = enc.decode(ids, np.array([0, len(ids)])).text(0)
+        self.count += len(ids)
+        if self.kept is None:
+            self.ids_hash.update(ids.astype("<u4").tobytes())
+            self.bytes_hash.update(back)
         else:
-            ids = np.concatenate([encode_pieces(enc, text, starts, a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
-        bounds = np.array([0, len(ids)])
-        back = enc.decode(ids, bounds)
-        doc = pa.array(group["doc_id"].to_pylist()[:1], pa.int64())
-        if with_ids:
-            lists = pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))
-            return pa.Table.from_arrays([doc, lists, pa.array([back.text(0)], pa.binary())], ["doc_id", "ids", "decoded"])
-        return pa.Table.from_arrays([doc, pa.array([len(ids)], pa.int64()), pa.array([sha256_hex(ids.astype("<u4").tobytes())]), pa.array([sha256_hex(back.text(0))])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            self.kept.append((ids.astype(np.int64), back))
+
 
-    short_rows = map_texts(rows.filter(F.col("text").isNull() | ~long), whole, schema)
-    long_rows = rows.filter(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, CHUNKS).repartition("row", "at").mapInArrow(scan, SCANNED).groupBy("row").applyInArrow(stitch, schema)
-    return short_rows.unionByName(long_rows)
+def running_batch(done: list[Running], with_ids: bool) -> pa.RecordBatch:
+    docs = pa.array([r.doc_id for r in done], pa.int64())
+    if with_ids:
+        ids = [np.concatenate([np.zeros(0, np.int64), *(i for i, _ in r.kept)]) for r in done]
+        return pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.list_(pa.int64())), pa.array([b"".join(b for _, b in r.kept) for r in done], pa.binary())], ["doc_id", "ids", "decoded"])
+    return pa.RecordBatch.from_arrays([docs, pa.array([r.count for r in done], pa.int64()), pa.array([r.ids_hash.hexdigest() for r in done], pa.string()), pa.array([r.bytes_hash.hexdigest() for r in done], pa.string())], names_of(DIGESTS))
 
 
-def encode_pieces(enc, text: bytes, starts: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Identifiers of the pieces of text[a:b], each piece encoded on its own."""
+def encode_pieces(enc, part: bytes, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Identifiers of ``part``, which lies from a to b in a text, each of its pieces encoded on its own."""
     lo, hi = np.searchsorted(starts, [a, b])
     begin = starts[lo:hi] - a
-    return enc.encode_spans(Texts.of_bytes([text[a:b]]), begin, np.append(begin[1:], b - a))[0]
+    return enc.encode_spans(Texts.of_bytes([part]), begin, np.append(begin[1:], b - a))[0]
