@@ -6,11 +6,13 @@ against JSON schemas, and written as canonical JSON (sorted keys, no spaces,
 characters unescaped).
 
 Order: where every dependency points to an earlier message, the order of
-messages is topological already. The other conversations are peeled level by
-level with joins, one round a level, and ordered by (level, turn, index);
-calls on or behind a cycle keep status ``cycle`` and come last. Nothing is
-gathered by conversation: positions come from global prefix sums, so one
-conversation may hold any share of the rows.
+messages is topological already. The other conversations are ordered by
+(level, turn, index), a call's level being the length of the longest chain of
+dependencies below it; calls on or behind a cycle keep status ``cycle`` and
+come last. Levels of a conversation with up to ``GATHERED`` dependencies are
+counted in one task from identifiers alone; a larger one is peeled by joins, one
+round a level. Positions come from global prefix sums, so one conversation may
+hold any share of the rows.
 
 Defined cases: rows with a null conv_id, turn or role, or with another role,
 are neither calls nor results; a null text is a null argument, which fails
@@ -18,7 +20,11 @@ validation where a string is asked for; of several calls with one identifier
 the earliest is the call, the others are ``duplicate``; of several results
 the earliest is linked, or with ``every_result`` (as the query has it) each
 is, a row each by result_turn; results without a call are ``orphan``; dependencies
-on identifiers that do not exist are dropped; an empty table gives no rows.
+on identifiers that do not exist are dropped; arguments that are not JSON, that
+JSON has no number for, that hold half a surrogate pair or are nested too
+deeply are a violation, and null in the message; an assistant message is one of
+calls if its parsed text has a list ``tool_calls``, and plain otherwise; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +42,9 @@ from .sharding import byte_positions
 
 CALLS = "conv_id long, turn long, idx int, call_id string, name string, arguments string, depends_on array<string>"
 
+#: Dependencies of a conversation whose levels are counted in one task.
+GATHERED = 200_000
+
 #: Arguments of the tool that plain user turns stand for.
 RESPOND = {
     "respond": {
@@ -94,11 +104,16 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def told_calls():
+    """The calls that a message's text lists; null for any other text."""
+    kind = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
+    return F.when(F.col("text").contains("tool_calls"), F.from_json("text", kind).getField("tool_calls"))
+
+
 def protocol_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls of assistant messages ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}`` and results of
     tool messages ``{"tool_call_id", "content"}``."""
-    kind = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
-    told = messages.filter("conv_id is not null and turn is not null and role = 'assistant' and text like '{%'").select("conv_id", "turn", F.posexplode(F.from_json("text", kind).getField("tool_calls")).alias("idx", "call"))
+    told = messages.filter("conv_id is not null and turn is not null and role = 'assistant'").select("conv_id", "turn", F.posexplode(told_calls()).alias("idx", "call"))
     calls = told.select("conv_id", "turn", "idx", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     answer = F.from_json("text", "struct<tool_call_id:string,content:string>")
     results = messages.filter("conv_id is not null and turn is not null and role = 'tool'").withColumn("_a", answer).select("conv_id", F.col("turn").alias("result_turn"), F.col("_a.tool_call_id").alias("call_id"), F.col("_a.content").alias("content"))
@@ -112,8 +127,7 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", F.lit(0).alias("idx"), F.col("turn").cast("string").alias("call_id"), F.lit("respond").alias("name"),
         F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), F.array((F.col("turn") - 2).cast("string")).alias("depends_on"),
     )
-    plain = F.coalesce(~F.col("text").like('{"tool_calls"%'), F.lit(True))
-    results = held.filter((F.col("role") == "assistant") & plain).select("conv_id", F.col("turn").alias("result_turn"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
+    results = held.filter((F.col("role") == "assistant") & told_calls().isNull()).select("conv_id", F.col("turn").alias("result_turn"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -125,9 +139,39 @@ def levels(calls: DataFrame) -> DataFrame:
     wanted = calls.select("uid", "conv_id", "turn", "idx", F.explode(F.array_distinct("depends_on")).alias("needs"))
     place = calls.select(F.col("uid").alias("need_uid"), F.col("conv_id"), F.col("call_id").alias("needs"), F.col("turn").alias("need_turn"), F.col("idx").alias("need_idx"))
     edges = checkpointed(wanted.join(place, ["conv_id", "needs"]).select("conv_id", "uid", "need_uid", (F.struct("need_turn", "need_idx") >= F.struct("turn", "idx")).alias("forward")))
-    unruly = edges.filter("forward").select("conv_id").distinct()
-    left = checkpointed(calls.join(unruly, "conv_id", "left_semi").select("uid"))
-    edges = edges.join(unruly, "conv_id", "left_semi").select("uid", "need_uid")
+    size = edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("forward").alias("forward"))
+    unruly = checkpointed(size.filter("forward").select("conv_id", (F.col("n") <= GATHERED).alias("gathered")))
+    if unruly.isEmpty():
+        return unruly.select(F.lit(0).cast("long").alias("uid"), F.lit(0).alias("level")).limit(0)
+    held = calls.select("conv_id", "uid", F.lit(None).cast("long").alias("need_uid")).unionByName(edges.select("conv_id", "uid", "need_uid"))
+    counted = held.join(unruly.filter("gathered"), "conv_id", "left_semi").groupBy("conv_id").applyInArrow(levels_of, "uid long, level int")
+    large = unruly.filter("not gathered")
+    return counted if large.isEmpty() else counted.unionByName(peeled(calls.join(large, "conv_id", "left_semi").select("uid"), edges.join(large, "conv_id", "left_semi").select("uid", "need_uid")))
+
+
+def levels_of(group: pa.Table) -> pa.Table:
+    """Levels of one conversation's calls, from rows (uid, need_uid), null need_uid for the calls themselves."""
+    uid, need = group["uid"].to_numpy(), group["need_uid"]
+    calls = np.sort(uid[need.is_null().to_numpy()])
+    has = need.is_valid().to_numpy()
+    user, needed = np.searchsorted(calls, uid[has]), np.searchsorted(calls, need.drop_null().to_numpy())
+    users: list[list[int]] = [[] for _ in calls]
+    waits = np.bincount(user, minlength=len(calls)).tolist()
+    for a, b in zip(user.tolist(), needed.tolist(), strict=True):
+        users[b].append(a)
+    level, ready = [0] * len(calls), [i for i, n in enumerate(waits) if not n]
+    for i in ready:
+        for j in users[i]:
+            level[j] = max(level[j], level[i] + 1)
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    return pa.Table.from_arrays([pa.array(calls), pa.array([None if n else v for n, v in zip(waits, level, strict=True)], pa.int32())], ["uid", "level"])
+
+
+def peeled(left: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, level) by rounds of joins: each takes away the calls that need nothing which is left."""
+    left, edges = checkpointed(left), checkpointed(edges)
     done = left.sparkSession.createDataFrame([], "uid long, level int")
     level = 0
     while True:
@@ -183,9 +227,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_r
                     try:
                         value = json.loads(r["arguments"]) if r["arguments"] is not None else None
                         text = canonical(value)
+                        text.encode("utf-8")
                         errors = violations(value, schemas[r["name"]]) if r["name"] in schemas else ["$: no such tool"]
+                    except UnicodeEncodeError:
+                        value, text, errors = None, None, ["$: half a surrogate pair"]
+                    except RecursionError:
+                        value, text, errors = None, None, ["$: nested too deeply"]
                     except ValueError:
-                        text, errors = None, ["$: not JSON"]
+                        value, text, errors = None, None, ["$: not JSON"]
                 else:
                     text, errors = None, ["$: no call"]
                 message = {"arguments": value, "conversation": r["conv_id"], "id": r["call_id"], "name": r["name"], "result": r["content"], "status": r["status"]}
