@@ -6,10 +6,12 @@ sentence is enough and a long clean document does not add up to a toxic one.
 Weights are fitted on document labels through that noisy-or, which leaves the
 sentence scores to say where the offence lies.
 
-The model is fitted on the driver from a bounded sample of labelled rows
-(``sample_rows``, the rows of least hash) over whole texts. Features are words
-and their first bytes, the ``FEATURES`` of them that tell the sample's labels
-apart best. Everything else is a map over all documents.
+The model is fitted on the driver from a bounded sample of labelled rows: the
+rows of least hash, at most ``sample_rows`` of them and while their whole texts
+come to at most ``sample_bytes``. Features are words and their first bytes, the
+``features`` of them that tell the sample's labels apart best, of those that
+``least_documents`` of the sample hold; both are the model's size, parameters
+of ``train``. Everything else is a map over all documents.
 
 Defined cases: a null or empty text, or one without words, has no sentence
 and takes the score of the bias alone as of one empty sentence; a null doc_id
@@ -26,16 +28,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, checkpointed, column, map_texts, text_rows
+from .base import SLICE_BYTES, bound_batches, checkpointed, column, map_texts, release, text_rows
 from .vectext import LOWER, Texts, eights, owner, span_hashes
 
 #: Seed of the hashes that name features.
 FEATURE_SEED = 0xD1B54A32D192ED03
-#: Labelled rows that the model is fitted on, and features it may hold: both bound the driver's memory.
+#: Labelled rows and bytes that the model is fitted on, and features it may hold: they bound the driver's memory.
 SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 64 << 20
 FEATURES = 20_000
+#: Documents of the sample that must hold a feature (fewer in samples of under 150).
 LEAST_DOCUMENTS = 4
 TABLE_BITS = 18
 #: Bytes of a word's beginnings that are features beside the word.
@@ -151,8 +156,7 @@ def fit(vocabulary: np.ndarray, documents: list[tuple[int, np.ndarray, np.ndarra
         grad[:-1] += decay * (np.sign(theta[:-1]) + theta[:-1])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    kept = np.abs(theta[:-1]) >= 0.05
-    return Model(vocabulary[kept] if kept.any() else np.zeros(1, np.uint64), theta[:-1][kept] if kept.any() else np.zeros(1), float(theta[-1]))
+    return Model(vocabulary, theta[:-1], float(theta[-1])) if size else Model(np.zeros(1, np.uint64), np.zeros(1), float(theta[-1]))
 
 
 def document_pairs(texts: Texts, vocabulary: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,14 +200,21 @@ def remainder(doc_id, folds: int = 5):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``sample_rows`` labelled documents outside fold 0."""
+def train(
+    docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, features: int = FEATURES, least_documents: int = LEAST_DOCUMENTS,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Model:
+    """Fit on at most ``sample_rows`` labelled documents outside fold 0, of ``sample_bytes`` together."""
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marks = marks.filter(remainder("doc_id", folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bound on rows, so it may be broadcast
     texts = text_rows(docs, id_col, text_col).filter("doc_id is not null").join(F.broadcast(sample), "doc_id")
 
     texts = checkpointed(texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")))  # rows of one identifier count once
+    # at most ``sample_rows`` sizes, taken up in the order of the hashes
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = texts.select("doc_id", upto.alias("_upto")).filter(F.col("_upto") <= sample_bytes).select("doc_id")
+    texts = texts.join(F.broadcast(within), "doc_id")
 
     def counted(batch, texts):
         found = bags(texts)
@@ -222,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int =
     # how far a feature's rates lie apart, against what chance would give
     n = F.col("ones") + F.col("zeros")
     apart = F.abs(F.col("ones") / one - F.col("zeros") / zero) / F.sqrt(n * (1.0 / one + 1.0 / zero) / (one + zero))
-    best = seen.filter(n >= min(LEAST_DOCUMENTS, 1 + (one + zero) // 50)).orderBy(apart.desc(), "word").limit(FEATURES)
+    best = seen.filter(n >= min(least_documents, 1 + (one + zero) // 50)).orderBy(apart.desc(), "word").limit(features)
     vocabulary = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
 
     def featured(batch, texts):
@@ -255,6 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: in
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose own text scores below ``threshold``."""
     model = train(docs, labels, folds, sample_rows)
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -263,5 +275,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
                 texts = Texts.of_arrow(batch.column(at).cast(pa.large_string()))
                 clean = np.concatenate([scored(model, part)[0] < threshold for _, part in texts.slices(SLICE_BYTES)])
                 yield batch.filter(pa.array(clean))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,44 @@ def test_noisy_or_and_the_worst_sentence():
     assert score[0] == pytest.approx(1 - np.prod(1 - p)) and score[1] == pytest.approx(p[0]) and top[0] == pytest.approx(p[1])
 
 
+def test_fit_equals_a_plain_restatement():
+    """The same steps of Adam on the noisy-or, a document and a sentence at a time."""
+    rng = np.random.default_rng(8)
+    size, documents, labels = 6, [], rng.random(25) < 0.4
+    for y in labels:
+        n = int(rng.integers(0, 4))
+        pairs = sorted({(int(rng.integers(n)), int(rng.integers(size))) for _ in range(6)} if n else set())
+        documents.append((n, np.array([p for p, _ in pairs], np.int64), np.array([w for _, w in pairs], np.int64)))
+    steps, rate, decay = 40, 0.1, 2e-5
+    model = toxicity.fit(np.arange(1, size + 1).astype(np.uint64), documents, labels, steps, rate, decay)
+    sentences = sum(max(1, n) for n, _, _ in documents)
+    theta = [0.0] * size + [float(np.log(labels.mean() / (sentences / len(labels))))]
+    m, v = [0.0] * (size + 1), [0.0] * (size + 1)
+    for t in range(1, steps + 1):
+        grad = [0.0] * (size + 1)
+        for (n, of, word), y in zip(documents, labels, strict=True):
+            bags = [[w for p, w in zip(of, word) if p == i] for i in range(max(1, n))]
+            p = [1 / (1 + np.exp(-(theta[-1] + sum(theta[w] for w in b)))) for b in bags]
+            clean = np.prod([1 - x for x in p])  # nobody offends
+            for b, x in zip(bags, p, strict=True):
+                # d(-log likelihood) / dz of a sentence
+                dz = -x * clean / (1 - clean) if y else x
+                for w in [*b, size]:
+                    grad[w] += dz / len(labels)
+        for w in range(size + 1):
+            g = grad[w] + (decay * (np.sign(theta[w]) + theta[w]) if w < size else 0)
+            m[w], v[w] = 0.9 * m[w] + 0.1 * g, 0.999 * v[w] + 0.001 * g * g
+            theta[w] -= rate * (m[w] / (1 - 0.9**t)) / (np.sqrt(v[w] / (1 - 0.999**t)) + 1e-8)
+    assert model.weights == pytest.approx(theta[:-1], rel=1e-5, abs=1e-7) and model.bias == pytest.approx(theta[-1], rel=1e-5)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "you grubble thing. " * 5 if i % 2 else "calm words. " * 5) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_bytes=2000).constant is False
+    assert toxicity.train(docs, labels, sample_bytes=0).constant
+
+
 def test_scores_of_odd_rows(spark):
     docs = [(i, f"plain talk {i}. more talk") for i in range(60)] + [(100 + i, f"plain talk {i}. you grubble thing") for i in range(60)]
     docs += [(500, None), (501, ""), (None, "you grubble"), (502, "!!! ..."), (503, "x " * 30000), (0, docs[0][1])]
@@ -65,7 +103,7 @@ ADD = {"add": {"type": "object", "properties": {"x": {"type": "integer"}, "y": {
 def test_links_order_and_validation(spark):
     rows = sorted(tool_calls.format_conversations(messages(spark), ADD).collect(), key=lambda r: (r["conv_id"], r["position"]))
     one = [r for r in rows if r["conv_id"] == 1]
-    assert [(r["call_id"], r["status"], r["result_turn"]) for r in one] == [("zz", "orphan", 5), ("b", "linked", 2), ("a", "linked", 3)] or [(r["call_id"], r["status"]) for r in one] == [("b", "linked"), ("zz", "orphan"), ("a", "linked")]
+    assert [(r["call_id"], r["status"], r["result_turn"]) for r in one] == [("b", "linked", 2), ("zz", "orphan", 5), ("a", "linked", 3)]
     by_id = {r["call_id"]: r for r in one}
     assert by_id["b"]["position"] < by_id["a"]["position"]  # the dependency comes first
     assert by_id["a"]["arguments"] == '{"x":1,"y":2}' and by_id["a"]["valid"] and not by_id["b"]["valid"]
@@ -98,6 +136,74 @@ def test_every_result_has_a_row(spark, tmp_path):
     assert sorted((r["status"], r["result_turn"], json.loads(r["message"])["result"]) for r in told.collect()) == [("linked", 3, "3"), ("linked", 4, "again")]
 
 
+def told(calls, head=""):
+    return json.dumps({"tool_calls": calls}).replace('{"tool_calls"', "{" + head + '"tool_calls"', 1)
+
+
+def plain_links(rows, schemas):
+    """The protocol stated plainly, a conversation at a time, for one result a call and no repeated identifiers."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        calls, results = {}, {}
+        for _, turn, role, text in rows:
+            if _ == conv and role == "assistant":
+                for idx, c in enumerate(json.loads(text)["tool_calls"]):
+                    calls[c["id"]] = (turn, idx, c)
+            elif _ == conv and role == "tool":
+                a = json.loads(text)
+                results[a["tool_call_id"]] = (turn, a["content"])
+        need = {i: [d for d in set(c["depends_on"]) if d in calls] for i, (_, _, c) in calls.items()}
+        level = {}
+        while True:
+            free = [i for i in calls if i not in level and all(d in level for d in need[i])]
+            if not free:
+                break
+            level.update({i: 1 + max([level[d] for d in need[i]], default=-1) for i in free})
+        if all(calls[d][:2] < calls[i][:2] for i in calls for d in need[i]):
+            level = dict.fromkeys(calls, 0)
+        order = sorted(calls, key=lambda i: (level.get(i, 2**31), *calls[i][:2]))
+        for position, i in enumerate(order):
+            turn, _, c = calls[i]
+            status = "cycle" if i not in level else "linked" if i in results else "unanswered"
+            out.append((conv, position, i, turn, tool_calls.canonical(json.loads(c["arguments"])), status, results.get(i, (None,))[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("gathered", [200_000, 3])
+def test_protocol_equals_a_plain_restatement(spark, gathered, monkeypatch):
+    import random
+
+    monkeypatch.setattr(tool_calls, "GATHERED", gathered)
+    rng, rows = random.Random(4), []
+    for conv in range(12):
+        names = [f"{conv}-{i}" for i in range(rng.randrange(1, 9))]
+        if conv == 0 and gathered > 3:
+            names = [f"{conv}-{i}" for i in range(1000)]  # each waits for the next
+        listed = []
+        for i, name in enumerate(names):
+            back = [n for n in names[:i] if rng.random() < 0.4]
+            needs = names[i + 1 : i + 2] if len(names) == 1000 else back if conv % 3 else [n for n in names if rng.random() < 0.25]
+            listed.append({"id": name, "name": "add", "arguments": json.dumps({"y": i, "x": "é"}), "depends_on": [*needs, "nowhere"]})
+        cut = rng.randrange(len(listed) + 1)
+        rows += [(conv, 1, "assistant", told(listed[:cut], " ")), (conv, 2, "assistant", told(listed[cut:]))]
+        rows += [(conv, 3 + i, "tool", json.dumps({"tool_call_id": n, "content": "c"})) for i, n in enumerate(names) if rng.random() < 0.7]
+    rng.shuffle(rows)
+    got = tool_calls.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ADD).collect()
+    assert sorted((r["conv_id"], r["position"], r["call_id"], r["turn"], r["arguments"], r["status"], r["result_turn"]) for r in got) == plain_links(rows, ADD)
+    assert any(r["status"] == "cycle" for r in got)
+
+
+def test_odd_arguments_are_violations(spark):
+    odd = ["\"\\ud800\"", "[" * 100_000 + "]" * 100_000, "NaN", "{", "1e999", '{"x": 1, "y": 2}']
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": str(i), "name": "add", "arguments": a, "depends_on": []}]})) for i, a in enumerate(odd)]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", '{ "tool_calls" : []}'), (2, 2, "user", "q"), (2, 3, "assistant", '{"tool_calls": broken')]
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ADD).collect()}
+    assert [got[1, str(i)]["errors"] for i in range(len(odd))] == ["$: half a surrogate pair", "$: nested too deeply", "$: not JSON", "$: not JSON", "$: not JSON", ""]
+    assert all(got[1, str(i)]["arguments"] is None and json.loads(got[1, str(i)]["message"])["arguments"] is None for i in range(5))
+    # parsed lists of calls, however they are spaced, are no plain replies; other texts are
+    assert got[2, "0"]["status"] == "unanswered" and got[2, "2"]["status"] == "linked"
+
+
 def test_no_messages(spark):
     assert tool_calls.format_conversations(messages(spark).filter("false")).count() == 0
 
