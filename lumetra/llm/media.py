@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import column, map_texts, sha256_hex, text_rows
-from .matroska import demux, mux
+from .matroska import MatroskaError, demux, mux
 
 UNIT = 64
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, duration_ms long"
-PACKETS = "doc_id long, packet int, track int, cluster int, timestamp_ns long, offset long, size long, keyframe boolean, lacing int"
+PACKETS = "doc_id long, packet int, track int, cluster int, timestamp_ns long, offset long, size long, keyframe boolean, lacing int, error string"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -78,15 +78,18 @@ def media_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def packet_table(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame of each Matroska file in ``files``; null files have none, broken ones raise."""
+    """One row per frame of each Matroska file in ``files``; null files have none, a broken one has a row that says why in ``error``."""
 
     def run(batches):
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not data.is_valid:
                     continue
-                rows = [(doc, i, p[0], p[6], p[1], p[2], p[3], p[4], p[5]) for i, p in enumerate(demux(data.as_py()).packets)]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+                try:
+                    rows = [(doc, i, p[0], p[6], p[1], p[2], p[3], p[4], p[5], None) for i, p in enumerate(demux(data.as_py()).packets)]
+                except MatroskaError as error:
+                    rows = [(doc, *[None] * 8, str(error))]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
                 names = [c.split()[0] for c in PACKETS.split(", ")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

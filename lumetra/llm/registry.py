@@ -121,4 +121,23 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(sum(edge), 0) AS INTEGER) AS n_intervals
         FROM w LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
     """,
+    # the CRC-32 of the bytes by the table of its polynomial (a fixed value)
+    "op10_sharding": """
+        WITH RECURSIVE steps(byte, bit, rest) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT byte, bit + 1, CASE WHEN rest & 1 = 1 THEN xor(rest >> 1, 3988292384) ELSE rest >> 1 END FROM steps WHERE bit < 8
+        ), crc AS (SELECT list(rest ORDER BY byte) AS entry FROM steps WHERE bit = 8
+        ), sized AS (
+            SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
+                   coalesce(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+                                            lambda c, b: xor(c >> 8, entry[xor(c & 255, b) + 1]), 4294967295), 4294967295), 0) AS text_crc32
+            FROM documents, crc
+        ), placed AS (
+            SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized
+        ), cut AS (
+            SELECT *, CAST(least(15, ((2 * before + size) * 16) // (2 * total)) AS INTEGER) AS shard FROM placed
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM cut
+    """,
 }

@@ -33,6 +33,10 @@ def test_top_k_with_little_or_nothing(spark):
     assert [tuple(r) for r in vector_file.top_k(few, k=5, every=20).collect()] == [(0, 1, 1, 64 * 64 + 128 * 32)]
     assert vector_file.top_k(few.filter("false")).count() == 0
     assert vector_file.top_k(few.filter("vec_id = 1")).count() == 0
+    none = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vector_file.top_k(none, k=2).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    twice = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in vector_file.top_k(twice, k=3).collect()) == [(0, 1, 2, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 1, 64 * 128)]
 
 
 def test_large_components_take_part_or_are_refused(spark):
@@ -50,16 +54,17 @@ def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-40, 40, (2000, 16)), rng.integers(-40, 40, (5, 16))
     cells, low, high = vector_file.quantised(x)
-    lower, upper = vector_file.bounds(q, cells, low, high)
+    at = np.arange(16)
+    lower, upper = vector_file.cell_bounds(q, low[at, cells].astype(float), high[at, cells].astype(float))
     exact = q @ x.T
     assert (lower <= exact).all() and (exact <= upper).all()
-    assert ((upper >= np.sort(lower)[:, -20][:, None]).sum(1) < 1000).all()
+    assert ((upper >= np.sort(lower)[:, -20][:, None]).sum(1) < 200).all()
 
 
 def test_large_scores_are_exact_or_refused():
-    assert vector_file.exact_scores(np.array([2**31, 1]), np.array([[2**31 - 1, 1]])).tolist() == [2**31 * (2**31 - 1) + 1]
+    assert vector_file.exact_scores(np.array([[2**31, 1], [3, 4]]), np.array([[2**31 - 1, 1], [5, 6]])).tolist() == [2**31 * (2**31 - 1) + 1, 39]
     with pytest.raises(OverflowError):
-        vector_file.exact_scores(np.array([2**40]), np.array([[2**40]]))
+        vector_file.exact_scores(np.array([[2**40]]), np.array([[2**40]]))
 
 
 @pytest.mark.parametrize("n", [64, 512, 576, 4096, 4160, 16384, 16448, 50048])
@@ -103,7 +108,9 @@ def test_media_rows(spark):
     assert rows[4]["feature"] == rows[5]["feature"] and rows[0]["media_sha256"] == rows[1]["media_sha256"]
     assert media.media_table(df.filter("false")).count() == 0
     packets = media.packet_table(media.media_files(df))
-    assert packets.filter("doc_id = 6").count() == 18 and packets.filter("track <> 1").count() == 0
+    assert packets.filter("doc_id = 6").count() == 18 and packets.filter("track <> 1").count() == 0 and packets.filter("error is not null").count() == 0
+    broken = spark.createDataFrame([(1, bytearray(b"RIFF")), (2, None), (3, bytearray(matroska.mux(b"x" * 64)))], "doc_id long, media binary")
+    assert sorted((r["doc_id"], r["error"] is None) for r in media.packet_table(broken).collect()) == [(1, False), (3, True)]
 
 
 def test_shards(spark):
