@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .extract import Options, extract_channel
@@ -31,14 +31,26 @@ def iod(spark: SparkSession, args) -> int:
     return 0
 
 
+def put_out(rows: DataFrame, path: str | None) -> None:
+    """All rows: as CSV to ``path``, else printed as they come, a partition at a time."""
+    if path:
+        rows.write.mode("overwrite").option("header", True).csv(path)
+        return
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join("" if v is None else ",".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
+
+
 def verify(spark: SparkSession, args) -> int:
     tiles.register(spark)
-    headers = spark.read.format("tiff_headers").option("path", args.path).load()
+    headers = spark.read.format("tiff_headers").option("path", args.path).option("recursive", "false").load()
     told = ome.parse(headers.withColumn("xml", F.coalesce("description", F.lit(""))), "xml")
-    none = F.lit(None).cast("string")
-    state = ome.status(F.col("length").isNotNull(), none, none, F.col("physical_size_x"), F.col("physical_size_y"), F.col("error").isNull() & F.col("description").isNotNull())
+    # sizes in micrometres out of the header's own resolution
+    per_unit = F.when(F.col("resolution_unit") == 3, F.lit(1e4)).when(F.col("resolution_unit") == 2, F.lit(25400.0))
+    own = [F.try_divide(per_unit, F.nullif(F.col(f"{a}_resolution"), F.lit(0.0))).cast("string") for a in "xy"]
+    state = ome.status(F.col("length").isNotNull(), *own, F.col("physical_size_x"), F.col("physical_size_y"), F.col("error").isNull() & F.col("description").isNotNull())
     result = told.select("path", F.round(F.col("length") / 1024.0 / 1024.0, 1).alias("size_mb"), state.alias("status"), "objective", "magnification", "channels").orderBy("path")
-    result.show(1000, truncate=False)
+    put_out(result, args.output)
     planning.tally(result, "status").show()
     return 0
 
@@ -46,15 +58,16 @@ def verify(spark: SparkSession, args) -> int:
 def extract(spark: SparkSession, args) -> int:
     tiles.register(spark)
     headers = spark.read.format("tiff_headers").option("path", args.path).load()
-    done = extract_channel(headers, args.output, Options(args.channel, args.level, args.tile, args.dry_run)).persist()
-    done.show(1000, truncate=False)
+    done = extract_channel(headers, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run)).persist()
+    put_out(done, args.report)
     return int(done.filter("not success").count() > 0)
 
 
 def plan(spark: SparkSession, args) -> int:
     found = planning.with_kind(files.listing(spark, args.roots))
     left = planning.missing_outputs(found, F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel))), files.listing(spark, args.output), least_bytes=1000)
-    planning.only_kinds(left, args.btf_only, args.vsi_only).orderBy("kind", "path").show(1000, truncate=False)
+    left = planning.only_kinds(left, args.btf_only, args.vsi_only).orderBy("kind", "path")
+    put_out(left, args.report)
     return 0
 
 
@@ -72,6 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     p.set_defaults(run=iod)
     p = sub.add_parser("verify", help="metadata of images")
     p.add_argument("path")
+    p.add_argument("--output", help="CSV of all rows instead of a printed list")
     p.set_defaults(run=verify)
     p = sub.add_parser("extract", help="one channel of colour images")
     p.add_argument("path")
@@ -79,12 +93,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--channel", type=int, default=1)
     p.add_argument("--level", type=int, default=6)
     p.add_argument("--tile", type=int, default=512)
+    p.add_argument("--compression", choices=["none", "deflate", "zstd"], default="deflate")
+    p.add_argument("--report", help="CSV of all rows instead of a printed list")
     p.add_argument("--dry-run", action="store_true")
     p.set_defaults(run=extract)
     p = sub.add_parser("plan", help="what is left to do")
     p.add_argument("roots", nargs="+")
     p.add_argument("--output", required=True)
     p.add_argument("--channel", type=int, default=1)
+    p.add_argument("--report", help="CSV of all rows instead of a printed list")
     p.add_argument("--btf-only", action="store_true")
     p.add_argument("--vsi-only", action="store_true")
     p.set_defaults(run=plan)

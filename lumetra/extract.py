@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.names import extracted_name
+from .functions.units import number, pixels_per_cm
 from .operators.ome import parse, rendered
 from .sources.tiff import TiffError, read_pages, read_region, write_tiled
 
@@ -19,15 +20,16 @@ RESULT = "path string, output string, success boolean, message string, input_byt
 
 @dataclass
 class Options:
-    """Channel (0 red, 1 green, 2 blue), deflate level, tile edge."""
+    """Channel (0 red, 1 green, 2 blue), compression (none, deflate, zstd) and its level, tile edge."""
 
     channel: int = 1
     level: int = 6
+    compression: str = "deflate"
     tile: int = 512
     dry_run: bool = False
 
 
-def extract_file(path: str, output: str, description: str | None, options: Options) -> tuple[bool, str, int]:
+def extract_file(path: str, output: str, description: str | None, resolution: tuple[float, float] | None, options: Options) -> tuple[bool, str, int]:
     """One file; a band of tiles is in memory at a time. The output appears whole or not at all."""
     part = f"{output}.part"
     try:
@@ -41,7 +43,7 @@ def extract_file(path: str, output: str, description: str | None, options: Optio
                 return True, "planned", 0
             os.makedirs(os.path.dirname(output) or ".", exist_ok=True)
             with open(part, "wb") as out:
-                size = write_tiled(out, lambda a, b: read_region(f, page, a, b)[:, :, options.channel], page.height, page.width, page.dtype, description, options.tile, options.level)
+                size = write_tiled(out, lambda a, b: read_region(f, page, a, b)[:, :, options.channel], page.height, page.width, page.dtype, description, options.tile, options.level, resolution, 1, options.compression)
         os.replace(part, output)
         return True, "extracted", size
     except (OSError, TiffError, KeyError, IndexError, MemoryError) as error:
@@ -56,7 +58,11 @@ def described(headers: DataFrame, options: Options, channel: str) -> DataFrame:
     parsed = parse(headers.withColumn("xml", F.coalesce("description", F.lit(""))), "xml")
     height, width = F.get(F.col("shape"), F.lit(0)), F.get(F.col("shape"), F.lit(1))
     document = rendered(width, height, F.col("dtype"), F.col("physical_size_x"), F.col("physical_size_y"), F.col("unit_x"), F.col("unit_y"), F.lit(channel), F.lit(f"{channel}_channel"), F.col("objective"), F.col("magnification"))
-    return parsed.select("path", "length", document.alias("document"))
+    # pixels a centimetre, from the document's sizes or else from the header's own tags
+    sized = [pixels_per_cm(number(F.col(f"physical_size_{a}")), F.col(f"unit_{a}")) for a in "xy"]
+    per_cm = F.when(F.col("resolution_unit") == 3, F.lit(1.0)).when(F.col("resolution_unit") == 2, F.lit(1 / 2.54))
+    told = [F.coalesce(s, F.nullif(F.col(f"{a}_resolution"), F.lit(0.0)) * per_cm) for s, a in zip(sized, "xy", strict=True)]
+    return parsed.select("path", "length", document.alias("document"), told[0].alias("per_cm_x"), told[1].alias("per_cm_y"))
 
 
 def extract_channel(headers: DataFrame, folder: str, options: Options | None = None) -> DataFrame:
@@ -68,7 +74,8 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ok, message, size = extract_file(row["path"], row["output"], row["document"], options)
+                resolution = None if None in (row["per_cm_x"], row["per_cm_y"]) else (row["per_cm_x"], row["per_cm_y"])
+                ok, message, size = extract_file(row["path"], row["output"], row["document"], resolution, options)
                 yield pa.RecordBatch.from_pylist([{"path": row["path"], "output": row["output"], "success": ok, "message": message, "input_bytes": row["length"], "output_bytes": size}], pa.schema([("path", pa.string()), ("output", pa.string()), ("success", pa.bool_()), ("message", pa.string()), ("input_bytes", pa.int64()), ("output_bytes", pa.int64())]))
 
     return planned.repartition("path").mapInArrow(run, RESULT)

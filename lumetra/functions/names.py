@@ -72,6 +72,16 @@ def xml_part(text: Column) -> Column:
     return F.when(declared > 0, F.substring(text, declared, F.length(text))).when(root > 0, F.substring(text, root, F.length(text))).otherwise(text)
 
 
+def lines_without(text: Column, part: str) -> Column:
+    """The lines that do not hold a text."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.contains(line, F.lit(part))), "\n")
+
+
+def stamp(time: Column) -> Column:
+    """A time as the log lines of a batch have it."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+
+
 def last_lines(text: Column, n: int) -> Column:
     lines = F.split(text, "\n")
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
@@ -83,3 +93,8 @@ PLATE = r"^(.*)_([A-P][0-9]{2})_s([0-9])_w([0-9])"
 
 def plate_fields(name: Column) -> list[Column]:
     return [F.nullif(F.regexp_extract(name, PLATE, i), F.lit("")).alias(c) for i, c in enumerate(("plate", "well", "site", "channel_number"), 1)]
+
+
+def folder_date(folder: Column) -> Column:
+    """The date, as YYYY_MM_DD, that ends a folder's name (fixed pattern)."""
+    return F.nullif(F.regexp_extract(folder, r"([0-9]{4}_[0-9]{2}_[0-9]{2})$", 1), F.lit(""))

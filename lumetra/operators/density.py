@@ -22,6 +22,16 @@ def background(pixels: DataFrame, value: str, keys: list[str] = (), percentile:
     return counts.groupBy(*keys).agg(F.percentile(F.col(value), percentile / 100.0, F.col("_n")).alias("background"))
 
 
+def ranked_percentile(pixels: DataFrame, value: str, percentile: float = 95.0) -> DataFrame:
+    """The same over the whole table for values of any number of levels, from ranks by range partitions."""
+    ranked = global_rank(pixels.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_id")), ["_v", "_id"])
+    at = (F.col("total") - 1) * (percentile / 100.0) + 1
+    near = ranked.filter((F.col("rank") >= F.floor(at)) & (F.col("rank") <= F.ceil(at)))
+    # one or two rows are left
+    low, high, part = F.min("_v"), F.max("_v"), F.max(at - F.floor(at))
+    return near.agg((low + (high - low) * part).alias("background"))
+
+
 def with_background(pixels: DataFrame, levels: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Every pixel with its image's background; without keys there is one level for all."""
     if not keys:

@@ -60,16 +60,59 @@ def clear_of_border(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.filter((F.col("min_x") > 0) & (F.col("min_y") > 0) & (F.col("max_x") < width - 1) & (F.col("max_y") < height - 1))
 
 
-def histogram(pixels: DataFrame, value: str) -> DataFrame:
-    return pixels.groupBy(F.col(value).cast("double").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+#: Levels that a histogram may have before thresholds are looked for in all pairs of them.
+MOST_LEVELS = 4096
 
 
-def otsu(levels: DataFrame, classes: int = 2) -> DataFrame:
+def histogram(pixels: DataFrame, value: str, keys: list[str] = (), bins: int | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(level, n) of the values, for each image named by ``keys``; with ``bins``, levels are the lower ends of equal parts of low to high."""
+    v = F.col(value).cast("double")
+    if bins is not None:
+        v = F.lit(low) + F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - low) * (bins / (high - low))))) * F.lit((high - low) / bins)
+    return pixels.groupBy(*keys, v.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def corrected(thresholds: DataFrame, columns: list[str], factor: float = 1.0, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Thresholds times a factor, held to their bounds."""
+    return thresholds.withColumns({c: F.greatest(F.lit(low), F.least(F.lit(high), F.col(c) * factor)) for c in columns})
+
+
+def window_thresholds(pixels: DataFrame, value: str = "v", window: int = 100, bins: int = 64, low: float = 0.0, high: float = 1.0, factor: float = 1.0, keys: list[str] = ()) -> DataFrame:
+    """Three-class thresholds (low, high) of each window of an image, (row, column) of ``window`` pixels squared.
+
+    Every window has at most ``bins`` levels, so all its pairs of levels fit a row's arrays.
+    """
+    by = [*keys, "row", "column"]
+    placed = pixels.withColumn("row", F.floor(F.col("y") / window).cast("long")).withColumn("column", F.floor(F.col("x") / window).cast("long"))
+    counts = histogram(placed, value, by, bins, low, high)
+    mass = F.col("n") * F.col("level")
+    upto = W.partitionBy(*by).orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*by)
+    c = counts.select(*by, "level", F.sum("n").over(upto).alias("w"), F.sum(mass).over(upto).alias("m"), F.sum("n").over(whole).alias("tw"), F.sum(mass).over(whole).alias("tm"))
+    held = c.groupBy(*by, "tw", "tm").agg(F.sort_array(F.collect_list(F.struct("level", "w", "m"))).alias("c"))
+    return corrected(held.select(*by, best_pair("c", F.col("tw"), F.col("tm")).alias("_b")).select(*by, "_b.low", "_b.high"), ["low", "high"], factor, low, high)
+
+
+def best_pair(levels: str, total, mass):
+    """(low, high) of the greatest between-class variance, the lowest of equal ones, out of sorted (level, w, m); one level stands for both."""
+    term = lambda w, m: F.try_divide(m * m, w)
+    def against(a):
+        return F.transform(F.filter(levels, lambda b: (b["level"] > a["level"]) & (b["w"] < total)), lambda b: F.struct(F.round(term(a["w"], a["m"]) + term(b["w"] - a["w"], b["m"] - a["m"]) + term(total - b["w"], mass - b["m"]), 6).alias("score"), (-a["level"]).alias("low"), (-b["level"]).alias("high")))
+
+    best = F.array_max(F.flatten(F.transform(levels, against)))
+    first = F.get(F.col(levels), F.lit(0))["level"]
+    return F.struct(F.coalesce(-best["low"], first).alias("low"), F.coalesce(-best["high"], first).alias("high"))
+
+
+def otsu(levels: DataFrame, classes: int = 2, most_levels: int = MOST_LEVELS) -> DataFrame:
     """Thresholds of greatest between-class variance over a histogram (level, n): two or three classes.
 
-    Works on the histogram, whose rows are bounded by the number of levels; of
-    equal variances the lowest thresholds win.
+    Works on the histogram; of equal variances the lowest thresholds win. Three
+    classes look at all pairs of levels, so a histogram of more than
+    ``most_levels`` is refused: give ``histogram`` a number of bins.
     """
+    if classes == 3 and levels.count() > most_levels:
+        raise ValueError(f"more than {most_levels} levels; bin the histogram")
     upto = W.orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
     everything = W.orderBy("level").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     mass = F.col("n") * F.col("level")
@@ -85,11 +128,35 @@ def otsu(levels: DataFrame, classes: int = 2) -> DataFrame:
     return pairs.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "low", "high").limit(1).select("low", "high")
 
 
-def local_maxima(pixels: DataFrame, radius: int = 3) -> DataFrame:
-    """Pixels (y, x, v) that are greatest in the square of ``radius`` around them (ties all stand).
+def local_maxima(pixels: DataFrame, radius: int = 3, keys: list[str] = ()) -> DataFrame:
+    """Pixels (y, x, v), of each image named by ``keys``, that are greatest in the square of ``radius`` around them (ties all stand).
 
-    Each pixel is offered to its neighbours' cells; the greatest offer decides.
+    The greatest of a square is the greatest along columns of what is the
+    greatest along rows: each pixel is offered to 2 * radius + 1 cells, twice.
     """
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    offers = pixels.withColumn("_dy", F.explode(reach)).withColumn("_dx", F.explode(reach)).groupBy((F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).agg(F.max("v").alias("_top"))
-    return pixels.join(offers, ["y", "x"]).filter("v = _top").drop("_top")
+    along = lambda held, axis, other: held.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).groupBy(*keys, other, (F.col(axis) + F.col("_d")).alias(axis)).agg(F.max("_top").alias("_top"))
+    offers = along(along(pixels.select(*keys, "y", "x", F.col("v").alias("_top")), "x", "y"), "y", "x")
+    return pixels.join(offers, [*keys, "y", "x"]).filter("v = _top").drop("_top")
+
+
+def smoothed(pixels: DataFrame, scale: float = 1.0, radius: int | None = None, keys: list[str] = (), digits: int = 6) -> DataFrame:
+    """Pixels under a Gaussian of a standard deviation ``scale``, cut at ``radius`` (three of them); weights of what lies outside the image are left out."""
+    radius = max(1, round(3 * scale)) if radius is None else radius
+    weight = F.exp(-(F.col("_d") * F.col("_d")) / F.lit(2.0 * scale * scale))
+
+    def along(held, axis, other):
+        spread = held.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("_g", weight)
+        return spread.groupBy(*keys, other, (F.col(axis) + F.col("_d")).alias(axis)).agg(F.sum(F.col("_g") * F.col("_v")).alias("_v"), F.sum(F.col("_g") * F.col("_n")).alias("_n"))
+
+    held = along(along(pixels.select(*keys, "y", "x", F.col("v").cast("double").alias("_v"), F.lit(1.0).alias("_n")), "x", "y"), "y", "x")
+    return pixels.select(*keys, "y", "x").join(held, [*keys, "y", "x"]).select(*keys, "y", "x", F.round(F.col("_v") / F.col("_n"), digits).alias("v"))
+
+
+def perimeters(objects: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """Perimeter of labelled pixels (y, x), the number of their edges on which no pixel of the object lies, with area and form factor 4 pi area / perimeter^2."""
+    side = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))]))
+    # a cell is offered by itself and by its neighbours: it has as many inner edges as offers of theirs
+    offers = objects.select(key, "y", "x").withColumn("_s", side).groupBy(key, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"))
+    cells = offers.agg(F.max((F.col("_s.dy") == 0) & (F.col("_s.dx") == 0)).alias("_own"), F.count(F.lit(1)).alias("_n")).filter("_own")
+    sums = cells.groupBy(key).agg(F.count(F.lit(1)).alias("area"), F.sum(5 - F.col("_n")).alias("perimeter"))
+    return sums.withColumn("form_factor", F.round(4 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter")), digits))

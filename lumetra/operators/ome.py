@@ -28,7 +28,10 @@ def parse(documents: DataFrame, text: str) -> DataFrame:
     """Add the fields of the first image of each document, and its warnings."""
     found = documents.withColumn("_ome", parsed(F.col(text)))
     pixels = F.get(F.col("_ome.Image"), F.lit(0)).getField("Pixels")
-    objective = F.get(F.get(F.col("_ome.Instrument"), F.lit(0)).getField("Objective"), F.lit(0))
+    # the first objective that tells its magnification, in whatever instrument
+    none = F.array().cast("array<struct<_ID:string,_Model:string,_NominalMagnification:string>>")
+    objectives = F.flatten(F.transform(F.col("_ome.Instrument"), lambda i: F.coalesce(i.getField("Objective"), none)))
+    objective = F.get(F.filter(objectives, lambda o: o.getField("_NominalMagnification").isNotNull()), F.lit(0))
     size = lambda axis: pixels.getField(f"_PhysicalSize{axis}")
     unit = lambda axis: F.when(size(axis).isNotNull(), F.coalesce(pixels.getField(f"_PhysicalSize{axis}Unit"), F.lit(DEFAULT_UNIT)))
     malformed = F.col("_ome._corrupt_record").isNotNull() | F.col("_ome").isNull()
@@ -63,6 +66,15 @@ def status_icon(state: Column) -> Column:
     return F.coalesce(known[state], F.lit("?"))
 
 
+#: What to tell of a status (fixed values, as reports have them).
+MESSAGES = {"valid": "Ready for analysis", "missing_metadata": "Missing pixel size - measurements will be in pixels only"}
+
+
+def status_message(state: Column) -> Column:
+    """A line for the statuses that have one, else null."""
+    return F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[state]
+
+
 def _attribute(name: str, value: Column) -> Column:
     escaped = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     return F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), escaped, F.lit('"'))).otherwise(F.lit(""))

@@ -29,6 +29,11 @@ def visible_images(files: DataFrame, path: str = "path") -> DataFrame:
     return files.filter(~F.col(path).rlike(r"[\\/]\.") & F.lower(F.col(path)).rlike(r"\.(btf|tiff?|png|jpe?g|bmp|gif)$"))
 
 
+def named_like(files: DataFrame, part: str, path: str = "path") -> DataFrame:
+    """Images whose file name holds a text, in the order of their paths: one set of images."""
+    return files.filter(F.contains(base_name(F.col(path)), F.lit(part))).orderBy(path)
+
+
 def only_kinds(files: DataFrame, raw_only: bool = False, slides_only: bool = False) -> DataFrame:
     """The two switches; both together leave nothing."""
     if raw_only:

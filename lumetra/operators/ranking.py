@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``rank`` (from 1, in the order of the columns, which must tell rows apart) and ``total``.
 
     Range partitions are counted; a row's rank is the count of the partitions
-    before its own and its place inside.
+    before its own and its place inside. Rows and counts must see the same
+    partitions, so these are computed once, into the checkpoint folder.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    shared_folder(df.sparkSession)
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.optics import coefficient_of_variation
+from .ranking import global_rank
 
 
 def category_counts(files: DataFrame, category: str) -> DataFrame:
@@ -13,8 +14,15 @@ def category_counts(files: DataFrame, category: str) -> DataFrame:
     return files.rollup(category).agg(F.count(F.lit(1)).alias("n"), F.grouping(category).alias("_all")).select(F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(category)).alias(category), "n")
 
 
+def numbered_by_directory(files: DataFrame, directory: str, name: str) -> DataFrame:
+    """Each file with its place (from 1) among the names of its directory, however many these are."""
+    ranked = global_rank(files.select(directory, name), [directory, name])
+    first = ranked.groupBy(directory).agg(F.min("rank").alias("_first"))
+    return ranked.join(first, directory).select(directory, name, (F.col("rank") - F.col("_first") + 1).alias("place"))
+
+
 def by_directory(files: DataFrame, directory: str, name: str) -> DataFrame:
-    """Each directory with its file names in order."""
+    """Each directory with its file names in order, in one row: for directories of few files."""
     return files.groupBy(directory).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(name)), ",").alias("names"))
 
 
@@ -44,6 +52,11 @@ def measurement_stats(objects: DataFrame, key: str, value: str, digits: int = 6)
     )
 
 
+def surviving_parents(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
+    """Primary objects whose secondary object is there, by image and object."""
+    return parents.join(children.select(*keys).distinct(), keys, "left_semi")
+
+
 def nuclear_ratio(nuclei: DataFrame, cells: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Nucleus area over cell area, joined by image and object."""
     return nuclei.join(cells, keys).select(*keys, F.round(F.try_divide("nucleus_area", "cell_area"), digits).alias("nc_ratio"))

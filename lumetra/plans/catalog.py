@@ -39,12 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT quantile_cont(l_quantity, 0.95) AS background FROM lineitem")
 def background_percentile(spark, d):
-    return table(spark, d, "lineitem").agg(F.percentile("l_quantity", 0.95).alias("background"))
+    return density.ranked_percentile(table(spark, d, "lineitem"), "l_quantity")
 
 
 @query("SELECT round(quantile_cont(value, 0.95), 6) AS background FROM events")
 def background_percentile_float(spark, d):
-    return table(spark, d, "events").agg(F.round(F.percentile("value", 0.95), 6).alias("background"))
+    return density.ranked_percentile(table(spark, d, "events"), "value").select(F.round("background", 6).alias("background"))
 
 
 @query("SELECT quantile_cont(l_quantity, 0.95) AS background FROM lineitem")

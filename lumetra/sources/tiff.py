@@ -1,6 +1,6 @@
 """Baseline TIFF and BigTIFF in pure Python: headers, regions of tiles or strips, tiled writing.
 
-Reads uncompressed, deflate and LZW data with or without horizontal
+Reads uncompressed, deflate, zstd and LZW data with or without horizontal
 differencing, chunky samples of 8, 16 or 32 bits; regions only touch the tiles
 or strips they meet.
 """
@@ -18,7 +18,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259,
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, X_RESOLUTION, Y_RESOLUTION, PLANAR, RESOLUTION_UNIT = 273, 277, 278, 279, 282, 283, 284, 296
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
-NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+NONE, LZW, DEFLATE, ZSTD, OLD_DEFLATE = 1, 5, 8, 50000, 32946
+COMPRESSIONS = {"none": NONE, "deflate": DEFLATE, "zstd": ZSTD}
 
 
 class TiffError(ValueError):
@@ -144,6 +145,10 @@ def _decoded(page: Page, data: bytes, h: int, w: int) -> np.ndarray:
         data = zlib.decompress(data)
     elif how == LZW:
         data = expand_lzw(data)
+    elif how == ZSTD:
+        import zstandard
+
+        data = zstandard.ZstdDecompressor().decompress(data, max_output_size=h * w * page.samples * page.dtype.itemsize)
     elif how != NONE:
         raise TiffError(f"compression {how} is not supported")
     block = np.frombuffer(data, page.dtype, h * w * page.samples).reshape(h, w, page.samples)
@@ -176,9 +181,17 @@ def read_region(f, page: Page, y0: int, y1: int, x0: int = 0, x1: int | None = N
     return out
 
 
-def write_tiled(f, rows, height: int, width: int, dtype, description: str | None = None, tile: int = 512, level: int = 6, resolution: tuple[float, float] | None = None, samples: int = 1) -> int:
-    """A tiled deflate BigTIFF of one page from ``rows(y0, y1)``, a band of tiles in memory at a time; gives the bytes written."""
-    dtype = np.dtype(dtype).newbyteorder("<")
+def packer(compression: str, level: int):
+    if compression == "zstd":
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=level).compress
+    return {"none": bytes, "deflate": lambda data: zlib.compress(data, level)}[compression]
+
+
+def write_tiled(f, rows, height: int, width: int, dtype, description: str | None = None, tile: int = 512, level: int = 6, resolution: tuple[float, float] | None = None, samples: int = 1, compression: str = "deflate") -> int:
+    """A tiled BigTIFF of one page, ``none``, ``deflate`` or ``zstd``, from ``rows(y0, y1)``, a band of tiles in memory at a time; gives the bytes written."""
+    dtype, packed = np.dtype(dtype).newbyteorder("<"), packer(compression, level)
     f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
     offsets, counts = [], []
     for y in range(0, height, tile):
@@ -187,7 +200,7 @@ def write_tiled(f, rows, height: int, width: int, dtype, description: str | None
             part = band[:, x : x + tile]
             block = np.zeros((tile, tile, samples), dtype)
             block[: part.shape[0], : part.shape[1]] = part
-            data = zlib.compress(block.tobytes(), level)
+            data = packed(block.tobytes())
             offsets.append(f.tell())
             counts.append(len(data))
             f.write(data)
@@ -201,7 +214,7 @@ def write_tiled(f, rows, height: int, width: int, dtype, description: str | None
     add(WIDTH, 4, width)
     add(HEIGHT, 4, height)
     add(BITS, 3, *[dtype.itemsize * 8] * samples)
-    add(COMPRESSION, 3, DEFLATE)
+    add(COMPRESSION, 3, COMPRESSIONS[compression])
     add(PHOTOMETRIC, 3, 1 if samples == 1 else 2)
     if description is not None:
         text = description.encode() + b"\0"

@@ -9,6 +9,8 @@ from __future__ import annotations
 import glob
 import os
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
@@ -19,13 +21,21 @@ HEADERS = "path string, length long, n_pages int, shape array<int>, dtype string
 
 
 def paths_of(options: dict) -> list[str]:
+    """A file, the matches of a pattern, or the images of a directory (``recursive``: true or false)."""
     path = options["path"]
     if os.path.isdir(path):
-        found = glob.glob(os.path.join(path, "**", "*"), recursive=True)
+        deep = options.get("recursive", "true").lower() == "true"
+        found = glob.glob(os.path.join(path, "**", "*") if deep else os.path.join(path, "*"), recursive=deep)
         return sorted(p for p in found if p.lower().endswith((".tif", ".tiff", ".btf")))
     return sorted(glob.glob(path)) or [path]
 
 
+INTS = ("page", "channel", "y0", "x0", "h", "w")
+ARROW_TILES = pa.schema([("image_id", pa.string()), *[(c, pa.int32()) for c in INTS], ("dtype", pa.string()), ("data", pa.list_(pa.int32()))])
+#: Tiles of a batch of rows.
+BATCH_TILES = 8
+
+
 class Band(InputPartition):
     def __init__(self, path: str, y0: int, y1: int):
         super().__init__((path, y0, y1))
@@ -57,12 +67,21 @@ class TileReader(DataSourceReader):
         with open(band.path, "rb") as f:
             page = read_pages(f, 1)[0]
             for y in range(band.y0, band.y1, self.tile):
-                for x in range(0, page.width, self.tile):
-                    block = read_region(f, page, y, min(y + self.tile, band.y1), x, x + self.tile)
-                    h, w, n = block.shape
-                    for c in range(n):
-                        if self.channel is None or c == self.channel:
-                            yield (band.path, 0, c, y, x, h, w, page.dtype.name, block[:, :, c].ravel().tolist())
+                # a row of tiles at a time: strips, which span the width, are decoded once
+                whole = read_region(f, page, y, min(y + self.tile, band.y1))
+                channels = range(page.samples) if self.channel is None else [self.channel] if 0 <= self.channel < page.samples else []
+                places = [(c, x) for x in range(0, page.width, self.tile) for c in channels]
+                for begin in range(0, len(places), BATCH_TILES):
+                    yield self.batch(band.path, page, y, whole, places[begin : begin + BATCH_TILES])
+
+    def batch(self, path: str, page, y: int, whole, places: list[tuple[int, int]]) -> pa.RecordBatch:
+        blocks = [whole[:, x : x + self.tile, c] for c, x in places]
+        ints = lambda values: pa.array(values, pa.int32())
+        cells = np.concatenate([b.ravel() for b in blocks])
+        data = pa.ListArray.from_arrays(ints(np.append(0, np.cumsum([b.size for b in blocks]))), ints(cells.astype(np.int32)))
+        n = len(places)
+        arrays = [pa.array([path] * n), ints([0] * n), ints([c for c, _ in places]), ints([y] * n), ints([x for _, x in places]), ints([b.shape[0] for b in blocks]), ints([b.shape[1] for b in blocks]), pa.array([page.dtype.name] * n), data]
+        return pa.RecordBatch.from_arrays(arrays, schema=ARROW_TILES)
 
 
 class TiffTiles(DataSource):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lumetra.plans import catalog
+from lumetra.plans import catalog, file_catalog  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
