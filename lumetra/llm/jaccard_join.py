@@ -9,8 +9,9 @@ difference is at most d = (a + b) * (1 - t) / (1 + t).
 Sizes fall into bands such that linked sets are in one band or in neighbours;
 each pair of neighbouring bands has one d and a sketch of d + c blocks. By the
 pigeonhole principle linked sets agree in at least c blocks, each of which is
-kept folded to 64 bits (the XOR of one code per toggled bit). Blocks are
-ordered by how often they occur in the corpus; each document keeps its d + 1
+kept folded to 64 bits (the XOR of one code per toggled bit). A document with
+fewer than c blocks that occur elsewhere has no partner and stands aside. Blocks
+are ordered by how often they occur in the corpus; each document keeps its d + 1
 rarest, and two documents that agree in c blocks still share one of these.
 Common blocks (empty ones, passages everyone has) are what falls away.
 
@@ -19,10 +20,12 @@ group. In each of a few rounds every block that holds documents of different
 components has a centre, each document is compared with the centre that shares
 most of its blocks, and components are formed anew. Then, for blocks whose
 documents are still in different components, sets are compared across
-components: blocks of up to ``SMALL`` documents by the Hamming distance of
-their dense parity sketches, and the pairs that these let through exactly;
-larger blocks in tiles of bounded size, where documents outside the block's
-largest component meet all others. What is not compared is already connected.
+components. Blocks of up to ``SMALL`` documents with one centre are put
+together, as they hold much the same documents, and up to ``SMALL`` of these are
+compared by the Hamming distance of their dense parity sketches, the pairs that
+these let through exactly. Larger groups and blocks are compared in tiles of
+bounded size, where documents outside the largest component meet all others.
+What is not compared is already connected.
 
 Defined cases: a null or blank text has no shingle and is linked with nothing;
 fewer words than five give one shingle; documents with equal sets are one
@@ -54,7 +57,7 @@ SLICE = (1 << 20) - 64
 SMALL = 128
 TILE = 2048
 #: Rounds of stars, each with other centres, before components are compared in full.
-TURNS = 3
+TURNS = 2
 
 SIZES = "g int, doc_id long, n_shingles long, k1 long, k2 long"
 OFFERS = "doc_id long, n_shingles long, key long, hashes binary, sketch binary"
@@ -197,7 +200,10 @@ def signals_of(group: Group, chosen: set[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def offers_of(group: Group, chosen: set[int], answers: pa.Table, n_buckets: int) -> pa.Table:
-    """The d + 1 rarest of the repeated blocks of each document and slot (a row each), and the sets of documents that have one."""
+    """The d + 1 rarest of the repeated blocks of each document and slot (a row each), and the sets of documents that have one.
+
+    Linked documents agree in ``spare`` blocks at least, all of them repeated: slots with fewer offer nothing.
+    """
     known, times = found_keys(answers)
     doc, key_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     with_set: list[list] = [[], [], [], []]
@@ -205,11 +211,9 @@ def offers_of(group: Group, chosen: set[int], answers: pa.Table, n_buckets: int)
         key, of, slot = block_keys(values, bounds)
         place = lookup(known, bucket_key(key, n_buckets))
         count = np.where(place >= 0, times[np.maximum(place, 0)] if len(times) else 1, 1).astype(np.int64)
-        touched = np.zeros(len(ids), bool)
-        touched[of[count > 1]] = True
-        some = np.flatnonzero(touched[of])
-        key, of, slot, count = key[some], of[some], slot[some], count[some]
         part = of * 2 + (slot & 1)
+        some = np.flatnonzero(np.bincount(part[count > 1], minlength=2 * len(ids))[part] >= spare(slot >> 1))
+        key, of, slot, count, part = key[some], of[some], slot[some], count[some], part[some]
         order = np.lexsort((key, count, part))
         key, of, slot, count, part = key[order], of[order], slot[order], count[order], part[order]
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -343,27 +347,31 @@ def opened(offers: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFra
     a rule, so that only the others ask: the least doc_id, in later turns the least hash.
     """
     if roots is None:
-        named = offers.withColumn("label", F.col("doc_id"))
-    else:
-        named = offers.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
-    first = F.min(F.struct("label", (F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), "doc_id")).alias("_first")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first, F.count(F.lit(1)).alias("members")).filter("_low < _high")
-    return named.join(open_keys.select("key", "members", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
+        opens = offers.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_high"), F.count(F.lit(1)).alias("members")).filter("centre < _high")
+        return offers.withColumn("label", F.col("doc_id")).join(opens.select("key", "members", "centre", F.col("centre").alias("centre_label")), "key")
+    named = offers.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+    first = F.min(F.struct("label", F.xxhash64("doc_id", F.lit(turn)).alias("order"), "doc_id")).alias("_first")
+    opens = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first, F.count(F.lit(1)).alias("members")).filter("_low < _high")
+    return named.join(opens.select("key", "members", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
 
 
-def star_links(offers: DataFrame, sets: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+def star_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of each document with the centre of another component that shares most blocks with it."""
-    asked = opened(offers, roots, turn).filter("label <> centre_label").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    asked = left.filter("label <> centre_label").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("shared"))
     best = asked.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("centre")).alias("centre"))).alias("best"))
     return verified(best.select(F.col("doc_id").alias("a"), (-F.col("best.centre")).alias("b")), sets)
 
 
-def small_links(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components in small blocks: by the sketches of a block's documents, then exactly."""
-    # blocks of the same documents count once
-    blocks = left.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "label"))).alias("docs")).select("docs").distinct()
-    numbered = blocks.select(F.xxhash64("docs").alias("block"), F.explode("docs").alias("m")).select("block", "m.*")
-    met = numbered.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+def by_centre(left: DataFrame) -> DataFrame:
+    """Documents of small blocks put together by their blocks' centre: key, doc_id, label, members."""
+    rows = left.filter(F.col("members") <= SMALL).select(F.xxhash64("centre").alias("key"), "doc_id", "label").distinct()
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    return rows.join(size, "key")
+
+
+def small_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in groups of at most ``SMALL`` documents: by their sketches, then exactly."""
+    met = groups.select(F.col("key").alias("block"), "doc_id", "label").join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
     held = met.groupBy("block").agg(*[F.collect_list(F.col(c)).alias(c) for c in ("doc_id", "label", "n_shingles", "sketch")])
 
     def near(batches):
@@ -377,13 +385,12 @@ def small_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     return verified(pairs, sets, sketched=True)
 
 
-def tile_links(left: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links across components in large blocks, in tiles of about ``tile`` documents squared.
+def tile_links(large: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links across components in large blocks and groups, in tiles of about ``tile`` documents squared.
 
     Documents of a block's largest component lie in one row of tiles each;
     those outside it meet every such tile, and each other in tiles of theirs.
     """
-    large = left.filter(F.col("members") > SMALL).select("key", "doc_id", "label", "members")
     most = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
     over = lambda n: F.ceil(n / tile).cast("int")
     named = large.join(most, "key").withColumns({"inside": F.col("label") == F.col("most.label"), "rows": over(F.col("most.n")), "cuts": over(F.col("members") - F.col("most.n"))})
@@ -428,11 +435,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = table.filter("key is null").select("doc_id", "n_shingles", "hashes", "sketch")
     filled = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     links, roots = checkpointed(one_node(sizes.filter(filled), classes)), None
-    for turn in range(TURNS):
-        links = checkpointed(links.unionByName(star_links(offers, sets, roots, turn)))
+    left = opened(offers, None)
+    for turn in range(1, TURNS + 1):
+        links = checkpointed(links.unionByName(star_links(left, sets)))
         roots = components(links)
-    left = checkpointed(opened(offers, roots, TURNS).select("key", "doc_id", "label", "members"))
-    roots = components(links.unionByName(tile_links(left, sets)).unionByName(small_links(left, sets)))
+        # a block that holds one component stays closed
+        left = checkpointed(opened(offers if turn == 1 else left.select("doc_id", "key"), roots, turn))
+    groups, fits = checkpointed(by_centre(left)), F.col("members") <= SMALL
+    large = left.select(groups.columns).filter(~fits).unionByName(groups.filter(~fits))
+    roots = components(links.unionByName(tile_links(large, sets)).unionByName(small_links(groups.filter(fits), sets)))
     # classes with their component, and every document with its class
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     members = sizes.filter(filled).join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
