@@ -121,6 +121,43 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(sum(edge), 0) AS INTEGER) AS n_intervals
         FROM w LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
     """,
+    "op6_parity_sketch": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t-\r ]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))
+                                                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+            SELECT a, b FROM pairs JOIN n AS na ON a = na.doc_id JOIN n AS nb ON b = nb.doc_id WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+        ), reached AS (
+            SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT b, root FROM reached JOIN links ON node = a
+        )
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(root), w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reached ON node = w.doc_id GROUP BY w.doc_id
+    """,
+    "op7_difference_cover": """
+        WITH b AS (
+            SELECT doc_id, unnest(bytes) AS h, generate_subscripts(bytes, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents)
+        ), b2 AS (SELECT *, h || lead(h, 1) OVER o AS h2 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ), b4 AS (SELECT *, h2 || lead(h2, 2) OVER o AS h4 FROM b2 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ), b8 AS (SELECT *, h4 || lead(h4, 4) OVER o AS h8 FROM b4 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ), b16 AS (SELECT doc_id, pos, h, h2, h8 || lead(h8, 8) OVER o AS h16 FROM b8 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ), k AS (SELECT doc_id, pos, h, h16 || lead(h16, 16) OVER o || lead(h16, 32) OVER o || lead(h2, 48) OVER o AS string FROM b16 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ), f AS (
+            SELECT string, min(doc_id) AS least FROM k WHERE string IS NOT NULL GROUP BY string HAVING min(doc_id) < max(doc_id)
+        ), c AS (
+            SELECT doc_id, pos, h, max(CASE WHEN f.least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM k LEFT JOIN f USING (string)
+        ), r AS (
+            SELECT doc_id, pos, h, gone, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS edge FROM c
+        )
+        SELECT d.doc_id, count(r.pos) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(edge), 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE gone = 0), ''))) AS kept_sha256
+        FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+    """,
     # the CRC-32 of the bytes by the table of its polynomial (a fixed value)
     "op10_sharding": """
         WITH RECURSIVE steps(byte, bit, rest) AS (
