@@ -61,6 +61,14 @@ def map_texts(rows: DataFrame, work: Callable[[pa.RecordBatch, Texts], pa.Record
     return rows.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def column(batch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars, all in DataFrames."""
+"""Connected components by alternating large and small stars, all in DataFrames.
+
+Defined cases: edges may be repeated, in either direction, or lead from a node
+to itself; edges with a null end are left out; no edges give no rows.
+"""
 
 from __future__ import annotations
 

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, stored, text_rows
+from .base import checkpointed, fresh, stored, text_rows
 from .components import components
 from .exchange import ANSWER, Group, bucket_key, found_keys, lookup, pack, plan_groups, repeated, together, trimmed
 from .vectext import Texts, chained, lowered, mix, owner, window_starts, word_hashes, words
@@ -476,8 +476,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Equal rows count once; documents without an identifier or without words all stay.
     """
     groups = checkpointed(near_duplicates(docs))
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    doc_id = F.col("doc_id").cast("long")
-    left = docs.join(kept, doc_id == F.col("_kept"), "left_semi").unionByName(docs.filter(doc_id.isNull()))
+    own, doc_id = fresh(docs, "_kept"), F.col("doc_id").cast("long")
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(kept, doc_id == F.col(own), "left_semi").unionByName(docs.filter(doc_id.isNull()))
     repeats = groups.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
     return left if repeats.isEmpty() else left.distinct()

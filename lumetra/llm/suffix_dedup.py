@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sha256_hex, text_rows
+from .base import fresh, sha256_hex, text_rows
 from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together, trimmed
 from .suffix_array import window_classes
 from .vectext import SEED, eights, merge_spans, mix, owner, same_spans, span_hashes
@@ -298,8 +298,11 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     found = remove_repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select("row_key", "kept")
     # rows equal in doc_id and text lose the same bytes
-    kept = found.mapInArrow(decode, "_row long, _kept string").groupBy("_row").agg(F.first("_kept").alias("_kept"))
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    text = F.coalesce("_kept", "text")
-    fields = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.char_length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(kept, "_row", "left").select(fields)
+    row, new = fresh(docs, "_row"), fresh(docs, "_kept")
+    kept = found.mapInArrow(decode, "_row long, _kept string").groupBy(F.col("_row").alias(row)).agg(F.first("_kept").alias(new))
+    keyed = docs.withColumn(row, row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    fields = {c: F.col(f"`{c}`") for c in docs.columns}
+    fields["text"] = F.coalesce(new, "text").alias("text")
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.char_length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return keyed.join(kept, row, "left").select(*fields.values())

@@ -225,6 +225,8 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = [(1, None), (None, None), (3, 2), (2, 3), (3, 2), (4, 4)]
+    assert [tuple(r) for r in components(spark.createDataFrame(odd, "a long, b long")).collect()] == [(3, 2)]
 
 
 def test_blobs_round_trip():
