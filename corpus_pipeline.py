@@ -1,7 +1,14 @@
 """From raw documents to packed sequences: reject, deduplicate, clean, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-it kept; ``run`` chains them over ``documents``.
+it kept; ``run`` chains them over ``documents``. All but the last give the rows
+of ``docs`` with its columns, whatever these are called.
+
+Defined cases: a null text is scored, kept and packed as an empty one, and stays
+null until it is packed; a null doc_id is kept by every stage, equals no other
+and takes nothing from any; of rows equal in doc_id and text the second stage
+keeps one; of near-duplicates the least doc_id stays, and of several texts under
+that doc_id each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
