@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from .base import checkpointed
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (a, b) with a > b."""
+#: Edges from which a round writes its minima before it joins them.
+LARGE = 2_000_000
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One large-star and one small-star step over edges (a, b) with a > b.
+
+    A root meets all its edges by its own key. Where minima are written first
+    (``large``), both sides of that join are plain shuffles, and adaptive
+    execution splits the root's side over as many tasks as it needs.
+    """
+    apart = checkpointed if large else lambda df: df
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    root = large.groupBy("a").agg(F.min("b").alias("m"))
-    joined = large.join(root, "a")
+    least = apart(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+    hung = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    hung = apart(hung)
+    root = apart(hung.groupBy("a").agg(F.min("b").alias("m")))
+    joined = hung.join(root, "a")
     small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b")))
     return small.filter("a > b").distinct()
 
@@ -37,4 +48,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-        edges = checkpointed(_stars(edges))
+        edges = checkpointed(_stars(edges, now[0] > LARGE))

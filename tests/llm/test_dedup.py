@@ -220,7 +220,9 @@ def test_cover_is_a_difference_cover():
         suffix_array.shifts(31, (1, 2, 3))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("large", [2_000_000, 0])
+def test_components_of_chains_and_stars(spark, large, monkeypatch):
+    monkeypatch.setattr("lumetra.llm.components.LARGE", large)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
