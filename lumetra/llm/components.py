@@ -6,12 +6,15 @@ to itself; edges with a null end are left out; no edges give no rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import checkpointed
 
 
+#: Edges (some 3 MB) up to which one task finds the components.
+FEW = 200_000
 #: Edges from which a round writes its minima before it joins them.
 LARGE = 2_000_000
 
@@ -34,11 +37,29 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return small.filter("a > b").distinct()
 
 
+def united(edges: pa.Table) -> pa.Table:
+    """Roots of the nodes of a few edges: the least node of each tree stands above the others."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    for a, b in zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    return pa.Table.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's least; ``edges`` has columns a and b, in any order.
 
     Each round is written to the checkpoint folder; rounds grow with the
-    logarithm of a component's diameter, not with its size.
+    logarithm of a component's diameter, not with its size. ``FEW`` edges or
+    less, at the start or left by a round, are settled in one task.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     state = None
@@ -48,4 +69,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
+        if now[0] <= FEW:
+            return edges.groupBy(F.lit(0).alias("all")).applyInArrow(united, "node long, root long")
         edges = checkpointed(_stars(edges, now[0] > LARGE))

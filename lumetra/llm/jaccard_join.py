@@ -20,12 +20,11 @@ group. In each of a few rounds every block that holds documents of different
 components has a centre, each document is compared with the centre that shares
 most of its blocks, and components are formed anew. Then, for blocks whose
 documents are still in different components, sets are compared across
-components. Blocks of up to ``SMALL`` documents with one centre are put
-together, as they hold much the same documents, and up to ``SMALL`` of these are
-compared by the Hamming distance of their dense parity sketches, the pairs that
-these let through exactly. Larger groups and blocks are compared in tiles of
-bounded size, where documents outside the largest component meet all others.
-What is not compared is already connected.
+components. Blocks with one centre are put together, as they hold much the same
+documents; groups of up to ``SMALL`` are compared by the Hamming distance of
+their dense parity sketches, and the pairs that these let through exactly.
+Larger groups are compared in tiles of bounded size, where documents outside the
+largest component meet all others. What is not compared is already connected.
 
 Defined cases: a null or blank text has no shingle and is linked with nothing;
 fewer words than five give one shingle; documents with equal sets are one
@@ -53,7 +52,7 @@ SHINGLE = 5
 #: Threshold as a fraction: three quarters.
 NUMERATOR, DENOMINATOR = 3, 4
 SLICE = (1 << 20) - 64
-#: Documents of a block that are held in one row; larger blocks are tiled.
+#: Documents of a group that are held in one row; larger groups are tiled.
 SMALL = 128
 TILE = 2048
 #: Rounds of stars, each with other centres, before components are compared in full.
@@ -347,12 +346,12 @@ def opened(offers: DataFrame, roots: DataFrame | None, turn: int = 0) -> DataFra
     a rule, so that only the others ask: the least doc_id, in later turns the least hash.
     """
     if roots is None:
-        opens = offers.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_high"), F.count(F.lit(1)).alias("members")).filter("centre < _high")
-        return offers.withColumn("label", F.col("doc_id")).join(opens.select("key", "members", "centre", F.col("centre").alias("centre_label")), "key")
+        opens = offers.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_high")).filter("centre < _high")
+        return offers.withColumn("label", F.col("doc_id")).join(opens.select("key", "centre", F.col("centre").alias("centre_label")), "key")
     named = offers.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
     first = F.min(F.struct("label", F.xxhash64("doc_id", F.lit(turn)).alias("order"), "doc_id")).alias("_first")
-    opens = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first, F.count(F.lit(1)).alias("members")).filter("_low < _high")
-    return named.join(opens.select("key", "members", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
+    opens = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), first).filter("_low < _high")
+    return named.join(opens.select("key", F.col("_first.doc_id").alias("centre"), F.col("_first.label").alias("centre_label")), "key")
 
 
 def star_links(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,8 +362,8 @@ def star_links(left: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def by_centre(left: DataFrame) -> DataFrame:
-    """Documents of small blocks put together by their blocks' centre: key, doc_id, label, members."""
-    rows = left.filter(F.col("members") <= SMALL).select(F.xxhash64("centre").alias("key"), "doc_id", "label").distinct()
+    """Documents put together by their blocks' centre: key, doc_id, label, members."""
+    rows = left.select(F.col("centre").alias("key"), "doc_id", "label").distinct()
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     return rows.join(size, "key")
 
@@ -386,9 +385,9 @@ def small_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def tile_links(large: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links across components in large blocks and groups, in tiles of about ``tile`` documents squared.
+    """Links across components in large groups, in tiles of about ``tile`` documents squared.
 
-    Documents of a block's largest component lie in one row of tiles each;
+    Documents of a group's largest component lie in one row of tiles each;
     those outside it meet every such tile, and each other in tiles of theirs.
     """
     most = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
@@ -435,15 +434,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = table.filter("key is null").select("doc_id", "n_shingles", "hashes", "sketch")
     filled = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     links, roots = checkpointed(one_node(sizes.filter(filled), classes)), None
-    left = opened(offers, None)
+    left = opened(offers, None, 0)
     for turn in range(1, TURNS + 1):
         links = checkpointed(links.unionByName(star_links(left, sets)))
         roots = components(links)
         # a block that holds one component stays closed
         left = checkpointed(opened(offers if turn == 1 else left.select("doc_id", "key"), roots, turn))
     groups, fits = checkpointed(by_centre(left)), F.col("members") <= SMALL
-    large = left.select(groups.columns).filter(~fits).unionByName(groups.filter(~fits))
-    roots = components(links.unionByName(tile_links(large, sets)).unionByName(small_links(groups.filter(fits), sets)))
+    roots = components(links.unionByName(tile_links(groups.filter(~fits), sets)).unionByName(small_links(groups.filter(fits), sets)))
     # classes with their component, and every document with its class
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     members = sizes.filter(filled).join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

@@ -220,8 +220,9 @@ def test_cover_is_a_difference_cover():
         suffix_array.shifts(31, (1, 2, 3))
 
 
-@pytest.mark.parametrize("large", [2_000_000, 0])
-def test_components_of_chains_and_stars(spark, large, monkeypatch):
+@pytest.mark.parametrize("few,large", [(200_000, 0), (0, 2_000_000), (0, 0), (30, 0)])
+def test_components_of_chains_and_stars(spark, few, large, monkeypatch):
+    monkeypatch.setattr("lumetra.llm.components.FEW", few)
     monkeypatch.setattr("lumetra.llm.components.LARGE", large)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
