@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 
 from .extract import Options, extract_channel
 from .functions.names import extracted_name
-from .operators import density, ome, planning, regions
+from .operators import density, ome, planning, tiled
 from .sources import files, tiles
 
 
+TILE = 512
+
+
 def iod(spark: SparkSession, args) -> int:
     tiles.register(spark)
-    held = spark.read.format("tiff_tiles").option("path", args.image).load().filter(F.col("channel") == args.channel)
-    place = F.posexplode("data").alias("i", "v")
-    pixels = held.select("y0", "x0", "w", place).select((F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
-    nuclei = files.nuclei(spark, args.nuclei, args.passthrough).withColumn("object_id", F.monotonically_increasing_id())
-    level = density.background(pixels, "v", percentile=args.background_percentile)
-    inside = regions.region_pixels(nuclei, pixels, "object_id", "AreaShape_Center_X", "AreaShape_Center_Y", "AreaShape_Area")
-    sums = density.object_density(density.densities(density.with_background(inside, level), "v"), ["object_id"]).drop("Background_I0")
-    every = nuclei.join(sums, "object_id", "left").fillna(0, ["True_IOD", "Mean_OD", "Max_OD", "PixelCount"]).crossJoin(F.broadcast(level.withColumnRenamed("background", "Background_I0")))
+    held = spark.read.format("tiff_tiles").option("path", args.image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    nuclei = files.nuclei(spark, args.nuclei, args.passthrough).withColumn("object_id", F.monotonically_increasing_id()).withColumn("image_id", F.lit(args.image))
+    level = tiled.tile_background(held, args.background_percentile)
+    sums = tiled.tile_sums(held, nuclei, level, "object_id", "AreaShape_Center_X", "AreaShape_Center_Y", "AreaShape_Area", TILE).drop("Background_I0", "image_id")
+    # the background of one image is one row
+    every = nuclei.join(sums, "object_id", "left").fillna(0, ["True_IOD", "Mean_OD", "Max_OD", "PixelCount"]).crossJoin(F.broadcast(level.select(F.col("background").alias("Background_I0"))))
     out = density.trimmed(every, ["True_IOD", "object_id"], percent=args.trim_percent)
     density.summary(out).show(truncate=False)
     names = ["ObjectNumber", "AreaShape_Center_X as Center_X", "AreaShape_Center_Y as Center_Y", "AreaShape_Area as Area_pixels", "True_IOD", "Mean_OD", "Max_OD", "Background_I0", *(["IntegratedIntensity"] if args.passthrough else []), "QC_Passed"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..extract import Options
 from ..extract import extract_channel as extract_files
 from ..functions import names, units
-from ..operators import density, images, ome, planning, regions, report
+from ..operators import density, images, ome, planning, regions, report, tiled
 from ..sources import files, tiles
 from ..sources.scratch import new_folder
 from ..sources.tiff_sink import write_images
@@ -118,6 +118,19 @@ def region_iod_per_image(spark, d):
     return density.object_density(od, ["image", "object_id"]).select("image", "object_id", "True_IOD", "PixelCount")
 
 
+@query(f"""WITH {PICTURE_CTE}, {CIRCLES_CTE}, bg AS (SELECT image, quantile_cont(CAST(v AS DOUBLE), 0.95) AS b FROM pic GROUP BY image)
+    SELECT ci.image, object_id, round(sum({OD_SQL.format(v='CAST(v AS DOUBLE)', b='b')}), 6) AS True_IOD, round(avg({OD_SQL.format(v='CAST(v AS DOUBLE)', b='b')}), 6) AS Mean_OD, round(max({OD_SQL.format(v='CAST(v AS DOUBLE)', b='b')}), 6) AS Max_OD,
+           round(min({OD_SQL.format(v='CAST(v AS DOUBLE)', b='b')}), 6) AS Min_OD, CAST(count(*) AS BIGINT) AS PixelCount, any_value(b) AS Background_I0
+    FROM ci JOIN pic ON ci.image = pic.image AND (pic.x - cx) * (pic.x - cx) + (pic.y - cy) * (pic.y - cy) <= r * r JOIN bg ON bg.image = pic.image GROUP BY ALL""")
+def tiled_iod(spark, d):
+    """The same circles summed up tile by tile, without a row a pixel."""
+    folder, p = _written(spark, d), F.col("p_partkey")
+    held = spark.read.format("tiff_tiles").option("path", folder).option("tile", 32).load().filter(F.col("channel") == 0)
+    circles = table(spark, d, "part").select("p_partkey", F.concat(F.lit(f"{folder}/"), (p % 5).cast("string"), F.lit(".tiff")).alias("image_id"), (p % 64 + 0.7).alias("cx"), ((p * 7) % 100 - 0.5).alias("cy"), (F.col("p_size") * 2.0).alias("area"))
+    sums = tiled.tile_sums(held, circles, tiled.tile_background(held), "p_partkey", "cx", "cy", "area", 32)
+    return sums.select(_number(F.col("image_id")).alias("image"), "object_id", "True_IOD", "Mean_OD", "Max_OD", "Min_OD", "PixelCount", "Background_I0")
+
+
 # --- measurements -----------------------------------------------------------------------------
 
 
