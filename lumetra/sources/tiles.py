@@ -1,4 +1,4 @@
-"""Tiled images as a Spark data source: one task a band of rows, filters on channel pushed down.
+"""Tiled images as a Spark data source: tasks take bands of rows in turn, filters on channel pushed down.
 
 ``tiff_tiles`` gives tiles of single channels; ``tiff_headers`` one row a file.
 Paths are opened by the tasks, so images must be on storage that executors mount.
@@ -36,10 +36,16 @@ ARROW_TILES = pa.schema([("image_id", pa.string()), *[(c, pa.int32()) for c in I
 BATCH_TILES = 8
 
 
-class Band(InputPartition):
-    def __init__(self, path: str, y0: int, y1: int):
-        super().__init__((path, y0, y1))
-        self.path, self.y0, self.y1 = path, y0, y1
+#: Bytes of a file that a task is planned for; its header is first read by the task.
+PART_BYTES = 32 << 20
+
+
+class Part(InputPartition):
+    """Every ``of``-th band of a file, from band ``nth`` on."""
+
+    def __init__(self, path: str, nth: int = 0, of: int = 1):
+        super().__init__((path, nth, of))
+        self.path, self.nth, self.of = path, nth, of
 
 
 class TileReader(DataSourceReader):
@@ -58,21 +64,21 @@ class TileReader(DataSourceReader):
     def partitions(self):
         parts = []
         for path in paths_of(self.options):
-            with open(path, "rb") as f:
-                page = read_pages(f, 1)[0]
-            parts += [Band(path, y, min(y + self.band, page.height)) for y in range(0, page.height, self.band)]
+            n = max(1, -(-os.path.getsize(path) // PART_BYTES))
+            parts += [Part(path, i, n) for i in range(n)]
         return parts
 
-    def read(self, band):
-        with open(band.path, "rb") as f:
+    def read(self, part):
+        with open(part.path, "rb") as f:
             page = read_pages(f, 1)[0]
-            for y in range(band.y0, band.y1, self.tile):
+            bands = range(part.nth * self.band, page.height, part.of * self.band)
+            for y in (y for band in bands for y in range(band, min(band + self.band, page.height), self.tile)):
                 # a row of tiles at a time: strips, which span the width, are decoded once
-                whole = read_region(f, page, y, min(y + self.tile, band.y1))
+                whole = read_region(f, page, y, min(y + self.tile, page.height))
                 channels = range(page.samples) if self.channel is None else [self.channel] if 0 <= self.channel < page.samples else []
                 places = [(c, x) for x in range(0, page.width, self.tile) for c in channels]
                 for begin in range(0, len(places), BATCH_TILES):
-                    yield self.batch(band.path, page, y, whole, places[begin : begin + BATCH_TILES])
+                    yield self.batch(part.path, page, y, whole, places[begin : begin + BATCH_TILES])
 
     def batch(self, path: str, page, y: int, whole, places: list[tuple[int, int]]) -> pa.RecordBatch:
         blocks = [whole[:, x : x + self.tile, c] for c, x in places]
@@ -101,18 +107,18 @@ class HeaderReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [Band(p, 0, 0) for p in paths_of(self.options)]
+        return [Part(p) for p in paths_of(self.options)]
 
-    def read(self, band):
+    def read(self, part):
         try:
-            with open(band.path, "rb") as f:
+            with open(part.path, "rb") as f:
                 pages = read_pages(f)
             if not pages:
                 raise TiffError("no pages")
             p = pages[0]
-            yield (band.path, os.path.getsize(band.path), len(pages), list(p.shape), p.dtype.name, p.description, p.ratio(X_RESOLUTION), p.ratio(Y_RESOLUTION), p.one(RESOLUTION_UNIT), None)
+            yield (part.path, os.path.getsize(part.path), len(pages), list(p.shape), p.dtype.name, p.description, p.ratio(X_RESOLUTION), p.ratio(Y_RESOLUTION), p.one(RESOLUTION_UNIT), None)
         except (OSError, TiffError, KeyError, IndexError) as error:
-            yield (band.path, os.path.getsize(band.path) if os.path.exists(band.path) else None, 0, None, None, None, None, None, None, str(error))
+            yield (part.path, os.path.getsize(part.path) if os.path.exists(part.path) else None, 0, None, None, None, None, None, None, str(error))
 
 
 class TiffHeaders(DataSource):

@@ -49,7 +49,9 @@ def folder(tmp_path_factory):
     return root
 
 
-def test_tiles_of_one_channel(spark, folder):
+@pytest.mark.parametrize("part_bytes", [32 << 20, 1000])
+def test_tiles_of_one_channel(spark, folder, part_bytes, monkeypatch):
+    monkeypatch.setattr(tiles, "PART_BYTES", part_bytes)
     tiles.register(spark)
     got = spark.read.format("tiff_tiles").option("path", str(folder / "a.ome.btf")).option("tile", 16).option("chunk_rows", 20).load().filter(F.col("channel") == 1).collect()
     image = np.zeros((70, 45), np.uint8)
