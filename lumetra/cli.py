@@ -1,8 +1,9 @@
-"""Command line: ``python -m lumetra.cli iod|verify|extract|plan``."""
+"""Command line: ``python -m lumetra.cli iod|verify|extract|batch|plan``."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,20 @@ def extract(spark: SparkSession, args) -> int:
     return int(done.filter("not success").count() > 0)
 
 
+def batch(spark: SparkSession, args) -> int:
+    """Extract what has no output of more than 1000 bytes yet; every file's outcome, then totals."""
+    tiles.register(spark)
+    headers = spark.read.format("tiff_headers").option("path", args.path).load()
+    made = F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel)))
+    there = files.listing(spark, args.output).withColumn("path", F.regexp_replace("path", "^file:", "")) if os.path.isdir(args.output) else headers.select("path", "length").limit(0)
+    left = planning.missing_outputs(headers, made, there, least_bytes=1000)
+    done = extract_channel(left, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run, args.seconds)).persist()
+    put_out(done, args.report)
+    totals = done.agg(F.count(F.lit(1)).alias("files"), F.count_if("success").alias("succeeded"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("seconds"))
+    totals.select("files", "succeeded", F.round(planning.per_minute(F.col("files"), F.col("seconds")), 2).alias("per_minute")).show()
+    return int(done.filter("not success").count() > 0)
+
+
 def plan(spark: SparkSession, args) -> int:
     found = planning.with_kind(files.listing(spark, args.roots))
     left = planning.missing_outputs(found, F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel))), files.listing(spark, args.output), least_bytes=1000)
@@ -98,6 +113,17 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--report", help="CSV of all rows instead of a printed list")
     p.add_argument("--dry-run", action="store_true")
     p.set_defaults(run=extract)
+    p = sub.add_parser("batch", help="one channel of all images that have no output yet")
+    p.add_argument("path")
+    p.add_argument("output")
+    p.add_argument("--channel", type=int, default=1)
+    p.add_argument("--level", type=int, default=6)
+    p.add_argument("--tile", type=int, default=512)
+    p.add_argument("--compression", choices=["none", "deflate", "zstd"], default="deflate")
+    p.add_argument("--seconds", type=float, help="time that a file may take")
+    p.add_argument("--report", help="CSV of all rows instead of a printed list")
+    p.add_argument("--dry-run", action="store_true")
+    p.set_defaults(run=batch)
     p = sub.add_parser("plan", help="what is left to do")
     p.add_argument("roots", nargs="+")
     p.add_argument("--output", required=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,23 +16,25 @@ from .functions.units import number, pixels_per_cm
 from .operators.ome import parse, rendered
 from .sources.tiff import TiffError, read_pages, read_region, write_tiled
 
-RESULT = "path string, output string, success boolean, message string, input_bytes long, output_bytes long"
+RESULT = "path string, output string, success boolean, message string, input_bytes long, output_bytes long, duration double"
+ARROW_RESULT = pa.schema([("path", pa.string()), ("output", pa.string()), ("success", pa.bool_()), ("message", pa.string()), ("input_bytes", pa.int64()), ("output_bytes", pa.int64()), ("duration", pa.float64())])
 
 
 @dataclass
 class Options:
-    """Channel (0 red, 1 green, 2 blue), compression (none, deflate, zstd) and its level, tile edge."""
+    """Channel (0 red, 1 green, 2 blue), compression (none, deflate, zstd) and its level, tile edge, and seconds that a file may take."""
 
     channel: int = 1
     level: int = 6
     compression: str = "deflate"
     tile: int = 512
     dry_run: bool = False
+    seconds: float | None = None
 
 
 def extract_file(path: str, output: str, description: str | None, resolution: tuple[float, float] | None, options: Options) -> tuple[bool, str, int]:
     """One file; a band of tiles is in memory at a time. The output appears whole or not at all."""
-    part = f"{output}.part"
+    part, until = f"{output}.part", None if options.seconds is None else time.monotonic() + options.seconds
     try:
         with open(path, "rb") as f:
             page = read_pages(f, 1)[0]
@@ -42,8 +45,14 @@ def extract_file(path: str, output: str, description: str | None, resolution: tu
             if options.dry_run:
                 return True, "planned", 0
             os.makedirs(os.path.dirname(output) or ".", exist_ok=True)
+
+            def band(a: int, b: int):
+                if until is not None and time.monotonic() > until:
+                    raise TimeoutError(f"stopped after {options.seconds:g} s")
+                return read_region(f, page, a, b)[:, :, options.channel]
+
             with open(part, "wb") as out:
-                size = write_tiled(out, lambda a, b: read_region(f, page, a, b)[:, :, options.channel], page.height, page.width, page.dtype, description, options.tile, options.level, resolution, 1, options.compression)
+                size = write_tiled(out, band, page.height, page.width, page.dtype, description, options.tile, options.level, resolution, 1, options.compression)
         os.replace(part, output)
         return True, "extracted", size
     except (OSError, TiffError, KeyError, IndexError, MemoryError) as error:
@@ -75,7 +84,8 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
         for batch in batches:
             for row in batch.to_pylist():
                 resolution = None if None in (row["per_cm_x"], row["per_cm_y"]) else (row["per_cm_x"], row["per_cm_y"])
+                began = time.monotonic()
                 ok, message, size = extract_file(row["path"], row["output"], row["document"], resolution, options)
-                yield pa.RecordBatch.from_pylist([{"path": row["path"], "output": row["output"], "success": ok, "message": message, "input_bytes": row["length"], "output_bytes": size}], pa.schema([("path", pa.string()), ("output", pa.string()), ("success", pa.bool_()), ("message", pa.string()), ("input_bytes", pa.int64()), ("output_bytes", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "output": row["output"], "success": ok, "message": message, "input_bytes": row["length"], "output_bytes": size, "duration": time.monotonic() - began}], ARROW_RESULT)
 
     return planned.repartition("path").mapInArrow(run, RESULT)

@@ -154,6 +154,17 @@ def measurements_file(spark, d):
     return lines.select((F.col("_at") + 1).alias("line"), "ObjectNumber", "QC_Passed")
 
 
+@query("""SELECT 'Images' AS kind, user_id AS image, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS value FROM events GROUP BY user_id
+    UNION ALL SELECT 'Objects', user_id, event_id, round(value, 4) FROM events""")
+def exported_measurements(spark, d):
+    """Objects and images in tables of their own with one prefix, read back."""
+    folder, rows = new_folder(spark, "export"), table(spark, d, "events").select(F.col("user_id").alias("image"), F.col("event_id").alias("n"), F.round("value", 4).alias("value"))
+    stats = report.measurement_stats(table(spark, d, "events"), "user_id", "value").select(F.col("user_id").alias("image"), "n", F.round("mean", 4).alias("value"))
+    files.write_export(rows, stats, folder, "Oil_")
+    read = lambda kind: spark.read.option("header", True).csv(f"{folder}/Oil_{kind}").select(F.lit(kind).alias("kind"), F.col("image").cast("long"), F.col("n").cast("long"), F.col("value").cast("double"))
+    return read("Images").unionByName(read("Objects"))
+
+
 @query(f"WITH {OBJECT_CTE}, low AS (SELECT l_orderkey, round(min(od), 6) AS Min_OD FROM px GROUP BY 1) SELECT ObjectNumber, Mean_OD, Min_OD, Max_OD FROM qc JOIN low ON l_orderkey = ObjectNumber")
 def od_range(spark, d):
     return density.object_density(_pixels(spark, d), ["l_orderkey"]).select(F.col("l_orderkey").alias("ObjectNumber"), "Mean_OD", "Min_OD", "Max_OD")

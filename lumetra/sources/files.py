@@ -59,3 +59,9 @@ def write_measurements(df: DataFrame, path: str, order: list[str] = (), single_f
     out = df.orderBy(*order) if order else df
     out = out.coalesce(1) if single_file else out
     out.write.mode("overwrite").option("header", True).option("nanValue", "NaN").csv(path)
+
+
+def write_export(objects: DataFrame, images: DataFrame, folder: str, prefix: str) -> None:
+    """Measurements of objects and of images as two tables whose names begin alike."""
+    for name, table in (("Objects", objects), ("Images", images)):
+        write_measurements(table, f"{folder.rstrip('/')}/{prefix}{name}", single_file=True)

@@ -72,6 +72,17 @@ def test_extraction(spark, folder, tmp_path):
         assert 'Name="green"' in page.description and 'PhysicalSizeX="0.5"' in page.description
 
 
+def test_batch_resumes(spark, folder, tmp_path):
+    out, told = str(tmp_path / "out"), lambda i: str(tmp_path / f"report{i}")
+    assert cli.main(["batch", str(folder), out, "--tile", "16", "--report", told(0), "--seconds", "0"]) == 1
+    rows = spark.read.option("header", True).csv(told(0)).collect()
+    assert len(rows) == 3 and sum("stopped after 0 s" in r["message"] for r in rows) == 1 and not list((tmp_path / "out").glob("*"))
+    assert cli.main(["batch", str(folder), out, "--tile", "16", "--report", told(1)]) == 1  # one grey, one broken
+    assert sum(r["success"] == "true" for r in spark.read.option("header", True).csv(told(1)).collect()) == 1
+    cli.main(["batch", str(folder), out, "--tile", "16", "--report", told(2)])
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.option("header", True).csv(told(2)).collect()) == ["bad.tif", "grey.tif"]
+
+
 def test_command_line_density(spark, folder, tmp_path):
     (tmp_path / "n.csv").write_text("ObjectNumber,AreaShape_Center_X,AreaShape_Center_Y,AreaShape_Area\n1,20,20,30\n2,500,500,30\n")
     assert cli.main(["iod", str(folder / "a.ome.btf"), str(tmp_path / "n.csv"), str(tmp_path / "out")]) == 0
