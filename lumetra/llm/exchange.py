@@ -68,13 +68,18 @@ def row_key(doc_id, text):
 
 
 def plan_groups(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    """Number of groups for the text there is, at least the session's shuffle partitions.
+    """Number of groups for the text there is, at least the session's shuffle partitions."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(rows.sparkSession), group_count(total, group_bytes))
+
+
+def group_count(total: int, group_bytes: int = GROUP_BYTES) -> int:
+    """Groups for so many bytes of text.
 
     With n groups and as many buckets there are up to n * n messages; groups of
     sqrt(total * MESSAGE_BYTES) keep them at total / MESSAGE_BYTES.
     """
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(shuffle_partitions(rows.sparkSession), -(-total // max(group_bytes, isqrt(total * MESSAGE_BYTES))))
+    return -(-total // max(group_bytes, isqrt(total * MESSAGE_BYTES)))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:

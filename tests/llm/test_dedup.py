@@ -232,6 +232,13 @@ def test_components_of_chains_and_stars(spark, few, large, monkeypatch):
     assert [tuple(r) for r in components(spark.createDataFrame(odd, "a long, b long")).collect()] == [(3, 2)]
 
 
+def test_messages_stay_in_proportion_to_the_text():
+    """At most one for every 2 KB, with groups that a task can hold."""
+    for total in (0, 10**6, 10**9, 10**11, 10**13, 10**14):
+        n = exchange.group_count(total)
+        assert n * n <= total / exchange.MESSAGE_BYTES + 2 * n + 1 and (not n or total / n <= 1 << 29)
+
+
 def test_blobs_round_trip():
     arrays = [np.arange(5), np.zeros(0, np.uint8), np.array([7], "<u4")]
     back = exchange.restored(exchange.compressed(*arrays), "<i8", "u1", "<u4")
