@@ -112,6 +112,12 @@ def sha256_hex(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Have Spark bring a small local file to executors that do not have it where the driver does."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file; LUMETRA_TOKENIZERS names another folder."""
     folder = os.environ.get("LUMETRA_TOKENIZERS")

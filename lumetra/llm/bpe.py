@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 
 import numpy as np
 import tiktoken
+from pyspark import SparkFiles
 
 from .pretoken import pieces
 from .vectext import FIRST_BYTES, SEED, Texts, eights, mix, same_spans, span_hashes
@@ -218,7 +220,8 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, made once."""
+    """The worker's encoder for a vocabulary file, made once; a file that is not there is one that Spark has brought."""
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(ranks_of_json(path), pattern, added_of_json(path)) if path.endswith(".json") else Encoder(ranks_of_lines(path), pattern)
+        held = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        _encoders[path, pattern] = Encoder(ranks_of_json(held), pattern, added_of_json(held)) if path.endswith(".json") else Encoder(ranks_of_lines(held), pattern)
     return _encoders[path, pattern]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, checkpointed, column, map_texts, sha256_hex, stored, text_rows
+from .base import SLICE_BYTES, checkpointed, column, map_texts, sha256_hex, shipped, stored, text_rows
 from .bpe import encoder
 from .pretoken import code_points, piece_starts
 from .vectext import Texts
@@ -100,6 +100,7 @@ def digest_batch(ids_of_docs: pa.Array, texts: Texts, enc) -> pa.RecordBatch:
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token counts and digests of every document; ``with_ids`` gives doc_id, ids (array) and decoded (binary) instead."""
     rows = text_rows(docs, id_col, text_col)
+    shipped(docs.sparkSession, vocabulary)
     long = F.octet_length("text") > chunk_bytes
     schema = "doc_id long, ids array<long>, decoded binary" if with_ids else DIGESTS
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpointed, column, map_texts, text_rows
+from .base import checkpointed, column, map_texts, shipped, text_rows
 from .bpe import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -135,6 +135,8 @@ def piece_rows(doc_ids, ids: np.ndarray, bounds: np.ndarray, end_id: int, capaci
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    shipped(docs.sparkSession, vocabulary)
+
     def work(batch, texts):
         ids, bounds = encoder(vocabulary, pattern).encode(texts)
         return piece_rows(column(batch, "doc_id"), ids, bounds, end_id, capacity, with_ids)

@@ -35,6 +35,16 @@ def test_ids_equal_the_library(texts):
     assert [back.text(i) for i in range(len(texts))] == [t.encode() for t in texts]
 
 
+def test_a_vocabulary_that_executors_lack(spark, library, tmp_path):
+    """Workers find the file where Spark has brought it once the driver's own is gone."""
+    path = tmp_path / "moved.tiktoken"
+    path.write_bytes(open(LINES, "rb").read())
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    out = encoding.encode_documents(df, str(path), PATTERN, with_ids=True)
+    path.unlink()
+    assert out.first()["ids"] == library.encode_ordinary("some words")
+
+
 def test_both_vocabulary_files_agree_and_match_tokenizers():
     assert ranks_of_json(JSON) == ranks_of_lines(LINES)
     rng = random.Random(5)
