@@ -68,18 +68,19 @@ def row_key(doc_id, text):
 
 
 def plan_groups(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    """Number of groups for the text there is, at least the session's shuffle partitions."""
+    """Number of groups for the text there is, as many as the session has shuffle partitions unless these are too many."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(shuffle_partitions(rows.sparkSession), group_count(total, group_bytes))
+    return group_count(total, shuffle_partitions(rows.sparkSession), group_bytes)
 
 
-def group_count(total: int, group_bytes: int = GROUP_BYTES) -> int:
+def group_count(total: int, partitions: int, group_bytes: int = GROUP_BYTES) -> int:
     """Groups for so many bytes of text.
 
-    With n groups and as many buckets there are up to n * n messages; groups of
-    sqrt(total * MESSAGE_BYTES) keep them at total / MESSAGE_BYTES.
+    With n groups and as many buckets there are up to n * n messages: n is at
+    most sqrt(total / MESSAGE_BYTES), which keeps them at total / MESSAGE_BYTES.
     """
-    return -(-total // max(group_bytes, isqrt(total * MESSAGE_BYTES)))
+    most = isqrt(total // MESSAGE_BYTES)
+    return max(1, min(most, max(partitions, -(-total // group_bytes))))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -185,7 +186,10 @@ def answered(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def trimmed(work: Callable) -> Callable:
-    """``work`` on a group, after which the worker gives back what it has freed; Spark looks at the number of arguments."""
+    """``work`` on a group, after which the worker gives back what it has freed.
+
+    Spark looks at the number of arguments, and plans show the name.
+    """
     if work.__code__.co_argcount == 1:
 
         def one(table):
@@ -193,6 +197,7 @@ def trimmed(work: Callable) -> Callable:
             release()
             return out
 
+        one.__name__ = work.__name__
         return one
 
     def two(left, right):
@@ -200,6 +205,7 @@ def trimmed(work: Callable) -> Callable:
         release()
         return out
 
+    two.__name__ = work.__name__
     return two
 
 

@@ -270,7 +270,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     packed = pack(rows, n_groups)
     hits = repeated(packed, lambda group: anchors(group, width, gram), n)
     evidence = together(packed, hits, lambda group, answers, g: send_contexts(group, answers, g, width, gram, n, frequent), SENT)
-    settled = evidence.groupBy("b").applyInArrow(trimmed(lambda table: least_owner_of_strings(table, width)), ANSWER)
+
+    def least_owners(table: pa.Table) -> pa.Table:
+        return least_owner_of_strings(table, width)
+
+    settled = evidence.groupBy("b").applyInArrow(trimmed(least_owners), ANSWER)
     # the last pass needs both kinds of answers: those of pass 1 are told by a negative bucket
     both = settled.unionByName(hits.selectExpr("g", "-1 - b as b", "data"))
 

@@ -235,8 +235,9 @@ def test_components_of_chains_and_stars(spark, few, large, monkeypatch):
 def test_messages_stay_in_proportion_to_the_text():
     """At most one for every 2 KB, with groups that a task can hold."""
     for total in (0, 10**6, 10**9, 10**11, 10**13, 10**14):
-        n = exchange.group_count(total)
-        assert n * n <= total / exchange.MESSAGE_BYTES + 2 * n + 1 and (not n or total / n <= 1 << 29)
+        for partitions in (1, 12, 200, 100_000):
+            n = exchange.group_count(total, partitions)
+            assert 1 <= n and n * n <= max(1, total / exchange.MESSAGE_BYTES) and total / n <= 1 << 29
 
 
 def test_blobs_round_trip():
