@@ -9,7 +9,7 @@ they are, so memory is bounded by the block and one bucket.
 
 Sample ranks come from the leading v bytes and are doubled (a sample and the
 one as far on as is settled) until all differ, or to a stated depth, within
-which suffixes are then ordered; ties beyond it stay in order of position.
+which suffixes are then ordered; ties beyond it stand together, in any order.
 """
 
 from __future__ import annotations
@@ -59,14 +59,42 @@ def leading_keys(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
+def begins(sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each of sorted keys differs from the one before it."""
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return new
+
+
+def ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of tuples of keys, and whether each differs from the one before it.
+
+    By the first key, then by each further one only what is still tied, as one
+    number of its group and its key's rank: plain sorts of single numbers.
+    """
+    order = np.argsort(keys[0])
+    new = begins(keys[0][order])
+    for key in keys[1:]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        members = order[at]
+        values = key[members]
+        by_value = np.argsort(values)
+        rank = np.empty(len(at), np.uint64)
+        rank[by_value] = np.cumsum(begins(values[by_value]))
+        both = np.cumsum(new)[at].astype(np.uint64) << np.uint64(32) | rank
+        moved = np.argsort(both)
+        order[at] = members[moved]
+        new[at] = begins(both[moved])
+    return order, new
+
+
 def dense_ranks(keys: list[np.ndarray]) -> np.ndarray:
     """Ranks from 1 of tuples of keys, equal tuples ranking equal."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
+    order, new = ordered(keys)
     ranks = np.empty(len(order), np.int32)
     ranks[order] = np.cumsum(new)
     return ranks
@@ -101,15 +129,9 @@ def buckets(words: np.ndarray, at: np.ndarray, most: int) -> list[np.ndarray]:
 
 def sort_bucket(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions of one bucket in the order of their suffixes."""
-    keys = leading_keys(words, at)
-    order = np.lexsort([at, *keys[::-1]])
-    at = at[order]
-    tied = np.ones(len(at), bool)
-    tied[:1] = False
-    for k in keys:
-        k = k[order]
-        tied[1:] &= k[1:] == k[:-1]
-    group = np.cumsum(~tied)
+    order, new = ordered(leading_keys(words, at))
+    at, tied = at[order], ~new
+    group = np.cumsum(new)
     # groups of equal leading bytes, split in three about a pivot until nothing moves
     active = np.flatnonzero(tied | np.append(tied[1:], False))
     while len(active):
