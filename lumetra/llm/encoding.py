@@ -28,14 +28,14 @@ from .bpe import encoder
 from .pretoken import code_points, piece_starts
 from .vectext import Texts
 
-CHUNK_BYTES = 16 << 10
+CHUNK_BYTES = 64 << 10
 OVERLAP_BYTES = 1 << 10
 #: Bytes before a chunk's end in which a boundary could still move: the pattern looks at most two characters ahead.
 UNSURE_BYTES = 12
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CHUNKS = "row long, n int, doc_id long, at long, text binary"
-SCANNED = CHUNKS + ", starts binary"
+SCANNED = CHUNKS + ", size long, head binary, tail binary"
 ENCODED = "row long, n int, doc_id long, ids binary"
 
 
@@ -127,8 +127,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
 
     def scan(batches):
         for batch in batches:
-            found = [(boundaries(t) + at).astype("<i8").tobytes() for t, at in zip(column(batch, "text").to_pylist(), column(batch, "at").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names_of(SCANNED))
+            sizes, heads, tails = [], [], []
+            for text, at in zip(column(batch, "text").to_pylist(), column(batch, "at").to_pylist(), strict=True):
+                found = (boundaries(text) + at).astype("<i8")
+                sizes.append(len(text))
+                heads.append(found[found <= at + overlap_bytes].tobytes())
+                tails.append(found[found >= at + len(text) - overlap_bytes - 3].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], names_of(SCANNED))
 
     def seams(batches):
         for batch in batches:
@@ -140,9 +145,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
         enc = encoder(vocabulary, pattern)
         for batch in batches:
             out = []
-            for at, text, starts, begin, end in zip(*(column(batch, c).to_pylist() for c in ("at", "text", "starts", "begin", "end")), strict=True):
+            for at, text, begin, end in zip(*(column(batch, c).to_pylist() for c in ("at", "text", "begin", "end")), strict=True):
                 a, b = at if begin is None else begin, at + len(text) if end is None else end
-                out.append(encode_pieces(enc, text[a - at : b - at], np.frombuffer(starts, "<i8"), a, b).astype("<u4").tobytes())
+                out.append(encode_pieces(enc, text[a - at : b - at], boundaries(text) + at, a, b).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n"), column(batch, "doc_id"), pa.array(out, pa.binary())], names_of(ENCODED))
 
     def taken_up(batches):
@@ -162,7 +167,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
 
     def stitch(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
-        text, starts = stitched([(at, text, np.frombuffer(starts, "<i8") - at) for at, text, starts in zip(*(group[c].to_pylist() for c in ("at", "text", "starts")), strict=True)])
+        text, starts = stitched([(at, text, boundaries(text)) for at, text in zip(*(group[c].to_pylist() for c in ("at", "text")), strict=True)])
         enc, held = encoder(vocabulary, pattern), Running(0, group["doc_id"][0].as_py(), with_ids)
         # some pieces at a time
         cuts = sorted({0, len(text), *(int(starts[np.searchsorted(starts, p)]) for p in range(SLICE_BYTES, int(starts[-1]), SLICE_BYTES))})
@@ -177,14 +182,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
         return short_rows
     numbered = rows.filter(apart).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scanned = stored(numbered.mapInArrow(cut, CHUNKS).repartition("row", "n").mapInArrow(scan, SCANNED))
-    after = scanned.select("row", (F.col("n") - 1).alias("n"), "at", F.col("starts").alias("head"))
-    ends = scanned.select("row", "n", F.col("starts").alias("tail"), (F.col("at") + F.octet_length("text")).alias("end"))
+    # a small row a chunk: where it meets the next one, and whether all chunks of its text meet
+    after = scanned.select("row", (F.col("n") - 1).alias("n"), "at", "head")
+    ends = scanned.select("row", "n", "tail", (F.col("at") + F.col("size")).alias("end"))
     meets = checkpointed(ends.join(after, ["row", "n"]).select("row", "n", "tail", "end", "head", "at").mapInArrow(seams, "row long, n int, meet long"))
-    broken = meets.filter("meet < 0").select("row").distinct()
-    spans = scanned.join(meets.withColumnRenamed("meet", "end"), ["row", "n"], "left").join(meets.select("row", (F.col("n") + 1).alias("n"), F.col("meet").alias("begin")), ["row", "n"], "left").join(broken, "row", "left_anti")
-    encoded = spans.select("row", "n", "doc_id", "at", "text", "starts", "begin", "end").mapInArrow(encode, ENCODED)
+    whole_rows = meets.groupBy("row").agg((F.min("meet") >= 0).alias("_meets"))
+    spans = scanned.select("row", "n").join(meets.withColumnRenamed("meet", "end"), ["row", "n"], "left").join(meets.select("row", (F.col("n") + 1).alias("n"), F.col("meet").alias("begin")), ["row", "n"], "left")
+    spans = checkpointed(spans.join(whole_rows, "row", "left").withColumn("_meets", F.coalesce("_meets", F.lit(True))))
+    met = scanned.select(*names_of(CHUNKS)).join(spans, ["row", "n"])
+    encoded = met.filter("_meets").select("row", "n", "doc_id", "at", "text", "begin", "end").mapInArrow(encode, ENCODED)
     long_rows = encoded.repartition("row").sortWithinPartitions("row", "n").mapInArrow(taken_up, schema)
-    broken_rows = scanned.join(broken, "row", "left_semi").groupBy("row").applyInArrow(stitch, schema)
+    broken_rows = met.filter("not _meets").groupBy("row").applyInArrow(stitch, schema)
     return short_rows.unionByName(long_rows).unionByName(broken_rows)
 
 
