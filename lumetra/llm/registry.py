@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import encoding, jaccard_join, media, packing, sharding, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
+from pyspark.sql import functions as F
+
+from . import encoding, hard_negatives, jaccard_join, media, packing, sharding, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -52,6 +54,11 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_four_russians(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, positives=5, negatives=5, low=80, high=100, scale=256.0)
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_vector_file": op2_vector_file,
@@ -63,6 +70,7 @@ QUERIES = {
     "op8_noisy_or": op8_noisy_or,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
+    "op11_four_russians": op11_four_russians,
 }
 
 ORACLES: dict[str, str] = {
@@ -177,4 +185,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM cut
     """,
+    "op11_four_russians": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.vector, c.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id
+            WHERE a.vec_id % 100 = 0
+        ), near AS (
+            SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+                   n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM near p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        )
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
 }

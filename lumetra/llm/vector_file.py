@@ -103,8 +103,8 @@ def scan_block(query_ids, queries, ids, cells, low, high, k: int):
         yield query + begin, vector, least[query, vector], most[query, vector]
 
 
-def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and floor(scale * component) of every vector that takes part."""
+def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+    """vec_id and floor(scale * component) of every vector that takes part, and the columns to keep."""
     vector = F.col(f"`{vector_col}`")
     fit = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
 
@@ -116,6 +116,7 @@ def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "v
     return embeddings.filter(F.coalesce(fit, F.lit(False)) & F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"),
         F.transform(vector, whole).alias("vector"),
+        *(keep or []),
     )
 
 
