@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import encoding, hard_negatives, jaccard_join, media, packing, sharding, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
+from . import encoding, hard_negatives, jaccard_join, media, packing, sharding, spelling, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -59,6 +59,10 @@ def op11_four_russians(spark, sf_dir):
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, positives=5, negatives=5, low=80, high=100, scale=256.0)
 
 
+def op13_trie_pairs(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"), noise=199, least_length=6, least_count=5, ratio=5)
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_vector_file": op2_vector_file,
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
     "op11_four_russians": op11_four_russians,
+    "op13_trie_pairs": op13_trie_pairs,
 }
 
 ORACLES: dict[str, str] = {
@@ -203,4 +208,36 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    # the CRC-32 as above; near words share a word with a letter skipped
+    "op13_trie_pairs": """
+        WITH RECURSIVE steps(byte, bit, rest) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT byte, bit + 1, CASE WHEN rest & 1 = 1 THEN xor(rest >> 1, 3988292384) ELSE rest >> 1 END FROM steps WHERE bit < 8
+        ), crc AS (SELECT list(rest ORDER BY byte) AS entry FROM steps WHERE bit = 8
+        ), runs AS (
+            SELECT doc_id, run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                                           lambda c, b: xor(c >> 8, entry[xor(c & 255, b) + 1])), 4294967295) AS h
+            FROM runs, crc
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), skips AS MATERIALIZED (
+            SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word AS word, b.word AS other, b.n AS n FROM skips a JOIN skips b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(n) AS most, min_by(other, (-n, other)) AS first FROM near GROUP BY word
+        ), forms AS MATERIALIZED (
+            SELECT w.word, CASE WHEN most >= 5 * w.n THEN first END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)
+        ), chain(word, ending, depth) AS (
+            SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.ending WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, max_by(ending, depth) AS root FROM chain GROUP BY word) r USING (word)
+    """,
 }
