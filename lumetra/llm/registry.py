@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import encoding, hard_negatives, jaccard_join, media, packing, sharding, spelling, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
+from . import encoding, hard_negatives, jaccard_join, media, packing, private_data, sharding, spelling, suffix_dedup, tool_calls, toxicity, vector_file, window_dedup
 from .base import table, tokenizer_file
 
 
@@ -59,6 +59,10 @@ def op11_four_russians(spark, sf_dir):
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, positives=5, negatives=5, low=80, high=100, scale=256.0)
 
 
+def op12_bootstrapped_contexts(spark, sf_dir):
+    return private_data.private_data(table(spark, sf_dir, "documents"))
+
+
 def op13_trie_pairs(spark, sf_dir):
     return spelling.spelling_forms(table(spark, sf_dir, "documents"), noise=199, least_length=6, least_count=5, ratio=5)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
     "op11_four_russians": op11_four_russians,
+    "op12_bootstrapped_contexts": op12_bootstrapped_contexts,
     "op13_trie_pairs": op13_trie_pairs,
 }
 
