@@ -20,7 +20,8 @@ validation where a string is asked for; of several calls with one identifier
 the earliest is the call, the others are ``duplicate``; of several results
 the earliest is linked, or with ``every_result`` (as the query has it) each
 is, a row each by result_turn; results without a call are ``orphan``; dependencies
-on identifiers that do not exist are dropped; arguments that are not JSON, that
+on identifiers that do not exist are dropped; calls that messages tell of and
+those that plain turns stand for may share identifiers, and never meet; arguments that are not JSON, that
 JSON has no number for, that hold half a surrogate pair or are nested too
 deeply are a violation, and null in the message; an assistant message is one of
 calls if its parsed text has a list ``tool_calls``, and plain otherwise; an
@@ -40,7 +41,10 @@ from pyspark.sql import functions as F
 from .base import checkpointed
 from .sharding import byte_positions
 
-CALLS = "conv_id long, turn long, idx int, call_id string, name string, arguments string, depends_on array<string>"
+CALLS = "conv_id long, plain boolean, turn long, idx int, call_id string, name string, arguments string, depends_on array<string>"
+
+#: What names a call: identifiers of messages that tell of calls, and those of plain turns, are two name spaces.
+KEY = ["conv_id", "plain", "call_id"]
 
 #: Dependencies of a conversation whose levels are counted in one task.
 GATHERED = 200_000
@@ -114,9 +118,9 @@ def protocol_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls of assistant messages ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}`` and results of
     tool messages ``{"tool_call_id", "content"}``."""
     told = messages.filter("conv_id is not null and turn is not null and role = 'assistant'").select("conv_id", "turn", F.posexplode(told_calls()).alias("idx", "call"))
-    calls = told.select("conv_id", "turn", "idx", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    calls = told.select("conv_id", F.lit(False).alias("plain"), "turn", "idx", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     answer = F.from_json("text", "struct<tool_call_id:string,content:string>")
-    results = messages.filter("conv_id is not null and turn is not null and role = 'tool'").withColumn("_a", answer).select("conv_id", F.col("turn").alias("result_turn"), F.col("_a.tool_call_id").alias("call_id"), F.col("_a.content").alias("content"))
+    results = messages.filter("conv_id is not null and turn is not null and role = 'tool'").withColumn("_a", answer).select("conv_id", F.lit(False).alias("plain"), F.col("turn").alias("result_turn"), F.col("_a.tool_call_id").alias("call_id"), F.col("_a.content").alias("content"))
     return calls, results
 
 
@@ -124,21 +128,23 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain chat seen as calls: a user turn calls ``respond``, after the user turn two before; the next assistant turn is its result."""
     held = messages.filter("conv_id is not null and turn is not null")
     calls = held.filter("role = 'user'").select(
-        "conv_id", "turn", F.lit(0).alias("idx"), F.col("turn").cast("string").alias("call_id"), F.lit("respond").alias("name"),
-        F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), F.array((F.col("turn") - 2).cast("string")).alias("depends_on"),
+        "conv_id", F.lit(True).alias("plain"), "turn", F.lit(0).alias("idx"), F.col("turn").cast("string").alias("call_id"), F.lit("respond").alias("name"),
+        F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), F.array(F.try_subtract("turn", F.lit(2)).cast("string")).alias("depends_on"),
+    )
+    results = held.filter((F.col("role") == "assistant") & told_calls().isNull()).select(
+        "conv_id", F.lit(True).alias("plain"), F.col("turn").alias("result_turn"), F.try_subtract("turn", F.lit(1)).cast("string").alias("call_id"), F.col("text").alias("content")
     )
-    results = held.filter((F.col("role") == "assistant") & told_calls().isNull()).select("conv_id", F.col("turn").alias("result_turn"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(uid, level) of calls whose conversation has a dependency that does not point back; null level: on or behind a cycle.
 
-    ``calls``: uid, conv_id, call_id, turn, idx, depends_on, one row a (conv_id, call_id).
+    ``calls``: uid, conv_id, plain, call_id, turn, idx, depends_on, one row a key.
     """
-    wanted = calls.select("uid", "conv_id", "turn", "idx", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    place = calls.select(F.col("uid").alias("need_uid"), F.col("conv_id"), F.col("call_id").alias("needs"), F.col("turn").alias("need_turn"), F.col("idx").alias("need_idx"))
-    edges = checkpointed(wanted.join(place, ["conv_id", "needs"]).select("conv_id", "uid", "need_uid", (F.struct("need_turn", "need_idx") >= F.struct("turn", "idx")).alias("forward")))
+    wanted = calls.select("uid", "conv_id", "plain", "turn", "idx", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    place = calls.select(F.col("uid").alias("need_uid"), "conv_id", "plain", F.col("call_id").alias("needs"), F.col("turn").alias("need_turn"), F.col("idx").alias("need_idx"))
+    edges = checkpointed(wanted.join(place, ["conv_id", "plain", "needs"]).select("conv_id", "uid", "need_uid", (F.struct("need_turn", "need_idx") >= F.struct("turn", "idx")).alias("forward")))
     size = edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("forward").alias("forward"))
     unruly = checkpointed(size.filter("forward").select("conv_id", (F.col("n") <= GATHERED).alias("gathered")))
     if unruly.isEmpty():
@@ -190,30 +196,30 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], every_r
     """One row per call (or per result of it, with ``every_result``), and per result without one, in the order ``position`` of their conversation."""
     calls = checkpointed(calls.withColumn("uid", F.monotonically_increasing_id()))
     place = F.struct("turn", "idx", "uid")
-    firsts = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(place).alias("_p")).select(F.col("_p.uid").alias("uid"))
+    firsts = calls.filter("call_id is not null").groupBy(*KEY).agg(F.min(place).alias("_p")).select(F.col("_p.uid").alias("uid"))
     chosen = checkpointed(calls.join(firsts, "uid", "left_semi"))
     others = calls.join(firsts, "uid", "left_anti")
     level = levels(chosen)
-    answers = results if every_result else results.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "content")).alias("_r")).select("conv_id", "call_id", "_r.*")
-    answers = answers.select("conv_id", "call_id", "result_turn", "content", F.lit(True).alias("_hit"))
+    answers = results if every_result else results.groupBy(*KEY).agg(F.min(F.struct("result_turn", "content")).alias("_r")).select(*KEY, "_r.*")
+    answers = answers.select(*KEY, "result_turn", "content", F.lit(True).alias("_hit"))
     ranked = chosen.join(level.withColumn("_unruly", F.lit(True)), "uid", "left")
     cyclic = F.coalesce("_unruly", F.lit(False)) & F.col("level").isNull()
-    linked = ranked.join(answers, ["conv_id", "call_id"], "left").select(
-        "conv_id", "call_id", "turn", "idx", F.when(cyclic, F.lit(2**31 - 1)).otherwise(F.coalesce("level", F.lit(0))).alias("level"), "name", "arguments", "result_turn", "content",
+    linked = ranked.join(answers, KEY, "left").select(
+        *KEY, "turn", "idx", F.when(cyclic, F.lit(2**31 - 1)).otherwise(F.coalesce("level", F.lit(0))).alias("level"), "name", "arguments", "result_turn", "content",
         F.when(cyclic, "cycle").when(F.col("_hit"), "linked").otherwise("unanswered").alias("status"),
     )
     none = {"level": F.lit(0), "result_turn": F.lit(None).cast("long"), "content": F.lit(None).cast("string"), "status": F.lit("duplicate")}
     extra = others.withColumns(none)
-    keys = chosen.select("conv_id", "call_id")
-    orphans = results.join(keys, ["conv_id", "call_id"], "left_anti").select(
-        "conv_id", "call_id", F.col("result_turn").alias("turn"), F.lit(0).alias("idx"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("name"),
+    keys = chosen.select(*KEY)
+    orphans = results.join(keys, KEY, "left_anti").select(
+        *KEY, F.col("result_turn").alias("turn"), F.lit(0).alias("idx"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("arguments"), "result_turn", "content", F.lit("orphan").alias("status"),
     )
     names = linked.columns
     everything = linked.unionByName(extra.select(names)).unionByName(orphans)
     # contents only break ties, by their hash: range bounds hold sort keys
     keyed = everything.withColumn("one", F.lit(1)).withColumn("_hash", F.xxhash64("content"))
-    placed = byte_positions(keyed, ["conv_id", "level", "turn", "idx", "status", "call_id", "result_turn", "_hash"], "one").drop("bytes_before", "bytes_total", "one", "_hash")
+    placed = byte_positions(keyed, ["conv_id", "level", "turn", "idx", "status", "call_id", "plain", "result_turn", "_hash"], "one").drop("bytes_before", "bytes_total", "one", "_hash")
     first = placed.groupBy("conv_id").agg(F.min("row_no").alias("_first"))
     placed = placed.join(first, "conv_id").withColumn("position", F.col("row_no") - F.col("_first"))
 

@@ -214,3 +214,12 @@ def test_no_messages(spark):
 ])
 def test_schemas(value, schema, bad):
     assert len(tool_calls.violations(value, schema)) == bad
+
+
+def test_identifiers_of_both_kinds_do_not_meet(spark):
+    rows = [
+        (1, 0, "user", "hello"), (1, 1, "assistant", '{"tool_calls": [{"id": "0", "name": "add", "arguments": "{}"}]}'), (1, 2, "tool", '{"tool_call_id": "0", "content": "42"}'), (1, 3, "assistant", "done"),
+        (2, -(2**63), "user", "early"), (2, -(2**63), "assistant", "earlier"),
+    ]
+    got = {(r["conv_id"], r["name"], r["status"], r["result_turn"]) for r in tool_calls.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"add": {"type": "object"}}).collect()}
+    assert got == {(1, "respond", "unanswered", None), (1, "add", "linked", 2), (1, None, "orphan", 3), (2, "respond", "unanswered", None), (2, None, "orphan", -(2**63))}
