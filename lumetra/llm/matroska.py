@@ -152,11 +152,24 @@ def children(data, at: int, end: int, parent: int):
 
 
 def number(data, at: int, to: int) -> int:
-    return int.from_bytes(data[at:to], "big")
+    """An unsigned integer; the format has up to eight bytes, and what a long cannot hold is refused."""
+    value = int.from_bytes(data[at:to], "big")
+    if to - at > 8 or value >= 1 << 63:
+        raise MatroskaError(f"no integer of a long at {at}")
+    return value
 
 
 def real(data, at: int, to: int) -> float:
-    return {0: lambda b: 0.0, 4: lambda b: struct.unpack(">f", b)[0], 8: lambda b: struct.unpack(">d", b)[0]}[to - at](bytes(data[at:to]))
+    if to - at not in (0, 4, 8):
+        raise MatroskaError(f"a real number of {to - at} bytes at {at}")
+    return struct.unpack({0: ">", 4: ">f", 8: ">d"}[to - at], bytes(data[at:to]))[0] if to > at else 0.0
+
+
+def name(data, at: int, to: int) -> str:
+    text = bytes(data[at:to]).rstrip(b"\0")
+    if not text.isascii():
+        raise MatroskaError(f"a name that is not ASCII at {at}")
+    return text.decode("ascii")
 
 
 def frames_of(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
@@ -169,6 +182,8 @@ def frames_of(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, i
     how = flags >> 1 & 3
     if how == NO_LACING:
         return track, relative, flags, [(at, end - at)]
+    if at >= end:
+        raise MatroskaError("laced block without a count")
     count, at = data[at] + 1, at + 1
     if how == FIXED:
         if (end - at) % count:
@@ -179,8 +194,10 @@ def frames_of(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, i
         for i in range(count - 1):
             if how == XIPH:
                 size = 0
-                while data[at] == 255:
+                while at < end and data[at] == 255:
                     size, at = size + 255, at + 1
+                if at >= end:
+                    raise MatroskaError("lacing runs past its block")
                 size, at = size + data[at], at + 1
             else:
                 value, at, width = read_vint(data, at, end)
@@ -204,7 +221,7 @@ def demux(data: bytes) -> Media:
         raise MatroskaError("no EBML header")
     for ident, _, at, to in children(data, tops[0][2], tops[0][3], EBML):
         if ident == DOC_TYPE:
-            media.doc_type = bytes(data[at:to]).decode("ascii")
+            media.doc_type = name(data, at, to)
     for top, _, begin, end in tops[1:]:
         if top != SEGMENT:
             continue
@@ -225,7 +242,7 @@ def demux(data: bytes) -> Media:
                             elif j == TRACK_TYPE:
                                 track["type"] = number(data, b, y)
                             elif j == CODEC_ID:
-                                track["codec"] = bytes(data[b:y]).decode("ascii")
+                                track["codec"] = name(data, b, y)
                             elif j == DEFAULT_DURATION:
                                 durations[track["number"]] = number(data, b, y)
                             elif j == AUDIO:
@@ -266,5 +283,7 @@ def add_block(media: Media, data, at: int, to: int, cluster_time: int, cluster:
     track, relative, flags, frames = frames_of(data, at, to)
     time = (cluster_time + relative) * media.scale
     each = durations.get(track, 0)
+    if track >= 1 << 31 or max(abs(time), abs(time + (len(frames) - 1) * each)) >= 1 << 63:
+        raise MatroskaError("a track or timestamp that is out of range")
     key = bool(flags & 0x80) if keyframe is None else keyframe
     media.packets += [(track, time + i * each, offset, size, key, flags >> 1 & 3, cluster) for i, (offset, size) in enumerate(frames)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpointed, text_rows
+from .base import checkpointed, fresh, text_rows
 
 
 def byte_positions(sized: DataFrame, order: list[str], size: str = "size") -> DataFrame:
@@ -73,12 +73,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents themselves as one folder per shard, each in slot order.
+    """Write the documents themselves, all rows and columns, as one folder per shard; the files of a folder hold its slots in order of their names.
 
-    Tie rows of one key are joined by key, crc32 and size; equal rows share a slot's content.
+    The folders are named by a column ``shard`` (``_shard`` where the documents have one).
     """
-    where = shard_documents(docs, n_shards, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard").distinct()
-    text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("_crc", F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0))).withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
-    joined = keyed.join(where, keyed[id_col].eqNullSafe(where["_id"]) & (keyed["_crc"] == where["_crc"]) & (keyed["_size"] == where["_size"]))
-    joined.select(*[keyed[c] for c in docs.columns], "shard").sortWithinPartitions("shard", id_col).write.partitionBy("shard").parquet(path)
+    text, folder = F.col(f"`{text_col}`").cast("string"), fresh(docs, "shard")
+    # documents go through the one exchange that orders them; nothing is joined back
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).alias("text_crc32"),
+    )
+    placed = contiguous_shards(sized, n_shards, ["doc_id", "text_crc32", "size"])
+    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

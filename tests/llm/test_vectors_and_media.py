@@ -136,3 +136,41 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 60 and back.select("shard").distinct().count() == 4 and set(back.columns) == {"doc_id", "text", "source", "shard"}
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    """Rows equal in all that orders them lie on both sides of cuts."""
+    rows = [(i // 16, "same text", f"row {i}", {"k": i}) for i in range(48)] + [(None, None, "a", None), (7, "other", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, size map<string,int>")
+    path = str(tmp_path / "s")
+    sharding.write_shards(df, path, 5)
+    got = spark.read.parquet(path)
+    assert sorted(r["shard"] for r in got.collect()) == sorted(r[2] for r in rows)
+    want = {(r["shard"]): 0 for r in sharding.shard_documents(df, 5).collect()}
+    assert {r["_shard"] for r in got.select("_shard").distinct().collect()} == set(want)
+    counts = sorted(r["count"] for r in got.groupBy("_shard").count().collect())
+    assert counts == sorted(r["count"] for r in sharding.shard_documents(df, 5).groupBy("shard").count().collect())
+
+
+def test_broken_files_say_why(spark):
+    """Cut files, flipped bytes, and broken values: never an exception."""
+    rng = np.random.default_rng(4)
+    whole = matroska.mux(bytes(range(256)) * 8)
+    files = [whole[: int(n)] for n in rng.integers(0, len(whole), 150)]
+    for _ in range(400):
+        data = bytearray(whole)
+        for at in rng.integers(0, min(len(data), 400), rng.integers(1, 6)):
+            data[at] = rng.integers(0, 256)
+        files.append(bytes(data))
+    xiph = bytes([0x81, 0, 0, 0x02, 3, 255])  # a laced block that ends inside a size
+    files += [bytes([0x81, 0, 0, 0x02]), xiph]
+    for data in files[-2:]:
+        with pytest.raises(matroska.MatroskaError):
+            matroska.frames_of(data, 0, len(data))
+    with pytest.raises(matroska.MatroskaError):
+        matroska.real(b"abc", 0, 3)
+    with pytest.raises(matroska.MatroskaError):
+        matroska.name("é".encode(), 0, 2)
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")
+    got = media.packet_table(df).collect()
+    assert {r["doc_id"] for r in got if r["error"]} and all(r["error"] is not None or r["size"] >= 0 for r in got)
