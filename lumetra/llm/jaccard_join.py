@@ -471,11 +471,17 @@ def chosen_ids(side: pa.Table) -> set[int]:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that stand for their component: the least doc_id.
 
-    Equal rows count once; documents without an identifier or without words all stay.
+    Of rows equal in doc_id and text one stays; documents without an identifier all stay.
     """
     groups = checkpointed(near_duplicates(docs))
     own, doc_id = fresh(docs, "_kept"), F.col("doc_id").cast("long")
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    left = docs.join(kept, doc_id == F.col(own), "left_semi").unionByName(docs.filter(doc_id.isNull()))
-    repeats = groups.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
-    return left if repeats.isEmpty() else left.distinct()
+    left = docs.join(kept, doc_id == F.col(own), "left_semi")
+    repeats = checkpointed(groups.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select(F.col("doc_id").alias(own)))
+    if not repeats.isEmpty():
+        # only rows whose doc_id comes again are compared, by their texts' length and two hashes; columns may be of any kind
+        text = F.col("text").cast("string")
+        marks = {fresh(docs, f"_mark{i}"): c for i, c in enumerate((doc_id, F.octet_length(text), F.xxhash64(text), F.sha2(text, 256)))}
+        again = left.join(repeats, doc_id == F.col(own), "left_semi").withColumns(marks).dropDuplicates(list(marks)).drop(*marks)
+        left = left.join(repeats, doc_id == F.col(own), "left_anti").unionByName(again)
+    return left.unionByName(docs.filter(doc_id.isNull()))

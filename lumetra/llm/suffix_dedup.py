@@ -19,12 +19,14 @@ table gives no rows. Memory follows a group, a bucket, or the longest text.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh, sha256_hex, text_rows
+from .base import column, fresh, sha256_hex, text_rows
 from .exchange import ANSWER, NO_ID, SENT, Group, answered, bucket_key, compressed, found_keys, lookup, pack, plan_groups, repeated, restored, row_key, sent, together, trimmed
 from .suffix_array import window_classes
 from .vectext import SEED, eights, merge_spans, mix, owner, same_spans, span_hashes
@@ -238,7 +240,7 @@ def outcomes(group: Group, begin: np.ndarray, width: int, with_text: bool = Fals
     data, bounds = memoryview(np.ascontiguousarray(group.texts.data)), group.texts.bounds.tolist()
     cut = np.searchsorted(of, np.arange(len(sizes) + 1)).tolist()
     a, z = a.tolist(), z.tolist()
-    digests, kept = [], []
+    digests, kept, checks = [], [], []
     for i in range(len(sizes)):
         parts, at = [], bounds[i]
         for j in range(cut[i], cut[i + 1]):
@@ -249,11 +251,12 @@ def outcomes(group: Group, begin: np.ndarray, width: int, with_text: bool = Fals
         digests.append(sha256_hex(text))
         if with_text:
             kept.append(bytes(text))
+            checks.append(zlib.crc32(data[bounds[i] : bounds[i + 1]]))
     arrays = [group.id_column(), pa.array(sizes), pa.array(lost), pa.array(spans.astype(np.int64)), pa.array(digests, pa.string())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if with_text:
-        arrays += [pa.array(kept, pa.binary()), pa.array(group.keys)]
-        names += ["kept", "row_key"]
+        arrays += [pa.array(kept, pa.binary()), pa.array(group.keys), pa.array(checks, pa.int64())]
+        names += ["kept", "row_key", "text_crc32"]
     return pa.Table.from_arrays(arrays, names)
 
 
@@ -285,7 +288,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
         begin = removed_strings(group, first, answers.filter(pa.array(b >= 0)), width, gram, n, frequent)
         return outcomes(group, begin, width, with_text)
 
-    return together(packed, both, finish, DIGESTS + (", kept binary, row_key long" if with_text else ""))
+    return together(packed, both, finish, DIGESTS + (", kept binary, row_key long, text_crc32 long" if with_text else ""))
+
+
+#: What tells a row of the table.
+ROW = ["row_key", "doc_id", "n_bytes", "text_crc32"]
 
 
 def cleaned_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -297,16 +304,20 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_kept"])
-
-    found = remove_repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select("row_key", "kept")
-    # rows equal in doc_id and text lose the same bytes
-    row, new = fresh(docs, "_row"), fresh(docs, "_kept")
-    kept = found.mapInArrow(decode, "_row long, _kept string").groupBy(F.col("_row").alias(row)).agg(F.first("_kept").alias(new))
-    keyed = docs.withColumn(row, row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+            texts = [b.decode("utf-8", "ignore") for b in column(batch, "kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ROW], pa.array(texts, pa.string())], [*ROW, "kept"])
+
+    found = remove_repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select(*ROW, "kept")
+    # rows equal in doc_id and text lose the same bytes; a row is known by doc_id, length and two hashes of different kinds
+    kept = found.mapInArrow(decode, "row_key long, doc_id long, n_bytes long, text_crc32 long, kept string").groupBy(*ROW).agg(F.first("kept").alias("kept"))
+    doc_id, text, new, key, row = F.col("doc_id").cast("long"), F.col("text").cast("string"), *(fresh(docs, c) for c in ("_kept", "_key", "_row"))
+    own = {"row_key": row_key(doc_id, text), "doc_id": doc_id, "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "text_crc32": F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0))}
+    kept = kept.select(F.struct(*ROW).alias(key), F.col("kept").alias(new))
+    keyed = docs.withColumn(row, F.struct(*[v.alias(c) for c, v in own.items()]))
+    # a null doc_id equals itself here
+    same = [F.col(row)[c].eqNullSafe(F.col(key)[c]) if c == "doc_id" else F.col(row)[c] == F.col(key)[c] for c in ROW]
     fields = {c: F.col(f"`{c}`") for c in docs.columns}
     fields["text"] = F.coalesce(new, "text").alias("text")
     if "n_chars" in fields:
         fields["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.char_length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return keyed.join(kept, row, "left").select(*fields.values())
+    return keyed.join(kept, same, "left").select(*fields.values())

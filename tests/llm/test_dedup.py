@@ -244,3 +244,14 @@ def test_blobs_round_trip():
     arrays = [np.arange(5), np.zeros(0, np.uint8), np.array([7], "<u4")]
     back = exchange.restored(exchange.compressed(*arrays), "<i8", "u1", "<u4")
     assert all((a == b).all() for a, b in zip(arrays, back))
+
+
+def test_stages_take_columns_of_any_kind(spark):
+    """Map columns, names in use inside, and rows that repeat."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, {"a": 1}, 1), (1, text, {"a": 2}, 2), (1, "another text of quite other words here", None, 3), (2, text + " eleven", {"b": 1}, 4), (None, text, None, 5), (None, text, None, 6), (3, None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept map<string,int>, _row int")
+    got = jaccard_join.first_of_each(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, text), (1, rows[2][1]), (0, text), (0, text), (3, "")])
+    cleaned = suffix_dedup.cleaned_documents(spark.createDataFrame([(i, "x" * 60 + str(i), {"a": i}, i) for i in (1, 2, 2)] + [(None, "x" * 60, None, 0)], df.schema)).collect()
+    assert sorted((r["_row"], len(r["text"])) for r in cleaned) == [(0, 60), (1, 61), (2, 1), (2, 1)]
