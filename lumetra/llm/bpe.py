@@ -165,24 +165,24 @@ class Encoder:
             slots[alone] = np.arange(first, first + len(alone))
         return slots
 
-    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers of all texts end to end, and where each text's begin (one entry more)."""
+    def encode(self, texts: Texts, split=pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all texts end to end, and where each text's begin (one entry more); ``split`` finds the pieces."""
         raw = texts.data.tobytes() if self.added_at else b""
         if self.added_at and self.added_at.search(raw):
             edges = texts.bounds.tolist()
             spans = [m.span() for a, z in zip(edges, edges[1:], strict=False) for m in self.added_at.finditer(raw, a, z)]
             if spans:
-                return self._encode_around(texts, np.array(spans, np.int64), np.array([self.added[raw[a:z]] for a, z in spans], np.uint32))
-        start, end, first = pieces(texts)
+                return self._encode_around(texts, np.array(spans, np.int64), np.array([self.added[raw[a:z]] for a, z in spans], np.uint32), split)
+        start, end, first = split(texts)
         ids, upto = self.encode_spans(texts, start, end)
         return ids, upto[first]
 
-    def _encode_around(self, texts: Texts, spans: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_around(self, texts: Texts, spans: np.ndarray, tokens: np.ndarray, split) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with the added tokens that lie at ``spans``."""
         marks = np.sort(np.concatenate([texts.bounds, spans.ravel()]))
         # of parts that begin in one place, all but the last are empty
         part = np.searchsorted(marks, spans[:, 0], side="right") - 1
-        start, end, first = pieces(Texts(texts.data, marks))
+        start, end, first = split(Texts(texts.data, marks))
         ids, upto = self.encode_spans(texts, start, end)
         at = upto[first]
         ids[at[part]] = tokens

@@ -1,14 +1,17 @@
-"""Byte-level BPE columns with overlapping chunks for long texts.
-
-A text is cut into overlapping chunks that are dealt out and pre-tokenised in
-parallel; the boundaries of neighbouring chunks are stitched at the first
-position in their overlap where both have one (from a common boundary on, the
-scan of the split pattern is the same), and each chunk's pieces from one such
-position to the next are encoded where the chunk lies. A text's identifiers and
-raw bytes are then taken up chunk after chunk. A text of up to ``chunk_bytes``
-is one chunk, which needs no shuffle. A text in which some overlap has no
-common boundary (a run of one kind of characters longer than the overlap) is
-stitched in one task, where its chunks are scanned again as one.
+"""Byte-level BPE columns by overlapping chunks.
+
+Every text is cut into overlapping chunks of about a kilobyte. The chunks of
+many texts are pre-tokenised side by side; the boundaries of neighbouring chunks
+are stitched at the first position in their overlap where both have one (from a
+common boundary on, the scan of the split pattern is the same), and the pieces
+between are encoded. A text in which some overlap has no common boundary (a run
+of one kind of characters longer than the overlap) is scanned as one.
+
+A text of more than ``section_bytes`` is first cut, in the same way, into
+overlapping sections that are dealt out over tasks and stitched by small rows;
+its identifiers and raw bytes are then taken up section after section. Other
+texts are encoded where they lie, without a shuffle. With a vocabulary that has
+added tokens texts are split at these first, and are not dealt out.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are all
 kept; a null doc_id stays null; an empty table gives no rows.
@@ -25,13 +28,11 @@ from pyspark.sql import functions as F
 
 from .base import SLICE_BYTES, checkpointed, column, map_texts, sha256_hex, shipped, stored, text_rows
 from .bpe import encoder
-from .pretoken import code_points, piece_starts
+from .pretoken import UNSURE_BYTES, chunked_pieces
 from .vectext import Texts
 
-CHUNK_BYTES = 64 << 10
-OVERLAP_BYTES = 1 << 10
-#: Bytes before a chunk's end in which a boundary could still move: the pattern looks at most two characters ahead.
-UNSURE_BYTES = 12
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 10, 128
+SECTION_BYTES, SECTION_OVERLAP = 1 << 20, 4 << 10
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CHUNKS = "row long, n int, doc_id long, at long, text binary"
@@ -39,11 +40,9 @@ SCANNED = CHUNKS + ", size long, head binary, tail binary"
 ENCODED = "row long, n int, doc_id long, ids binary"
 
 
-def boundaries(text: bytes) -> np.ndarray:
+def boundaries(text: bytes, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> np.ndarray:
     """Byte positions at which pieces of a text begin."""
-    texts = Texts.of_bytes([text])
-    points, at, first = code_points(texts)
-    return at[piece_starts(points, first)]
+    return chunked_pieces(Texts.of_bytes([text]), chunk, overlap)[0]
 
 
 def chunk_spans(text: bytes, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -81,8 +80,7 @@ def stitched(chunks: list[tuple[int, bytes, np.ndarray]]) -> tuple[bytes, np.nda
     return bytes(text), starts
 
 
-def digest_batch(ids_of_docs: pa.Array, texts: Texts, enc) -> pa.RecordBatch:
-    ids, bounds = enc.encode(texts)
+def digest_batch(ids_of_docs: pa.Array, texts: Texts, ids: np.ndarray, bounds: np.ndarray, enc) -> pa.RecordBatch:
     back = enc.decode(ids, bounds)
     raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), (bounds * 4).tolist()
     plain, to = memoryview(np.ascontiguousarray(back.data)), back.bounds.tolist()
@@ -97,17 +95,22 @@ def digest_batch(ids_of_docs: pa.Array, texts: Texts, enc) -> pa.RecordBatch:
     )
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES,
+    section_bytes: int = SECTION_BYTES, section_overlap: int = SECTION_OVERLAP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+) -> DataFrame:
     """Token counts and digests of every document; ``with_ids`` gives doc_id, ids (array) and decoded (binary) instead."""
     rows = text_rows(docs, id_col, text_col)
     shipped(docs.sparkSession, vocabulary)
-    long = F.octet_length("text") > chunk_bytes
+    long = F.octet_length("text") > section_bytes
+    split = lambda texts: chunked_pieces(texts, chunk_bytes, overlap_bytes)
+    starts_of = lambda text: boundaries(text, chunk_bytes, overlap_bytes)
     schema = "doc_id long, ids array<long>, decoded binary" if with_ids else DIGESTS
 
     def outcome(doc_ids, texts: Texts, enc) -> pa.RecordBatch:
+        ids, bounds = enc.encode(texts, split)
         if not with_ids:
-            return digest_batch(doc_ids, texts, enc)
-        ids, bounds = enc.encode(texts)
+            return digest_batch(doc_ids, texts, ids, bounds, enc)
         back = enc.decode(ids, bounds)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64)))
         return pa.RecordBatch.from_arrays([doc_ids, lists, pa.array([back.text(i) for i in range(len(texts))], pa.binary())], ["doc_id", "ids", "decoded"])
@@ -119,7 +122,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
         for batch in batches:
             for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8")
-                spans = chunk_spans(data, chunk_bytes, overlap_bytes)
+                spans = chunk_spans(data, section_bytes, section_overlap)
                 for i in range(0, len(spans), 64):
                     some = spans[i : i + 64]
                     arrays = [pa.array([row] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32()), pa.array([doc] * len(some), pa.int64()), pa.array([a for a, _ in some], pa.int64()), pa.array([data[a:b] for a, b in some], pa.binary())]
@@ -129,10 +132,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
         for batch in batches:
             sizes, heads, tails = [], [], []
             for text, at in zip(column(batch, "text").to_pylist(), column(batch, "at").to_pylist(), strict=True):
-                found = (boundaries(text) + at).astype("<i8")
+                found = (starts_of(text) + at).astype("<i8")
                 sizes.append(len(text))
-                heads.append(found[found <= at + overlap_bytes].tobytes())
-                tails.append(found[found >= at + len(text) - overlap_bytes - 3].tobytes())
+                heads.append(found[found <= at + section_overlap].tobytes())
+                tails.append(found[found >= at + len(text) - section_overlap - 3].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], names_of(SCANNED))
 
     def seams(batches):
@@ -147,7 +150,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
             out = []
             for at, text, begin, end in zip(*(column(batch, c).to_pylist() for c in ("at", "text", "begin", "end")), strict=True):
                 a, b = at if begin is None else begin, at + len(text) if end is None else end
-                out.append(encode_pieces(enc, text[a - at : b - at], boundaries(text) + at, a, b).astype("<u4").tobytes())
+                out.append(encode_pieces(enc, text[a - at : b - at], starts_of(text) + at, a, b).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n"), column(batch, "doc_id"), pa.array(out, pa.binary())], names_of(ENCODED))
 
     def taken_up(batches):
@@ -167,7 +170,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, chunk_bytes
 
     def stitch(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
-        text, starts = stitched([(at, text, boundaries(text)) for at, text in zip(*(group[c].to_pylist() for c in ("at", "text")), strict=True)])
+        text, starts = stitched([(at, text, starts_of(text)) for at, text in zip(*(group[c].to_pylist() for c in ("at", "text")), strict=True)])
         enc, held = encoder(vocabulary, pattern), Running(0, group["doc_id"][0].as_py(), with_ids)
         # some pieces at a time
         cuts = sorted({0, len(text), *(int(starts[np.searchsorted(starts, p)]) for p in range(SLICE_BYTES, int(starts[-1]), SLICE_BYTES))})

@@ -84,3 +84,69 @@ def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = piece_starts(points, first)
     ends = np.append(starts[1:], len(points)) if len(starts) else starts
     return at[starts], at[ends], np.searchsorted(starts, first)
+
+
+#: Bytes before a chunk's end in which a boundary could still move: the pattern looks at most two characters ahead.
+UNSURE_BYTES = 12
+
+
+def chunk_bounds(texts: Texts, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and text of overlapping chunks that cover every text and begin and end between characters."""
+    lengths = texts.sizes()
+    n = np.maximum(1, -(-(lengths - overlap) // size))
+    owner = np.repeat(np.arange(len(texts)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    low, high = texts.bounds[owner], texts.bounds[owner + 1]
+    begin = low + nth * size
+    end = np.where(nth == n[owner] - 1, high, begin + size + overlap)
+    for at in (begin, end):
+        for _ in range(3):
+            inside = np.flatnonzero((at > low) & (at < high))
+            at[inside] -= (texts.data[at[inside]] & 0xC0) == 0x80
+    return begin, end, owner
+
+
+def chunked_pieces(texts: Texts, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pieces``, from overlapping chunks that are scanned side by side.
+
+    Where two neighbours first have a common boundary in their overlap they are
+    stitched: a match depends on what follows it alone, so from there on both
+    scans are the text's. A text in which some overlap has no common boundary
+    (a run of one kind of characters longer than it) is scanned as a whole.
+    """
+    begin, end, owner = chunk_bounds(texts, size, overlap)
+    if len(owner) == len(texts):
+        return pieces(texts)  # each text is one chunk
+    sizes = end - begin
+    upto = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(sizes, out=upto[1:])
+    chunks = Texts(texts.data[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)], upto)
+    points, at, first = code_points(chunks)
+    starts = at[piece_starts(points, first)]
+    chunk = np.searchsorted(upto, starts, side="right") - 1
+    place = starts - upto[chunk] + begin[chunk]
+    # pairs of neighbours, named by the first
+    more = np.append(owner[1:] == owner[:-1], False)
+    after = np.minimum(np.arange(len(begin)) + 1, len(begin) - 1)
+    met = lambda which, pair: which & (place > begin[after[pair]]) & (place <= end[pair] - UNSURE_BYTES)
+    before = np.maximum(chunk - 1, 0)
+    tail, head = met(more[chunk], chunk), met((chunk > 0) & more[before], before)
+    common = np.intersect1d(chunk[tail] << 40 | place[tail], before[head] << 40 | place[head], assume_unique=True)
+    pair, which = np.unique(common >> 40, return_index=True)
+    meet = np.full(len(begin), -1)
+    meet[pair] = common[which] & (1 << 40) - 1
+    broken = np.zeros(len(texts), bool)
+    broken[owner[more & (meet < 0)]] = True
+    low = np.where(np.append(False, more[:-1]), np.roll(meet, 1), begin)
+    high = np.where(more, meet, end)
+    found = place[(place >= low[chunk]) & (place < high[chunk]) & ~broken[owner[chunk]]]
+    if broken.any():
+        again = np.flatnonzero(broken)
+        lengths = texts.sizes()[again]
+        to = np.zeros(len(again) + 1, np.int64)
+        np.cumsum(lengths, out=to[1:])
+        whole = Texts(texts.data[np.arange(to[-1]) + np.repeat(texts.bounds[again] - to[:-1], lengths)], to)
+        starts, _, _ = pieces(whole)
+        text = np.searchsorted(to, starts, side="right") - 1
+        found = np.sort(np.concatenate([found, starts - to[text] + texts.bounds[again[text]]]))
+    return found, np.append(found[1:], len(texts.data)) if len(found) else found, np.searchsorted(found, texts.bounds)

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from lumetra.llm import encoding, packing
 from lumetra.llm.bpe import encoder, ranks_of_json, ranks_of_lines
+from lumetra.llm.pretoken import chunk_bounds, chunked_pieces, pieces
 from lumetra.llm.vectext import Texts
 
 PATTERN = public_tokenizers.PATTERN
@@ -84,7 +85,7 @@ def test_added_tokens_in_documents(spark):
     for r in sorted(packing.pack_documents(df, JSON, PATTERN, capacity=64, end_id=2, with_ids=True).collect(), key=lambda r: (r["doc_id"], r["piece"])):
         packed.setdefault(r["doc_id"], []).extend(np.frombuffer(bytes(r["ids"]), "<u4").tolist())
     assert packed == {i: [*ids, 2] for i, ids in want.items()}
-    rows = encoding.encode_documents(df, JSON, PATTERN, chunk_bytes=512, overlap_bytes=64, with_ids=True).collect()
+    rows = encoding.encode_documents(df, JSON, PATTERN, chunk_bytes=64, overlap_bytes=32, section_bytes=512, section_overlap=64, with_ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == want and all(bytes(r["decoded"]).decode() == texts[r["doc_id"]] for r in rows)
 
 
@@ -100,17 +101,38 @@ def test_stitching(size, overlap):
         assert whole == text and starts.tolist() == encoding.boundaries(text).tolist()
 
 
+@pytest.mark.parametrize("size,overlap", [(16, 13), (40, 16), (64, 32), (200, 50)])
+def test_chunks_give_the_pieces_of_texts(size, overlap):
+    rng = random.Random(size)
+    for _ in range(60):
+        texts = ["".join(rng.choice(ALPHABET if rng.random() < 0.9 else "ab ") for _ in range(rng.choice([0, 1, 5, 60, 400]))) + rng.choice(["", "", "a" * 90 + " b", "  " * 40]) for _ in range(rng.randrange(6))]
+        texts = Texts.of_bytes([t.encode() for t in texts])
+        for got, want in zip(chunked_pieces(texts, size, overlap), pieces(texts), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_every_document_comes_through_chunks(spark, library):
+    """The defaults on whole tables; nearly every text is several chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = {r["doc_id"]: hashlib.sha256(np.array(library.encode_ordinary(r["text"]), "<u4").tobytes()).hexdigest() for r in rows}
+    assert {r["doc_id"]: r["ids_sha256"] for r in encoding.encode_documents(docs, LINES, PATTERN).collect()} == want
+    texts = Texts.of_bytes([r["text"].encode() for r in rows])
+    _, _, owner = chunk_bounds(texts, encoding.CHUNK_BYTES, encoding.OVERLAP_BYTES)
+    assert (np.bincount(owner) > 1).mean() > 0.6
+
+
 def test_encoded_documents(spark, library):
     rng = random.Random(9)
     texts = [None, "", "a", "it's  fine\n\n", "a", "".join(rng.choice(ALPHABET) for _ in range(5000)), "b" * 3000, " " * 2500]
     df = spark.createDataFrame([(i if i != 4 else 2, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as `row`", "3 as at")
-    got = sorted(tuple(r) for r in encoding.encode_documents(df, LINES, PATTERN, chunk_bytes=512, overlap_bytes=64).collect())
+    got = sorted(tuple(r) for r in encoding.encode_documents(df, LINES, PATTERN, chunk_bytes=64, overlap_bytes=32, section_bytes=512, section_overlap=64).collect())
     want = []
     for i, t in enumerate(texts):
         ids = library.encode_ordinary(t or "")
         want.append((i if i != 4 else 2, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
-    full = {r["doc_id"]: r for r in encoding.encode_documents(df, LINES, PATTERN, chunk_bytes=512, overlap_bytes=64, with_ids=True).collect()}
+    full = {r["doc_id"]: r for r in encoding.encode_documents(df, LINES, PATTERN, chunk_bytes=64, overlap_bytes=32, section_bytes=512, section_overlap=64, with_ids=True).collect()}
     assert full[5]["ids"] == library.encode_ordinary(texts[5]) and bytes(full[5]["decoded"]).decode() == texts[5]
     assert encoding.encode_documents(df.filter("false"), LINES, PATTERN).count() == 0
 
