@@ -60,7 +60,7 @@ def verify(spark: SparkSession, args) -> int:
 def extract(spark: SparkSession, args) -> int:
     tiles.register(spark)
     headers = spark.read.format("tiff_headers").option("path", args.path).load()
-    done = extract_channel(headers, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run)).persist()
+    done = extract_channel(headers, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run))
     put_out(done, args.report)
     return int(done.filter("not success").count() > 0)
 
@@ -72,7 +72,7 @@ def batch(spark: SparkSession, args) -> int:
     made = F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel)))
     there = files.listing(spark, args.output).withColumn("path", F.regexp_replace("path", "^file:", "")) if os.path.isdir(args.output) else headers.select("path", "length").limit(0)
     left = planning.missing_outputs(headers, made, there, least_bytes=1000)
-    done = extract_channel(left, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run, args.seconds)).persist()
+    done = extract_channel(left, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run, args.seconds))
     put_out(done, args.report)
     totals = done.agg(F.count(F.lit(1)).alias("files"), F.count_if("success").alias("succeeded"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("seconds"))
     totals.select("files", "succeeded", F.round(planning.per_minute(F.col("files"), F.col("seconds")), 2).alias("per_minute")).show()

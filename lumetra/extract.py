@@ -1,10 +1,17 @@
-"""Channel extraction: one channel of a large colour image to a tiled TIFF with rewritten metadata."""
+"""Channel extraction: one channel of large colour images to tiled TIFFs with rewritten metadata.
+
+A file is cut into bands of output tiles, which tasks read and compress on their
+own; the bands are then put together (see ``sources.bands``). So one file of
+tens of gigabytes is the work of many tasks, as are many small files.
+"""
 
 from __future__ import annotations
 
-import os
+import signal
+import threading
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,10 +21,11 @@ from pyspark.sql import functions as F
 from .functions.names import extracted_name
 from .functions.units import number, pixels_per_cm
 from .operators.ome import parse, rendered
-from .sources.tiff import TiffError, read_pages, read_region, write_tiled
+from .sources.bands import BANDS, LAYOUTS, band_rows, layout_of, spread, write_bands
+from .sources.scratch import stored
+from .sources.tiff import TiffError, packed_band, read_pages, read_region
 
 RESULT = "path string, output string, success boolean, message string, input_bytes long, output_bytes long, duration double"
-ARROW_RESULT = pa.schema([("path", pa.string()), ("output", pa.string()), ("success", pa.bool_()), ("message", pa.string()), ("input_bytes", pa.int64()), ("output_bytes", pa.int64()), ("duration", pa.float64())])
 
 
 @dataclass
@@ -32,34 +40,27 @@ class Options:
     seconds: float | None = None
 
 
-def extract_file(path: str, output: str, description: str | None, resolution: tuple[float, float] | None, options: Options) -> tuple[bool, str, int]:
-    """One file; a band of tiles is in memory at a time. The output appears whole or not at all."""
-    part, until = f"{output}.part", None if options.seconds is None else time.monotonic() + options.seconds
+@contextmanager
+def limited(seconds: float | None):
+    """Raise TimeoutError inside whatever runs after so many seconds, in the middle of a decode as well."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, max(seconds, 1e-6))
     try:
-        with open(path, "rb") as f:
-            page = read_pages(f, 1)[0]
-            if page.samples not in (3, 4):
-                return False, f"Not an RGB image: shape {page.shape}", 0
-            if options.channel >= page.samples:
-                return False, f"No channel {options.channel}", 0
-            if options.dry_run:
-                return True, "planned", 0
-            os.makedirs(os.path.dirname(output) or ".", exist_ok=True)
-
-            def band(a: int, b: int):
-                if until is not None and time.monotonic() > until:
-                    raise TimeoutError(f"stopped after {options.seconds:g} s")
-                return read_region(f, page, a, b)[:, :, options.channel]
-
-            with open(part, "wb") as out:
-                size = write_tiled(out, band, page.height, page.width, page.dtype, description, options.tile, options.level, resolution, 1, options.compression)
-        os.replace(part, output)
-        return True, "extracted", size
-    except (OSError, TiffError, KeyError, IndexError, MemoryError) as error:
-        return False, str(error), 0
+        yield
     finally:
-        if os.path.exists(part):
-            os.remove(part)
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def stopped(seconds: float) -> str:
+    return f"stopped after {seconds:g} s"
 
 
 def described(headers: DataFrame, options: Options, channel: str) -> DataFrame:
@@ -75,17 +76,58 @@ def described(headers: DataFrame, options: Options, channel: str) -> DataFrame:
 
 
 def extract_channel(headers: DataFrame, folder: str, options: Options | None = None) -> DataFrame:
-    """Extract from every file of ``headers``, a task a file; one bad file does not stop the others."""
+    """Extract from every file of ``headers`` (``tiff_headers``); one bad file does not stop the others.
+
+    The outcomes are written before they are returned: reading them again does
+    nothing again. A file whose bands take longer than ``seconds`` together, or
+    one band of which does, has no output.
+    """
     options = options or Options()
     channel = {0: "red", 1: "green", 2: "blue"}.get(options.channel, f"ch{options.channel}")
-    planned = described(headers, options, channel).withColumn("output", F.concat(F.lit(folder.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(options.channel))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = F.concat(F.lit(folder.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(options.channel)))
+    documents = described(headers.filter("error is null"), options, channel)
+    # a small row a file
+    files = stored(headers.select("path", "length", "shape", "dtype", "error").withColumn("output", names).join(documents.drop("length"), "path", "left"))
+    axis = lambda i: F.get(F.col("shape"), F.lit(i))
+    samples = F.coalesce(axis(2), F.lit(1))
+    shape = F.concat(F.lit("("), F.array_join("shape", ", "), F.lit(")"))
+    refused = F.when(F.col("error").isNotNull(), F.col("error")).when((F.size("shape") != 3) | ~samples.isin(3, 4), F.concat(F.lit("Not an RGB image: shape "), shape)).when(samples <= options.channel, F.lit(f"No channel {options.channel}"))
+    files = files.withColumn("refused", refused)
+    told = lambda held, ok, message, size, took: held.select("path", "output", ok.alias("success"), message.alias("message"), F.col("length").alias("input_bytes"), size.alias("output_bytes"), took.alias("duration"))
+    nothing, no_time = F.lit(0).cast("long"), F.lit(0.0)
+    left = told(files.filter("refused is not null"), F.lit(False), F.col("refused"), nothing, no_time)
+    fit = files.filter("refused is null")
+    if options.dry_run:
+        return left.unionByName(told(fit, F.lit(True), F.lit("planned"), nothing, no_time))
+
+    layouts = fit.select(
+        F.col("path").alias("key"), "output", axis(0).alias("height"), axis(1).alias("width"), "dtype", F.lit(1).alias("samples"), F.lit(options.tile).alias("tile"), F.lit(options.compression).alias("compression"),
+        F.lit(options.level).alias("level"), F.col("document").alias("description"), F.col("per_cm_x").alias("x_resolution"), F.col("per_cm_y").alias("y_resolution"),
+    ).select(*[c.split()[0] for c in LAYOUTS.split(", ")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                resolution = None if None in (row["per_cm_x"], row["per_cm_y"]) else (row["per_cm_x"], row["per_cm_y"])
-                began = time.monotonic()
-                ok, message, size = extract_file(row["path"], row["output"], row["document"], resolution, options)
-                yield pa.RecordBatch.from_pylist([{"path": row["path"], "output": row["output"], "success": ok, "message": message, "input_bytes": row["length"], "output_bytes": size, "duration": time.monotonic() - began}], ARROW_RESULT)
-
-    return planned.repartition("path").mapInArrow(run, RESULT)
+                layout, began, data, counts, message = layout_of(row), time.monotonic(), None, None, None
+                try:
+                    with limited(options.seconds), open(row["key"], "rb") as f:
+                        page = read_pages(f, 1)[0]
+                        if page.shape[:2] != (layout.height, layout.width):
+                            raise TiffError("the file has changed")
+                        tiles = packed_band(layout, read_region(f, page, *layout.rows(row["band"]))[:, :, options.channel])
+                    data, counts = b"".join(tiles), [len(t) for t in tiles]
+                except TimeoutError:
+                    message = stopped(options.seconds)
+                except (OSError, TiffError, KeyError, IndexError, ValueError, MemoryError) as error:
+                    message = str(error) or type(error).__name__
+                out = {"key": row["key"], "band": row["band"], "data": data, "counts": counts, "message": message, "seconds": time.monotonic() - began}
+                yield pa.RecordBatch.from_pylist([out], pa.schema([("key", pa.string()), ("band", pa.int32()), ("data", pa.binary()), ("counts", pa.list_(pa.int64())), ("message", pa.string()), ("seconds", pa.float64())]))
+
+    n = band_rows(layouts).count()
+    bands = stored(spread(band_rows(layouts), n, "key", "band").mapInArrow(read, BANDS))
+    if options.seconds is not None:
+        slow = bands.groupBy("key").agg(F.sum("seconds").alias("_all")).filter(F.col("_all") > options.seconds).withColumn("_slow", F.lit(stopped(options.seconds)))
+        bands = bands.join(slow, "key", "left").withColumn("message", F.coalesce("message", "_slow")).drop("_all", "_slow")
+    done = write_bands(layouts, bands)
+    made = fit.drop("output").join(done.withColumnRenamed("key", "path"), "path")
+    return stored(left.unionByName(told(made, F.col("success"), F.coalesce("message", F.lit("extracted")), F.col("bytes"), F.col("seconds"))))

@@ -41,7 +41,7 @@ def _written(spark, d, compression: str = "deflate") -> str:
     """The pictures in a new folder; what comes back is a row a file."""
     folder = new_folder(spark, "pictures")
     about = '<OME><Instrument ID="I"><Objective ID="A"/><Objective ID="B" Model="M40" NominalMagnification="40"/></Instrument><Image ID="0"><Pixels ID="P" PhysicalSizeX="0.5" PhysicalSizeY="0.25"><Channel ID="0" Name="RGB"/></Pixels></Image></OME>'
-    write_images(_pictures(spark, d), folder, tile=16, resolution=(20000.0, 40000.0), description=about, compression=compression).write.format("noop").mode("overwrite").save()
+    write_images(_pictures(spark, d), folder, tile=16, resolution=(20000.0, 40000.0), description=about, compression=compression)
     tiles.register(spark)
     return folder
 
@@ -77,7 +77,7 @@ def tiff_header(spark, d):
 def _extracted(spark, d, dry_run: bool = False) -> tuple[DataFrame, str]:
     headers = spark.read.format("tiff_headers").option("path", _written(spark, d)).load()
     folder = new_folder(spark, "extracted")
-    done = extract_files(headers, folder, Options(channel=1, tile=32, compression="zstd", dry_run=dry_run)).checkpoint()
+    done = extract_files(headers, folder, Options(channel=1, tile=32, compression="zstd", dry_run=dry_run))
     return done, folder
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = os.path.join(url.path, f"{name}-{uuid.uuid4().hex}")
     os.makedirs(path)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder, and read again: what it did is done once, whatever is lost later."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

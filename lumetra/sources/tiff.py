@@ -142,13 +142,19 @@ def expand_lzw(data: bytes) -> bytes:
 def _decoded(page: Page, data: bytes, h: int, w: int) -> np.ndarray:
     how = int(page.one(COMPRESSION, NONE))
     if how in (DEFLATE, OLD_DEFLATE):
-        data = zlib.decompress(data)
+        try:
+            data = zlib.decompress(data)
+        except zlib.error as error:
+            raise TiffError(f"broken tile: {error}") from None
     elif how == LZW:
         data = expand_lzw(data)
     elif how == ZSTD:
         import zstandard
 
-        data = zstandard.ZstdDecompressor().decompress(data, max_output_size=h * w * page.samples * page.dtype.itemsize)
+        try:
+            data = zstandard.ZstdDecompressor().decompress(data, max_output_size=h * w * page.samples * page.dtype.itemsize)
+        except zstandard.ZstdError as error:
+            raise TiffError(f"broken tile: {error}") from None
     elif how != NONE:
         raise TiffError(f"compression {how} is not supported")
     block = np.frombuffer(data, page.dtype, h * w * page.samples).reshape(h, w, page.samples)
@@ -189,48 +195,75 @@ def packer(compression: str, level: int):
     return {"none": bytes, "deflate": lambda data: zlib.compress(data, level)}[compression]
 
 
-def write_tiled(f, rows, height: int, width: int, dtype, description: str | None = None, tile: int = 512, level: int = 6, resolution: tuple[float, float] | None = None, samples: int = 1, compression: str = "deflate") -> int:
-    """A tiled BigTIFF of one page, ``none``, ``deflate`` or ``zstd``, from ``rows(y0, y1)``, a band of tiles in memory at a time; gives the bytes written."""
-    dtype, packed = np.dtype(dtype).newbyteorder("<"), packer(compression, level)
-    f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
-    offsets, counts = [], []
-    for y in range(0, height, tile):
-        band = np.asarray(rows(y, min(y + tile, height))).astype(dtype, copy=False).reshape(-1, width, samples)
-        for x in range(0, width, tile):
-            part = band[:, x : x + tile]
-            block = np.zeros((tile, tile, samples), dtype)
-            block[: part.shape[0], : part.shape[1]] = part
-            data = packed(block.tobytes())
-            offsets.append(f.tell())
-            counts.append(len(data))
-            f.write(data)
-    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
+#: Bytes before the first tile of a written file.
+HEAD_BYTES = 16
+
+
+@dataclass
+class Layout:
+    """What a written image is but for its pixels; enough to write any band of it, and to close it."""
+
+    height: int
+    width: int
+    dtype: str
+    tile: int = 512
+    samples: int = 1
+    compression: str = "deflate"
+    level: int = 6
+    description: str | None = None
+    resolution: tuple[float, float] | None = None
+
+    @property
+    def bands(self) -> int:
+        return -(-self.height // self.tile)
+
+    def rows(self, band: int) -> tuple[int, int]:
+        return band * self.tile, min(self.height, (band + 1) * self.tile)
+
+
+def packed_band(layout: Layout, rows: np.ndarray) -> list[bytes]:
+    """The compressed tiles of one band of rows, in order."""
+    dtype, pack = np.dtype(layout.dtype).newbyteorder("<"), packer(layout.compression, layout.level)
+    band = np.asarray(rows).astype(dtype, copy=False).reshape(-1, layout.width, layout.samples)
+    out = []
+    for x in range(0, layout.width, layout.tile):
+        part = band[:, x : x + layout.tile]
+        block = np.zeros((layout.tile, layout.tile, layout.samples), dtype)
+        block[: part.shape[0], : part.shape[1]] = part
+        out.append(pack(block.tobytes()))
+    return out
+
+
+def closed(f, layout: Layout, counts: list[int]) -> int:
+    """Write the directory behind the tiles, whose bytes are ``counts``, and the header in front of them; gives the file's bytes."""
+    offsets = (HEAD_BYTES + np.append(0, np.cumsum(np.array(counts, np.int64)))).tolist()
+    f.seek(offsets[-1])
+    kind = {"u": 1, "i": 2, "f": 3}[np.dtype(layout.dtype).kind]
     entries: list[tuple[int, int, int, bytes]] = []
 
     def add(tag: int, code: int, *values) -> None:
         letter = KINDS[code][0]
         entries.append((tag, code, len(values), struct.pack("<" + letter[0] * len(values), *values)))
 
-    add(WIDTH, 4, width)
-    add(HEIGHT, 4, height)
-    add(BITS, 3, *[dtype.itemsize * 8] * samples)
-    add(COMPRESSION, 3, COMPRESSIONS[compression])
-    add(PHOTOMETRIC, 3, 1 if samples == 1 else 2)
-    if description is not None:
-        text = description.encode() + b"\0"
+    add(WIDTH, 4, layout.width)
+    add(HEIGHT, 4, layout.height)
+    add(BITS, 3, *[np.dtype(layout.dtype).itemsize * 8] * layout.samples)
+    add(COMPRESSION, 3, COMPRESSIONS[layout.compression])
+    add(PHOTOMETRIC, 3, 1 if layout.samples == 1 else 2)
+    if layout.description is not None:
+        text = layout.description.encode() + b"\0"
         entries.append((DESCRIPTION, 2, len(text), text))
-    add(SAMPLES, 3, samples)
-    if resolution is not None:
-        for tag, value in ((X_RESOLUTION, resolution[0]), (Y_RESOLUTION, resolution[1])):
+    add(SAMPLES, 3, layout.samples)
+    if layout.resolution is not None:
+        for tag, value in zip((X_RESOLUTION, Y_RESOLUTION), layout.resolution, strict=True):
             entries.append((tag, 5, 1, struct.pack("<II", round(value * 1000), 1000)))
-    add(PLANAR, 3, 1)
-    if resolution is not None:
         add(RESOLUTION_UNIT, 3, 3)
-    add(TILE_WIDTH, 4, tile)
-    add(TILE_HEIGHT, 4, tile)
-    add(TILE_OFFSETS, 16, *offsets)
+    add(PLANAR, 3, 1)
+    add(TILE_WIDTH, 4, layout.tile)
+    add(TILE_HEIGHT, 4, layout.tile)
+    add(TILE_OFFSETS, 16, *offsets[:-1])
     add(TILE_COUNTS, 16, *counts)
-    add(SAMPLE_FORMAT, 3, *[kind] * samples)
+    add(SAMPLE_FORMAT, 3, *[kind] * layout.samples)
     entries.sort(key=lambda e: e[0])
     placed = []
     for tag, code, n, data in entries:
@@ -244,7 +277,19 @@ def write_tiled(f, rows, height: int, width: int, dtype, description: str | None
     directory = f.tell()
     f.write(struct.pack("<Q", len(placed)) + b"".join(placed) + struct.pack("<Q", 0))
     end = f.tell()
-    f.seek(8)
-    f.write(struct.pack("<Q", directory))
+    f.seek(0)
+    f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, directory))
     f.seek(end)
     return end
+
+
+def write_tiled(f, rows, height: int, width: int, dtype, description: str | None = None, tile: int = 512, level: int = 6, resolution: tuple[float, float] | None = None, samples: int = 1, compression: str = "deflate") -> int:
+    """A tiled BigTIFF of one page, ``none``, ``deflate`` or ``zstd``, from ``rows(y0, y1)``, a band of tiles in memory at a time; gives the bytes written."""
+    layout = Layout(height, width, np.dtype(dtype).name, tile, samples, compression, level, description, resolution)
+    counts: list[int] = []
+    f.write(bytes(HEAD_BYTES))
+    for band in range(layout.bands):
+        for data in packed_band(layout, rows(*layout.rows(band))):
+            counts.append(len(data))
+            f.write(data)
+    return closed(f, layout, counts)

@@ -1,34 +1,45 @@
-"""Images from rows of lines: one tiled TIFF for each image, written by the task that holds its lines."""
+"""Images from rows of lines: one tiled TIFF for each image, a band of tiles a group, put together by ``bands``."""
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tiff import write_tiled
-
-WRITTEN = "image long, path string, bytes long"
+from .bands import BANDS, LAYOUTS, write_bands
+from .scratch import stored
+from .tiff import Layout, packed_band
 
 
 def write_images(lines: DataFrame, folder: str, tile: int = 512, level: int = 6, resolution: tuple[float, float] | None = None, description: str | None = None, compression: str = "deflate") -> DataFrame:
     """Write rows (image, y, data: bytes of a line as [width, samples], samples) as ``folder/<image>.tiff``, a file appearing whole or not at all.
 
-    Lines of an image must be of one width; they are 8-bit and laid in the order of y.
+    Lines of an image must be of one width and laid in the order of y from 0,
+    none missing; they are 8-bit. What comes back is image, path, bytes; a
+    line that is missing or of another width is an error.
     """
-
-    def write(group: pa.Table) -> pa.Table:
+    held = stored(lines.select(F.col("image").cast("long").alias("image"), F.col("y").cast("long").alias("y"), F.col("data").cast("binary").alias("data"), F.col("samples").cast("int").alias("samples")))
+    size = F.length("data") / F.col("samples")
+    shapes = held.groupBy("image").agg(F.count_distinct("y").alias("lines"), (F.max("y") + 1).alias("height"), F.min(size).alias("width"), F.max(size).alias("_most"), F.min("samples").alias("samples"), F.count(F.lit(1)).alias("n"))
+    even = (F.col("lines") == F.col("height")) & (F.col("n") == F.col("height")) & (F.col("width") == F.col("_most"))
+    checked = F.when(even, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("lines are missing or uneven in image "), F.col("image").cast("string"))).cast("long"))
+    told = {"dtype": F.lit("uint8"), "tile": F.lit(tile), "compression": F.lit(compression), "level": F.lit(level), "description": F.lit(description).cast("string")}
+    told |= {f"{a}_resolution": F.lit(None if resolution is None else float(resolution[i])).cast("double") for i, a in enumerate("xy")}
+    layouts = shapes.select(
+        F.col("image").cast("string").alias("key"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image").cast("string"), F.lit(".tiff")).alias("output"),
+        checked.cast("int").alias("height"), F.col("width").cast("int").alias("width"), "samples",
+    ).withColumns(told)
+
+    def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("y")
-        image, samples = group["image"][0].as_py(), group["samples"][0].as_py()
-        lines = [np.frombuffer(line, np.uint8).reshape(-1, samples) for line in group["data"].to_pylist()]
-        path = os.path.join(folder, f"{image}.tiff")
-        with open(f"{path}.part", "wb") as out:
-            size = write_tiled(out, lambda a, b: np.stack(lines[a:b]), len(lines), len(lines[0]), np.uint8, description, tile, level, resolution, samples, compression)
-        os.replace(f"{path}.part", path)
-        return pa.Table.from_pylist([{"image": image, "path": path, "bytes": size}], pa.schema([("image", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
-
-    held = lines.select(F.col("image").cast("long").alias("image"), F.col("y").cast("long").alias("y"), F.col("data").cast("binary").alias("data"), F.col("samples").cast("int").alias("samples"))
-    return held.groupBy("image").applyInArrow(write, WRITTEN)
+        samples = group["samples"][0].as_py()
+        lines = np.stack([np.frombuffer(line, np.uint8).reshape(-1, samples) for line in group["data"].to_pylist()])
+        tiles = packed_band(Layout(len(lines), lines.shape[1], "uint8", tile, samples, compression, level), lines)
+        row = {"key": str(group["image"][0].as_py()), "band": group["band"][0].as_py(), "data": b"".join(tiles), "counts": [len(t) for t in tiles], "message": None, "seconds": 0.0}
+        return pa.Table.from_pylist([row], pa.schema([("key", pa.string()), ("band", pa.int32()), ("data", pa.binary()), ("counts", pa.list_(pa.int64())), ("message", pa.string()), ("seconds", pa.float64())]))
+
+    # a group is a band of ``tile`` lines
+    bands = held.withColumn("band", F.floor(F.col("y") / tile).cast("int")).groupBy("image", "band").applyInArrow(pack, BANDS)
+    done = write_bands(layouts.select(*[c.split()[0] for c in LAYOUTS.split(", ")]), bands)
+    return done.select(F.col("key").cast("long").alias("image"), F.col("output").alias("path"), "bytes")

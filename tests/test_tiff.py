@@ -1,4 +1,5 @@
 import io
+import time
 import zlib
 
 import numpy as np
@@ -6,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumetra import cli
-from lumetra.extract import Options, extract_channel
+from lumetra.extract import Options, extract_channel, limited
 from lumetra.sources import tiles
+from lumetra.sources.tiff_sink import write_images
 from lumetra.sources.tiff import TiffError, expand_lzw, read_pages, read_region, write_tiled
 
 
@@ -72,6 +74,80 @@ def test_extraction(spark, folder, tmp_path):
         assert 'Name="green"' in page.description and 'PhysicalSizeX="0.5"' in page.description
 
 
+def tasks_of(spark, group, f):
+    """How many tasks the widest stage of ``f`` had."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in (tracker.getJobInfo(job).stageIds if tracker.getJobInfo(job) else [])]
+    return out, max(i.numTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_many_files_and_large_files_take_many_tasks(spark, tmp_path):
+    tiles.register(spark)
+    (tmp_path / "many").mkdir()
+    for i in range(60):
+        with open(tmp_path / "many" / f"s{i}.tif", "wb") as f:
+            write_tiled(f, lambda a, b, i=i: picture(20, 20, seed=i)[a:b], 20, 20, np.uint8, tile=16, samples=3)
+    headers = spark.read.format("tiff_headers").option("path", str(tmp_path / "many")).load()
+    done, n = tasks_of(spark, "many", lambda: extract_channel(headers, str(tmp_path / "out"), Options(tile=32)).collect())
+    assert n >= 60 and sum(r["success"] for r in done) == 60
+    image = picture(1000, 40)
+    (tmp_path / "one").mkdir()
+    with open(tmp_path / "one" / "large.tif", "wb") as f:
+        write_tiled(f, lambda a, b: image[a:b], 1000, 40, np.uint8, tile=16, samples=3)
+    headers = spark.read.format("tiff_headers").option("path", str(tmp_path / "one")).load()
+    done, n = tasks_of(spark, "one", lambda: extract_channel(headers, str(tmp_path / "out"), Options(tile=16, compression="zstd")).collect())
+    assert n >= 63 and done[0]["success"] and done[0]["message"] == "extracted"
+    # the bytes of the writer that is one task
+    with open(done[0]["output"], "rb") as f:
+        held = f.read()
+    page, again = read_pages(io.BytesIO(held))[0], io.BytesIO()
+    write_tiled(again, lambda a, b: image[a:b, :, 1], 1000, 40, np.uint8, page.description, 16, 6, None, 1, "zstd")
+    assert held == again.getvalue() and done[0]["output_bytes"] == len(held)
+
+
+def test_a_file_that_breaks_off_has_no_output(spark, tmp_path):
+    tiles.register(spark)
+    (tmp_path / "in").mkdir()
+    image = picture(200, 40)
+    with open(tmp_path / "in" / "cut.tif", "wb") as f:
+        write_tiled(f, lambda a, b: image[a:b], 200, 40, np.uint8, tile=16, samples=3)
+        page = read_pages(open(f.name, "rb"))[0] if f.flush() is None else None
+    with open(tmp_path / "in" / "cut.tif", "r+b") as f:
+        f.seek(page.tags[324][-1])
+        f.write(b"not what was packed")
+    headers = spark.read.format("tiff_headers").option("path", str(tmp_path / "in")).load()
+    done = extract_channel(headers, str(tmp_path / "out"), Options(tile=16)).collect()
+    assert [r["success"] for r in done] == [False] and done[0]["message"] and not list((tmp_path / "out").glob("*"))
+
+
+def test_a_decode_is_stopped(monkeypatch):
+    began = time.monotonic()
+    with pytest.raises(TimeoutError), limited(0.2):
+        while True:
+            pass
+    assert time.monotonic() - began < 5
+    with limited(None):
+        pass
+
+
+def test_lines_must_be_whole(spark, tmp_path):
+    rows = [(1, y, bytearray(range(30)), 3) for y in range(50)] + [(2, y, bytearray(range(9)), 3) for y in range(3)]
+    df = spark.createDataFrame(rows, "image int, y int, data binary, samples int").repartition(5)
+    got = {r["image"]: r for r in write_images(df, str(tmp_path), tile=16).collect()}
+    with open(got[1]["path"], "rb") as f:
+        page = read_pages(f)[0]
+        assert (read_region(f, page, 0, 50) == np.arange(30, dtype=np.uint8).reshape(1, 10, 3)).all() and page.shape == (50, 10, 3)
+    for odd in ("image = 2 or y <> 7", "true"):
+        broken = df.filter(odd) if odd != "true" else df.union(df.filter("y = 3"))
+        with pytest.raises(Exception, match="lines are missing or uneven"):
+            write_images(broken, str(tmp_path), tile=16).collect()
+
+
 def test_batch_resumes(spark, folder, tmp_path):
     out, told = str(tmp_path / "out"), lambda i: str(tmp_path / f"report{i}")
     assert cli.main(["batch", str(folder), out, "--tile", "16", "--report", told(0), "--seconds", "0"]) == 1
