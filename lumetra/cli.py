@@ -19,9 +19,15 @@ TILE = 512
 
 
 def iod(spark: SparkSession, args) -> int:
+    """Objects of one image; several images at once would need to say which object is whose."""
+    found = tiles.paths_of({"path": args.image})
+    if len(found) != 1 or not os.path.isfile(found[0]):
+        print(f"iod takes one image; {args.image} is {len(found)} files" if len(found) != 1 else f"no such image: {args.image}", file=sys.stderr)
+        return 2
+    image = found[0]
     tiles.register(spark)
-    held = spark.read.format("tiff_tiles").option("path", args.image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
-    nuclei = files.nuclei(spark, args.nuclei, args.passthrough).withColumn("object_id", F.monotonically_increasing_id()).withColumn("image_id", F.lit(args.image))
+    held = spark.read.format("tiff_tiles").option("path", image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    nuclei = files.nuclei(spark, args.nuclei, args.passthrough).withColumn("object_id", F.monotonically_increasing_id()).withColumn("image_id", F.lit(image))
     level = tiled.tile_background(held, args.background_percentile)
     sums = tiled.tile_sums(held, nuclei, level, "object_id", "AreaShape_Center_X", "AreaShape_Center_Y", "AreaShape_Area", TILE).drop("Background_I0", "image_id")
     # the background of one image is one row

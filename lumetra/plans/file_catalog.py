@@ -161,7 +161,7 @@ def exported_measurements(spark, d):
     folder, rows = new_folder(spark, "export"), table(spark, d, "events").select(F.col("user_id").alias("image"), F.col("event_id").alias("n"), F.round("value", 4).alias("value"))
     stats = report.measurement_stats(table(spark, d, "events"), "user_id", "value").select(F.col("user_id").alias("image"), "n", F.round("mean", 4).alias("value"))
     files.write_export(rows, stats, folder, "Oil_")
-    read = lambda kind: spark.read.option("header", True).csv(f"{folder}/Oil_{kind}").select(F.lit(kind).alias("kind"), F.col("image").cast("long"), F.col("n").cast("long"), F.col("value").cast("double"))
+    read = lambda kind: spark.read.option("header", True).csv(f"{folder}/Oil_{kind}.csv").select(F.lit(kind).alias("kind"), F.col("image").cast("long"), F.col("n").cast("long"), F.col("value").cast("double"))
     return read("Images").unionByName(read("Objects"))
 
 
@@ -170,10 +170,12 @@ def od_range(spark, d):
     return density.object_density(_pixels(spark, d), ["l_orderkey"]).select(F.col("l_orderkey").alias("ObjectNumber"), "Mean_OD", "Min_OD", "Max_OD")
 
 
-@query("SELECT image, n, cv FROM (SELECT user_id AS image, count(*) AS n, round(stddev_pop(value) / avg(value) * 100, 6) AS cv FROM events GROUP BY 1) WHERE n >= 20 AND cv < 60")
+@query("SELECT image, n, cv FROM (SELECT p_partkey % 8 AS image, count(*) AS n, round(stddev_pop(p_retailprice + (p_partkey % 8) * p_size * 10) / avg(p_retailprice + (p_partkey % 8) * p_size * 10) * 100, 6) AS cv FROM part GROUP BY 1) WHERE n >= 20 AND cv < 20")
 def sample_acceptance_stated(spark, d):
-    objects = table(spark, d, "events").select(F.col("user_id").alias("image"), F.col("value").alias("True_IOD"), F.lit("Yes").alias("QC_Passed"))
-    return density.accepted_samples(density.summary(objects, keys=["image"]), least_n=20, most_cv=60.0).select("image", "n", "cv")
+    """The documented bounds: 20 objects at least and a variation below 20; samples lie on both sides of it."""
+    image = F.col("p_partkey") % 8
+    objects = table(spark, d, "part").select(image.alias("image"), (F.col("p_retailprice") + image * F.col("p_size") * 10).alias("True_IOD"), F.lit("Yes").alias("QC_Passed"))
+    return density.accepted_samples(density.summary(objects, keys=["image"]), least_n=20, most_cv=20.0).select("image", "n", "cv")
 
 
 # --- listings ---------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import NUCLEI
+from .single_file import write_lines
 
 
 def listing(spark: SparkSession, roots: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -55,13 +56,16 @@ def nuclei(spark: SparkSession, path: str, passthrough: str | None = None, stric
 
 
 def write_measurements(df: DataFrame, path: str, order: list[str] = (), single_file: bool = False) -> None:
-    """CSV with a header and NaN written out; ordered where asked for."""
+    """CSV with a header and NaN written out; ordered where asked for. ``single_file``: one file of that name, which many tasks write."""
     out = df.orderBy(*order) if order else df
-    out = out.coalesce(1) if single_file else out
-    out.write.mode("overwrite").option("header", True).option("nanValue", "NaN").csv(path)
+    if not single_file:
+        out.write.mode("overwrite").option("header", True).option("nanValue", "NaN").csv(path)
+        return
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    write_lines(out.select(F.to_csv(F.struct(*columns), {"nanValue": "NaN"}).alias("line")), path, ",".join(df.columns))
 
 
 def write_export(objects: DataFrame, images: DataFrame, folder: str, prefix: str) -> None:
-    """Measurements of objects and of images as two tables whose names begin alike."""
+    """Measurements of objects and of images as two files whose names begin alike."""
     for name, table in (("Objects", objects), ("Images", images)):
-        write_measurements(table, f"{folder.rstrip('/')}/{prefix}{name}", single_file=True)
+        write_measurements(table, f"{folder.rstrip('/')}/{prefix}{name}.csv", single_file=True)

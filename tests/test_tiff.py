@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lumetra import cli
 from lumetra.extract import Options, extract_channel, limited
-from lumetra.sources import tiles
+from lumetra.sources import files, tiles
+from lumetra.sources.single_file import write_lines
 from lumetra.sources.tiff_sink import write_images
 from lumetra.sources.tiff import TiffError, expand_lzw, read_pages, read_region, write_tiled
 
@@ -164,3 +165,26 @@ def test_command_line_density(spark, folder, tmp_path):
     assert cli.main(["iod", str(folder / "a.ome.btf"), str(tmp_path / "n.csv"), str(tmp_path / "out")]) == 0
     rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
     assert {r["ObjectNumber"]: float(r["True_IOD"]) > 0 for r in rows} == {"1": True, "2": False}
+
+
+def test_command_line_density_refuses_several_images(folder, tmp_path, capsys):
+    (tmp_path / "n.csv").write_text("ObjectNumber,AreaShape_Center_X,AreaShape_Center_Y,AreaShape_Area\n1,20,20,30\n")
+    assert cli.main(["iod", str(folder), str(tmp_path / "n.csv"), str(tmp_path / "out")]) == 2
+    assert cli.main(["iod", str(folder / "none.tif"), str(tmp_path / "n.csv"), str(tmp_path / "out")]) == 2
+    assert "takes one image" in capsys.readouterr().err and not (tmp_path / "out").exists()
+
+
+def test_one_file_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"é{i}" * (i % 5), float("nan") if i % 7 == 0 else i / 3, None if i % 3 else "a,b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, t string, v double, n string")
+    path = str(tmp_path / "t" / "one.csv")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.csv").write_text("old")
+    files.write_measurements(df.repartition(7), path, ["i"], single_file=True)
+    held = open(path, encoding="utf-8").read().splitlines()
+    assert held[0] == "i,t,v,n" and [int(line.split(",")[0]) for line in held[1:]] == list(range(3000))
+    assert "NaN" in held[1] and list((tmp_path / "t").glob("*")) == [tmp_path / "t" / "one.csv"]
+    lines = df.select(F.col("i").cast("string"))
+    assert write_lines(lines, path, block_bytes=50) == sum(len(str(i)) + 1 for i in range(3000))
+    assert sorted(map(int, open(path).read().split())) == list(range(3000))
+    assert write_lines(lines.filter("false"), path, "head") == 5
