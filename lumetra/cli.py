@@ -49,9 +49,14 @@ def put_out(rows: DataFrame, path: str | None) -> None:
         print("\t".join("" if v is None else ",".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
 
 
+def headers_below(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Headers of the images at or below a path, listed and opened by tasks."""
+    found = files.listing(spark, path, recursive=recursive)
+    return tiles.headers_of(found.filter(F.lower("path").rlike(r"\.(tif|tiff|btf)$")))
+
+
 def verify(spark: SparkSession, args) -> int:
-    tiles.register(spark)
-    headers = spark.read.format("tiff_headers").option("path", args.path).option("recursive", "false").load()
+    headers = headers_below(spark, args.path, recursive=False)
     told = ome.parse(headers.withColumn("xml", F.coalesce("description", F.lit(""))), "xml")
     # sizes in micrometres out of the header's own resolution
     per_unit = F.when(F.col("resolution_unit") == 3, F.lit(1e4)).when(F.col("resolution_unit") == 2, F.lit(25400.0))
@@ -64,8 +69,7 @@ def verify(spark: SparkSession, args) -> int:
 
 
 def extract(spark: SparkSession, args) -> int:
-    tiles.register(spark)
-    headers = spark.read.format("tiff_headers").option("path", args.path).load()
+    headers = headers_below(spark, args.path)
     done = extract_channel(headers, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run))
     put_out(done, args.report)
     return int(done.filter("not success").count() > 0)
@@ -73,10 +77,9 @@ def extract(spark: SparkSession, args) -> int:
 
 def batch(spark: SparkSession, args) -> int:
     """Extract what has no output of more than 1000 bytes yet; every file's outcome, then totals."""
-    tiles.register(spark)
-    headers = spark.read.format("tiff_headers").option("path", args.path).load()
+    headers = headers_below(spark, args.path)
     made = F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel)))
-    there = files.listing(spark, args.output).withColumn("path", F.regexp_replace("path", "^file:", "")) if os.path.isdir(args.output) else headers.select("path", "length").limit(0)
+    there = files.listing(spark, args.output) if os.path.isdir(args.output) else headers.select("path", "length").limit(0)
     left = planning.missing_outputs(headers, made, there, least_bytes=1000)
     done = extract_channel(left, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run, args.seconds))
     put_out(done, args.report)

@@ -201,6 +201,28 @@ def _tree(spark, d) -> str:
 TREE_CTE = "tree AS (SELECT n_nationkey AS k, 's' || n_nationkey || CASE n_nationkey % 5 WHEN 0 THEN '_raw.ome.btf' WHEN 1 THEN '.BTF' WHEN 2 THEN '.vsi' WHEN 3 THEN '.ome.tiff' ELSE '.Btf' END AS name, n_nationkey % 3 = 0 AS deep FROM nation)"
 
 
+@query("""SELECT lang || '/_' || (doc_id % 3) || '/.' || (doc_id % 11) || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.btf' WHEN 1 THEN '.BTF' WHEN 2 THEN '.vsi' ELSE '.txt' END AS name, CAST(doc_id % 50 AS BIGINT) AS length
+    FROM documents WHERE doc_id % 4 < 3""")
+def tree_listing(spark, d):
+    """A file a document in a tree of hidden and underscored directories, some files empty: a tree that grows with the table."""
+    folder = new_folder(spark, "grown")
+
+    def write(batches):
+        for batch in batches:
+            for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(b"x" * (key % 50))
+            yield batch
+
+    k = F.col("doc_id")
+    end = F.element_at(F.array(*[F.lit(e) for e in (".btf", ".BTF", ".vsi", ".txt")]), (k % 4 + 1).cast("int"))
+    name = F.concat(F.col("lang"), F.lit("/_"), (k % 3).cast("string"), F.lit("/."), (k % 11).cast("string"), F.lit("/"), k.cast("string"), end)
+    table(spark, d, "documents").select(name.alias("name"), "doc_id").mapInArrow(write, "name string, doc_id long").write.format("noop").mode("overwrite").save()
+    return files.listing(spark, folder, "*.{btf,BTF,vsi}").select(F.substring(F.col("path"), len(folder) + 2, 1000).alias("name"), "length")
+
+
 @query(f"WITH {TREE_CTE} SELECT name, CAST(k AS BIGINT) AS length FROM tree WHERE k % 5 IN (0, 1)")
 def stack_listing(spark, d):
     return files.listing(spark, _tree(spark, d), "*.{btf,BTF}").select(names.base_name(F.col("path")).alias("name"), "length")

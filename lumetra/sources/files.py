@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,23 +10,22 @@ from pyspark.sql import types as T
 
 from ..schemas import NUCLEI
 from .single_file import write_lines
+from .walk import local_path, matching, walk
 
 
 def listing(spark: SparkSession, roots: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, length and modificationTime of matching files; contents are never read.
 
-    Spark passes over directories whose name begins with '_' or '.'; name such
-    directories as roots of their own to list them. Its scans also pass over
-    empty files; these are added from the file index, which the driver holds
-    in any case, with length 0 and no time.
+    On mounted storage tasks list the directories (``walk``). In a store that
+    only Spark reads its own scan does, which passes over empty files and over
+    directories whose name begins with '_' or '.'.
     """
     roots = [roots] if isinstance(roots, str) else roots
+    mounted = [local_path(r) for r in roots]
+    if None not in mounted:
+        return matching(walk(spark, mounted, recursive), pattern)
     scans = [spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(r) for r in roots]
-    indexed = [(re.sub(r"^(\w+):/+", r"\1:/", unquote(p)) if p.startswith("file:") else unquote(p),) for scan in scans for p in scan.inputFiles()]
-    found = reduce(DataFrame.unionByName, [scan.select("path", "length", "modificationTime") for scan in scans])
-    known = spark.createDataFrame(indexed, "path string")
-    empty = known.join(found.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
-    return found.unionByName(empty).dropDuplicates(["path"])
+    return reduce(DataFrame.unionByName, [scan.select("path", "length", "modificationTime") for scan in scans]).dropDuplicates(["path"])
 
 
 def stream_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

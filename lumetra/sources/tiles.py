@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import glob
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from ..schemas import TILES
+from .bands import spread
 from .tiff import RESOLUTION_UNIT, X_RESOLUTION, Y_RESOLUTION, TiffError, read_pages, read_region
 
 HEADERS = "path string, length long, n_pages int, shape array<int>, dtype string, description string, x_resolution double, y_resolution double, resolution_unit int, error string"
@@ -102,6 +105,33 @@ class TiffTiles(DataSource):
         return TileReader(dict(self.options))
 
 
+def header_row(path: str) -> tuple:
+    """The row of one file; one that cannot be followed says why."""
+    try:
+        with open(path, "rb") as f:
+            pages = read_pages(f)
+        if not pages:
+            raise TiffError("no pages")
+        p = pages[0]
+        return (path, os.path.getsize(path), len(pages), list(p.shape), p.dtype.name, p.description, p.ratio(X_RESOLUTION), p.ratio(Y_RESOLUTION), p.one(RESOLUTION_UNIT), None)
+    except (OSError, TiffError, KeyError, IndexError, struct.error) as error:
+        return (path, os.path.getsize(path) if os.path.exists(path) else None, 0, None, None, None, None, None, None, str(error))
+
+
+def headers_of(files: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of ``tiff_headers`` for files listed in a table, which stays distributed: a task a file, up to a bound."""
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+
+    def read(batches):
+        for batch in batches:
+            rows = [header_row(p) for p in batch.column(0).to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in HEADERS.split(", ")])
+
+    named = files.select(F.col(path).alias("path"))
+    return spread(named, named.count(), "path").mapInArrow(read, HEADERS)
+
+
 class HeaderReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -110,15 +140,7 @@ class HeaderReader(DataSourceReader):
         return [Part(p) for p in paths_of(self.options)]
 
     def read(self, part):
-        try:
-            with open(part.path, "rb") as f:
-                pages = read_pages(f)
-            if not pages:
-                raise TiffError("no pages")
-            p = pages[0]
-            yield (part.path, os.path.getsize(part.path), len(pages), list(p.shape), p.dtype.name, p.description, p.ratio(X_RESOLUTION), p.ratio(Y_RESOLUTION), p.one(RESOLUTION_UNIT), None)
-        except (OSError, TiffError, KeyError, IndexError) as error:
-            yield (part.path, os.path.getsize(part.path) if os.path.exists(part.path) else None, 0, None, None, None, None, None, None, str(error))
+        yield header_row(part.path)
 
 
 class TiffHeaders(DataSource):
