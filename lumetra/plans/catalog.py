@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, optics, units
-from ..operators import density, images, ome, planning, ranking, regions, report
+from ..operators import density, flooding, images, ome, planning, ranking, regions, report, segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -454,3 +454,58 @@ def colour_images(spark, d):
     k = F.col("doc_id")
     shape = F.when(k % 3 == 2, F.array(F.lit(10), F.lit(20), (k % 6).cast("int"))).otherwise(F.array(F.lit(10), (k % 6).cast("int")))
     return table(spark, d, "documents").filter(images.is_colour(shape)).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- objects out of images: an image is all embeddings, a line each ---------------------------
+
+#: Foreground, neighbours, and seeds: pixels of the foreground that none within three is above.
+OBJECTS_CTE = f"""{IMAGE_CTE}, fg AS MATERIALIZED (SELECT y, x, CAST(v AS BIGINT) AS v FROM px WHERE v > 125), side AS (SELECT * FROM (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)),
+    square AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-3, 4)) AS i) a, (SELECT unnest(range(-3, 4)) AS i) b),
+    over AS (SELECT DISTINCT o.y + dy AS y, o.x + dx AS x, max(o.v) AS most FROM fg o, square GROUP BY 1, 2),
+    seeds AS MATERIALIZED (SELECT fg.y, fg.x, fg.v, fg.y * 4294967296 + fg.x AS seed FROM fg JOIN over USING (y, x) WHERE fg.v = most)"""
+
+
+def _foreground(spark, d):
+    return _image(spark, d).filter("v > 125").select("y", "x", F.col("v").cast("long").alias("v"))
+
+
+def _seeded(spark, d):
+    held = _foreground(spark, d)
+    tops = images.local_maxima(held, 3).select("y", "x", (F.shiftleft("y", 32) + F.col("x")).alias("seed"))
+    return held.join(tops, ["y", "x"], "left")
+
+
+@query(f"""WITH RECURSIVE {OBJECTS_CTE}, lab(y, x, label) USING KEY (y, x) AS (
+        SELECT y, x, y * 4294967296 + x FROM fg
+        UNION SELECT f.y, f.x, min(l.label) FROM lab l, side s JOIN fg f ON f.y = l.y + s.dy AND f.x = l.x + s.dx JOIN recurring.lab r ON r.y = f.y AND r.x = f.x
+        GROUP BY f.y, f.x, r.label HAVING min(l.label) < r.label)
+    SELECT y, x, CAST(label AS BIGINT) AS object_id FROM lab""")
+def pixel_components(spark, d):
+    """Objects of a threshold, by tiles far smaller than the image."""
+    return segments.components(_foreground(spark, d), tile=32)
+
+
+def _grown_sql(start: str, on: str, limit: str, result: str) -> str:
+    return f"""WITH RECURSIVE {OBJECTS_CTE}, cost(y, x, c) USING KEY (y, x) AS (
+        SELECT y, x, CAST({start} AS BIGINT) FROM seeds p
+        UNION SELECT f.y, f.x, min({on}) FROM (SELECT k.y, k.x, k.c, g.v FROM cost k JOIN fg g ON g.y = k.y AND g.x = k.x) p, side s JOIN fg f ON f.y = p.y + s.dy AND f.x = p.x + s.dx
+        LEFT JOIN recurring.cost r ON r.y = f.y AND r.x = f.x LEFT JOIN seeds z ON z.y = f.y AND z.x = f.x WHERE z.seed IS NULL AND {on} <= {limit}
+        GROUP BY f.y, f.x, r.c HAVING r.c IS NULL OR min({on}) < r.c),
+    whole AS MATERIALIZED (SELECT y, x, c, v FROM cost JOIN fg USING (y, x)),
+    tight AS MATERIALIZED (SELECT f.y, f.x, p.y AS py, p.x AS px FROM whole p, side s JOIN whole f ON f.y = p.y + s.dy AND f.x = p.x + s.dx LEFT JOIN seeds z ON z.y = f.y AND z.x = f.x WHERE z.seed IS NULL AND {on} = f.c),
+    own(y, x, seed) USING KEY (y, x) AS (
+        SELECT y, x, seed FROM seeds
+        UNION SELECT t.y, t.x, min(o.seed) FROM own o JOIN tight t ON t.py = o.y AND t.px = o.x LEFT JOIN recurring.own r ON r.y = t.y AND r.x = t.x GROUP BY t.y, t.x, r.seed HAVING r.seed IS NULL OR min(o.seed) < r.seed)
+    SELECT y, x, CAST(seed AS BIGINT) AS object_id{result} FROM own JOIN cost USING (y, x)"""
+
+
+@query(_grown_sql("(255 - p.v) * 4294967296", "CASE WHEN 255 - f.v > p.c // 4294967296 THEN (255 - f.v) * 4294967296 + 1 ELSE p.c + 1 END", "9223372036854775806", ""))
+def declumped_objects(spark, d):
+    """Touching objects parted by a flood from their peaks."""
+    return flooding.declumped(_seeded(spark, d), tile=32)
+
+
+@query(_grown_sql("0", "p.c + 2 + 3 * abs(f.v - p.v)", "60", ", CAST(c AS BIGINT) AS cost"))
+def grown_objects(spark, d):
+    """What lies within a distance of each peak, steps over edges of intensity being longer."""
+    return flooding.secondary_objects(_seeded(spark, d), base=2, weight=3, limit=60, tile=32)
