@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.optics import coefficient_of_variation, optical_density
-from .ranking import global_rank
+from .ranking import global_rank, percentiles
 
 DIGITS = 6
 
@@ -15,9 +16,13 @@ DIGITS = 6
 def background(pixels: DataFrame, value: str, keys: list[str] = (), percentile: float = 95.0) -> DataFrame:
     """Linearly interpolated high percentile, per image where keys are given.
 
-    Values are counted first, so what is sorted is the histogram (at most 256
-    rows an image at 8 bits), and the counts are partially aggregated.
+    Values are counted first, and the counts partially aggregated. Whole numbers
+    have few levels (at most 256 an image at 8 bits), so an image's histogram
+    is sorted where it lies; images of fractions may have as many levels as
+    pixels, and go through ranks over range partitions.
     """
+    if keys and isinstance(pixels.schema[value].dataType, (T.FractionalType, T.DecimalType)):
+        return percentiles(pixels, value, list(keys), {"background": percentile})
     counts = pixels.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy(*keys).agg(F.percentile(F.col(value), percentile / 100.0, F.col("_n")).alias("background"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,8 +62,8 @@ def clear_of_border(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return boxes.filter((F.col("min_x") > 0) & (F.col("min_y") > 0) & (F.col("max_x") < width - 1) & (F.col("max_y") < height - 1))
 
 
-#: Levels that a histogram may have before thresholds are looked for in all pairs of them.
-MOST_LEVELS = 4096
+#: Levels of a histogram that one task takes: 16 bits have 65,536, a million are some megabytes.
+MOST_LEVELS = 1 << 20
 
 
 def histogram(pixels: DataFrame, value: str, keys: list[str] = (), bins: int | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -104,28 +106,101 @@ def best_pair(levels: str, total, mass):
     return F.struct(F.coalesce(-best["low"], first).alias("low"), F.coalesce(-best["high"], first).alias("high"))
 
 
-def otsu(levels: DataFrame, classes: int = 2, most_levels: int = MOST_LEVELS) -> DataFrame:
-    """Thresholds of greatest between-class variance over a histogram (level, n): two or three classes.
+def threshold_surface(pixels: DataFrame, thresholds: DataFrame, window: int = 100, keys: list[str] = (), columns: list[str] = ("low", "high"), digits: int = 6) -> DataFrame:
+    """keys, y, x and each pixel's thresholds, bilinear between the middles of windows.
 
-    Works on the histogram; of equal variances the lowest thresholds win. Three
-    classes look at all pairs of levels, so a histogram of more than
-    ``most_levels`` is refused: give ``histogram`` a number of bins.
+    ``thresholds``: keys, row, column and the values of each window
+    (``window_thresholds``). A window at the far edge is as large as what is
+    left of the image, and has its middle there; outside the outermost middles
+    the surface is level. Every window is joined with those beside it first, a
+    small table, and pixels meet it once.
     """
-    if classes == 3 and levels.count() > most_levels:
-        raise ValueError(f"more than {most_levels} levels; bin the histogram")
-    upto = W.orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.orderBy("level").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    keys, columns = list(keys), list(columns)
+    # how far an image goes, one row an image
+    ends = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    value = F.struct(*columns)
+    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    offers = thresholds.select(*keys, "row", "column", value.alias("t"), near.alias("d")).select(*keys, (F.col("row") + F.col("d.dy")).alias("row"), (F.col("column") + F.col("d.dx")).alias("column"), F.concat_ws(",", -F.col("d.dy"), -F.col("d.dx")).alias("side"), "t")
+    around = offers.groupBy(*keys, "row", "column").agg(F.map_from_entries(F.collect_list(F.struct("side", "t"))).alias("t"))  # nine at most
+    around = around.filter(F.map_contains_key("t", F.lit("0,0")))
+    around = around.join(ends, keys) if keys else around.crossJoin(F.broadcast(ends))  # one row without keys
+    placed = pixels.select(*keys, "y", "x", F.floor(F.col("y") / window).cast("long").alias("row"), F.floor(F.col("x") / window).cast("long").alias("column"))
+    met = placed.join(around, [*keys, "row", "column"])
+
+    def side(at: str, place: str, end: str) -> tuple[Column, Column]:
+        """The neighbour's side along one axis, and its weight."""
+        middle = lambda r: r * window + (F.least(F.lit(window), F.col(end) - r * window) - 1) / 2.0
+        own, last = middle(F.col(place)), F.floor((F.col(end) - 1) / window)
+        to = F.when(F.col(at) < own, F.when(F.col(place) > 0, -1).otherwise(0)).when(F.col(at) > own, F.when(F.col(place) < last, 1).otherwise(0)).otherwise(0)
+        return to, F.when(to == 0, 0.0).otherwise(F.abs((F.col(at) - own) / F.nullif(middle(F.col(place) + to) - own, F.lit(0.0))))
+
+    (dy, wy), (dx, wx) = side("y", "row", "_h"), side("x", "column", "_w")
+    met = met.select(*keys, "y", "x", "t", dy.cast("int").alias("_dy"), wy.alias("_wy"), dx.cast("int").alias("_dx"), wx.alias("_wx"))
+    # a window without pixels has no thresholds: the own window's stand for it
+    at = lambda a, b: F.coalesce(F.try_element_at("t", F.concat_ws(",", a, b)), F.try_element_at("t", F.lit("0,0")))
+    zero = F.lit(0)
+    corners = met.select(*keys, "y", "x", "_wy", "_wx", at(zero, zero).alias("a"), at(zero, F.col("_dx")).alias("b"), at(F.col("_dy"), zero).alias("c"), at(F.col("_dy"), F.col("_dx")).alias("d"))
+    wy, wx = F.col("_wy"), F.col("_wx")
+    mixed = lambda n: (1 - wy) * ((1 - wx) * F.col(f"a.{n}") + wx * F.col(f"b.{n}")) + wy * ((1 - wx) * F.col(f"c.{n}") + wx * F.col(f"d.{n}"))
+    return corners.select(*keys, "y", "x", *[F.round(mixed(n), digits).alias(n) for n in columns])
+
+
+def best_cuts(level: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Thresholds of three classes of greatest between-class variance over sorted levels.
+
+    The best lower cut moves up with the upper one, so upper cuts are halved
+    again and again, and each looks only between the lower cuts of its
+    neighbours: some L log L pairs of L levels instead of all. Of scores equal
+    to six digits the lowest cuts win.
+    """
+    w, m = np.cumsum(n.astype(np.float64)), np.cumsum(n * level)
+    if len(level) < 3:
+        return float(level[0]), float(level[0])
+    best, todo = (-np.inf, 0, 0), [(1, len(level) - 2, 0, len(level) - 3)]
+    while todo:
+        first, last, low, high = todo.pop()
+        j = (first + last) // 2
+        i = np.arange(low, min(high, j - 1) + 1)
+        score = np.round(m[i] * m[i] / w[i] + (m[j] - m[i]) * (m[j] - m[i]) / (w[j] - w[i]) + (m[-1] - m[j]) * (m[-1] - m[j]) / (w[-1] - w[j]), 6)
+        at = int(i[np.argmax(score)])
+        best = max(best, (float(score[at - low]), -at, -j))
+        if first < j:
+            todo.append((first, j - 1, low, at))
+        if j < last:
+            todo.append((j + 1, last, at, high))
+    return float(level[-best[1]]), float(level[-best[2]])
+
+
+def otsu(levels: DataFrame, classes: int = 2, keys: list[str] = (), most_levels: int = MOST_LEVELS) -> DataFrame:
+    """Thresholds of greatest between-class variance over a histogram (level, n), for each image named by ``keys``: two or three classes.
+
+    Works on the histogram; of equal variances the lowest thresholds win; two
+    levels have no three classes, and the first stands for both. A task holds
+    one histogram: one of more than ``most_levels`` is refused, for which
+    ``histogram`` takes a number of bins.
+    """
+    if classes == 3:
+        keys = list(keys)
+        key = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("{}")
+        kinds = ", ".join(f"`{k}` {levels.schema[k].dataType.simpleString()}" for k in keys)
+
+        def cut(group: pa.Table) -> pa.Table:
+            if group.num_rows > most_levels:
+                raise ValueError(f"more than {most_levels} levels; bin the histogram")
+            group = group.sort_by("level")
+            low, high = best_cuts(group["level"].to_numpy(), group["n"].to_numpy())
+            return pa.table({"key": group["key"].slice(0, 1), "low": [low], "high": [high]})
+
+        held = levels.select(key.alias("key"), F.col("level").cast("double").alias("level"), F.col("n").cast("long").alias("n"))
+        found = held.groupBy("key").applyInArrow(cut, "key string, low double, high double")
+        return found.select(*[F.from_json("key", kinds)[k].alias(k) for k in keys], "low", "high")
+    upto = W.partitionBy(*keys).orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*keys)
     mass = F.col("n") * F.col("level")
-    c = levels.select("level", F.sum("n").over(upto).alias("w"), F.sum(mass).over(upto).alias("m"), F.sum("n").over(everything).alias("tw"), F.sum(mass).over(everything).alias("tm"))
+    c = levels.select(*keys, "level", F.sum("n").over(upto).alias("w"), F.sum(mass).over(upto).alias("m"), F.sum("n").over(whole).alias("tw"), F.sum(mass).over(whole).alias("tm"))
     term = lambda w, m: m * m / w
-    if classes == 2:
-        split = c.filter("w < tw").withColumn("score", F.round(term(F.col("w"), F.col("m")) + term(F.col("tw") - F.col("w"), F.col("tm") - F.col("m")), 6))
-        return split.orderBy(F.desc("score"), "level").limit(1).select(F.col("level").alias("threshold"))
-    low = c.select(F.col("level").alias("low"), F.col("w").alias("w1"), F.col("m").alias("m1"))
-    high = c.filter("w < tw").select(F.col("level").alias("high"), "w", "m", "tw", "tm")
-    pairs = high.join(F.broadcast(low), F.col("low") < F.col("high"))
-    score = term(F.col("w1"), F.col("m1")) + term(F.col("w") - F.col("w1"), F.col("m") - F.col("m1")) + term(F.col("tw") - F.col("w"), F.col("tm") - F.col("m"))
-    return pairs.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "low", "high").limit(1).select("low", "high")
+    split = c.filter("w < tw").withColumn("score", F.round(term(F.col("w"), F.col("m")) + term(F.col("tw") - F.col("w"), F.col("tm") - F.col("m")), 6))
+    return split.groupBy(*keys).agg(F.max_by(F.col("level"), F.struct("score", (-F.col("level")).alias("back"))).alias("threshold")).filter("threshold is not null")
 
 
 def local_maxima(pixels: DataFrame, radius: int = 3, keys: list[str] = ()) -> DataFrame:

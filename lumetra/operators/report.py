@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.optics import coefficient_of_variation
-from .ranking import global_rank
+from .ranking import global_rank, percentiles
 
 
 def category_counts(files: DataFrame, category: str) -> DataFrame:
@@ -44,12 +44,11 @@ def unrecoverable(samples: DataFrame, outputs: DataFrame, sample: str) -> DataFr
 
 
 def measurement_stats(objects: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
-    """Per image: n, mean, median, population deviation and variation of a measurement."""
+    """Per image: n, mean, median, population deviation and variation of a measurement; an image of any size."""
     mean, deviation = F.avg(value), F.stddev_pop(value)
-    return objects.groupBy(key).agg(
-        F.count(value).alias("n"), F.round(mean, digits).alias("mean"), F.round(F.median(value), digits).alias("median"), F.round(deviation, digits).alias("std"),
-        F.round(coefficient_of_variation(mean, deviation), digits).alias("cv"),
-    )
+    sums = objects.groupBy(key).agg(F.count(value).alias("n"), F.round(mean, digits).alias("mean"), F.round(deviation, digits).alias("std"), F.round(coefficient_of_variation(mean, deviation), digits).alias("cv"))
+    middle = percentiles(objects, value, [key], {"median": 50.0}).withColumnRenamed(key, "_key")
+    return sums.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", "mean", F.round("median", digits).alias("median"), "std", "cv")
 
 
 def surviving_parents(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..extract import Options
 from ..extract import extract_channel as extract_files
 from ..functions import names, units
-from ..operators import density, images, ome, planning, regions, report, tiled
+from ..operators import density, images, ome, planning, ranking, regions, report, tiled
 from ..sources import files, tiles
 from ..sources.scratch import new_folder
 from ..sources.tiff_sink import write_images
@@ -353,3 +353,41 @@ def adaptive_thresholds(spark, d):
     px = _image(spark, d)
     tall = px.withColumn("y", F.floor(F.col("y") / 100) * 32 + F.col("y") % 32)  # windows of 100 lines by 32 columns
     return images.window_thresholds(tall, "v", 32, 16, 0.0, 256.0, 0.8)
+
+
+#: Thresholds of windows of 32 lines and columns, from 16 levels.
+WINDOWS_CTE = f"""{IMAGE_CTE}, h AS (SELECT y // 32 AS r, x // 32 AS k, greatest(0, least(15, floor(v * (16 / 256.0)))) * 16.0 AS level, count(*) AS n FROM px GROUP BY ALL),
+    c AS (SELECT *, sum(n) OVER w AS w, sum(n * level) OVER w AS m, sum(n) OVER (PARTITION BY r, k) AS tw, sum(n * level) OVER (PARTITION BY r, k) AS tm FROM h WINDOW w AS (PARTITION BY r, k ORDER BY level)),
+    p AS (SELECT a.r, a.k, a.level AS low, b.level AS high, round(a.m * a.m / a.w + (b.m - a.m) * (b.m - a.m) / (b.w - a.w) + (b.tm - b.m) * (b.tm - b.m) / (b.tw - b.w), 6) AS score FROM c a JOIN c b USING (r, k) WHERE a.level < b.level AND b.w < b.tw),
+    t AS MATERIALIZED (SELECT r, k, low * 0.8 AS low, high * 0.8 AS high FROM (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY score DESC, low, high) AS nth FROM p) WHERE nth = 1)"""
+
+
+@query(f"""WITH {WINDOWS_CTE}, e AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px),
+    q AS (SELECT y, x, r, k, y - (r * 32 + (least(32, h - r * 32) - 1) / 2.0) AS ey, x - (k * 32 + (least(32, w - k * 32) - 1) / 2.0) AS ex, h, w FROM (SELECT y, x, y // 32 AS r, x // 32 AS k FROM px), e),
+    n AS (SELECT *, CASE WHEN ey < 0 AND r > 0 THEN -1 WHEN ey > 0 AND r < (h - 1) // 32 THEN 1 ELSE 0 END AS dr, CASE WHEN ex < 0 AND k > 0 THEN -1 WHEN ex > 0 AND k < (w - 1) // 32 THEN 1 ELSE 0 END AS dk FROM q),
+    f AS (SELECT *, CASE WHEN dr = 0 THEN 0 ELSE abs(ey) / abs((r + dr) * 32 + (least(32, h - (r + dr) * 32) - 1) / 2.0 - r * 32 - (least(32, h - r * 32) - 1) / 2.0) END AS fy,
+                    CASE WHEN dk = 0 THEN 0 ELSE abs(ex) / abs((k + dk) * 32 + (least(32, w - (k + dk) * 32) - 1) / 2.0 - k * 32 - (least(32, w - k * 32) - 1) / 2.0) END AS fx FROM n)
+    SELECT y, x, round((1 - fy) * ((1 - fx) * a.low + fx * b.low) + fy * ((1 - fx) * c.low + fx * d.low), 6) AS low, round((1 - fy) * ((1 - fx) * a.high + fx * b.high) + fy * ((1 - fx) * c.high + fx * d.high), 6) AS high
+    FROM f JOIN t a ON a.r = f.r AND a.k = f.k JOIN t b ON b.r = f.r AND b.k = f.k + dk JOIN t c ON c.r = f.r + dr AND c.k = f.k JOIN t d ON d.r = f.r + dr AND d.k = f.k + dk""")
+def threshold_surface(spark, d):
+    """Thresholds of windows, bilinear between their middles; the last windows are narrower."""
+    px = _image(spark, d)
+    return images.threshold_surface(px, images.window_thresholds(px, "v", 32, 16, 0.0, 256.0, 0.8), 32)
+
+
+@query("""WITH h AS (SELECT l_returnflag AS image, floor(l_extendedprice / 20) AS level, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT image, level, sum(n) OVER w AS w, sum(n * level) OVER w AS m, sum(n) OVER (PARTITION BY image) AS tw, sum(n * level) OVER (PARTITION BY image) AS tm FROM h WINDOW w AS (PARTITION BY image ORDER BY level)),
+    s AS (SELECT a.image, a.level AS low, b.level AS high, round(a.m * a.m / a.w + (b.m - a.m) * (b.m - a.m) / (b.w - a.w) + (b.tm - b.m) * (b.tm - b.m) / (b.tw - b.w), 6) AS score FROM c a JOIN c b ON a.image = b.image AND a.level < b.level AND b.w < b.tw)
+    SELECT image, arg_max(low, (score, -low, -high)) AS low, arg_max(high, (score, -low, -high)) AS high FROM s GROUP BY image""")
+def otsu_many_levels(spark, d):
+    """Three classes an image out of thousands of levels, without all their pairs."""
+    px = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("image"), F.floor(F.col("l_extendedprice") / 20).alias("v"))
+    return images.otsu(images.histogram(px, "v", ["image"]), 3, ["image"])
+
+
+@query("SELECT user_id AS image, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.1), 6) AS p10 FROM events GROUP BY 1 UNION ALL SELECT -1, round(quantile_cont(value, 0.95), 6), round(quantile_cont(value, 0.5), 6), round(quantile_cont(value, 0.1), 6) FROM events")
+def percentiles_by_image(spark, d):
+    """Exact percentiles of fractions, of each image and of one image (-1) that holds all rows."""
+    rows = table(spark, d, "events").select("user_id", "value")
+    held = rows.withColumnRenamed("user_id", "image").unionByName(rows.select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("image"), "value"))
+    found = ranking.percentiles(held, "value", ["image"], {"p95": 95.0, "p50": 50.0, "p10": 10.0})
+    return found.select("image", *[F.round(c, 6).alias(c) for c in ("p95", "p50", "p10")])

@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumetra.functions import optics
-from lumetra.operators import density, regions
+from lumetra.operators import density, images, ranking, regions
 
 
 def od(pixel, level):
@@ -71,3 +72,39 @@ def test_circles_equal_a_mask(spark):
 def test_standards(spark):
     assert optics.STANDARDS == {"chicken": 1.25, "trout": 2.60}
     assert spark.range(1).select(optics.genome_size(F.lit(20.0), F.lit(10.0), F.lit(1.25))).first()[0] == 2.5
+
+
+def test_percentiles_by_key_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(k, float(rng.randrange(40)) / 3 if k != "one" else 2.5) for k in [*"aaabb", *["c"] * 300, "one", None, None]] + [("a", None), ("empty", None)]
+    got = {r["k"]: (r["p"], r["m"]) for r in ranking.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], {"p": 95.0, "m": 50.0}).collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        held = [v for key, v in rows if key == k and v is not None]
+        want[k] = tuple(np.percentile(held, q) for q in (95, 50))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert ranking.percentiles(spark.createDataFrame([], "k string, v double"), "v", ["k"], {"p": 5.0}).count() == 0
+    whole = ranking.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", [], {"p": 95.0}).first()["p"]
+    assert whole == pytest.approx(np.percentile([v for _, v in rows if v is not None], 95))
+
+
+@pytest.mark.parametrize("n", [3, 4, 9, 60])
+def test_cuts_equal_all_pairs(n):
+    rng = np.random.default_rng(n)
+    for _ in range(40):
+        level = np.sort(rng.choice(1000, n, replace=False)).astype(float)
+        count = rng.integers(1, 50, n)
+        w, m = np.cumsum(count), np.cumsum(count * level)
+        pairs = [(round(m[i] ** 2 / w[i] + (m[j] - m[i]) ** 2 / (w[j] - w[i]) + (m[-1] - m[j]) ** 2 / (w[-1] - w[j]), 6), -level[i], -level[j]) for j in range(1, n - 1) for i in range(j)]
+        best = max(pairs)
+        assert images.best_cuts(level, count) == (-best[1], -best[2])
+
+
+def test_a_surface_is_level_outside_the_middles(spark):
+    px = spark.createDataFrame([(i, y, x) for i in range(2) for y in range(10) for x in range(7)], "image int, y int, x int")
+    marks = spark.createDataFrame([(i, r, c, float(10 * r + c + i), 1.0) for i in range(2) for r in range(3) for c in range(2)], "image int, row long, column long, low double, high double")
+    got = {(r["image"], r["y"], r["x"]): r["low"] for r in images.threshold_surface(px, marks, 4, ["image"]).collect()}
+    ys, xs = [1.5, 5.5, 8.5], [1.5, 5.0]  # middles; the last windows have two lines and three columns
+    for (i, y, x), low in got.items():
+        assert low == pytest.approx(np.interp(y, ys, [0, 10, 20]) + np.interp(x, xs, [0, 1]) + i)
+    assert len(got) == 140
