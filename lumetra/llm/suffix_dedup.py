@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -302,20 +303,23 @@ def cleaned_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     All rows and columns stay, a text that was repeated as a whole becomes empty.
     """
 
+    # a row is known by doc_id, length and two hashes of different kinds; the first hash tells a null doc_id from the number that stands for it
+    null_id = -(2**63)
+    theirs, own = ([fresh(docs, f"_{side}_{c}") for c in ROW] for side in ("kept", "own"))
+    new = fresh(docs, "_kept")
+
     def decode(batches):
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in column(batch, "kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ROW], pa.array(texts, pa.string())], [*ROW, "kept"])
+            yield pa.RecordBatch.from_arrays([*[pc.fill_null(column(batch, c), null_id) for c in ROW], pa.array(texts, pa.string())], [*theirs, new])
 
     found = remove_repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select(*ROW, "kept")
-    # rows equal in doc_id and text lose the same bytes; a row is known by doc_id, length and two hashes of different kinds
-    kept = found.mapInArrow(decode, "row_key long, doc_id long, n_bytes long, text_crc32 long, kept string").groupBy(*ROW).agg(F.first("kept").alias("kept"))
-    doc_id, text, new, key, row = F.col("doc_id").cast("long"), F.col("text").cast("string"), *(fresh(docs, c) for c in ("_kept", "_key", "_row"))
-    own = {"row_key": row_key(doc_id, text), "doc_id": doc_id, "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "text_crc32": F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0))}
-    kept = kept.select(F.struct(*ROW).alias(key), F.col("kept").alias(new))
-    keyed = docs.withColumn(row, F.struct(*[v.alias(c) for c, v in own.items()]))
-    # a null doc_id equals itself here
-    same = [F.col(row)[c].eqNullSafe(F.col(key)[c]) if c == "doc_id" else F.col(row)[c] == F.col(key)[c] for c in ROW]
+    # rows equal in doc_id and text lose the same bytes; sums and join meet in one exchange
+    kept = found.mapInArrow(decode, ", ".join(f"`{c}` long" for c in theirs) + f", `{new}` string").groupBy(*theirs).agg(F.first(new).alias(new))
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    marks = [row_key(doc_id, text), F.coalesce(doc_id, F.lit(null_id)), F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0))]
+    keyed = docs.withColumns(dict(zip(own, marks, strict=True)))
+    same = [F.col(a) == F.col(b) for a, b in zip(own, theirs, strict=True)]
     fields = {c: F.col(f"`{c}`") for c in docs.columns}
     fields["text"] = F.coalesce(new, "text").alias("text")
     if "n_chars" in fields:
