@@ -55,6 +55,9 @@ SLICE = (1 << 20) - 64
 #: Documents of a group that are held in one row; larger groups are tiled.
 SMALL = 128
 TILE = 2048
+#: Shingles that one side of a tile holds, some 8 MB, besides what one set has; and bits that its sketches take while they are made.
+TILE_SHINGLES = 1 << 20
+SKETCH_BITS = 1 << 26
 #: Rounds of stars, each with other centres, before components are compared in full.
 TURNS = 2
 
@@ -278,7 +281,8 @@ def links_across(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     component = np.unique(labels, return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
-    bits = 64 * int(np.clip(4 * size.max(initial=1) // 64 + 1, 1, 1024))
+    # shorter sketches let more through to the exact sets, and lose nothing
+    bits = 64 * int(np.clip(4 * size.max(initial=1) // 64 + 1, 1, max(1, min(1024, SKETCH_BITS // 64 // max(1, len(sets))))))
     sketch = parity_sketches(sets, bits)
     ends = np.searchsorted(size[order], size[order] * DENOMINATOR // NUMERATOR, side="right")
     found = []
@@ -384,15 +388,17 @@ def small_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return verified(pairs, sets, sketched=True)
 
 
-def tile_links(large: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links across components in large groups, in tiles of about ``tile`` documents squared.
+def tile_links(large: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+    """Links across components in large groups, in tiles of about ``tile`` documents, or ``TILE_SHINGLES`` shingles, squared.
 
     Documents of a group's largest component lie in one row of tiles each;
     those outside it meet every such tile, and each other in tiles of theirs.
     """
-    most = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"))
-    over = lambda n: F.ceil(n / tile).cast("int")
-    named = large.join(most, "key").withColumns({"inside": F.col("label") == F.col("most.label"), "rows": over(F.col("most.n")), "cuts": over(F.col("members") - F.col("most.n"))})
+    sized = large.join(sets.select("doc_id", F.col("n_shingles").cast("long").alias("weight")), "doc_id")
+    most = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).groupBy("key").agg(F.max(F.struct("n", "weight", "label")).alias("most"), F.sum("weight").alias("whole"))
+    # documents and shingles are bounded, whichever asks for more parts
+    over = lambda n, weight: F.greatest(F.ceil(n / tile), F.ceil(weight / TILE_SHINGLES)).cast("int")
+    named = large.join(most, "key").withColumns({"inside": F.col("label") == F.col("most.label"), "rows": over(F.col("most.n"), F.col("most.weight")), "cuts": over(F.col("members") - F.col("most.n"), F.col("whole") - F.col("most.weight"))})
     own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outer = named.filter("not inside").withColumn("part", own("cuts"))
@@ -441,7 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a block that holds one component stays closed
         left = checkpointed(opened(offers if turn == 1 else left.select("doc_id", "key"), roots, turn))
     groups, fits = checkpointed(by_centre(left)), F.col("members") <= SMALL
-    roots = components(links.unionByName(tile_links(groups.filter(~fits), sets)).unionByName(small_links(groups.filter(fits), sets)))
+    roots = components(links.unionByName(tile_links(groups.filter(~fits), sets, TILE)).unionByName(small_links(groups.filter(fits), sets)))
     # classes with their component, and every document with its class
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     members = sizes.filter(filled).join(named, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

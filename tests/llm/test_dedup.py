@@ -138,12 +138,14 @@ def brute_components(docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("small", [128, 2])
-def test_components_equal_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize("small,tile,shingles", [(128, 8, 1 << 20), (2, 8, 1 << 20), (2, 2048, 300)])
+def test_components_equal_brute_force(spark, small, tile, shingles, monkeypatch):
     docs = corpus(7, 150)
     assert sum(i == 5 for i, _ in docs) == 3  # several texts of one doc_id are one node
     monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 1 << 12 if shingles == 300 else 1 << 26)
     got = jaccard_join.near_duplicates(frame(spark, docs))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(docs)
 
