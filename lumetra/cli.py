@@ -70,7 +70,7 @@ def verify(spark: SparkSession, args) -> int:
 
 def extract(spark: SparkSession, args) -> int:
     headers = headers_below(spark, args.path)
-    done = extract_channel(headers, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run))
+    done = extract_channel(headers, args.output, Options(args.channel, args.level, {"zlib": "deflate"}.get(args.compression, args.compression), args.tile, args.dry_run, None, args.predictor, args.pages))
     put_out(done, args.report)
     return int(done.filter("not success").count() > 0)
 
@@ -81,7 +81,7 @@ def batch(spark: SparkSession, args) -> int:
     made = F.concat(F.lit(args.output.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(args.channel)))
     there = files.listing(spark, args.output) if os.path.isdir(args.output) else headers.select("path", "length").limit(0)
     left = planning.missing_outputs(headers, made, there, least_bytes=1000)
-    done = extract_channel(left, args.output, Options(args.channel, args.level, args.compression, args.tile, args.dry_run, args.seconds))
+    done = extract_channel(left, args.output, Options(args.channel, args.level, {"zlib": "deflate"}.get(args.compression, args.compression), args.tile, args.dry_run, args.seconds, args.predictor, args.pages))
     put_out(done, args.report)
     totals = done.agg(F.count(F.lit(1)).alias("files"), F.count_if("success").alias("succeeded"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("seconds"))
     totals.select("files", "succeeded", F.round(planning.per_minute(F.col("files"), F.col("seconds")), 2).alias("per_minute")).show()
@@ -118,7 +118,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--channel", type=int, default=1)
     p.add_argument("--level", type=int, default=6)
     p.add_argument("--tile", type=int, default=512)
-    p.add_argument("--compression", choices=["none", "deflate", "zstd"], default="deflate")
+    p.add_argument("--predictor", type=int, choices=[1, 2], default=1, help="2: differences along rows")
+    p.add_argument("--pages", action="store_true", help="every page of a stack, not the first alone")
+    p.add_argument("--compression", choices=["none", "deflate", "zlib", "lzw", "zstd"], default="deflate")
     p.add_argument("--report", help="CSV of all rows instead of a printed list")
     p.add_argument("--dry-run", action="store_true")
     p.set_defaults(run=extract)
@@ -128,7 +130,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--channel", type=int, default=1)
     p.add_argument("--level", type=int, default=6)
     p.add_argument("--tile", type=int, default=512)
-    p.add_argument("--compression", choices=["none", "deflate", "zstd"], default="deflate")
+    p.add_argument("--predictor", type=int, choices=[1, 2], default=1, help="2: differences along rows")
+    p.add_argument("--pages", action="store_true", help="every page of a stack, not the first alone")
+    p.add_argument("--compression", choices=["none", "deflate", "zlib", "lzw", "zstd"], default="deflate")
     p.add_argument("--seconds", type=float, help="time that a file may take")
     p.add_argument("--report", help="CSV of all rows instead of a printed list")
     p.add_argument("--dry-run", action="store_true")

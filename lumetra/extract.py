@@ -30,7 +30,8 @@ RESULT = "path string, output string, success boolean, message string, input_byt
 
 @dataclass
 class Options:
-    """Channel (0 red, 1 green, 2 blue), compression (none, deflate, zstd) and its level, tile edge, and seconds that a file may take."""
+    """Channel (0 red, 1 green, 2 blue), compression (none, deflate, zstd, lzw) and its level, tile edge, and seconds that a file may take;
+    ``predictor`` 2 stores differences along rows, ``pages`` extracts every page of a stack instead of the first."""
 
     channel: int = 1
     level: int = 6
@@ -38,6 +39,8 @@ class Options:
     tile: int = 512
     dry_run: bool = False
     seconds: float | None = None
+    predictor: int = 1
+    pages: bool = False
 
 
 @contextmanager
@@ -87,7 +90,7 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
     names = F.concat(F.lit(folder.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(options.channel)))
     documents = described(headers.filter("error is null"), options, channel)
     # a small row a file
-    files = stored(headers.select("path", "length", "shape", "dtype", "error").withColumn("output", names).join(documents.drop("length"), "path", "left"))
+    files = stored(headers.select("path", "length", "shape", "dtype", "error", "n_pages").withColumn("output", names).join(documents.drop("length"), "path", "left"))
     axis = lambda i: F.get(F.col("shape"), F.lit(i))
     samples = F.coalesce(axis(2), F.lit(1))
     shape = F.concat(F.lit("("), F.array_join("shape", ", "), F.lit(")"))
@@ -100,9 +103,12 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
     if options.dry_run:
         return left.unionByName(told(fit, F.lit(True), F.lit("planned"), nothing, no_time))
 
+    # all pages of a stack are a stack in z
+    document = F.regexp_replace("document", r'SizeZ="\d+"', F.concat(F.lit('SizeZ="'), F.col("n_pages").cast("string"), F.lit('"'))) if options.pages else F.col("document")
     layouts = fit.select(
         F.col("path").alias("key"), "output", axis(0).alias("height"), axis(1).alias("width"), "dtype", F.lit(1).alias("samples"), F.lit(options.tile).alias("tile"), F.lit(options.compression).alias("compression"),
-        F.lit(options.level).alias("level"), F.col("document").alias("description"), F.col("per_cm_x").alias("x_resolution"), F.col("per_cm_y").alias("y_resolution"),
+        F.lit(options.level).alias("level"), document.alias("description"), F.col("per_cm_x").alias("x_resolution"), F.col("per_cm_y").alias("y_resolution"),
+        F.lit(options.predictor).alias("predictor"), (F.col("n_pages") if options.pages else F.lit(1)).cast("int").alias("pages"),
     ).select(*[c.split()[0] for c in LAYOUTS.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +117,11 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
                 layout, began, data, counts, message = layout_of(row), time.monotonic(), None, None, None
                 try:
                     with limited(options.seconds), open(row["key"], "rb") as f:
-                        page = read_pages(f, 1)[0]
-                        if page.shape[:2] != (layout.height, layout.width):
-                            raise TiffError("the file has changed")
-                        tiles = packed_band(layout, read_region(f, page, *layout.rows(row["band"]))[:, :, options.channel])
+                        nth = row["band"] // layout.bands_of_page
+                        page = read_pages(f, nth + 1)[nth]
+                        if page.shape[:2] != (layout.height, layout.width) or page.samples <= options.channel or page.dtype.name != layout.dtype:
+                            raise TiffError(f"page {nth} is of another kind than the first")
+                        tiles = packed_band(layout, read_region(f, page, *layout.rows(row["band"]), channel=options.channel))
                     data, counts = b"".join(tiles), [len(t) for t in tiles]
                 except TimeoutError:
                     message = stopped(options.seconds)

@@ -102,6 +102,41 @@ def extraction_dry_run(spark, d):
     return done.select(_number(F.col("path")).alias("image"), "success", "message", "output_bytes")
 
 
+def _stacks(spark, d) -> str:
+    """The pictures as stacks of two pages of fifty lines, in LZW with differences."""
+    folder = new_folder(spark, "stacks")
+    about = '<OME><Image ID="0"><Pixels ID="P" DimensionOrder="XYCZT" SizeX="64" SizeY="50" SizeZ="2" SizeC="3" SizeT="1"/></Image></OME>'
+    lines = _pictures(spark, d).select("image", F.floor(F.col("y") / 50).alias("page"), (F.col("y") % 50).alias("y"), "data", "samples")
+    write_images(lines, folder, tile=16, description=about, compression="lzw", predictor=2)
+    tiles.register(spark)
+    return folder
+
+
+def _planes(spark, folder: str, channel: int) -> DataFrame:
+    """(image, z, y, x, v) of one channel of every page."""
+    held = spark.read.format("tiff_tiles").option("path", folder).option("tile", 32).option("pages", "all").load().filter(F.col("channel") == channel)
+    cells = held.select(_number(F.col("image_id")).alias("image"), F.col("z").cast("long").alias("z"), "y0", "x0", "w", F.posexplode("data").alias("i", "v"))
+    return cells.select("image", "z", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("long").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+
+
+STACK_SQL = f"WITH {PICTURE_CTE} SELECT image, y // 50 AS z, y % 50 AS y, x, 255 - v AS v FROM pic"
+
+
+@query(STACK_SQL)
+def stack_channel_slice(spark, d):
+    """One channel out of a 4-D stack."""
+    return _planes(spark, _stacks(spark, d), 1)
+
+
+@query(STACK_SQL)
+def extracted_stack(spark, d):
+    """One channel of every page of stacks, extracted to stacks of their own."""
+    folder = new_folder(spark, "extracted")
+    headers = tiles.headers_of(files.listing(spark, _stacks(spark, d), "*.tiff"))
+    extract_files(headers, folder, Options(channel=1, tile=32, compression="lzw", predictor=2, pages=True))
+    return _planes(spark, folder, 0)
+
+
 CIRCLES_CTE = "ci AS (SELECT p_partkey AS object_id, p_partkey % 5 AS image, CAST(trunc(p_partkey % 64 + 0.7) AS BIGINT) AS cx, CAST(trunc((p_partkey * 7) % 100 - 0.5) AS BIGINT) AS cy, CAST(trunc(sqrt(p_size * 2.0 / pi())) AS BIGINT) AS r FROM part)"
 
 

@@ -18,8 +18,8 @@ NUCLEI = T.StructType(
 #: Long form of a small image: one row a pixel. Unsigned 8 bits need a short.
 PIXELS = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("v", T.ShortType())])
 
-#: Tiles of large images: one row a tile and channel, values row by row.
-TILES = "image_id string, page int, channel int, y0 int, x0 int, h int, w int, dtype string, data array<int>"
+#: Tiles of large images: one row a tile and channel, values row by row. ``page`` is a page's number in its file, z and t its place in a stack.
+TILES = "image_id string, page int, z int, t int, channel int, y0 int, x0 int, h int, w int, dtype string, data array<int>"
 
 #: What an OME document says of its first image; sizes stay text until they are validated.
 OME_XML = (

@@ -1,6 +1,7 @@
 """Tiled images as a Spark data source: tasks take bands of rows in turn, filters on channel pushed down.
 
-``tiff_tiles`` gives tiles of single channels; ``tiff_headers`` one row a file.
+``tiff_tiles`` gives tiles of single channels, of the first page or (``pages``:
+all) of every page of a stack; ``tiff_headers`` one row a file.
 Paths are opened by the tasks, so images must be on storage that executors mount.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from ..schemas import TILES
 from .bands import spread
-from .tiff import RESOLUTION_UNIT, X_RESOLUTION, Y_RESOLUTION, TiffError, read_pages, read_region
+from .tiff import RESOLUTION_UNIT, X_RESOLUTION, Y_RESOLUTION, Page, TiffError, read_pages, read_region
 
 HEADERS = "path string, length long, n_pages int, shape array<int>, dtype string, description string, x_resolution double, y_resolution double, resolution_unit int, error string"
 
@@ -33,7 +35,7 @@ def paths_of(options: dict) -> list[str]:
     return sorted(glob.glob(path)) or [path]
 
 
-INTS = ("page", "channel", "y0", "x0", "h", "w")
+INTS = ("page", "z", "t", "channel", "y0", "x0", "h", "w")
 ARROW_TILES = pa.schema([("image_id", pa.string()), *[(c, pa.int32()) for c in INTS], ("dtype", pa.string()), ("data", pa.list_(pa.int32()))])
 #: Tiles of a batch of rows.
 BATCH_TILES = 8
@@ -54,6 +56,7 @@ class Part(InputPartition):
 class TileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.channel = options, None
+        self.pages = options.get("pages", "first").lower() == "all"
         self.tile = int(options.get("tile", 512))
         rows = int(options.get("chunk_rows", 2048))
         self.band = -(-rows // self.tile) * self.tile
@@ -73,26 +76,59 @@ class TileReader(DataSourceReader):
 
     def read(self, part):
         with open(part.path, "rb") as f:
-            page = read_pages(f, 1)[0]
-            bands = range(part.nth * self.band, page.height, part.of * self.band)
-            for y in (y for band in bands for y in range(band, min(band + self.band, page.height), self.tile)):
-                # a row of tiles at a time: strips, which span the width, are decoded once
-                whole = read_region(f, page, y, min(y + self.tile, page.height))
-                channels = range(page.samples) if self.channel is None else [self.channel] if 0 <= self.channel < page.samples else []
-                places = [(c, x) for x in range(0, page.width, self.tile) for c in channels]
-                for begin in range(0, len(places), BATCH_TILES):
-                    yield self.batch(part.path, page, y, whole, places[begin : begin + BATCH_TILES])
-
-    def batch(self, path: str, page, y: int, whole, places: list[tuple[int, int]]) -> pa.RecordBatch:
-        blocks = [whole[:, x : x + self.tile, c] for c, x in places]
+            pages = read_pages(f, None if self.pages else 1)
+            axes = plane_axes(pages)
+            per_page = -(-max(p.height for p in pages) // self.band)
+            # bands of all pages, numbered through
+            for nth in range(part.nth, per_page * len(pages), part.of):
+                page, (z, t, c) = pages[nth // per_page], axes[nth // per_page]
+                for y in range(nth % per_page * self.band, min((nth % per_page + 1) * self.band, page.height), self.tile):
+                    # a row of tiles at a time: strips, which span the width, are decoded once
+                    channels = range(page.samples) if page.samples > 1 else [c]
+                    channels = [k for k in channels if self.channel is None or k == self.channel]
+                    if not channels:
+                        continue
+                    one = self.channel if page.samples > 1 else None
+                    whole = read_region(f, page, y, min(y + self.tile, page.height), channel=one)
+                    places = [(k, x) for x in range(0, page.width, self.tile) for k in channels]
+                    for begin in range(0, len(places), BATCH_TILES):
+                        yield self.batch(part.path, (nth // per_page, z, t), page, y, whole, places[begin : begin + BATCH_TILES])
+
+    def batch(self, path: str, plane: tuple[int, int, int], page, y: int, whole, places: list[tuple[int, int]]) -> pa.RecordBatch:
+        blocks = [whole[:, x : x + self.tile, c if whole.shape[2] > 1 else 0] for c, x in places]
         ints = lambda values: pa.array(values, pa.int32())
         cells = np.concatenate([b.ravel() for b in blocks])
         data = pa.ListArray.from_arrays(ints(np.append(0, np.cumsum([b.size for b in blocks]))), ints(cells.astype(np.int32)))
         n = len(places)
-        arrays = [pa.array([path] * n), ints([0] * n), ints([c for c, _ in places]), ints([y] * n), ints([x for _, x in places]), ints([b.shape[0] for b in blocks]), ints([b.shape[1] for b in blocks]), pa.array([page.dtype.name] * n), data]
+        arrays = [pa.array([path] * n), *[ints([v] * n) for v in plane], ints([c for c, _ in places]), ints([y] * n), ints([x for _, x in places]), ints([b.shape[0] for b in blocks]), ints([b.shape[1] for b in blocks]), pa.array([page.dtype.name] * n), data]
         return pa.RecordBatch.from_arrays(arrays, schema=ARROW_TILES)
 
 
+def plane_axes(pages: list[Page]) -> list[tuple[int, int, int]]:
+    """(z, t, channel) of every page: by the order and sizes that the first page's document tells, else pages are a stack in z.
+
+    Pages of several samples hold their channels themselves.
+    """
+    about = pages[0].description or ""
+    pixels = re.search(r"<(?:\w+:)?Pixels\b[^>]*>", about)
+    told = dict(re.findall(r"\b(DimensionOrder|Size[ZTC])\s*=\s*[\"']([^\"']*)[\"']", pixels[0])) if pixels else {}
+    order = told.get("DimensionOrder", "")
+    if len(pages) == 1 or not re.fullmatch(r"XY(?:CZT|CTZ|ZCT|ZTC|TCZ|TZC)", order):
+        return [(i, 0, 0) for i in range(len(pages))]
+    sizes = {a: max(1, int(n)) if (n := told.get(f"Size{a}", "1")).isdigit() else 1 for a in "ZTC"}
+    if pages[0].samples > 1:
+        sizes["C"] = 1
+    if sizes["Z"] * sizes["T"] * sizes["C"] != len(pages):
+        return [(i, 0, 0) for i in range(len(pages))]
+    out = []
+    for i in range(len(pages)):
+        at = {}
+        for axis in order[2:]:
+            i, at[axis] = divmod(i, sizes[axis])
+        out.append((at["Z"], at["T"], at["C"]))
+    return out
+
+
 class TiffTiles(DataSource):
     @classmethod
     def name(cls):

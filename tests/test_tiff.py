@@ -11,7 +11,7 @@ from lumetra.extract import Options, extract_channel, limited
 from lumetra.sources import files, tiles
 from lumetra.sources.single_file import write_lines
 from lumetra.sources.tiff_sink import write_images
-from lumetra.sources.tiff import TiffError, expand_lzw, read_pages, read_region, write_tiled
+from lumetra.sources.tiff import TiffError, compress_lzw, expand_lzw, read_pages, read_region, write_tiled
 
 
 def picture(h, w, samples=3, seed=0, dtype=np.uint8):
@@ -41,6 +41,49 @@ def test_lzw():
     assert zlib.decompress(zlib.compress(b"x")) == b"x"
 
 
+@pytest.mark.parametrize("data", [b"", b"a", b"a" * 100_000, bytes(range(256)) * 40, np.random.default_rng(2).integers(0, 256, 60_000, np.uint8).tobytes(), np.random.default_rng(3).integers(0, 3, 90_000, np.uint8).tobytes()])
+def test_lzw_round_trip(data):
+    packed = compress_lzw(data)
+    assert expand_lzw(packed) == data
+    for n in (509, 510, 511, 512, 3836, 3837, 3838, 3839, 3840):  # where codes widen and tables are cleared
+        part = np.random.default_rng(n).permutation(np.arange(n) % 256).astype(np.uint8).tobytes()
+        assert expand_lzw(compress_lzw(part)) == part
+
+
+@pytest.mark.parametrize("compression", ["lzw", "deflate", "none"])
+@pytest.mark.parametrize("dtype,predictor,planar,pages", [(np.uint8, 2, 1, 1), (np.uint16, 2, 1, 2), (np.uint16, 1, 2, 3), (np.uint8, 2, 2, 2)])
+def test_predictor_planes_and_pages(compression, dtype, predictor, planar, pages):
+    stack, f = np.stack([picture(37, 45, 3, seed=i, dtype=dtype) for i in range(pages)]), io.BytesIO()
+    size = write_tiled(f, lambda a, b, page=0: stack[page, a:b], 37, 45, dtype, "<OME/>", 16, samples=3, compression=compression, predictor=predictor, planar=planar, pages=pages)
+    held = read_pages(f)
+    assert len(held) == pages and size == len(f.getvalue()) and [p.description for p in held] == ["<OME/>"] + [None] * (pages - 1)
+    for page, image in zip(held, stack):
+        assert (read_region(f, page, 0, 37) == image).all()
+        assert (read_region(f, page, 5, 29, 3, 40, 2) == image[5:29, 3:40, 2:]).all()
+
+
+def test_axes_of_pages():
+    page = lambda text: tiles.Page("<", {270: text, 277: (1,)})
+    about = '<OME:Pixels DimensionOrder="XYCZT" SizeX="9" SizeZ="2" SizeC="3" SizeT="2"/>'
+    assert tiles.plane_axes([page(about)] * 12)[:8] == [(0, 0, 0), (0, 0, 1), (0, 0, 2), (1, 0, 0), (1, 0, 1), (1, 0, 2), (0, 1, 0), (0, 1, 1)]
+    assert tiles.plane_axes([page(about)] * 3) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]  # it tells of other pages
+    assert tiles.plane_axes([page("")] * 3) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]
+
+
+def test_pages_of_stacks(spark, tmp_path, monkeypatch):
+    tiles.register(spark)
+    stack = np.stack([picture(40, 20, seed=i) for i in range(5)])
+    with open(tmp_path / "s.tif", "wb") as f:
+        write_tiled(f, lambda a, b, page: stack[page, a:b], 40, 20, np.uint8, tile=16, samples=3, pages=5, planar=2)
+    for part_bytes in (32 << 20, 900):
+        monkeypatch.setattr(tiles, "PART_BYTES", part_bytes)
+        got = spark.read.format("tiff_tiles").option("path", str(tmp_path / "s.tif")).option("tile", 16).option("chunk_rows", 16).option("pages", "all").load().filter("channel = 2").collect()
+        held = np.zeros((5, 40, 20), np.uint8)
+        for r in got:
+            held[r["z"], r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = np.array(r["data"]).reshape(r["h"], r["w"])
+        assert (held == stack[..., 2]).all() and {r["page"] for r in got} == set(range(5))
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("images")
