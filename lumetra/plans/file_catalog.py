@@ -15,7 +15,7 @@ from ..extract import Options
 from ..extract import extract_channel as extract_files
 from ..functions import names, units
 from ..operators import density, images, ome, planning, ranking, regions, report, tiled
-from ..sources import files, tiles
+from ..sources import files, tiles, zarr
 from ..sources.scratch import new_folder
 from ..sources.tiff_sink import write_images
 from .catalog import IMAGE_CTE, OD_SQL, OBJECT_CTE, _image, _pixels, query, table
@@ -137,6 +137,17 @@ def extracted_stack(spark, d):
     return _planes(spark, folder, 0)
 
 
+@query(f"WITH {PICTURE_CTE} SELECT image, y, x, 255 - v AS v FROM pic WHERE y >= 10 AND y < 45 AND x >= 20 AND x < 50")
+def zarr_window(spark, d):
+    """A window of one channel out of chunked arrays: of all that the table makes."""
+    folder = new_folder(spark, "arrays")
+    made = zarr.write_zarr(_pictures(spark, d), folder, chunk=16)
+    stores = made.select(F.concat(F.lit(f"{folder}/"), F.col("image").cast("string"), F.lit(".zarr")).alias("path"))
+    held = zarr.windows(stores, channel=1, rows="10:45", columns="20:50")
+    cells = held.select(_number(F.col("image_id")).alias("image"), "y0", "x0", "w", F.posexplode("data").alias("i", "v"))
+    return cells.select("image", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("long").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("long").alias("x"), F.col("v").cast("long").alias("v"))
+
+
 CIRCLES_CTE = "ci AS (SELECT p_partkey AS object_id, p_partkey % 5 AS image, CAST(trunc(p_partkey % 64 + 0.7) AS BIGINT) AS cx, CAST(trunc((p_partkey * 7) % 100 - 0.5) AS BIGINT) AS cy, CAST(trunc(sqrt(p_size * 2.0 / pi())) AS BIGINT) AS r FROM part)"
 
 
