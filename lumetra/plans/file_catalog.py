@@ -18,6 +18,7 @@ from ..operators import density, images, ome, planning, ranking, regions, report
 from ..sources import files, tiles, zarr
 from ..sources.scratch import new_folder
 from ..sources.tiff_sink import write_images
+from . import segmentation
 from .catalog import IMAGE_CTE, OD_SQL, OBJECT_CTE, _image, _pixels, query, table
 
 # --- images: a hundred lines of embeddings make a picture of three samples, v, 255 - v and v / 2 ---
@@ -437,3 +438,52 @@ def percentiles_by_image(spark, d):
     held = rows.withColumnRenamed("user_id", "image").unionByName(rows.select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("image"), "value"))
     found = ranking.percentiles(held, "value", ["image"], {"p95": 95.0, "p50": 50.0, "p10": 10.0})
     return found.select("image", *[F.round(c, 6).alias(c) for c in ("p95", "p50", "p10")])
+
+
+#: A file of modules: upside down, objects of a global threshold, their sizes.
+PIPELINE = """Version:5
+NamesAndTypes:[module_num:1]
+    Name to assign these images:Dark
+
+ImageMath:[module_num:2]
+    Operation:Invert
+    Set values less than 0 equal to 0?:Yes
+    Name the output image:Bright
+    Select the first image:Dark
+
+IdentifyPrimaryObjects:[module_num:3]
+    Select the input image:Bright
+    Name the primary objects to be identified:Nuclei
+    Typical diameter of objects, in pixel units (Min,Max):2,40
+    Discard objects outside the diameter range?:Yes
+    Method to distinguish clumped objects:None
+    Threshold strategy:Global
+    Thresholding method:Otsu
+    Two-class or three-class thresholding?:Three classes
+    Assign pixels in the middle intensity class to the foreground or the background?:Background
+
+MeasureObjectSizeShape:[module_num:4]
+    Select object sets to measure:Nuclei
+
+ExportToSpreadsheet:[module_num:5]
+    Add a prefix to file names?:Yes
+    Filename prefix:Oil_
+"""
+
+
+@query(f"""WITH RECURSIVE {IMAGE_CTE}, b AS (SELECT y, x, greatest(0.0, 1 - v / 255.0) AS v FROM px), h AS (SELECT greatest(0, least(255, floor(v * 256.0))) * (1 / 256.0) AS level, count(*) AS n FROM b GROUP BY 1),
+    c AS (SELECT level, sum(n) OVER (ORDER BY level) AS w, sum(n * level) OVER (ORDER BY level) AS m, sum(n) OVER () AS tw, sum(n * level) OVER () AS tm FROM h),
+    t AS (SELECT b.level + 1 / 256.0 AS high FROM c a JOIN c b ON a.level < b.level AND b.w < b.tw ORDER BY round(a.m * a.m / a.w + (b.m - a.m) * (b.m - a.m) / (b.w - a.w) + (b.tm - b.m) * (b.tm - b.m) / (b.tw - b.w), 6) DESC, a.level, b.level LIMIT 1),
+    fg AS MATERIALIZED (SELECT y, x FROM b, t WHERE v >= high), side AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-1, 2)) AS i) a, (SELECT unnest(range(-1, 2)) AS i) b WHERE a.i <> 0 OR b.i <> 0),
+    lab(y, x, label) USING KEY (y, x) AS (SELECT y, x, y * 4294967296 + x FROM fg
+        UNION SELECT f.y, f.x, min(l.label) FROM lab l, side s JOIN fg f ON f.y = l.y + s.dy AND f.x = l.x + s.dx JOIN recurring.lab r ON r.y = f.y AND r.x = f.x GROUP BY f.y, f.x, r.label HAVING min(l.label) < r.label)
+    SELECT CAST(label AS BIGINT) AS object_id, count(*) AS area, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y FROM lab GROUP BY label HAVING round(sqrt(4 * count(*) / pi()), 6) BETWEEN 2 AND 40""")
+def pipeline_file(spark, d):
+    """A pipeline file run over the image of all embeddings; its export read back."""
+    folder = new_folder(spark, "pipeline")
+    with open(path := os.path.join(folder, "objects.cppipe"), "w", encoding="utf-8") as f:
+        f.write(PIPELINE)
+    dark = _image(spark, d).withColumn("v", F.col("v") / 255.0)
+    segmentation.run_pipeline(spark, path, {"Dark": dark}, folder=folder)
+    held = spark.read.option("header", True).csv(f"{folder}/Oil_Nuclei.csv")
+    return held.select(F.col("object_id").cast("long").alias("object_id"), F.col("area").cast("long").alias("area"), F.col("center_x").cast("double").alias("center_x"), F.col("center_y").cast("double").alias("center_y"))

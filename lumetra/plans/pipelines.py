@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def settings(spark: SparkSession, path: str) -> DataFrame:
-    """(module_num, module, key, value) of a pipeline file: module heads stand at the margin, settings are indented.
+def numbered_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(at, module_num, module, key, value) of a pipeline file: module heads stand at the margin, settings are indented.
 
     One file is one small configuration; its lines are numbered by their place in it.
     """
@@ -20,7 +20,12 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     marked = lines.withColumn("module_num", F.sum(F.when(head, 1).otherwise(0)).over(w)).withColumn("module", F.last(F.when(head, F.regexp_extract("line", r"^([A-Za-z]+):", 1)), ignorenulls=True).over(w))
     inner = marked.filter(~head & F.col("line").rlike(r"^\s+\S") & (F.col("module_num") > 0))
     text = F.trim("line")
-    return inner.select("module_num", "module", F.regexp_extract(text, r"^([^:]*):", 1).alias("key"), F.regexp_replace(text, r"^[^:]*:", "").alias("value"))
+    return inner.select("at", "module_num", "module", F.regexp_extract(text, r"^([^:]*):", 1).alias("key"), F.regexp_replace(text, r"^[^:]*:", "").alias("value"))
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(module_num, module, key, value) of a pipeline file."""
+    return numbered_settings(spark, path).drop("at")
 
 
 def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
