@@ -21,6 +21,17 @@ LEVELS = "image_id string, level double, n long"
 PARTS = "image_id string, object_id long, od double, most double, least double, n long, background double"
 
 
+#: Pixels of circles that a task gathers at once.
+GATHERED = 1 << 20
+
+
+def disc(r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (y, x) of the pixels within ``r``."""
+    side = np.arange(-r, r + 1)
+    y, x = np.nonzero(side[:, None] ** 2 + side[None, :] ** 2 <= r * r)
+    return y - r, x - r
+
+
 def tile_levels(tiles: DataFrame) -> DataFrame:
     """(image_id, level, n): the values of each tile and how often they occur."""
 
@@ -58,24 +69,32 @@ def tile_sums(tiles: DataFrame, circles: DataFrame, backgrounds: DataFrame, key:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            flat = batch.column(5)
-            for i in range(batch.num_rows):
-                image, y0, x0, h, w, background = (batch.column(c)[i].as_py() for c in (0, 1, 2, 3, 4, 7))
-                raised = np.maximum(flat[i].values.to_numpy().astype(np.float64).reshape(h, w), floor)
-                od = np.where(raised >= background, 0.0, np.log10(background / raised))
-                for c in batch.column(6)[i].as_py():
-                    top, left = c["cy"] - y0, c["cx"] - x0
-                    a, b = max(0, top - c["r"]), min(h, top + c["r"] + 1)
-                    d, e = max(0, left - c["r"]), min(w, left + c["r"] + 1)
-                    if a < b and d < e:
-                        dy, dx = np.arange(a, b)[:, None] - top, np.arange(d, e)[None, :] - left
-                        inside = od[a:b, d:e][dy * dy + dx * dx <= c["r"] * c["r"]]
-                        if len(inside):
-                            rows.append((image, c["object_id"], float(inside.sum()), float(inside.max()), float(inside.min()), len(inside), background))
-            kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")])
+            places = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 7)]
+            ends = np.append(0, np.cumsum(batch.column(6).value_lengths().to_numpy()))
+            flat = batch.column(6).flatten()
+            circle = {c: flat.field(c).to_numpy() for c in ("object_id", "cy", "cx", "r")}
+            for i, (image, y0, x0, h, w, background) in enumerate(zip(*places, strict=True)):
+                values = batch.column(5)[i].values.to_numpy().reshape(h, w)
+                own = slice(ends[i], ends[i + 1])
+                top, left, radius, ids = circle["cy"][own] - y0, circle["cx"][own] - x0, circle["r"][own], circle["object_id"][own]
+                for r in np.unique(radius).tolist():
+                    # what lies within r, once for all circles of this radius
+                    dy, dx = (d.astype(np.int64) for d in disc(r))
+                    same = np.flatnonzero(radius == r)
+                    for begin in range(0, len(same), max(1, GATHERED // len(dy))):
+                        some = same[begin : begin + max(1, GATHERED // len(dy))]
+                        y, x = top[some, None] + dy, left[some, None] + dx
+                        inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+                        n = inside.sum(axis=1)
+                        hit = n > 0
+                        raised = np.maximum(values[y[inside], x[inside]].astype(np.float64), floor)
+                        od = np.where(raised >= background, 0.0, np.log10(background / raised))
+                        at = np.append(0, np.cumsum(n[hit]))[:-1]
+                        if len(od):
+                            sums = [f.reduceat(od, at) for f in (np.add, np.maximum, np.minimum)]
+                            m = int(hit.sum())
+                            arrays = [pa.array([image] * m, pa.string()), pa.array(ids[some[hit]]), *map(pa.array, sums), pa.array(n[hit]), pa.array([background] * m, pa.float64())]
+                            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PARTS.split(", ")])
 
     parts = met.select("image_id", "y0", "x0", "h", "w", "data", "circles", "background").mapInArrow(measure, PARTS)
     return parts.groupBy("image_id", "object_id").agg(

@@ -38,6 +38,11 @@ def _pictures(spark, d) -> DataFrame:
     return rows.mapInArrow(lines, "image long, y long, data binary, samples int")
 
 
+def _pictures_of(spark, d) -> int:
+    """How many pictures the table makes."""
+    return table(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / 100)).first()[0] + 1
+
+
 def _written(spark, d, compression: str = "deflate") -> str:
     """The pictures in a new folder; what comes back is a row a file."""
     folder = new_folder(spark, "pictures")
@@ -149,7 +154,7 @@ def zarr_window(spark, d):
     return cells.select("image", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).cast("long").alias("y"), (F.col("x0") + F.col("i") % F.col("w")).cast("long").alias("x"), F.col("v").cast("long").alias("v"))
 
 
-CIRCLES_CTE = "ci AS (SELECT p_partkey AS object_id, p_partkey % 5 AS image, CAST(trunc(p_partkey % 64 + 0.7) AS BIGINT) AS cx, CAST(trunc((p_partkey * 7) % 100 - 0.5) AS BIGINT) AS cy, CAST(trunc(sqrt(p_size * 2.0 / pi())) AS BIGINT) AS r FROM part)"
+CIRCLES_CTE = "ci AS (SELECT p_partkey AS object_id, p_partkey % (SELECT max(vec_id) // 100 + 1 FROM embeddings) AS image, CAST(trunc(p_partkey % 64 + 0.7) AS BIGINT) AS cx, CAST(trunc((p_partkey * 7) % 100 - 0.5) AS BIGINT) AS cy, CAST(trunc(sqrt(p_size * 2.0 / pi())) AS BIGINT) AS r FROM part)"
 
 
 @query(f"""WITH {PICTURE_CTE}, {CIRCLES_CTE}, bg AS (SELECT image, quantile_cont(CAST(v AS DOUBLE), 0.95) AS b FROM pic GROUP BY image)
@@ -159,7 +164,7 @@ def region_iod_per_image(spark, d):
     """Circles of several images, each over its own image's pixels and background, out of written files."""
     px = _read(spark, _written(spark, d), 0).withColumn("v", F.col("v").cast("double"))
     p = F.col("p_partkey")
-    circles = table(spark, d, "part").select("p_partkey", (p % 5).alias("image"), (p % 64 + 0.7).alias("cx"), ((p * 7) % 100 - 0.5).alias("cy"), (F.col("p_size") * 2.0).alias("area"))
+    circles = table(spark, d, "part").select("p_partkey", (p % _pictures_of(spark, d)).alias("image"), (p % 64 + 0.7).alias("cx"), ((p * 7) % 100 - 0.5).alias("cy"), (F.col("p_size") * 2.0).alias("area"))
     inside = regions.region_pixels(circles, px, "p_partkey", "cx", "cy", "area", "image")
     od = density.densities(density.with_background(inside, density.background(px, "v", ["image"]), ["image"]), "v")
     return density.object_density(od, ["image", "object_id"]).select("image", "object_id", "True_IOD", "PixelCount")
@@ -173,7 +178,7 @@ def tiled_iod(spark, d):
     """The same circles summed up tile by tile, without a row a pixel."""
     folder, p = _written(spark, d), F.col("p_partkey")
     held = spark.read.format("tiff_tiles").option("path", folder).option("tile", 32).load().filter(F.col("channel") == 0)
-    circles = table(spark, d, "part").select("p_partkey", F.concat(F.lit(f"{folder}/"), (p % 5).cast("string"), F.lit(".tiff")).alias("image_id"), (p % 64 + 0.7).alias("cx"), ((p * 7) % 100 - 0.5).alias("cy"), (F.col("p_size") * 2.0).alias("area"))
+    circles = table(spark, d, "part").select("p_partkey", F.concat(F.lit(f"{folder}/"), (p % _pictures_of(spark, d)).cast("string"), F.lit(".tiff")).alias("image_id"), (p % 64 + 0.7).alias("cx"), ((p * 7) % 100 - 0.5).alias("cy"), (F.col("p_size") * 2.0).alias("area"))
     sums = tiled.tile_sums(held, circles, tiled.tile_background(held), "p_partkey", "cx", "cy", "area", 32)
     return sums.select(_number(F.col("image_id")).alias("image"), "object_id", "True_IOD", "Mean_OD", "Max_OD", "Min_OD", "PixelCount", "Background_I0")
 
