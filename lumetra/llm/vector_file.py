@@ -1,13 +1,15 @@
 """Exact top-k by a vector-approximation file.
 
 The file holds, in blocks, the quantised cell of every component of every
-vector and nothing else; exact vectors stay in a table by row. A search has
-three steps:
-
-1. *Scan.* Blocks of queries meet blocks of cells once, on an equality of block
-   numbers. Cells give a lower and an upper bound of each score; from each
-   meeting come the vectors that the block's own k-th lower bound leaves.
-2. *Shared bound.* The k-th greatest lower bound over all blocks drops what
+vector and nothing else; exact vectors stay in a table by row. Of equal vectors
+the file holds those of the k + 1 smallest identifiers: no query ranks another
+of them among its first k. A search has three steps:
+
+1. *Scan.* Queries meet blocks of cells in a grid of rectangles of bounded
+   sides, one task each. Cells give a lower and an upper bound of each score; a
+   task carries each query's k greatest lower bounds from block to block, and
+   gives the vectors that the k-th of them leaves.
+2. *Shared bound.* The k-th greatest lower bound over all rectangles drops what
    cannot reach a query's k best any more.
 3. *Exact vectors.* They are fetched by row in the order of their bounds: the
    first ``2 * k`` a query, whose k-th score then says which of the rest could
@@ -29,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpointed, release, stored
+from .base import bound_batches, checkpointed, column, release, stored
 
 CELL_BITS = 6
-BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
-
-CELLS = "rows binary, ids binary, cells binary, low binary, high binary"
-QUERIES = "qb int, query_rows binary, query_ids binary, queries binary"
+#: Rows of a block of cells and of a block of queries at most, and components of one where vectors are long.
+BLOCK_ROWS, QUERY_ROWS, BLOCK_VALUES = 8192, 1024, 1 << 19
+#: Sides of a rectangle at most, and rectangles at least (where there are so many blocks), so that small tables too use many tasks.
+ROWS_SIDE, QUERIES_SIDE, SPREAD = 1 << 17, 1 << 12, 24
+#: Survivors that a block of queries holds back before it gives them out.
+HELD = 1 << 18
+
+BLOCKS = "range int, kind int, rows binary, ids binary, vectors binary, low binary, high binary"
 SEEN = "query_row long, row long, vec_id long, least double, most double"
 OUT = "query_id long, rank int, vec_id long, score long"
 
@@ -90,17 +95,42 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return score
 
 
-def scan_block(query_ids, queries, ids, cells, low, high, k: int):
-    """(query, vector, lower, upper) of what a block leaves to each query, its own id left out."""
-    at = np.arange(cells.shape[1])
-    lo, hi = low[at, cells].astype(np.float64), high[at, cells].astype(np.float64)
-    for begin in range(0, len(queries), 128):
-        least, most = cell_bounds(queries[begin : begin + 128], lo, hi)
-        own = query_ids[begin : begin + 128, None] == ids[None, :]
-        least[own] = most[own] = -np.inf
-        floor = np.partition(least, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(least), -np.inf)
-        query, vector = np.nonzero((most >= floor[:, None]) & ~own)
-        yield query + begin, vector, least[query, vector], most[query, vector]
+class Survivors:
+    """Of the blocks met so far, what each query of a block may still rank among its first k."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, held: int = HELD):
+        self.rows, self.ids, self.vectors, self.k, self.held = rows, ids, vectors, k, held
+        self.best = np.full((len(ids), k), -np.inf)  # the k greatest lower bounds, in no order
+        self.kept, self.n = [], 0
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """Take a block of vectors in, given the ends of their cells; rows of the query's own id are left out."""
+        for begin in range(0, len(self.ids), 128):
+            part = slice(begin, begin + 128)
+            least, most = cell_bounds(self.vectors[part], low, high)
+            own = self.ids[part, None] == ids[None, :]
+            least[own] = most[own] = -np.inf
+            self.best[part] = np.partition(np.concatenate([self.best[part], least], axis=1), len(ids), axis=1)[:, len(ids) :]
+            query, vector = np.nonzero((most >= self.best[part].min(axis=1)[:, None]) & ~own)
+            self.kept.append([query + begin, rows[vector], ids[vector], least[query, vector], most[query, vector]])
+            self.n += len(query)
+            if self.n > self.held:
+                self.prune()
+                if 2 * self.n > self.held:
+                    yield from self.result()
+
+    def prune(self) -> None:
+        query, rows, ids, least, most = (np.concatenate(parts) for parts in zip(*self.kept, strict=True))
+        fit = most >= self.best.min(axis=1)[query]
+        self.kept, self.n = [[x[fit] for x in (query, rows, ids, least, most)]], int(fit.sum())
+
+    def result(self):
+        """What is held, given out."""
+        if self.kept:
+            self.prune()
+            query, *rest = self.kept[0]
+            self.kept, self.n = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (self.rows[query], *rest)], [c.split()[0] for c in SEEN.split(", ")])
 
 
 def integer_vectors(embeddings: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", keep: list[str] | None = None) -> DataFrame:
@@ -131,36 +161,62 @@ def raw(values: np.ndarray) -> pa.Array:
     return pa.array([np.ascontiguousarray(values).tobytes()], pa.binary())
 
 
-def scanned(vectors: DataFrame, is_query, dim: int, n_blocks: int, n_queries: int, k: int, bits: int) -> DataFrame:
-    """Step 1: bounds of what every block of cells leaves to each query."""
+def candidates(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among a query's first k: of equal vectors those of the k + 1 smallest ids, of which one may be the query's own.
+
+    Spark limits both groups before their exchange as well, so copies do not reach one task whole.
+    """
+    repeated, equal = W.partitionBy("vector", "vec_id").orderBy("row"), W.partitionBy("vector").orderBy("vec_id")
+    kept = vectors.withColumn("_n", F.row_number().over(repeated)).filter(F.col("_n") <= k)
+    return kept.withColumn("_n", F.dense_rank().over(equal)).filter(F.col("_n") <= k + 1).drop("_n")
+
+
+def scan_grid(n: int, q: int, n_blocks: int, rows_side: int, queries_side: int) -> tuple[int, int]:
+    """Ranges of rows and ranges of queries."""
+    down = -(-q // queries_side)
+    return max(-(-n // rows_side), min(-(-SPREAD // down), n_blocks)), down
+
+
+def scanned(vectors: DataFrame, is_query, dim: int, n_blocks: int, n_queries: int, grid: tuple[int, int], k: int, bits: int) -> DataFrame:
+    """Step 1: bounds of what every rectangle of rows and queries leaves to its queries."""
+    across, down = grid
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+
+    def packing(kind: int, over: int):
+        def pack(group: pa.Table) -> pa.Table:
+            own = packed(group, dim)
+            cells, low, high = quantised(own, bits) if kind else (own, own[:0], own[:0])
+            arrays = [pa.array([group["b"][0].as_py() % over], pa.int32()), pa.array([kind], pa.int32())]
+            return pa.Table.from_arrays([*arrays, *[raw(x) for x in (group["row"].to_numpy(), group["vec_id"].to_numpy(), cells, low, high)]], names)
 
-    def to_cells(group: pa.Table) -> pa.Table:
-        cells, low, high = quantised(packed(group, dim), bits)
-        parts = [group["row"].to_numpy(), group["vec_id"].to_numpy(), cells, low, high]
-        return pa.Table.from_arrays([raw(p) for p in parts], [c.split()[0] for c in CELLS.split(", ")])
+        return pack
 
-    def to_queries(group: pa.Table) -> pa.Table:
-        arrays = [pa.array(group["qb"].to_pylist()[:1], pa.int32()), raw(group["row"].to_numpy()), raw(group["vec_id"].to_numpy()), raw(packed(group, dim))]
-        return pa.Table.from_arrays(arrays, [c.split()[0] for c in QUERIES.split(", ")])
+    def blocks(rows: DataFrame, n: int, kind: int, over: int, other: int, part: str) -> DataFrame:
+        dealt = rows.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).groupBy("b").applyInArrow(packing(kind, over), BLOCKS)
+        # to every rectangle of its line of the grid: the stated query set against all rows, in blocks
+        return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).withColumn("part", F.expr(part)).drop("other", "range")
 
-    hashed = F.xxhash64("row")
-    cells = vectors.withColumn("b", F.pmod(hashed, F.lit(n_blocks)).cast("int")).groupBy("b").applyInArrow(to_cells, CELLS)
-    # every block of cells is sent to each block of queries: the stated query set against all rows, in blocks
-    sent = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = vectors.filter(is_query).withColumn("qb", F.pmod(hashed, F.lit(n_queries)).cast("int")).groupBy("qb").applyInArrow(to_queries, QUERIES)
+    cells = blocks(candidates(vectors, k), n_blocks, 1, across, down, f"range * {down} + other")
+    asked = blocks(vectors.filter(is_query), n_queries, 0, down, across, f"other * {down} + range")
 
     def scan(batches):
+        held = []
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda c, kind="<i8": np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
-                rows, ids, query_rows = get("rows"), get("ids"), get("query_rows")
-                low, high = get("low").reshape(dim, -1), get("high").reshape(dim, -1)
-                for query, vector, least, most in scan_block(get("query_ids"), get("queries").reshape(-1, dim), ids, get("cells", "u1").reshape(-1, dim), low, high, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(query_rows[query]), pa.array(rows[vector]), pa.array(ids[vector]), pa.array(least), pa.array(most)], [c.split()[0] for c in SEEN.split(", ")])
+                get = lambda c, kind="<i8": np.frombuffer(column(batch, c)[i].as_buffer(), kind)  # noqa: B023, E731
+                if column(batch, "kind")[i].as_py() == 0:
+                    held.append(Survivors(get("rows"), get("ids"), get("vectors").reshape(-1, dim), k))
+                    continue
+                at, own = np.arange(dim), get("vectors", "u1").reshape(-1, dim)
+                low, high = (get(c).reshape(dim, -1)[at, own].astype(np.float64) for c in ("low", "high"))
+                for queries in held:
+                    yield from queries.meet(get("rows"), get("ids"), low, high)
+        for queries in held:
+            yield from queries.result()
         release()
 
-    met = sent.join(asked, "qb").select("rows", "ids", "cells", "low", "high", "query_rows", "query_ids", "queries")
-    return met.repartition(max(1, n_blocks * n_queries)).mapInArrow(scan, SEEN)
+    dealt = asked.unionByName(cells).repartitionById(across * down, F.col("part").cast("int")).sortWithinPartitions("kind")
+    return dealt.mapInArrow(scan, SEEN)
 
 
 def scored(pairs: DataFrame, vectors: DataFrame, is_query, dim: int) -> DataFrame:
@@ -176,8 +232,9 @@ def scored(pairs: DataFrame, vectors: DataFrame, is_query, dim: int) -> DataFram
     return met.select("query_row", "query_id", "vec_id", "query", "vector").mapInArrow(score, "query_row long, query_id long, vec_id long, score long")
 
 
-def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, bits: int = CELL_BITS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", rows_side: int = ROWS_SIDE, queries_side: int = QUERIES_SIDE) -> DataFrame:
     """Each query's k nearest by inner product: query_id, rank, vec_id, score. Queries: ids divisible by ``every``."""
+    bound_batches(embeddings.sparkSession)
     # the exact vectors by row: written once, so that a row keeps its number
     vectors = stored(integer_vectors(embeddings, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     is_query = F.pmod("vec_id", F.lit(every)) == 0
@@ -188,7 +245,9 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: float = 64
     vectors = vectors.filter(F.size("vector") == dim)
     if not dim:
         dim, vectors = 1, vectors.withColumn("vector", F.array(F.lit(0).cast("long")))
-    seen = checkpointed(scanned(vectors, is_query, dim, -(-n // block_rows), -(-q // query_rows), k, bits))
+    block_rows, query_rows = (min(x, max(256, BLOCK_VALUES // dim)) for x in (block_rows, query_rows))
+    n_blocks = -(-n // block_rows)
+    seen = checkpointed(scanned(vectors, is_query, dim, n_blocks, -(-q // query_rows), scan_grid(n, q, n_blocks, rows_side, queries_side), k, bits))
     by_least = W.partitionBy("query_row").orderBy(F.desc("least"), "row")
     floors = seen.withColumn("_nth", F.row_number().over(by_least)).filter(F.col("_nth") == k).select("query_row", F.col("least").alias("_floor"))
     alive = seen.join(floors, "query_row", "left").filter("_floor is null or most >= _floor")

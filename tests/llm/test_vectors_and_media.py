@@ -28,6 +28,47 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 20)
 
 
+def test_top_k_by_rectangles_with_a_third_of_copies(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 0.2, (400, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in (base[1] if i % 3 == 0 else base[i])]) for i in range(400)]
+    rows += [(7, rows[7][1])] * 30  # one row many times, which are candidates each
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vector_file.top_k(df, k=4, every=20, block_rows=32, query_rows=3, rows_side=100, queries_side=5)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 4, 20)
+    vectors = vector_file.integer_vectors(df).selectExpr("*", "monotonically_increasing_id() as row")
+    kept = [r["vec_id"] for r in vector_file.candidates(vectors, 4).collect()]
+    assert sorted(i for i in kept if i % 3 == 0 or i == 1) == [0, 1, 3, 6, 9]  # row 1 is a copy as well
+    assert kept.count(7) == 4
+    assert "WindowGroupLimit" in vector_file.candidates(vectors, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rectangles_are_of_bounded_sides():
+    across, down = vector_file.scan_grid(10**8, 5 * 10**6, 12208, vector_file.ROWS_SIDE, vector_file.QUERIES_SIDE)
+    assert across * vector_file.ROWS_SIDE >= 10**8 and down * vector_file.QUERIES_SIDE >= 5 * 10**6 and across * down < 10**6
+    assert vector_file.scan_grid(500, 25, 1, 1 << 17, 1 << 12) == (1, 1)
+    assert vector_file.scan_grid(10**6, 5000, 123, 1 << 17, 1 << 12) == (12, 2)
+
+
+@pytest.mark.parametrize("held", [3, 1 << 18])
+def test_survivors_hold_the_first_k(held):
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-40, 40, (900, 8)), rng.integers(-40, 40, (6, 8))
+    queries = vector_file.Survivors(np.arange(6) + 1000, np.arange(6), q, 5, held)
+    seen = []
+    for begin in range(0, 900, 300):
+        rows = np.arange(begin, begin + 300)
+        cells, low, high = vector_file.quantised(x[rows], 4)
+        at = np.arange(8)
+        seen += list(queries.meet(rows, rows, low[at, cells].astype(float), high[at, cells].astype(float)))
+    seen += list(queries.result())
+    pairs = {(a - 1000, b) for t in seen for a, b in zip(t["query_row"].to_pylist(), t["row"].to_pylist(), strict=True)}
+    for i in range(6):
+        first = sorted((-int(q[i] @ x[j]), j) for j in range(900) if j != i)[:5]
+        assert {(i, j) for _, j in first} <= pairs and (i, i) not in pairs
+    assert len(seen) > 1 if held == 3 else len(pairs) < 6 * 300
+
+
 def test_top_k_with_little_or_nothing(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_file.top_k(few, k=5, every=20).collect()] == [(0, 1, 1, 64 * 64 + 128 * 32)]
