@@ -17,7 +17,9 @@ tiles or the order.
 
 Tiles relax on their own; those that changed send the rim that a neighbour
 sees, and rounds go on until nothing changes: first costs, then owners. A round
-works on tiles that have been sent something. What a task holds is one tile.
+works on tiles that have been sent something, and writes these alone: a tile's
+state is its version of the latest round. Every ``COMPACT`` rounds the versions
+become one table again. What a task holds is one tile.
 
 Defined cases: pixels named by whole y and x from 0, once each (of repeated ones
 the least value and least seed count); a pixel that is not in the table is a
@@ -31,12 +33,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .segments import packed_key, unpacked_key
 
 TILE = 128
+#: Rounds after which versions of tiles are put together.
+COMPACT = 8
 FAR = np.iinfo(np.int64).max
 SIDES = {4: [(0, -1), (0, 1), (-1, 0), (1, 0)], 8: [(0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)]}
 
@@ -80,6 +85,12 @@ def relaxed(body: np.ndarray, phase: int, kind: str, base: int, weight: int, lim
         changed = True
 
 
+def newest(versions: DataFrame) -> DataFrame:
+    """Each tile's version of the latest round."""
+    latest = W.partitionBy("key", "ty", "tx").orderBy(F.desc("round"))
+    return versions.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").drop("_nth")
+
+
 def strip(n: int, d: int, whole: int) -> slice:
     """The part of an axis that a neighbour on side d sees: its rim on that side, or all of it."""
     return slice(1, 1 + whole) if d == 0 else slice(1, 2) if d < 0 else slice(n - 2, n - 1)
@@ -134,12 +145,8 @@ def grown(pixels: DataFrame, value: str = "v", seed: str = "seed", keys: list[st
             for batch in batches:
                 for i in range(batch.num_rows):
                     key, ty, tx = (batch.column(c)[i].as_py() for c in range(3))
-                    inbox = batch.column(5)[i].as_py()
-                    if inbox is None and not batch.column(4)[i].as_py():  # at rest, and to be kept as it is
-                        yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in range(4)] + [pa.array([False])], names)
-                        continue
                     body = body_of(batch.column(3)[i]).copy()
-                    for m in inbox or []:
+                    for m in batch.column(4)[i].as_py() or []:
                         # what lies on side (-dy, -dx) of this tile
                         ys, xs = (slice(1, 1 + tile) if d == 0 else slice(edge - 1, edge) if d < 0 else slice(0, 1) for d in (m["dy"], m["dx"]))
                         h, w = (tile if d == 0 else 1 for d in (m["dy"], m["dx"]))
@@ -149,15 +156,24 @@ def grown(pixels: DataFrame, value: str = "v", seed: str = "seed", keys: list[st
         return run
 
     state = held.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile)).groupBy("key", "ty", "tx").applyInArrow(build, STATE)
-    state = stored(state)
+    tile_of = ["key", "ty", "tx"]
+    moved = stored(state)
+    versions, n = moved.withColumn("round", F.lit(0)), 0
     for phase in (0, 1):
         if phase:  # owners: all tiles once, then those that are sent something
-            state = stored(state.select("key", "ty", "tx", "body", F.lit(True).alias("changed"), F.lit(None).cast("array<struct<dy:int,dx:int,rim:binary>>").alias("inbox")).mapInArrow(update(1), STATE))
-        while not (moved := state.filter("changed")).isEmpty():
+            alone = newest(versions).select(*tile_of, "body", F.lit(None).cast("array<struct<dy:int,dx:int,rim:binary>>").alias("inbox"))
+            moved = stored(alone.mapInArrow(update(1), STATE))
+            versions, n = moved.withColumn("round", F.lit(0)), 0
+        while not (moved := moved.filter("changed")).isEmpty():
+            n += 1
             # a tile is sent at most one rim from each side
-            inbox = moved.mapInArrow(send, SENT).groupBy("key", "ty", "tx").agg(F.collect_list(F.struct("dy", "dx", "rim")).alias("inbox"))
-            met = state.withColumn("changed", F.lit(False)).join(inbox, ["key", "ty", "tx"], "left")
-            state = stored(met.select("key", "ty", "tx", "body", "changed", "inbox").mapInArrow(update(phase), STATE))
+            inbox = moved.mapInArrow(send, SENT).groupBy(*tile_of).agg(F.collect_list(F.struct("dy", "dx", "rim")).alias("inbox"))
+            met = newest(versions.join(inbox, tile_of)).select(*tile_of, "body", "inbox")
+            moved = stored(met.mapInArrow(update(phase), STATE))
+            versions = versions.unionByName(moved.withColumn("round", F.lit(n)))
+            if n % COMPACT == 0:
+                versions = stored(newest(versions))
+    state = newest(versions).select(*names)
 
     def pixels_of(batches):
         for batch in batches:

@@ -94,3 +94,27 @@ def test_touching_objects_part_at_the_dim_line(spark):
     assert flooding.secondary_objects(df.withColumn("seed", F.lit(None).cast("int"))).count() == 0
     with pytest.raises(ValueError):
         flooding.grown(df, base=0)
+
+
+def test_rounds_write_only_tiles_that_were_sent_something(spark, monkeypatch):
+    # a corridor that winds through 30 tiles, and 40 tiles of another image that no seed reaches
+    corridor = [(y, x) for y in range(0, 12, 4) for x in range(20)] + [(y, 19 if y // 4 % 2 == 0 else 0) for y in range(12) if y % 4]
+    values = {p: (p[0] * 7 + p[1] * 3) % 5 for p in corridor}
+    rows = [("a", y, x, v, 1 if (y, x) == (0, 0) else None) for (y, x), v in values.items()] + [("b", y, x, 1, None) for y in range(0, 20, 4) for x in range(0, 32, 4)]
+    df = spark.createDataFrame(rows, "image string, y int, x int, v int, seed long")
+    written = []
+
+    def counted(table):
+        out = stored(table)
+        written.append(out.count())
+        return out
+
+    stored = flooding.stored
+    monkeypatch.setattr(flooding, "stored", counted)
+    monkeypatch.setattr(flooding, "COMPACT", 5)
+    got = {(r["y"], r["x"]): (r["object_id"], r["cost"]) for r in flooding.grown(df, keys=["image"], weight=2, tile=4).collect()}
+    cost, owner = dijkstra(values, {(0, 0): 1}, "distance", 1, 2, None, 4)
+    assert got == {p: (owner[p], *c) for p, c in cost.items()}
+    whole = written[0]
+    few = [n for n in written if n < whole]
+    assert whole > 40 and len(written) > 25 and len(few) > 0.7 * len(written) and max(few) <= 4
