@@ -1,4 +1,4 @@
-"""Command line: ``python -m lumetra.cli iod|verify|extract|batch|plan``."""
+"""Command line: ``python -m lumetra.cli iod|segment|verify|extract|batch|plan``."""
 
 from __future__ import annotations
 
@@ -12,17 +12,23 @@ from pyspark.sql import functions as F
 from .extract import Options, extract_channel
 from .functions.names import extracted_name
 from .operators import density, ome, planning, tiled
+from .plans import measured, segmentation
 from .sources import files, tiles
+from .sources.scratch import stored
 
 
 TILE = 512
+#: Columns of the table of densities.
+MEASURED = ["ObjectNumber", "AreaShape_Center_X as Center_X", "AreaShape_Center_Y as Center_Y", "AreaShape_Area as Area_pixels", "True_IOD", "Mean_OD", "Max_OD", "Background_I0"]
 
 
 def iod(spark: SparkSession, args) -> int:
-    """Objects of one image; several images at once would need to say which object is whose."""
+    """Objects of one image, or with a column that tells each object's image of many."""
+    if args.image_column:
+        return iod_of_images(spark, args)
     found = tiles.paths_of({"path": args.image})
     if len(found) != 1 or not os.path.isfile(found[0]):
-        print(f"iod takes one image; {args.image} is {len(found)} files" if len(found) != 1 else f"no such image: {args.image}", file=sys.stderr)
+        print(f"iod takes one image without --image-column; {args.image} is {len(found)} files" if len(found) != 1 else f"no such image: {args.image}", file=sys.stderr)
         return 2
     image = found[0]
     tiles.register(spark)
@@ -34,11 +40,48 @@ def iod(spark: SparkSession, args) -> int:
     every = nuclei.join(sums, "object_id", "left").fillna(0, ["True_IOD", "Mean_OD", "Max_OD", "PixelCount"]).crossJoin(F.broadcast(level.select(F.col("background").alias("Background_I0"))))
     out = density.trimmed(every, ["True_IOD", "object_id"], percent=args.trim_percent)
     density.summary(out).show(truncate=False)
-    names = ["ObjectNumber", "AreaShape_Center_X as Center_X", "AreaShape_Center_Y as Center_Y", "AreaShape_Area as Area_pixels", "True_IOD", "Mean_OD", "Max_OD", "Background_I0", *(["IntegratedIntensity"] if args.passthrough else []), "QC_Passed"]
+    names = [*MEASURED, *(["IntegratedIntensity"] if args.passthrough else []), "QC_Passed"]
     files.write_measurements(out.orderBy("True_IOD", "object_id").selectExpr(*names), args.output, single_file=True)
     return 0
 
 
+def iod_of_images(spark: SparkSession, args) -> int:
+    """Every image has its own background and quality control; an object whose image is not there stops the run."""
+    tiles.register(spark)
+    images = files.listing(spark, args.image).filter(F.lower("path").rlike(tiles.IMAGES))
+    rows = files.nuclei(spark, args.nuclei, args.passthrough, keep=[args.image_column])
+    # written once, so that an object keeps its number
+    nuclei = stored(measured.placed(rows, args.image_column, images).withColumn("object_id", F.monotonically_increasing_id()))
+    lost = nuclei.filter("image_id is null").count()
+    if lost:
+        print(f"{lost} objects of images that are not in {args.image}", file=sys.stderr)
+        return 2
+    held = spark.read.format("tiff_tiles").option("path", args.image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    out = measured.image_density(held, nuclei, TILE, args.background_percentile, args.trim_percent)
+    density.summary(out, keys=["image_id"]).orderBy("image_id").show(truncate=False)
+    names = ["image_id", *MEASURED, *(["IntegratedIntensity"] if args.passthrough else []), "QC_Passed"]
+    files.write_measurements(out.orderBy("image_id", "True_IOD", "object_id").selectExpr(*names), args.output, single_file=True)
+    return 0
+
+
+def segment(spark: SparkSession, args) -> int:
+    """Run a pipeline file over one channel of images; a measurement file a set of objects, as ``iod`` reads them."""
+    tiles.register(spark)
+    named = [n for m in segmentation.modules_of(spark, args.pipeline) if m.name == "NamesAndTypes" for n in segmentation.names_in(m.get("Name to assign these images"))]
+    if len(named) != 1:
+        print(f"{args.pipeline} names {len(named)} images, of which segment gives one", file=sys.stderr)
+        return 2
+    held = spark.read.format("tiff_tiles").option("path", args.images).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    try:
+        run = segmentation.run_pipeline(spark, args.pipeline, {named[0]: lambda: stored(measured.image_pixels(held))}, ["image_id"])
+    except segmentation.PipelineError as error:
+        print(error, file=sys.stderr)
+        return 2
+    for name, table in run.exports.items():
+        files.write_measurements(measured.measured(table, ["image_id"]), f"{args.output.rstrip('/')}/{name}.csv", ["ImageNumber", "ObjectNumber"], single_file=True)
+    return 0
+
+
 def put_out(rows: DataFrame, path: str | None) -> None:
     """All rows: as CSV to ``path``, else printed as they come, a partition at a time."""
     if path:
@@ -52,7 +95,7 @@ def put_out(rows: DataFrame, path: str | None) -> None:
 def headers_below(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Headers of the images at or below a path, listed and opened by tasks."""
     found = files.listing(spark, path, recursive=recursive)
-    return tiles.headers_of(found.filter(F.lower("path").rlike(r"\.(tif|tiff|btf)$")))
+    return tiles.headers_of(found.filter(F.lower("path").rlike(tiles.IMAGES)))
 
 
 def verify(spark: SparkSession, args) -> int:
@@ -107,7 +150,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--trim-percent", type=float, default=5.0)
     p.add_argument("--channel", type=int, default=1)
     p.add_argument("--passthrough")
+    p.add_argument("--image-column", help="column of the nuclei that tells each one's image, by path or file name; the image may then be a directory or pattern")
     p.set_defaults(run=iod)
+    p = sub.add_parser("segment", help="objects of images by a pipeline file, as measurement files")
+    p.add_argument("pipeline")
+    p.add_argument("images", help="a file, a directory or a pattern")
+    p.add_argument("output")
+    p.add_argument("--channel", type=int, default=1)
+    p.set_defaults(run=segment)
     p = sub.add_parser("verify", help="metadata of images")
     p.add_argument("path")
     p.add_argument("--output", help="CSV of all rows instead of a printed list")

@@ -16,9 +16,9 @@ from ..extract import extract_channel as extract_files
 from ..functions import names, units
 from ..operators import density, images, ome, planning, ranking, regions, report, tiled
 from ..sources import files, tiles, zarr
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, stored
 from ..sources.tiff_sink import write_images
-from . import segmentation
+from . import measured, segmentation
 from .catalog import IMAGE_CTE, OD_SQL, OBJECT_CTE, _image, _pixels, query, table
 
 # --- images: a hundred lines of embeddings make a picture of three samples, v, 255 - v and v / 2 ---
@@ -492,3 +492,39 @@ def pipeline_file(spark, d):
     segmentation.run_pipeline(spark, path, {"Dark": dark}, folder=folder)
     held = spark.read.option("header", True).csv(f"{folder}/Oil_Nuclei.csv")
     return held.select(F.col("object_id").cast("long").alias("object_id"), F.col("area").cast("long").alias("area"), F.col("center_x").cast("double").alias("center_x"), F.col("center_y").cast("double").alias("center_y"))
+
+
+@query(f"""WITH RECURSIVE {PICTURE_CTE}, b AS (SELECT image, y, x, greatest(0.0, 1 - v / 255.0) AS v FROM pic), h AS (SELECT image, greatest(0, least(255, floor(v * 256.0))) * (1 / 256.0) AS level, count(*) AS n FROM b GROUP BY ALL),
+    c AS (SELECT image, level, sum(n) OVER w AS w, sum(n * level) OVER w AS m, sum(n) OVER (PARTITION BY image) AS tw, sum(n * level) OVER (PARTITION BY image) AS tm FROM h WINDOW w AS (PARTITION BY image ORDER BY level)),
+    s AS (SELECT a.image, a.level AS low, b.level AS high, round(a.m * a.m / a.w + (b.m - a.m) * (b.m - a.m) / (b.w - a.w) + (b.tm - b.m) * (b.tm - b.m) / (b.tw - b.w), 6) AS score FROM c a JOIN c b ON a.image = b.image AND a.level < b.level AND b.w < b.tw),
+    t AS (SELECT image, arg_max(high, (score, -low, -high)) + 1 / 256.0 AS high FROM s GROUP BY image),
+    fg AS MATERIALIZED (SELECT image, y, x FROM b JOIN t USING (image) WHERE v >= high), side AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-1, 2)) AS i) a, (SELECT unnest(range(-1, 2)) AS i) b WHERE a.i <> 0 OR b.i <> 0),
+    lab(image, y, x, label) USING KEY (image, y, x) AS (SELECT image, y, x, y * 4294967296 + x FROM fg
+        UNION SELECT f.image, f.y, f.x, min(l.label) FROM lab l, side s JOIN fg f ON f.image = l.image AND f.y = l.y + s.dy AND f.x = l.x + s.dx JOIN recurring.lab r ON r.image = f.image AND r.y = f.y AND r.x = f.x GROUP BY f.image, f.y, f.x, r.label HAVING min(l.label) < r.label),
+    o AS (SELECT image, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM lab GROUP BY image, label HAVING round(sqrt(4 * count(*) / pi()), 6) BETWEEN 2 AND 40)
+    SELECT image, dense_rank() OVER (ORDER BY concat(image, '.tiff')) AS ImageNumber, row_number() OVER (PARTITION BY image ORDER BY label) AS ObjectNumber, area AS AreaShape_Area, round(cx, 6) AS AreaShape_Center_X, round(cy, 6) AS AreaShape_Center_Y FROM o""")
+def measured_objects(spark, d):
+    """A pipeline file run over written images, what it measures named and numbered as in measurement files."""
+    folder = new_folder(spark, "pipeline")
+    with open(path := os.path.join(folder, "objects.cppipe"), "w", encoding="utf-8") as f:
+        f.write(PIPELINE)
+    held = spark.read.format("tiff_tiles").option("path", _written(spark, d)).option("tile", 32).load().filter(F.col("channel") == 0)
+    run = segmentation.run_pipeline(spark, path, {"Dark": stored(measured.image_pixels(held))}, ["image_id"])
+    table_of = measured.measured(run.exports["Oil_Nuclei"], ["image_id"])
+    return table_of.select(_number(F.col("image_id")).alias("image"), "ImageNumber", "ObjectNumber", "AreaShape_Area", "AreaShape_Center_X", "AreaShape_Center_Y")
+
+
+@query(f"""WITH {PICTURE_CTE}, {CIRCLES_CTE}, bg AS (SELECT image, quantile_cont(CAST(v AS DOUBLE), 0.95) AS b FROM pic GROUP BY image),
+    od AS (SELECT object_id, round(sum({OD_SQL.format(v='CAST(v AS DOUBLE)', b='b')}), 6) AS True_IOD, count(*) AS n FROM ci JOIN pic ON ci.image = pic.image AND (pic.x - cx) * (pic.x - cx) + (pic.y - cy) * (pic.y - cy) <= r * r JOIN bg ON bg.image = pic.image GROUP BY object_id),
+    every AS (SELECT ci.image, ci.object_id, coalesce(True_IOD, 0) AS True_IOD, CAST(coalesce(n, 0) AS BIGINT) AS PixelCount, b AS Background_I0 FROM ci JOIN bg ON bg.image = ci.image LEFT JOIN od ON od.object_id = ci.object_id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY True_IOD, object_id) AS rn, count(*) OVER (PARTITION BY image) AS total FROM every)
+    SELECT image, object_id, True_IOD, PixelCount, Background_I0, CASE WHEN total <= 10 OR floor(total * 5.0 / 100) = 0 OR (rn > floor(total * 5.0 / 100) AND rn <= total - floor(total * 5.0 / 100)) THEN 'Yes' ELSE 'No' END AS QC_Passed FROM rk""")
+def measured_density(spark, d):
+    """Nuclei of many images out of one measurement file, placed by file name: density and quality control image by image."""
+    pictures, path, p = _written(spark, d), f"{new_folder(spark, 'tables')}/nuclei.csv", F.col("p_partkey")
+    rows = table(spark, d, "part").select(p.alias("ObjectNumber"), (p % 64 + 0.7).alias("AreaShape_Center_X"), ((p * 7) % 100 - 0.5).alias("AreaShape_Center_Y"), (F.col("p_size") * 2.0).alias("AreaShape_Area"), F.concat((p % _pictures_of(spark, d)).cast("string"), F.lit(".tiff")).alias("FileName"))
+    files.write_measurements(rows, path, single_file=True)
+    nuclei = measured.placed(files.nuclei(spark, path, keep=["FileName"]), "FileName", files.listing(spark, pictures)).withColumn("object_id", F.col("ObjectNumber").cast("long"))
+    held = spark.read.format("tiff_tiles").option("path", pictures).option("tile", 32).load().filter(F.col("channel") == 0)
+    found = measured.image_density(held, nuclei, 32)
+    return found.select(_number(F.col("image_id")).alias("image"), "object_id", "True_IOD", "PixelCount", "Background_I0", "QC_Passed")

@@ -268,11 +268,11 @@ def checked(modules: list[Module], given: set[str]) -> None:
         there["object"] |= {n for key in kind.new_objects for n in names_in(m.get(key, ""))}
 
 
-def run_pipeline(spark: SparkSession, path: str, given: dict[str, DataFrame], keys: list[str] = (), folder: str | None = None) -> Run:
-    """Run a pipeline file over images; with ``folder``, its exports are written there, a file a set of objects."""
+def run_pipeline(spark: SparkSession, path: str, given: dict[str, DataFrame | Callable[[], DataFrame]], keys: list[str] = (), folder: str | None = None) -> Run:
+    """Run a pipeline file over images, which may be given as functions that are called once the file has been checked; with ``folder``, its exports are written there, a file a set of objects."""
     modules = modules_of(spark, path)
     checked(modules, set(given))
-    run = Run(list(keys), dict(given))
+    run = Run(list(keys), {name: image() if callable(image) else image for name, image in given.items()})
     for m in modules:
         KINDS[m.name].work(run, m)
     if folder is not None:

@@ -39,17 +39,17 @@ def named_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def nuclei(spark: SparkSession, path: str, passthrough: str | None = None, strict: bool = False) -> DataFrame:
-    """Measured objects from CSV. A column named ``passthrough`` is kept as text, 'N/A' if the file has none."""
+def nuclei(spark: SparkSession, path: str, passthrough: str | None = None, strict: bool = False, keep: list[str] = ()) -> DataFrame:
+    """Measured objects from CSV. A column named ``passthrough`` is kept as text, 'N/A' if the file has none; those of ``keep`` must be there."""
     held = spark.read.option("header", True).csv(path)
-    missing = {f.name for f in NUCLEI.fields} - set(held.columns) - {"ImageNumber"}
+    missing = ({f.name for f in NUCLEI.fields} | set(keep)) - set(held.columns) - {"ImageNumber"}
     if missing:
         raise ValueError(f"columns missing from {path}: {', '.join(sorted(missing))}")
     cast = lambda f: F.col(f.name).cast(f.dataType) if strict else F.col(f.name).try_cast(f.dataType)
     columns = [(cast(f) if f.name in held.columns else F.lit(1).cast("int")).alias(f.name) for f in NUCLEI.fields]
     if passthrough is not None:
         columns.append((F.col(passthrough) if passthrough in held.columns else F.lit("N/A")).alias("IntegratedIntensity"))
-    return held.select(columns)
+    return held.select(columns + [F.col(f"`{c}`") for c in keep if c not in NUCLEI.names])
 
 
 def write_measurements(df: DataFrame, path: str, order: list[str] = (), single_file: bool = False) -> None:

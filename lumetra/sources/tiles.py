@@ -25,6 +25,10 @@ from .tiff import RESOLUTION_UNIT, X_RESOLUTION, Y_RESOLUTION, Page, TiffError,
 HEADERS = "path string, length long, n_pages int, shape array<int>, dtype string, description string, x_resolution double, y_resolution double, resolution_unit int, error string"
 
 
+#: Names of images, in lower case.
+IMAGES = r"\.(tif|tiff|btf)$"
+
+
 def paths_of(options: dict) -> list[str]:
     """A file, the matches of a pattern, or the images of a directory (``recursive``: true or false)."""
     path = options["path"]
