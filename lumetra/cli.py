@@ -32,7 +32,7 @@ def iod(spark: SparkSession, args) -> int:
         return 2
     image = found[0]
     tiles.register(spark)
-    held = spark.read.format("tiff_tiles").option("path", image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    held = spark.read.format("tiff_tiles").option("path", image).option("tile", TILE).option("take", args.channel).load()
     nuclei = files.nuclei(spark, args.nuclei, args.passthrough).withColumn("object_id", F.monotonically_increasing_id()).withColumn("image_id", F.lit(image))
     level = tiled.tile_background(held, args.background_percentile)
     sums = tiled.tile_sums(held, nuclei, level, "object_id", "AreaShape_Center_X", "AreaShape_Center_Y", "AreaShape_Area", TILE).drop("Background_I0", "image_id")
@@ -56,7 +56,7 @@ def iod_of_images(spark: SparkSession, args) -> int:
     if lost:
         print(f"{lost} objects of images that are not in {args.image}", file=sys.stderr)
         return 2
-    held = spark.read.format("tiff_tiles").option("path", args.image).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    held = spark.read.format("tiff_tiles").option("path", args.image).option("tile", TILE).option("take", args.channel).load()
     out = measured.image_density(held, nuclei, TILE, args.background_percentile, args.trim_percent)
     density.summary(out, keys=["image_id"]).orderBy("image_id").show(truncate=False)
     names = ["image_id", *MEASURED, *(["IntegratedIntensity"] if args.passthrough else []), "QC_Passed"]
@@ -71,7 +71,7 @@ def segment(spark: SparkSession, args) -> int:
     if len(named) != 1:
         print(f"{args.pipeline} names {len(named)} images, of which segment gives one", file=sys.stderr)
         return 2
-    held = spark.read.format("tiff_tiles").option("path", args.images).option("tile", TILE).load().filter(F.col("channel") == args.channel)
+    held = spark.read.format("tiff_tiles").option("path", args.images).option("tile", TILE).option("take", args.channel).load()
     try:
         run = segmentation.run_pipeline(spark, args.pipeline, {named[0]: lambda: stored(measured.image_pixels(held))}, ["image_id"])
     except segmentation.PipelineError as error:
@@ -148,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("output")
     p.add_argument("--background-percentile", type=float, default=95.0)
     p.add_argument("--trim-percent", type=float, default=5.0)
-    p.add_argument("--channel", type=int, default=1)
+    p.add_argument("--channel", type=int, default=1, help="of colour images; grey ones are taken as they are")
     p.add_argument("--passthrough")
     p.add_argument("--image-column", help="column of the nuclei that tells each one's image, by path or file name; the image may then be a directory or pattern")
     p.set_defaults(run=iod)
@@ -156,7 +156,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("pipeline")
     p.add_argument("images", help="a file, a directory or a pattern")
     p.add_argument("output")
-    p.add_argument("--channel", type=int, default=1)
+    p.add_argument("--channel", type=int, default=1, help="of colour images; grey ones are taken as they are")
     p.set_defaults(run=segment)
     p = sub.add_parser("verify", help="metadata of images")
     p.add_argument("path")

@@ -1,7 +1,9 @@
 """Tiled images as a Spark data source: tasks take bands of rows in turn, filters on channel pushed down.
 
 ``tiff_tiles`` gives tiles of single channels, of the first page or (``pages``:
-all) of every page of a stack; ``tiff_headers`` one row a file.
+all) of every page of a stack; ``tiff_headers`` one row a file. ``take`` names
+the channel of colour images that is wanted where grey images are wanted as they
+are; an image of several channels without that one is an error.
 Paths are opened by the tasks, so images must be on storage that executors mount.
 """
 
@@ -61,6 +63,7 @@ class TileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.channel = options, None
         self.pages = options.get("pages", "first").lower() == "all"
+        self.take = int(options["take"]) if "take" in options else None
         self.tile = int(options.get("tile", 512))
         rows = int(options.get("chunk_rows", 2048))
         self.band = -(-rows // self.tile) * self.tile
@@ -80,19 +83,24 @@ class TileReader(DataSourceReader):
 
     def read(self, part):
         with open(part.path, "rb") as f:
-            pages = read_pages(f, None if self.pages else 1)
-            axes = plane_axes(pages)
-            per_page = -(-max(p.height for p in pages) // self.band)
+            pages = read_pages(f, None if self.pages or self.take is not None else 1)
+            planes = list(zip(pages, plane_axes(pages), strict=True))
+            if self.take is not None:
+                planes = taken(planes, self.take, part.path)
+            planes = planes if self.pages else planes[:1]
+            per_page = -(-max(p.height for p, _ in planes) // self.band)
             # bands of all pages, numbered through
-            for nth in range(part.nth, per_page * len(pages), part.of):
-                page, (z, t, c) = pages[nth // per_page], axes[nth // per_page]
+            for nth in range(part.nth, per_page * len(planes), part.of):
+                page, (z, t, c) = planes[nth // per_page]
                 for y in range(nth % per_page * self.band, min((nth % per_page + 1) * self.band, page.height), self.tile):
                     # a row of tiles at a time: strips, which span the width, are decoded once
                     channels = range(page.samples) if page.samples > 1 else [c]
+                    if self.take is not None and page.samples > 1:
+                        channels = [self.take]
                     channels = [k for k in channels if self.channel is None or k == self.channel]
                     if not channels:
                         continue
-                    one = self.channel if page.samples > 1 else None
+                    one = (self.channel if self.take is None else self.take) if page.samples > 1 else None
                     whole = read_region(f, page, y, min(y + self.tile, page.height), channel=one)
                     places = [(k, x) for x in range(0, page.width, self.tile) for k in channels]
                     for begin in range(0, len(places), BATCH_TILES):
@@ -133,6 +141,15 @@ def plane_axes(pages: list[Page]) -> list[tuple[int, int, int]]:
     return out
 
 
+def taken(planes: list[tuple[Page, tuple[int, int, int]]], channel: int, path: str) -> list[tuple[Page, tuple[int, int, int]]]:
+    """The planes that hold a channel: all of a grey image; pages that are channels by their axes."""
+    apart = any(c for _, (_, _, c) in planes)
+    held = [(p, at) for p, at in planes if channel < p.samples or (p.samples == 1 and (at[2] == channel if apart else True))]
+    if not held:
+        raise TiffError(f"{path}: no channel {channel}")
+    return held
+
+
 class TiffTiles(DataSource):
     @classmethod
     def name(cls):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumetra import cli
 from lumetra.plans import measured
-from lumetra.sources import files
+from lumetra.sources import files, tiles
 from lumetra.sources.tiff import write_tiled
 
 FILE = """Version:5
@@ -119,3 +119,43 @@ def test_objects_are_placed_and_numbered(spark):
     assert sorted((r["y"], r["x"], r["v"]) for r in px.collect()) == [(2, 4, 0.0), (2, 5, 1.0), (3, 4, 0.2)]
     with pytest.raises(Exception, match="no scale for pixels of float32"):
         measured.image_pixels(spark.createDataFrame([("i", 0, 0, 1, "float32", [1])], tile)).collect()
+
+
+def test_grey_images_are_taken_as_they_are(spark, tmp_path):
+    """What extraction writes has one channel: density and objects come from it without naming it."""
+    made = tmp_path / "images"
+    made.mkdir()
+    image = drawn("a", 255, np.uint8)
+    for name, held in (("grey", image[:, :, :1]), ("colour", np.dstack([image[:, :, 0] // 2, image[:, :, 0], image[:, :, 0] // 3]))):
+        with open(made / f"{name}.tif", "wb") as f:
+            write_tiled(f, lambda p, q, held=held: held[p:q], 50, 60, np.uint8, "<OME/>", 16, samples=held.shape[2])
+    (tmp_path / "n.csv").write_text("ObjectNumber,AreaShape_Center_X,AreaShape_Center_Y,AreaShape_Area\n1,12,10,30\n2,40,30,30\n")
+    told = {}
+    for name in ("grey", "colour"):
+        assert cli.main(["iod", str(made / f"{name}.tif"), str(tmp_path / "n.csv"), str(tmp_path / f"{name}.csv")]) == 0
+        told[name] = sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / f"{name}.csv")).collect())
+    assert told["grey"] == told["colour"] and len(told["grey"]) == 2
+    assert {r[0]: float(r[5]) for r in told["grey"]} == pytest.approx({"1": np.log10(229 / 60), "2": np.log10(229 / 80)}, abs=1e-5)
+    (tmp_path / "p.cppipe").write_text(FILE)
+    assert cli.main(["segment", str(tmp_path / "p.cppipe"), str(made), str(tmp_path / "o")]) == 0
+    rows = spark.read.option("header", True).csv(str(tmp_path / "o" / "Nuclei.csv")).drop("image_id", "ImageNumber").collect()
+    assert len(rows) == 4 and len(set(map(tuple, rows))) == 2
+    tiles.register(spark)
+    held = spark.read.format("tiff_tiles").option("path", str(made)).option("tile", 16)
+    assert {(r["image_id"].rsplit("/", 1)[1], r["channel"]) for r in held.option("take", 2).load().select("image_id", "channel").distinct().collect()} == {("grey.tif", 0), ("colour.tif", 2)}
+    with pytest.raises(Exception, match="no channel 3"):
+        held.option("take", 3).load().collect()
+
+
+def test_pages_that_are_channels():
+    class Plane:
+        samples = 1
+
+    def at(planes):
+        return [a for _, a in planes]
+
+    stack = [(Plane, (0, 0, 0)), (Plane, (1, 0, 0))]
+    assert at(tiles.taken(stack, 1, "f")) == [(0, 0, 0), (1, 0, 0)]
+    assert at(tiles.taken([(Plane, (0, 0, 0)), (Plane, (0, 0, 1))], 1, "f")) == [(0, 0, 1)]
+    with pytest.raises(tiles.TiffError, match="f: no channel 2"):
+        tiles.taken([(Plane, (0, 0, 0)), (Plane, (0, 0, 1))], 2, "f")
