@@ -90,7 +90,7 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
     names = F.concat(F.lit(folder.rstrip("/") + "/"), extracted_name(F.col("path"), F.lit(options.channel)))
     documents = described(headers.filter("error is null"), options, channel)
     # a small row a file
-    files = stored(headers.select("path", "length", "shape", "dtype", "error", "n_pages").withColumn("output", names).join(documents.drop("length"), "path", "left"))
+    files = stored(headers.select("path", "length", "shape", "dtype", "error", "n_pages", "heights").withColumn("output", names).join(documents.drop("length"), "path", "left"))
     axis = lambda i: F.get(F.col("shape"), F.lit(i))
     samples = F.coalesce(axis(2), F.lit(1))
     shape = F.concat(F.lit("("), F.array_join("shape", ", "), F.lit(")"))
@@ -109,6 +109,7 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
         F.col("path").alias("key"), "output", axis(0).alias("height"), axis(1).alias("width"), "dtype", F.lit(1).alias("samples"), F.lit(options.tile).alias("tile"), F.lit(options.compression).alias("compression"),
         F.lit(options.level).alias("level"), document.alias("description"), F.col("per_cm_x").alias("x_resolution"), F.col("per_cm_y").alias("y_resolution"),
         F.lit(options.predictor).alias("predictor"), (F.col("n_pages") if options.pages else F.lit(1)).cast("int").alias("pages"),
+        (F.col("heights") if options.pages else F.lit(None).cast("array<int>")).alias("heights"),
     ).select(*[c.split()[0] for c in LAYOUTS.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +118,9 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
                 layout, began, data, counts, message = layout_of(row), time.monotonic(), None, None, None
                 try:
                     with limited(options.seconds), open(row["key"], "rb") as f:
-                        nth = row["band"] // layout.bands_of_page
+                        nth = layout.page_of(row["band"])
                         page = read_pages(f, nth + 1)[nth]
-                        if page.shape[:2] != (layout.height, layout.width) or page.samples <= options.channel or page.dtype.name != layout.dtype:
+                        if page.shape[:2] != (layout.height_of(nth), layout.width) or page.samples <= options.channel or page.dtype.name != layout.dtype:
                             raise TiffError(f"page {nth} is of another kind than the first")
                         tiles = packed_band(layout, read_region(f, page, *layout.rows(row["band"]), channel=options.channel))
                     data, counts = b"".join(tiles), [len(t) for t in tiles]

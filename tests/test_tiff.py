@@ -192,6 +192,24 @@ def test_lines_must_be_whole(spark, tmp_path):
             write_images(broken, str(tmp_path), tile=16).collect()
 
 
+def test_pages_of_other_heights(spark, tmp_path):
+    tiles.register(spark)
+    stack = [picture(h, 20, seed=h) for h in (40, 6, 33)]
+    rows = [(1, page, y, bytearray(line.tobytes()), 3) for page, image in enumerate(stack) for y, line in enumerate(image)]
+    df = spark.createDataFrame(rows, "image int, page int, y int, data binary, samples int").repartition(5)
+    write_images(df, str(tmp_path / "in"), tile=16, compression="lzw", predictor=2).collect()
+    headers = spark.read.format("tiff_headers").option("path", str(tmp_path / "in")).load()
+    assert headers.first()["heights"] == [40, 6, 33]
+    done = extract_channel(headers, str(tmp_path / "out"), Options(channel=1, tile=32, pages=True)).collect()
+    assert [r["message"] for r in done] == ["extracted"]
+    for path, channels in ((tmp_path / "in" / "1.tiff", slice(0, 3)), (done[0]["output"], slice(1, 2))):
+        with open(path, "rb") as f:
+            assert all((read_region(f, page, 0, len(image)) == image[:, :, channels]).all() for page, image in zip(read_pages(f), stack, strict=True))
+    for odd in ("page <> 1", "page <> 0 or y <> 0"):
+        with pytest.raises(Exception, match="lines are missing or uneven"):
+            write_images(df.filter(odd), str(tmp_path / "in"), tile=16).collect()
+
+
 def test_batch_resumes(spark, folder, tmp_path):
     out, told = str(tmp_path / "out"), lambda i: str(tmp_path / f"report{i}")
     assert cli.main(["batch", str(folder), out, "--tile", "16", "--report", told(0), "--seconds", "0"]) == 1
