@@ -108,3 +108,13 @@ def test_a_surface_is_level_outside_the_middles(spark):
     for (i, y, x), low in got.items():
         assert low == pytest.approx(np.interp(y, ys, [0, 10, 20]) + np.interp(x, xs, [0, 1]) + i)
     assert len(got) == 140
+
+
+def test_exploded_cells_are_not_broadcast(spark):
+    circles = spark.range(50).selectExpr("id as k", "double(id % 9) as cx", "double(id % 7) as cy", "double(40) as area")
+    pixels = spark.range(100).selectExpr("id div 10 as y", "id % 10 as x", "1.0 as v")
+    met = regions.region_pixels(circles, pixels, "k", "cx", "cy", "area")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    held = {(r["y"], r["x"]) for r in met.filter("object_id = 0").collect()}
+    assert held == {(y, x) for y in range(4) for x in range(4) if x * x + y * y <= 9}
