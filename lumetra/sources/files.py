@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +53,21 @@ def nuclei(spark: SparkSession, path: str, passthrough: str | None = None, stric
     return held.select(columns + [F.col(f"`{c}`") for c in keep if c not in NUCLEI.names])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of one CSV file with a header, and ``line``, their number in it from 1.
+
+    A large file is read in blocks by many tasks. A block's rows are counted, and
+    its first row's number is the sum over the blocks before it, of which there is
+    one small row each.
+    """
+    held = spark.read.option("header", True).csv(path)
+    held = held.withColumns({"_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    blocks = held.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    bases = blocks.select("_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return held.join(F.broadcast(bases), "_block").withColumn("line", F.col("_at") + F.col("_base")).drop("_block", "_at", "_base")
+
+
 def write_measurements(df: DataFrame, path: str, order: list[str] = (), single_file: bool = False) -> None:
     """CSV with a header and NaN written out; ordered where asked for. ``single_file``: one file of that name, which many tasks write."""
     out = df.orderBy(*order) if order else df

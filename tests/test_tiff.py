@@ -249,3 +249,16 @@ def test_one_file_by_many_tasks(spark, tmp_path):
     assert write_lines(lines, path, block_bytes=50) == sum(len(str(i)) + 1 for i in range(3000))
     assert sorted(map(int, open(path).read().split())) == list(range(3000))
     assert write_lines(lines.filter("false"), path, "head") == 5
+
+
+def test_lines_of_a_file_in_blocks_are_numbered(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text("a,b\n" + "".join(f"{i},{'x' * (i % 9)}\n" for i in range(1, 5001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.numbered_lines(spark, str(path))
+        assert got.rdd.getNumPartitions() > 10
+        assert sorted((r["line"], int(r["a"])) for r in got.collect()) == [(i, i) for i in range(1, 5001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
