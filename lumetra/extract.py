@@ -131,8 +131,9 @@ def extract_channel(headers: DataFrame, folder: str, options: Options | None = N
                 out = {"key": row["key"], "band": row["band"], "data": data, "counts": counts, "message": message, "seconds": time.monotonic() - began}
                 yield pa.RecordBatch.from_pylist([out], pa.schema([("key", pa.string()), ("band", pa.int32()), ("data", pa.binary()), ("counts", pa.list_(pa.int64())), ("message", pa.string()), ("seconds", pa.float64())]))
 
-    n = band_rows(layouts).count()
-    bands = stored(spread(band_rows(layouts), n, "key", "band").mapInArrow(read, BANDS))
+    # a band is as much work as the bytes that are decoded for it, of three samples or four
+    n, pixels = band_rows(layouts).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("width").cast("long") * F.least("height", "tile")), F.lit(0))).first()
+    bands = stored(spread(band_rows(layouts), n, "key", "band", size=4 * pixels).mapInArrow(read, BANDS))
     if options.seconds is not None:
         slow = bands.groupBy("key").agg(F.sum("seconds").alias("_all")).filter(F.col("_all") > options.seconds).withColumn("_slow", F.lit(stopped(options.seconds)))
         bands = bands.join(slow, "key", "left").withColumn("message", F.coalesce("message", "_slow")).drop("_all", "_slow")

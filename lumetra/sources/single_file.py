@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bands import spread
+from .bands import TASK_BYTES, spread
 from .scratch import stored
 
 #: Bytes of a block, about.
@@ -70,7 +70,7 @@ def write_lines(lines: DataFrame, path: str, head: str | None = None, block_byte
     with open(part, "wb") as f:
         f.write(first)
     met = blocks.join(places, ["part", "nth"]).select("at", "data")
-    total = stored(spread(met, blocks.count(), "at").mapInArrow(put, "size long")).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] + len(first)
+    total = stored(spread(met, blocks.count(), "at", task_rows=max(1, TASK_BYTES // block_bytes)).mapInArrow(put, "size long")).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] + len(first)
     if os.path.getsize(part) != total:
         raise OSError(f"{path}: {os.path.getsize(part)} bytes of {total}")
     os.replace(part, path)

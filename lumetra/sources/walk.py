@@ -103,7 +103,7 @@ def walk(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataF
 
     level, n, levels = spark.createDataFrame([(p,) for p in found], "path string"), len(found), []
     while n:
-        entries = stored(spread(level, n, "path").mapInArrow(scan, ENTRIES))
+        entries = stored(spread(level, n, "path", task_rows=16).mapInArrow(scan, ENTRIES))
         levels.append(entries.filter("not directory").select("path", "length", "modificationTime"))
         level = entries.filter("directory").select("path")
         n = level.count() if recursive else 0

@@ -142,18 +142,20 @@ def windows(stores: DataFrame, path: str = "path", channel: int | None = None, r
 
     def plan(batches):
         for batch in batches:
-            found = [(p, *part) for p in batch.column(0).to_pylist() for part in parts_of(Array(p, axes), window)]
+            arrays = [(p, Array(p, axes)) for p in batch.column(0).to_pylist()]
+            found = [(p, a, b, (b - a) * int(np.prod(array.chunks, dtype=np.int64)) * array.dtype.itemsize) for p, array in arrays for a, b in parts_of(array, window)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["path", "first", "last", "size"])
 
     def read(batches):
         for batch in batches:
-            for p, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, first, last in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 yield from tiles_of(Array(p, axes), window, first, last, p)
 
     named = stores.select(F.col(path).alias("path"))
-    parts = stored(spread(named, named.count(), "path").mapInArrow(plan, "path string, first long, last long"))
-    return spread(parts, parts.count(), "path", "first").mapInArrow(read, TILES)
+    parts = stored(spread(named, named.count(), "path").mapInArrow(plan, "path string, first long, last long, size long"))
+    n, size = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return spread(parts, n, "path", "first", size=size).mapInArrow(read, TILES)
 
 
 class Chunks(InputPartition):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumetra import cli
 from lumetra.extract import Options, extract_channel, limited
 from lumetra.sources import files, tiles
+from lumetra.sources.bands import TASK_BYTES, task_count
 from lumetra.sources.single_file import write_lines
 from lumetra.sources.tiff_sink import write_images
 from lumetra.sources.tiff import TiffError, compress_lzw, expand_lzw, read_pages, read_region, write_tiled
@@ -262,3 +263,22 @@ def test_lines_of_a_file_in_blocks_are_numbered(spark, tmp_path):
         assert sorted((r["line"], int(r["a"])) for r in got.collect()) == [(i, i) for i in range(1, 5001)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    tiles.register(spark)
+    image = picture(8, 8, 1)
+    for i in range(200):
+        with open(tmp_path / f"s{i}.tif", "wb") as f:
+            write_tiled(f, lambda a, b: image[a:b], 8, 8, np.uint8, tile=16)
+    for source, option in (("tiff_headers", "path"), ("tiff_tiles", "tile")):
+        held = spark.read.format(source).option("path", str(tmp_path)).option(option, str(tmp_path) if option == "path" else 16).load()
+        assert 32 <= held.rdd.getNumPartitions() < 40 and held.count() == 200
+    rows = spark.range(1000).selectExpr("id as image", "0 as y", "cast('abcd' as binary) as data", "1 as samples")
+    done, n = tasks_of(spark, "small", lambda: write_images(rows, str(tmp_path / "out"), tile=16).collect())
+    assert n <= 64 and len(done) == 1000 and len(list((tmp_path / "out").glob("*.tiff"))) == 1000
+
+
+def test_tasks_follow_the_work():
+    assert [task_count(n) for n in (0, 1, 60, 1000, 100_000)] == [1, 1, 60, 64, 391]
+    assert task_count(1000, 1000 * TASK_BYTES) == 1000 and task_count(1000, 100 * TASK_BYTES) == 100 and task_count(10**6, 10**6 * TASK_BYTES) == 10_000
