@@ -118,3 +118,17 @@ def test_exploded_cells_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     held = {(r["y"], r["x"]) for r in met.filter("object_id = 0").collect()}
     assert held == {(y, x) for y in range(4) for x in range(4) if x * x + y * y <= 9}
+
+
+def test_pixels_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(density, "DEALT_ROWS", 100)
+    rows = spark.range(5000).selectExpr("id % 400 as image", "id as object")
+    levels = rows.groupBy("image").agg(F.lit(1.0).alias("background")).hint("merge")
+    held, by_image = density.dealt(rows, levels, ["image"])
+    sizes = held.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("image").alias("k")).collect()
+    assert held.rdd.getNumPartitions() == 50 and max(r["n"] for r in sizes) < 400
+    assert sum(r["k"] for r in sizes) == 400 and sum(r["n"] for r in sizes) == 5000
+    assert density.dealt(rows.limit(400), levels, ["image"])[0].rdd.getNumPartitions() < 50
+    # what follows by image keeps the tasks
+    joined = density.with_background(held, by_image, ["image"])
+    assert joined.rdd.getNumPartitions() == 50 and joined.count() == 5000
