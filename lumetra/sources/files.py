@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import NUCLEI
+from .scratch import stored
 from .single_file import write_lines
 from .walk import local_path, matching, walk
 
@@ -58,10 +59,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A large file is read in blocks by many tasks. A block's rows are counted, and
     its first row's number is the sum over the blocks before it, of which there is
-    one small row each.
+    one small row each. How a file is cut depends on the cores there are at the
+    time, so counts and rows come from one reading, which is kept.
     """
     held = spark.read.option("header", True).csv(path)
-    held = held.withColumns({"_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    held = stored(held.withColumns({"_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}))
     blocks = held.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     bases = blocks.select("_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))

@@ -282,3 +282,17 @@ def test_many_small_files_share_tasks(spark, tmp_path):
 def test_tasks_follow_the_work():
     assert [task_count(n) for n in (0, 1, 60, 1000, 100_000)] == [1, 1, 60, 64, 391]
     assert task_count(1000, 1000 * TASK_BYTES) == 1000 and task_count(1000, 100 * TASK_BYTES) == 100 and task_count(10**6, 10**6 * TASK_BYTES) == 10_000
+
+
+def test_lines_are_numbered_over_one_reading(spark, tmp_path):
+    """A second reading may cut the file at other places, as cores come and go."""
+    path = tmp_path / "many.csv"
+    path.write_text("a\n" + "".join(f"{i}\n" for i in range(1, 2001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.numbered_lines(spark, str(path))
+        path.unlink()
+        assert sorted((r["line"], int(r["a"])) for r in got.collect()) == [(i, i) for i in range(1, 2001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
