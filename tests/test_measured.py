@@ -159,3 +159,20 @@ def test_pages_that_are_channels():
     assert at(tiles.taken([(Plane, (0, 0, 0)), (Plane, (0, 0, 1))], 1, "f")) == [(0, 0, 1)]
     with pytest.raises(tiles.TiffError, match="f: no channel 2"):
         tiles.taken([(Plane, (0, 0, 0)), (Plane, (0, 0, 1))], 2, "f")
+
+
+def test_pictures_of_one_row_group_are_made_by_many_tasks(spark, tmp_path):
+    """A table may lie in a single row group, which only one task reads."""
+    from lumetra.plans import file_catalog
+
+    held = spark.range(5000).selectExpr("id AS vec_id", "array(float(-0.599), float(id % 128 / 200.0 - 0.59), float(0.67)) AS embedding")
+    held.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = file_catalog._pictures(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 1
+    levels = {r["vec_id"]: r["l"] for r in held.selectExpr("vec_id", "transform(embedding, v -> floor((double(v) + 0.6) * 200)) AS l").collect()}
+    got = {r["image"] * 100 + r["y"]: (bytes(r["data"]), r["samples"]) for r in made.collect()}
+    assert got == {k: (bytes(s for v in row for s in (v, 255 - v, v // 2)), 3) for k, row in levels.items()}
+    (tmp_path / "bad").mkdir()
+    spark.createDataFrame([(1, [0.1, 0.9])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "bad" / "embeddings.parquet"))
+    with pytest.raises(Exception, match="range"):  # 0.9 is beyond 8 bits
+        file_catalog._pictures(spark, str(tmp_path / "bad")).collect()
