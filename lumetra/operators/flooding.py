@@ -168,7 +168,7 @@ def grown(pixels: DataFrame, value: str = "v", seed: str = "seed", keys: list[st
             n += 1
             # a tile is sent at most one rim from each side
             inbox = moved.mapInArrow(send, SENT).groupBy(*tile_of).agg(F.collect_list(F.struct("dy", "dx", "rim")).alias("inbox"))
-            met = newest(versions.join(inbox, tile_of)).select(*tile_of, "body", "inbox")
+            met = newest(versions.hint("merge").join(inbox, tile_of)).select(*tile_of, "body", "inbox")
             moved = stored(met.mapInArrow(update(phase), STATE))
             versions = versions.unionByName(moved.withColumn("round", F.lit(n)))
             if n % COMPACT == 0:

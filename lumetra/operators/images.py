@@ -125,7 +125,7 @@ def threshold_surface(pixels: DataFrame, thresholds: DataFrame, window: int = 10
     around = around.filter(F.map_contains_key("t", F.lit("0,0")))
     around = around.join(ends, keys) if keys else around.crossJoin(F.broadcast(ends))  # one row without keys
     placed = pixels.select(*keys, "y", "x", F.floor(F.col("y") / window).cast("long").alias("row"), F.floor(F.col("x") / window).cast("long").alias("column"))
-    met = placed.join(around, [*keys, "row", "column"])
+    met = placed.hint("merge").join(around, [*keys, "row", "column"])
 
     def side(at: str, place: str, end: str) -> tuple[Column, Column]:
         """The neighbour's side along one axis, and its weight."""
@@ -211,7 +211,7 @@ def local_maxima(pixels: DataFrame, radius: int = 3, keys: list[str] = ()) -> Da
     """
     along = lambda held, axis, other: held.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).groupBy(*keys, other, (F.col(axis) + F.col("_d")).alias(axis)).agg(F.max("_top").alias("_top"))
     offers = along(along(pixels.select(*keys, "y", "x", F.col("v").alias("_top")), "x", "y"), "y", "x")
-    return pixels.join(offers, [*keys, "y", "x"]).filter("v = _top").drop("_top")
+    return pixels.hint("merge").join(offers, [*keys, "y", "x"]).filter("v = _top").drop("_top")
 
 
 def smoothed(pixels: DataFrame, scale: float = 1.0, radius: int | None = None, keys: list[str] = (), digits: int = 6) -> DataFrame:
@@ -224,7 +224,7 @@ def smoothed(pixels: DataFrame, scale: float = 1.0, radius: int | None = None, k
         return spread.groupBy(*keys, other, (F.col(axis) + F.col("_d")).alias(axis)).agg(F.sum(F.col("_g") * F.col("_v")).alias("_v"), F.sum(F.col("_g") * F.col("_n")).alias("_n"))
 
     held = along(along(pixels.select(*keys, "y", "x", F.col("v").cast("double").alias("_v"), F.lit(1.0).alias("_n")), "x", "y"), "y", "x")
-    return pixels.select(*keys, "y", "x").join(held, [*keys, "y", "x"]).select(*keys, "y", "x", F.round(F.col("_v") / F.col("_n"), digits).alias("v"))
+    return pixels.select(*keys, "y", "x").hint("merge").join(held, [*keys, "y", "x"]).select(*keys, "y", "x", F.round(F.col("_v") / F.col("_n"), digits).alias("v"))
 
 
 def perimeters(objects: DataFrame, key: str, digits: int = 6) -> DataFrame:

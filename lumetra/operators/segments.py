@@ -77,11 +77,11 @@ def star_roots(links: DataFrame) -> DataFrame:
         # large stars: greater neighbours go to the least neighbour
         both = edges.unionByName(edges.select("key", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("key", "u").agg(F.min("v").alias("m")).select("key", "u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, ["key", "u"]).select("key", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").hint("merge").join(least, ["key", "u"]).select("key", F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large)
         # small stars: a node and its lesser neighbours go to the least of these
         least = large.groupBy("key", "u").agg(F.min("v").alias("m"))
-        moved = large.join(least, ["key", "u"]).filter("v <> m").select("key", F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.hint("merge").join(least, ["key", "u"]).filter("v <> m").select("key", F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(moved.unionByName(least.select("key", "u", F.col("m").alias("v"))).distinct())
         after = state(edges)
         if after == before:
@@ -109,7 +109,7 @@ def components(pixels: DataFrame, keys: list[str] = (), connectivity: int = 4, t
     to = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in BEFORE[connectivity]]))
     offers = edge.select("key", "y", "x", F.col("label").alias("a"), to.alias("d")).select("key", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "a", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
     offers = offers.filter((F.floor(F.col("y") / tile) != F.col("ty")) | (F.floor(F.col("x") / tile) != F.col("tx"))).drop("ty", "tx")
-    links = offers.join(edge.select("key", "y", "x", F.col("label").alias("b")), ["key", "y", "x"]).select("key", "a", "b").distinct()
+    links = offers.hint("merge").join(edge.select("key", "y", "x", F.col("label").alias("b")), ["key", "y", "x"]).select("key", "a", "b").distinct()
     roots = star_roots(links).withColumnRenamed("node", "label")
-    found = local.join(roots, ["key", "label"], "left")
+    found = local.hint("merge").join(roots, ["key", "label"], "left")
     return found.select(*unpacked_key(pixels, keys), "y", "x", F.coalesce("root", "label").alias("object_id"))

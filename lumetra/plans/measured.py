@@ -61,7 +61,7 @@ def measured(table: DataFrame, keys: list[str] = ()) -> DataFrame:
     # a row an image
     numbers = global_rank(named.select(*keys).distinct(), keys).select(packed_key(named, keys).alias("_key"), F.col("rank").alias("ImageNumber"))
     number = F.row_number().over(W.partitionBy("_key").orderBy("object_id")).cast("long")
-    return named.withColumn("_key", packed_key(named, keys)).withColumn("ObjectNumber", number).join(numbers, "_key").select(*keys, "ImageNumber", "ObjectNumber", *rest)
+    return named.withColumn("_key", packed_key(named, keys)).withColumn("ObjectNumber", number).hint("merge").join(numbers, "_key").select(*keys, "ImageNumber", "ObjectNumber", *rest)
 
 
 def placed(nuclei: DataFrame, column: str, images: DataFrame) -> DataFrame:

@@ -104,21 +104,24 @@ def foreground(run: Run, module: Module, pixels: DataFrame) -> DataFrame:
     # the scale is where a Gaussian has half its area within
     held = images.smoothed(pixels, scale / 0.6744 / 2, keys=keys) if scale > 0 else pixels.select(*keys, "y", "x", "v")
     level = level.select(*on, F.col(column).alias("_level"))
-    met = held.join(level, on) if on else held.crossJoin(F.broadcast(level))  # one row without keys
-    kept = met.filter("v >= _level").select(*keys, "y", "x")
-    return kept.join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
+    met = held.hint("merge").join(level, on) if on else held.crossJoin(F.broadcast(level))  # one row without keys
+    kept = met.filter("v >= _level").select(*keys, "y", "x", "v")
+    if scale <= 0:
+        return kept
+    # a smoothed value decides, the image's own is kept
+    return kept.drop("v").hint("merge").join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
 
 
 def without_holes(run: Run, kept: DataFrame, pixels: DataFrame) -> DataFrame:
     """The foreground and what it encloses: components of the rest that reach no edge of their image."""
     keys = run.keys
-    rest = pixels.select(*keys, "y", "x").join(kept.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    rest = pixels.select(*keys, "y", "x").hint("merge").join(kept.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
     parts = stored(segments.components(rest, keys))
     ends = pixels.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    placed = parts.join(ends, keys) if keys else parts.crossJoin(F.broadcast(ends))  # one row without keys
+    placed = parts.hint("merge").join(ends, keys) if keys else parts.crossJoin(F.broadcast(ends))  # one row without keys
     outer = placed.filter("y = _y0 or y = _y1 or x = _x0 or x = _x1").select(*keys, "object_id").distinct()
-    holes = parts.join(outer, [*keys, "object_id"], "left_anti").select(*keys, "y", "x")
-    return kept.unionByName(holes.join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"]))
+    holes = parts.hint("merge").join(outer, [*keys, "object_id"], "left_anti").select(*keys, "y", "x")
+    return kept.unionByName(holes.hint("merge").join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"]))
 
 
 def off_the_border(run: Run, objects: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def off_the_border(run: Run, objects: DataFrame, pixels: DataFrame) -> DataFrame
     keys = run.keys
     ends = pixels.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
     boxes = objects.groupBy(*keys, "object_id").agg(F.min("y").alias("_a"), F.max("y").alias("_b"), F.min("x").alias("_c"), F.max("x").alias("_d"))
-    placed = boxes.join(ends, keys) if keys else boxes.crossJoin(F.broadcast(ends))  # one row without keys
+    placed = boxes.hint("merge").join(ends, keys) if keys else boxes.crossJoin(F.broadcast(ends))  # one row without keys
     return placed.filter("_a > _y0 and _b < _y1 and _c > _x0 and _d < _x1").select(*keys, "object_id")
 
 
@@ -164,13 +167,13 @@ def primary(run: Run, module: Module) -> None:
         levels = stored(smooth.withColumn("v", F.round(F.col("v") * LEVELS).cast("long")))
         # maxima that touch are one seed
         tops = segments.components(images.local_maxima(levels, max(1, int(near)), keys), keys, 8).withColumnRenamed("object_id", "seed")
-        objects = flooding.declumped(levels.join(tops, [*keys, "y", "x"], "left"), keys=keys, most=LEVELS, connectivity=8)
+        objects = flooding.declumped(levels.hint("merge").join(tops, [*keys, "y", "x"], "left"), keys=keys, most=LEVELS, connectivity=8)
     objects = stored(objects)
     if module.yes("Discard objects outside the diameter range?"):
         fit = images.well_sized(shapes(run, objects), "equivalent_diameter", least, most).select(*keys, "object_id")
-        objects = objects.join(fit, [*keys, "object_id"], "left_semi")
+        objects = objects.hint("merge").join(fit, [*keys, "object_id"], "left_semi")
     if module.yes("Discard objects touching the border of the image?"):
-        objects = objects.join(off_the_border(run, objects, pixels), [*keys, "object_id"], "left_semi")
+        objects = objects.hint("merge").join(off_the_border(run, objects, pixels), [*keys, "object_id"], "left_semi")
     run.objects[module.get("Name the primary objects to be identified")] = stored(objects)
 
 
@@ -183,21 +186,21 @@ def secondary(run: Run, module: Module) -> None:
     if method == "Propagation":
         # primary pixels are always in
         mask = foreground(run, module, pixels).select(*keys, "y", "x").unionByName(seeds.select(*keys, "y", "x")).distinct()
-        open_ = levels.join(mask, [*keys, "y", "x"], "left_semi").join(seeds, [*keys, "y", "x"], "left")
+        open_ = levels.hint("merge").join(mask, [*keys, "y", "x"], "left_semi").hint("merge").join(seeds, [*keys, "y", "x"], "left")
         grown = flooding.secondary_objects(open_, keys=keys, base=max(1, round(LEVELS * float(module.get("Regularization factor", "0.05")))), weight=1, connectivity=8)
     else:
-        grown = flooding.secondary_objects(levels.join(seeds, [*keys, "y", "x"], "left"), keys=keys, base=1, weight=0, limit=int(float(module.get("Number of pixels by which to expand the primary objects"))))
+        grown = flooding.secondary_objects(levels.hint("merge").join(seeds, [*keys, "y", "x"], "left"), keys=keys, base=1, weight=0, limit=int(float(module.get("Number of pixels by which to expand the primary objects"))))
     grown = stored(grown.select(*keys, "y", "x", "object_id"))
     if module.yes("Discard secondary objects touching the border of the image?"):
-        grown = stored(grown.join(off_the_border(run, grown, pixels), [*keys, "object_id"], "left_semi"))
+        grown = stored(grown.hint("merge").join(off_the_border(run, grown, pixels), [*keys, "object_id"], "left_semi"))
         if module.yes("Discard the associated primary objects?"):
-            run.objects[module.get("Name the new primary objects")] = stored(report.surviving_parents(parents, grown, [*keys, "object_id"]))
+            run.objects[module.get("Name the new primary objects")] = stored(report.surviving_parents(parents.hint("merge"), grown, [*keys, "object_id"]))
     run.objects[module.get("Name the objects to be identified")] = grown
 
 
 def add_measurements(run: Run, name: str, table: DataFrame) -> None:
     held = run.measurements.get(name)
-    run.measurements[name] = table if held is None else held.join(table, [*run.keys, "object_id"])
+    run.measurements[name] = table if held is None else held.hint("merge").join(table, [*run.keys, "object_id"])
 
 
 def size_shape(run: Run, module: Module) -> None:
@@ -208,7 +211,7 @@ def size_shape(run: Run, module: Module) -> None:
 def intensity(run: Run, module: Module) -> None:
     for image in names_in(module.get("Select images to measure")):
         for name in names_in(module.get("Select objects to measure")):
-            met = run.objects[name].join(run.images[image], [*run.keys, "y", "x"]).withColumn("_object", F.struct(*run.keys, "object_id"))
+            met = run.objects[name].hint("merge").join(run.images[image], [*run.keys, "y", "x"]).withColumn("_object", F.struct(*run.keys, "object_id"))
             stats = images.intensity_stats(met, "_object").select("_object.*", *[F.col(c).alias(f"{c}_{image}") for c in ("integrated", "mean", "std", "min", "max")])
             add_measurements(run, name, stats)
 

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumetra.operators import flooding, images, segments
-from lumetra.plans import segmentation
+from lumetra.plans import measured, segmentation
+from lumetra.sources.scratch import stored
 
 FILE = """Version:5
 Images:[module_num:1]
@@ -114,3 +115,24 @@ def test_what_cannot_run_is_named(spark, tmp_path, old, new, said):
     (tmp_path / "p.cppipe").write_text(FILE.replace(old, new))
     with pytest.raises(segmentation.PipelineError, match=said):
         segmentation.run_pipeline(spark, str(tmp_path / "p.cppipe"), {"Dark": discs(spark).limit(1)}, ["image"])
+
+
+def test_pixels_and_objects_are_not_broadcast(spark, tmp_path):
+    """A file of pixels is a small part of its rows: a table that is broadcast for its file's size would not fit the driver."""
+    (tmp_path / "p.cppipe").write_text(FILE.replace(":4,12", ":2,12"))
+    y, x = F.col("id") % 25600 / 160, F.col("id") % 160
+    at = spark.range(51200).select(F.concat((F.col("id") >= 25600).cast("string"), F.lit("n" * 1000)).alias("image"), y.cast("long").alias("y"), x.alias("x"))
+    dark = at.withColumn("v", F.when((F.col("y") % 4).isin(1, 2) & (F.col("x") % 4).isin(1, 2), 0.2).otherwise(0.9))
+    # 51 MB of pixels, 3 MB of objects, 5 MB of tiles; what is seen at run time to be small may be broadcast
+    limits = {"spark.sql.maxBroadcastTableSize": "3m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        run = segmentation.run_pipeline(spark, str(tmp_path / "p.cppipe"), {"Dark": stored(dark)}, ["image"])
+        rows = measured.measured(run.exports["Oil_Nuclei"], ["image"]).groupBy("ImageNumber", "AreaShape_Area").agg(F.count(F.lit(1)).alias("n"), F.max("ObjectNumber").alias("most")).collect()
+        assert sorted(map(tuple, rows)) == [(1, 4, 1600, 1600), (2, 4, 1600, 1600)]
+        cells, kept = (run.objects[name].groupBy("image").agg(F.count_distinct("object_id").alias("n")).collect() for name in ("Cells", "FilteredNuclei"))
+        assert [r["n"] for r in cells] == [r["n"] for r in kept] == [38 * 38] * 2  # those around touch the border
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
